@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, packing, pii, sharding, simhash, token_store, warc
+from . import decontaminate, html_extract, langid, media, packing, pii, sharding, simhash, token_store, warc
 from ._common import shared_folder, table
 
 
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "op3")
     manifest = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -51,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_token_store, op4_simhash, op5_media, op6_pack, op7_langid, op8_pii, op9_shards, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_html, op3_token_store, op4_simhash, op5_media, op6_pack, op7_langid, op8_pii, op9_shards, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": r"""
