@@ -1,0 +1,214 @@
+"""Readers of file trees and small structured files, and the incremental document table."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..storage import written
+from . import extract as E
+
+SCHEMA_VERSION = "2"
+
+
+@dataclass
+class Roots:
+    """Folders to read and subtrees to leave out."""
+
+    roots: list[str] = field(default_factory=list)
+    excluded: list[str] = field(default_factory=list)
+
+    @staticmethod
+    def from_text(roots: str, excluded: str = "") -> Roots:
+        """Roots parted by |, excluded subtrees by commas; a leading ~ is the home folder."""
+        tidy = lambda x, by: [os.path.expanduser(p.strip()) for p in x.split(by) if p.strip()]
+        return Roots(tidy(roots, "|"), tidy(excluded, ","))
+
+
+def accepted(path: Column, roots: list[str], excluded: list[str]) -> Column:
+    """Whether a path is to be read: no hidden part below its root, no noise suffix, not in an excluded subtree."""
+    below = path
+    for r in roots:
+        below = F.when(path.startswith(r.rstrip("/") + "/"), F.substring(path, len(r.rstrip("/")) + 1, 1 << 20)).otherwise(below)
+    ok = ~below.rlike(r"/\.[^/]*") & ~T.suffix(T.file_name(path)).isin(*sorted(E.NOISE))
+    for x in excluded:
+        ok = ok & (path != x) & ~path.startswith(x.rstrip("/") + "/")
+    return ok
+
+
+def plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def listed(spark: SparkSession, where: Roots, limit: int | None = None) -> DataFrame:
+    """root_ord, source_root, path, size, mtime of the files to read, in order; no content is read."""
+    out = None
+    for k, root in enumerate(where.roots):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.lit(k).alias("root_ord"), F.lit(root).alias("source_root"), plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+        out = rows if out is None else out.union(rows)
+    out = out.where(accepted(F.col("path"), where.roots, where.excluded))
+    return out if limit is None else out.orderBy("root_ord", "path").limit(limit)
+
+
+DOCUMENT = "path string, content_hash string, text string, extraction_status string"
+
+
+def read_documents(spark: SparkSession, where: Roots, only: DataFrame | None = None) -> DataFrame:
+    """path, content_hash, text, extraction_status of the files; only: paths (path) to read, all if not given.
+
+    Hashes are made in the JVM; texts in Arrow batches of few files.
+    """
+    out = None
+    for root in where.roots:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(plain_path(F.col("path")).alias("path"), "content")
+        out = rows if out is None else out.union(rows)
+    out = out.where(accepted(F.col("path"), where.roots, where.excluded))
+    if only is not None:
+        out = out.join(only.select("path"), "path", "left_semi")
+    hashed = out.select("path", F.sha2("content", 256).alias("content_hash"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [E.extract(p, c) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("content_hash"), pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], ["path", "content_hash", "text", "extraction_status"])
+
+    return hashed.mapInArrow(run, DOCUMENT)
+
+
+def unreadable_hash(path: Column, size: Column, mtime: Column) -> Column:
+    """What stands for the hash of a file that cannot be read."""
+    return F.concat(F.lit("unreadable:"), F.sha2(F.concat_ws("|", path, size.cast("string"), mtime.cast("string")), 256))
+
+
+def changes(old: DataFrame, new: DataFrame, retry_failed: bool = False, live_roots: list[str] | None = None) -> DataFrame:
+    """path and change ('new', 'changed', 'skipped', 'retried', 'deleted', 'kept') of two listings (source_root, path, size,
+    mtime; the old one also extraction_status).
+
+    A file of the same size and time is skipped, unless retry_failed and its status isn't ok.  live_roots: roots that could be
+    read; rows of other roots are kept, not deleted.  All roots count as live if not given.
+    """
+    o = old.select("path", F.col("source_root").alias("o_root"), F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"), F.col("extraction_status").alias("o_status"), F.lit(True).alias("in_old"))
+    n = new.select("path", F.col("size").alias("n_size"), F.col("mtime").alias("n_mtime"), F.lit(True).alias("in_new"))
+    same = (F.col("o_size") == F.col("n_size")) & (F.col("o_mtime") == F.col("n_mtime"))
+    live = F.lit(True) if live_roots is None else F.col("o_root").isin(*live_roots)
+    change = (
+        F.when(F.col("in_old").isNull(), "new")
+        .when(F.col("in_new").isNull(), F.when(live, "deleted").otherwise("kept"))
+        .when(~same, "changed")
+        .when(F.lit(retry_failed) & (F.col("o_status") != "ok"), "retried")
+        .otherwise("skipped")
+    )
+    return o.join(n, "path", "full_outer").select("path", change.alias("change"))
+
+
+def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: bool = False, limit: int | None = None, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the new document table, a row of counters).
+
+    Only new, changed and retried files are opened.  A document keeps its doc_id; new ones are numbered on in path order.  With
+    a limit nothing is deleted.  prefixes: path, prefix put before the text for search, not for the text's hash.
+    """
+    new = written(listed(spark, where, limit), "listing")
+    diff = changes(old, new, retry_failed)
+    if limit is not None:
+        diff = diff.withColumn("change", F.when(F.col("change") == "deleted", "kept").otherwise(F.col("change")))
+    diff = written(diff, "changes")
+    fresh = diff.where(F.col("change").isin("new", "changed", "retried"))
+    texts = written(read_documents(spark, where, fresh).withColumn("text_hash", T.text_hash(F.col("text"))), "texts")
+    meta = new.select("source_root", "path", "size", "mtime")
+    rows = fresh.join(meta, "path").join(texts, "path", "left")
+    rows = rows.select("path", "source_root", T.file_name(F.col("path")).alias("filename"), T.suffix(T.file_name(F.col("path"))).alias("extension"), F.expr("substring(path, length(source_root) + 2)").alias("rel_path"), "size", "mtime", F.coalesce("content_hash", unreadable_hash(F.col("path"), F.col("size"), F.col("mtime"))).alias("content_hash"), "text_hash", F.coalesce("extraction_status", F.lit("error: unreadable")).alias("extraction_status"), F.coalesce("text", F.lit("")).alias("text"))
+    if prefixes is not None:
+        rows = rows.join(prefixes, "path", "left").withColumn("text", F.trim(F.concat_ws("\n", "prefix", "text"))).drop("prefix")
+    ids = old.select("path", "doc_id")
+    highest = old.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("highest"))
+    numbered = rows.join(ids, "path", "left").crossJoin(F.broadcast(highest))
+    # New paths are numbered in one order, the paths alone; texts are not part of that sort.
+    order = numbered.where("doc_id is null").select("path", "highest").withColumn("given", F.col("highest") + F.row_number().over(Window.orderBy("path"))).select("path", "given")
+    rows = numbered.drop("highest").join(order, "path", "left").withColumn("doc_id", F.coalesce("doc_id", "given").cast("long")).drop("given")
+    stay = old.join(diff.where(F.col("change").isin("skipped", "kept")), "path", "left_semi")
+    counts = diff.groupBy("change").count().groupBy().pivot("change", ["new", "changed", "skipped", "retried", "deleted", "kept"]).agg(F.coalesce(F.sum("count"), F.lit(0)))
+    return stay.unionByName(rows.select(*stay.columns)), counts.na.fill(0)
+
+
+DOCUMENTS = "doc_id long, path string, source_root string, filename string, extension string, rel_path string, size long, mtime timestamp, content_hash string, text_hash string, extraction_status string, text string"
+
+
+def empty_documents(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+def segment_files(spark: SparkSession, root: str) -> DataFrame:
+    """lang, kind, author, file_stem, uid, seg_key, ord, text of a tree of JSON segment files.
+
+    Paths hold .../<root|translation>/<lang>/<author>/...; keys are uid:segment.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).select(plain_path(F.input_file_name()).alias("path"), F.col("value").alias("json"))
+    place = r"/(root|translation)/([^/]+)/([^/]+)/"
+    keys = F.regexp_extract_all("json", F.lit(r'"((?:[^"\\]|\\.)+)"\s*:\s*"'), F.lit(1))
+    rows = files.select("path", F.regexp_extract("path", place, 1).alias("kind"), F.regexp_extract("path", place, 2).alias("lang"), F.regexp_extract("path", place, 3).alias("author"), F.regexp_replace(F.substring_index("path", "/", -1), r"_(?:root|translation).*$", "").alias("file_stem"), F.from_json("json", "map<string,string>").alias("m"), F.posexplode(keys).alias("ord", "seg_key"))
+    return rows.select("path", "kind", "lang", "author", "file_stem", F.substring_index("seg_key", ":", 1).alias("uid"), "seg_key", "ord", F.element_at("m", F.col("seg_key")).alias("text"))
+
+
+def book_map(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of book names with comment lines."""
+    return spark.read.option("comment", "#").option("header", True).csv(path)
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("sep", "\t").option("header", True).csv(path)
+
+
+def channels(lines: DataFrame) -> DataFrame:
+    """tier, name, channel_id of an allowlist in Markdown (line_no, text): bullets below the headings of three tiers; fenced
+    blocks and other headings are passed over."""
+    order = Window.orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = lines.withColumn("bare", F.trim("text")).withColumn("fence", F.sum(F.col("bare").startswith("```").cast("int")).over(upto))
+    m = m.where((F.col("fence") % 2 == 0) & ~F.col("bare").startswith("```"))
+    heading = F.when(F.col("bare").startswith("## "), F.lower(F.trim(F.substring("bare", 4, 1 << 20))))
+    m = m.withColumn("tier", F.last(heading, ignorenulls=True).over(upto)).where(F.col("tier").isin("trusted", "probationary", "excluded") & F.col("bare").startswith("- "))
+    body = F.trim(F.substring("bare", 3, 1 << 20))
+    return m.select("tier", F.trim(F.substring_index(body, "|", 1)).alias("name"), F.when(F.contains(body, F.lit("|")), F.trim(F.regexp_replace(body, r"^[^|]*\|", ""))).otherwise("").alias("channel_id")).where("name <> ''")
+
+
+def front_matter(notes: DataFrame) -> DataFrame:
+    """note and fields (map of lists) of the front matter of notes (note, text); scalars are lists of one.
+
+    Key order doesn't matter, items are bare or quoted; a note without front matter has no fields.
+    """
+    block = F.regexp_extract("text", r"(?s)\A---\s*\n(.*?)\n---", 1)
+    lines = notes.select("note", F.posexplode(F.split(block, "\n")).alias("at", "line"))
+    key, value = F.regexp_extract("line", r"^([A-Za-z_][A-Za-z0-9_]*):(.*)$", 1), F.trim(F.regexp_extract("line", r"^([A-Za-z_][A-Za-z0-9_]*):(.*)$", 2))
+    order = Window.partitionBy("note").orderBy("at")
+    m = lines.withColumn("key", F.last(F.nullif(key, F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    tidy = lambda c: F.regexp_replace(c, r"""^(['"])(.*)\1$""", "$2")
+    item = F.when(F.trim("line").startswith("- "), tidy(F.trim(F.substring(F.trim("line"), 3, 1 << 20)))).when(value != "", tidy(value))
+    rows = m.withColumn("item", item).where("item is not null and item <> '' and key is not null")
+    lists = rows.groupBy("note", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("items"))
+    found = lists.groupBy("note").agg(F.map_from_entries(F.collect_list(F.struct("key", "items"))).alias("fields"))
+    return notes.select("note").join(found, "note", "left").select("note", F.coalesce("fields", F.create_map().cast("map<string,array<string>>")).alias("fields"))
+
+
+def video_hits(lines: DataFrame) -> DataFrame:
+    """video_id, title, channel, channel_id, duration, url of search output (text), fields parted by |||; NA is no duration."""
+    p = F.split("text", r"\|\|\|")
+    return lines.where(F.size(p) >= 5).select(p[0].alias("video_id"), p[1].alias("title"), p[2].alias("channel"), p[3].alias("channel_id"), F.nullif(p[4], F.lit("NA")).try_cast("double").alias("duration"), F.concat(F.lit("https://www.youtube.com/watch?v="), p[0]).alias("url"))
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Cached transcripts, one JSON document a video."""
+    return spark.read.option("multiLine", True).schema("video_id string, lang string, is_auto boolean, segments array<struct<start: double, duration: double, text: string>>, fetched date").json(path)
+
+
+def flattened_hits(reports: DataFrame) -> DataFrame:
+    """path, line, snippet of search reports (text): a JSON list, possibly with a banner before it, of files and matches."""
+    body = F.regexp_extract("text", r"(?s)(\[\s*\{.*\}\s*\])", 1)
+    files = reports.select(F.explode(F.from_json(body, "array<struct<file: string, matches: array<struct<line: int, text: string>>>>")).alias("f"))
+    return files.select(F.col("f.file").alias("path"), F.explode("f.matches").alias("m")).select("path", "m.line", F.trim("m.text").alias("snippet"))
