@@ -546,9 +546,9 @@ def align_segments(spark, sf_dir):
 # ---- dictionaries
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE 'part%'")
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE 'small%'")
 def headword_prefix(spark, sf_dir):
-    return lexicon.headwords(table(spark, sf_dir, "part"), "PART", "p_name").select("p_partkey", "p_name")
+    return lexicon.headwords(table(spark, sf_dir, "part"), "SMALL", "p_name").select("p_partkey", "p_name")
 
 
 FORMS = "('dhammassa', '[3, 1]'), ('buddho', '[2]'), ('x', '[]')"

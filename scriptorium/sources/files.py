@@ -134,7 +134,7 @@ def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: b
     rows = numbered.drop("highest").join(order, "path", "left").withColumn("doc_id", F.coalesce("doc_id", "given").cast("long")).drop("given")
     stay = old.join(diff.where(F.col("change").isin("skipped", "kept")), "path", "left_semi")
     counts = diff.groupBy("change").count().groupBy().pivot("change", ["new", "changed", "skipped", "retried", "deleted", "kept"]).agg(F.coalesce(F.sum("count"), F.lit(0)))
-    return stay.unionByName(rows.select(*stay.columns)), counts.na.fill(0)
+    return stay.select(*old.columns).unionByName(rows.select(*old.columns)), counts.na.fill(0)
 
 
 DOCUMENTS = "doc_id long, path string, source_root string, filename string, extension string, rel_path string, size long, mtime timestamp, content_hash string, text_hash string, extraction_status string, text string"
