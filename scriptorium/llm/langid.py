@@ -54,8 +54,6 @@ class _Table:
         self.rows = np.empty((256, DIMENSION), np.float32)
 
     def of(self, runs: list[int]) -> np.ndarray:
-        if len(runs) > self.most:
-            return np.stack([_bind(r) for r in runs]).astype(np.float32)
         new = [r for r in runs if r not in self.place]
         if len(self.place) + len(new) > self.most:
             self.place, new = {}, runs
@@ -66,6 +64,11 @@ class _Table:
             self.place[r] = len(self.place)
         return self.rows[list(map(self.place.__getitem__, runs))]
 
+    def bundled(self, runs: np.ndarray, weights: np.ndarray, step: int = 4096) -> np.ndarray:
+        """The weighted sum of bound vectors, taken in steps so that a text with very many runs needs no more memory."""
+        weights = weights.astype(np.float32)
+        return sum(weights[k : k + step] @ self.of(runs[k : k + step].tolist()) for k in range(0, len(runs), step))
+
 
 _table = _Table()
 
@@ -82,22 +85,31 @@ def run_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 def bundle(text: str) -> np.ndarray | None:
     """The vector of a text; None if it has no letter."""
     runs, counts = run_counts(text)
-    return counts.astype(np.float32) @ _table.of(runs.tolist()) if len(runs) else None
+    return _table.bundled(runs, counts) if len(runs) else None
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes as unit rows) from all rows with a non-null lang and text.  A document weighs the same
-    whatever its length.  Rows without letters teach nothing; with no rows there are no languages."""
+    """(languages, prototypes as unit rows) from all rows with a non-null lang and text.
+
+    A document's counts are divided by their root of squares, so it weighs the same whatever its length; a batch's documents
+    of one language are summed before they are bound.  Rows without letters teach nothing; with no rows there are no languages.
+    """
     prepare(docs.sparkSession)
 
     def sums(batches: _Iterator[pa.RecordBatch]) -> _Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
+            found: dict[str, tuple[list, list]] = {}
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if (v := bundle(value)) is not None:
-                    size = np.linalg.norm(v)
-                    held.setdefault(name, np.zeros(DIMENSION))
-                    held[name] += v / (size or 1)
+                runs, counts = run_counts(value)
+                if len(runs):
+                    of, weights = found.setdefault(name, ([], []))
+                    of.append(runs)
+                    weights.append(counts / np.sqrt(float(counts @ counts)))
+            for name, (of, weights) in found.items():
+                runs, place = np.unique(np.concatenate(of), return_inverse=True)
+                held.setdefault(name, np.zeros(DIMENSION))
+                held[name] += _table.bundled(runs, np.bincount(place, np.concatenate(weights)))
         if held:
             yield pa.RecordBatch.from_pydict({"lang": list(held), "v": [np.round(x * 2**20).astype(np.int64).tolist() for x in held.values()]}, pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
@@ -150,10 +162,15 @@ def report(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of docs (any columns, text and lang among them) whose text has a known language, with a score of at least
-    least_score.  A null lang is filled with what was found."""
+def accepted(docs: DataFrame, least_score: float = 0.54, judged_characters: int = 200) -> DataFrame:
+    """The rows of docs (any columns, text and lang among them) in a known language; the others go.
+
+    Rejected are texts without a letter, and texts of at least judged_characters that are no nearer to any language than a text
+    of none can come by chance (a score of 0.54 is 2.6 standard deviations of such a text's cosine).  Shorter texts cannot be
+    judged and stay.  A null lang is filled with what was found.
+    """
     prepare(docs.sparkSession)
     model = learn(docs)
-    found = docs.select(F.struct("*").alias("row"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found")).where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least_score))
-    return found.select(*[(F.coalesce(F.col("row").getField(c), F.col("found.lang_pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    found = docs.select(F.struct("*").alias("row"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found"))
+    good = (F.col("found.lang_pred") != UNKNOWN) & ((F.col("found.score") >= least_score) | (F.length("row.text") < judged_characters))
+    return found.where(good).select(*[(F.coalesce(F.col("row").getField(c), F.col("found.lang_pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
