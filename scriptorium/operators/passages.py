@@ -16,39 +16,53 @@ from ..functions import text as T
 HEADINGS = ("chapter", "title", "subhead")
 
 
-def _before(part: list[str], order: str) -> object:
-    return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+#: Positions that are put in order in one task; a key with more rows than this is dealt to several.
+BLOCK = 20_000
 
 
-def last_before(value: Column, part: list[str], order: str) -> Column:
-    """The last non-null value of strictly earlier rows."""
-    return F.last(value, ignorenulls=True).over(_before(part, order))
+def with_carried(df: DataFrame, part: list[str], position: Column, values: dict[str, Column], ties: tuple[Column, ...] = (), width: float = BLOCK, strict: bool = True) -> DataFrame:
+    """df and, for each of `values`, its last non-null value in earlier rows of the same part, by a numeric position.
+
+    Rows are put in order in blocks of `width` positions, so no task gets all rows of a key, however many it has.  The last
+    values of each block are carried over the blocks, of which there are few, and joined to the rows that found none in their own.
+    strict: the row itself does not count.  ties: what orders rows of one position.
+    """
+    held = df.withColumns({"__at": position, "__block": F.floor(position / width), **{f"__v_{k}": v for k, v in values.items()}})
+    inside = Window.partitionBy(*part, "__block").orderBy("__at", *ties).rowsBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow)
+    order = F.struct("__at", *[t.alias(f"t{i}") for i, t in enumerate(ties)])
+    ends = held.groupBy(*part, "__block").agg(*[F.max_by(f"__v_{k}", F.when(F.col(f"__v_{k}").isNotNull(), order)).alias(f"__e_{k}") for k in values])
+    over = Window.partitionBy(*part).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*[F.col(c).alias(f"__p_{c}") for c in part], F.col("__block").alias("__p_block"), *[F.last(f"__e_{k}", ignorenulls=True).over(over).alias(f"__c_{k}") for k in values])
+    same = F.col("__block") == F.col("__p_block")
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+    found = held.withColumns({f"__i_{k}": F.last(f"__v_{k}", ignorenulls=True).over(inside) for k in values})
+    return found.join(carry, same, "left").select(*df.columns, *[F.coalesce(f"__i_{k}", f"__c_{k}").alias(k) for k in values])
 
 
 def with_owner(segments: DataFrame, part: str = "book_code", order: str = "id", number: str = "paranum") -> DataFrame:
     """segments and owner: the row's own number, else that of the nearest earlier row that has one, else ''."""
     own = F.when(F.col(number) != "", F.col(number))
-    return segments.withColumn("owner", F.coalesce(own, last_before(own, [part], order), F.lit("")))
+    return with_carried(segments, [part], F.col(order), {"owner": own}).withColumn("owner", F.coalesce(own, "owner", F.lit("")))
 
 
 def with_next_owner(segments: DataFrame, part: str = "book_code", order: str = "id", number: str = "paranum") -> DataFrame:
     """segments and next_owner: the number of the nearest later row that has one; null for none."""
-    after = Window.partitionBy(part).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return segments.withColumn("next_owner", F.first(F.when(F.col(number) != "", F.col(number)), ignorenulls=True).over(after))
+    return with_carried(segments, [part], -F.col(order), {"next_owner": F.when(F.col(number) != "", F.col(number))})
 
 
 def with_headings(segments: DataFrame, part: str = "book_code", order: str = "id", text: str = "pali_text", rend: str = "rend") -> DataFrame:
-    """segments and sections: the chapter, title and subhead above each row.
+    """segments with sections (the chapter, title and subhead above each row), near (the nearest heading of any level, '' for none)
+    and book_title.
 
     A level counts only if it stands after the level found above it; blank headings and the book's own title are left out
     of the list, though a blank one still bounds the next level.
     """
-    names = {h: F.struct(F.col(order).alias("at"), T.stripped_markup(F.coalesce(F.col(text), F.lit(""))).alias("text")) for h in HEADINGS}
-    out = segments
-    for h in HEADINGS:
-        out = out.withColumn(f"__{h}", last_before(F.when(F.col(rend) == h, names[h]), [part], order))
-    title = F.first(F.when(F.col(rend) == "book", T.stripped_markup(F.col(text))), ignorenulls=True).over(Window.partitionBy(part))
-    out = out.withColumn("book_title", F.coalesce(title, F.lit("")))
+    plain = T.stripped_markup(F.coalesce(F.col(text), F.lit("")))
+    levels = {f"__{h}": F.when(F.col(rend) == h, F.struct(F.col(order).alias("at"), plain.alias("text"))) for h in HEADINGS}
+    out = with_carried(segments, [part], F.col(order), {**levels, "near": F.when(F.col(rend).isin(*HEADINGS), plain)})
+    titles = segments.where(F.col(rend) == "book").groupBy(F.col(part).alias("__book")).agg(F.min_by(plain, order).alias("book_title"))
+    out = out.join(titles, F.col(part) == F.col("__book"), "left").drop("__book").withColumns({"book_title": F.coalesce("book_title", F.lit("")), "near": F.coalesce("near", F.lit(""))})
     floor, parts = F.lit(-1).cast("long"), []
     for h in HEADINGS:
         kept = F.col(f"__{h}")["at"] > floor
@@ -59,30 +73,44 @@ def with_headings(segments: DataFrame, part: str = "book_code", order: str = "id
 
 def heading_candidates(segments: DataFrame, number: int) -> DataFrame:
     """book_code, ord, heading: for each row of that number the nearest heading of any level, runs of the same taken once."""
-    out = with_headings(segments).withColumn("near", F.coalesce(last_before(F.when(F.col("rend").isin(*HEADINGS), T.stripped_markup(F.coalesce("pali_text", F.lit("")))), ["book_code"], "id"), F.lit("")))
+    out = with_headings(segments)
     named = out.where((T.leading_int(F.col("paranum")) == number) & (F.col("near") != "") & (F.col("near") != F.col("book_title")))
     order = Window.partitionBy("book_code").orderBy("id")
     once = named.withColumn("previous", F.lag("near").over(order)).where("not (near <=> previous)")
     return once.select("book_code", F.row_number().over(order).cast("long").alias("ord"), F.col("near").alias("heading"))
 
 
-def nearest_earlier(probes: DataFrame, entries: DataFrame, keys: list[str], at: str, start: str, ties: list[Column], value: list[str]) -> DataFrame:
+def nearest_earlier(probes: DataFrame, entries: DataFrame, keys: list[str], at: str, start: str, ties: list[Column], value: list[str], blocks: int = 200) -> DataFrame:
     """probes with the columns `value` of the entry of the same keys that starts last at or before `at`; null for none.
 
-    Both sides are brought in one order by (keys, position), entries before probes, and the last entry is carried on: one
-    shuffle and no pairs, however many entries a key has.  Of entries with one start the first by `ties` wins.
+    Both sides are brought in one order by (keys, position), entries before probes, and the last entry is carried on: no pairs,
+    however many entries a key has, and no task with all rows of a key.  Of entries with one start the first by `ties` wins.
+    at and start are numbers (exact up to 2^53) or times; blocks: into how many equal parts their range is cut.
     """
-    first = Window.partitionBy(*keys, start).orderBy(*ties)
-    one = entries.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    carried = F.struct(*[F.col(v) for v in value])
-    kind = one.select(carried.alias("x")).schema["x"].dataType
-    left = probes.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct("*").alias("__probe"), F.lit(None).cast(kind).alias("__entry"))
-    right = one.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__probe"].dataType).alias("__probe"), carried.alias("__entry"))
-    order = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = left.unionByName(right).withColumn("__found", F.last("__entry", ignorenulls=True).over(order)).where("__side = 1")
+    best = F.min(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(ties)], *[F.col(v).alias(f"v_{v}") for v in value])).alias("__best")
+    one = entries.where(F.col(start).isNotNull()).groupBy(*keys, start).agg(best)
+    kind = _value_type(one, value)
+    left = probes.select(*keys, _number(probes, at).alias("__pos"), F.lit(1).alias("__side"), F.struct("*").alias("__probe"), F.lit(None).cast(kind).alias("__entry"))
+    right = one.select(*keys, _number(one, start).alias("__pos"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__probe"].dataType).alias("__probe"), F.struct(*[F.col("__best")[f"v_{v}"].alias(v) for v in value]).alias("__entry"))
+    ends = entries.select(_number(entries, start).alias("x")).agg(F.min("x"), F.max("x")).first()
+    width = max((ends[1] - ends[0]) / blocks, 1e-6) if ends[0] is not None else 1.0
+    # A probe before all entries, or without a position, stands in a block of its own end.
+    both = left.withColumn("__pos", F.least(F.greatest(F.coalesce("__pos", F.lit((ends[0] or 0.0) - 1)), F.lit((ends[0] or 0.0) - 1)), F.lit((ends[1] or 0.0) + 1))).unionByName(right)
+    found = with_carried(both, keys, F.col("__pos"), {"__found": F.col("__entry")}, (F.col("__side"),), width, strict=False).where("__side = 1")
     return found.select("__probe.*", *[F.col("__found")[v].alias(v) for v in value])
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A number or a time as a number."""
+    kind = df.schema[column].dataType.simpleString()
+    return (F.col(column).cast("timestamp") if kind in ("date", "timestamp_ntz") else F.col(column)).cast("double")
+
+
+def _value_type(one: DataFrame, value: list[str]) -> object:
+    """The type of the chosen values."""
+    return one.select(F.struct(*[F.col("__best")[f"v_{v}"].alias(v) for v in value]).alias("x")).schema["x"].dataType
+
+
 def within_range(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str, high: str, step: int = 64) -> DataFrame:
     """Pairs of points and ranges with equal keys (nulls equal) and low <= at <= high.
 
