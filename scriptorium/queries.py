@@ -675,3 +675,6 @@ def video_search_rows(spark, sf_dir):
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(TRY_CAST(props AS JSON)) AS BIGINT) AS readable FROM events GROUP BY event_type")
 def event_json(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.try_parse_json("props")).alias("readable"))
+
+
+from . import queries_small  # noqa: E402, F401  registers its queries
