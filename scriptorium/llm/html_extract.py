@@ -16,6 +16,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
@@ -81,11 +82,13 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that each belongs to
         links = at = 0
         add = self.runs.append
+        open_names: Counter[str] = Counter()  # headings count as one
 
         def close(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
                 name, _ = stack.pop()
+                open_names["h" if name in HEADINGS else name] -= 1
                 if name == "a":
                     links -= 1
                 if name in BLOCK:
@@ -101,6 +104,8 @@ class Page:
                 if name == "br":
                     add((stack[-1][1], " ", False))
                     continue
+                if not open_names["h" if name in HEADINGS else name]:
+                    continue
                 inline = name not in BLOCK
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == name or name in HEADINGS and stack[depth][0] in HEADINGS:
@@ -160,6 +165,7 @@ class Page:
                     self.parent.append(stack[-1][1])
                     self.attributes.append(attributes)
                 stack.append((name, node))
+                open_names["h" if name in HEADINGS else name] += 1
                 links += name == "a"
         if at < len(source):
             add((stack[-1][1], source[at:], links > 0))
@@ -228,6 +234,7 @@ class Page:
             most, whole, cards = max(sizes), sum(sizes) or 1, len(brood)
             links = sum(linked[c] for c in brood)
             kinds = [self.tag[c] for c in brood]
+            alike = Counter(kinds)
             for at, c in enumerate(brood):
                 size, tag = chars[c], kinds[at]
                 others = cards - 1 or 1
@@ -253,7 +260,7 @@ class Page:
                     size / (most or 1),
                     cards,
                     at / others,
-                    kinds.count(tag),
+                    alike[tag],
                     (whole - size) / others,
                     (links - linked[c]) / ((whole - size) or 1),
                     chars[before],
