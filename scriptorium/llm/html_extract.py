@@ -286,7 +286,7 @@ FEATURES = [*(f"tag_{k}" for k in range(_TAGS)), *(f"word_{w}" for w in WORDS),
 class Boosted:
     """Gradient-boosted trees of fixed depth for a yes or no, by histograms of at most 32 bins."""
 
-    def __init__(self, rounds: int = 70, depth: int = 4, rate: float = 0.25, bins: int = 32, smooth: float = 2.0):
+    def __init__(self, rounds: int = 70, depth: int = 4, rate: float = 0.25, bins: int = 32, smooth: float = 20.0):
         self.rounds, self.depth, self.rate, self.bins, self.smooth = rounds, depth, rate, bins, smooth
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
@@ -364,7 +364,7 @@ def decode(page: Page, log_odds: list[float]) -> list[bool]:
 
 # ---- pages made up for learning
 
-PAGES, SEED = 900, 20240101
+PAGES, SEED = 1500, 20240101
 _SYLLABLES = "an er th in on re ed ti es or en at nd st ou he sh ly ing ble qu ma lo si du va ri pe no cha ment eau sch ung keit ción ar las é ü ñ ô".split()
 
 
@@ -401,7 +401,7 @@ class _Maker:
 
     def name(self, group: str) -> str:
         """An attribute that speaks for a group, or for nothing."""
-        if self.maybe(0.12):
+        if self.maybe(0.06):
             return self.r.choice(["", f' class="{self.word()[:2]}{self.r.randint(1, 99)}"', ' class="row"', ' class="container wrap"', ' id="block"'])
         word = self.r.choice(WORDS[group].split())
         word = self.r.choice([word, f"{word}-{self.r.choice(['box', 'wrap', 'inner', 'area', 'list'])}", f"site-{word}", f"{word}{self.r.randint(1, 9)}"])
@@ -446,13 +446,13 @@ class _Maker:
         return self.block(["div", "aside", "section"], "talk", f"<h3>{self.word()}</h3><ul>{self.links(self.r.randint(2, 7))}</ul>" if self.maybe(0.7) else " ".join(f'<a href="/{self.word()}">{self.word()}</a>' for _ in range(4)))
 
     def main(self) -> str:
-        mark, short = " data-main=1", self.maybe(0.3)
+        mark, short = " data-main=1", self.maybe(0.4)
         parts = []
         for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 8, 12, 20, 30])):
             kind = self.r.random()
-            if kind < 0.8:
+            if kind < 0.76:
                 parts.append(f"<p{mark}>{self.sentence(1, 8) if short else self.prose(self.r.choice([1, 2, 8, 8, 14]))}</p>")
-            elif kind < 0.86:
+            elif kind < 0.83:
                 parts.append(f"<h{(n := self.r.randint(2, 4))}{mark}>{self.sentence(1, 7)}</h{n}>")
             elif kind < 0.9:
                 parts.append(f"<{(t := self.r.choice(['ul', 'ol']))}{mark}>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(self.r.randint(2, 6))) + f"</{t}>")
@@ -474,7 +474,7 @@ class _Maker:
             parts.append(self.talk())
             talk = False
         title = f"<h1{mark}>{self.sentence(1, 10)}</h1>" if self.maybe(0.85) else ""
-        if title and self.maybe(0.15):
+        if title and self.maybe(0.25):
             title = f"<header>{title}</header>"
         inner = title + "".join(parts)
         if self.maybe(0.2):
