@@ -18,8 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_folder, table, written  # noqa: F401  for the operators
+
 #: Rows in one Arrow batch; with texts of some kilobytes a batch stays at a few megabytes.
 BATCH_ROWS = 256
+#: Bytes in one Arrow batch, however long its texts are (one row may be longer).
+BATCH_BYTES = 16 << 20
 
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -29,6 +33,7 @@ def prepare(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,27 +49,6 @@ def prepare(spark: SparkSession) -> None:
     _shipped[sc] = archive
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder of the cluster; a local one only where none is set."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scriptorium-shared-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scriptorium/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read back: lineage ends there."""
-    path = shared_folder(df.sparkSession, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def file_system(uri: str):
     """(file system, path) of a URI or plain path, on the driver or in a task."""
     from pyarrow import fs
