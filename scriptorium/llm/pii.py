@@ -142,15 +142,16 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Where spans overlap, they are replaced as one, by the kind of the first.  Columns and rows stay as they are otherwise.
     """
-    found = find(docs, text)
+    found = find(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         fresh = x["start"] >= s.at
-        return F.struct(F.greatest(s.at, x["end"]).alias("at"), F.when(fresh, F.concat(s.out, F.substring(F.col(text), s.at + 1, x["start"] - s.at), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(s.out).alias("out"))
-
-    clean = F.aggregate("pii", start, step, lambda s: F.concat(s.out, F.substring(F.col(text), s.at + 1, F.length(text))))
-    out = found.withColumn("__clean", F.when(F.size("pii") > 0, clean).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn(text, F.col("__clean")).select(*docs.columns)
+        return F.struct(F.greatest(s.at, x["end"]).alias("at"), F.when(fresh, F.concat(s.out, F.substring(F.col("text"), s.at + 1, x["start"] - s.at), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(s.out).alias("out"))
+
+    clean = F.aggregate("pii", start, step, lambda s: F.concat(s.out, F.substring(F.col("text"), s.at + 1, F.length("text"))))
+    out = found.select("row", "pii", F.when(F.size("pii") > 0, clean).otherwise(F.col("text")).alias("clean"))
+    changed = {text: F.col("clean")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        changed["n_chars"] = F.when(F.size("pii") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

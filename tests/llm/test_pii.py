@@ -56,9 +56,10 @@ def test_base_against_python(spark):
 
 def test_further_kinds_and_masking(spark):
     rows = [(1, "Pay to IBAN DE89 3704 0044 0532 0130 00 now"), (2, "DE89370400440532013001 is wrong"), (3, "account GB82WEST12345698765432"), (4, "SSN 123-45-6789"), (5, "part 123-45-6789"), (6, None), (7, "mail a@b.co, a@b.co")]
-    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(i, t, len(t or ""), "p", "c") for i, t in rows], "doc_id long, text string, n_chars long, pii string, row string")
     found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
     assert found == {1: "iban:12:39", 2: "", 3: "iban:8:30", 4: "national_id:4:15", 5: "", 6: "", 7: "email:5:11,email:13:19"}
     clean = {r.doc_id: (r.text, r.n_chars) for r in pii.masked(docs).collect()}
+    assert {(r.pii, r.row) for r in pii.masked(docs).collect()} == {("p", "c")}
     assert clean[7] == ("mail <EMAIL>, <EMAIL>", 21) and clean[6] == (None, 0) and clean[1][0] == "Pay to IBAN <IBAN> now"
     assert pii.report(docs.limit(0)).collect() == [] and pii.masked(docs).columns == docs.columns
