@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import prepare
 
 DIMENSION, RUN = 1024, 3
-RESULT = "lang_pred string, score double"
+RESULT = "lang_pred string, score double, evidence double"
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -129,8 +129,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
 
 def predicted(text: Column, model: tuple[list[str], np.ndarray], context) -> Column:
-    """Struct RESULT for a text column: the nearest language and (1 + its cosine) / 2.  A null text, one without a letter,
-    or a model without languages gives ``und`` and 0.  Equal texts have equal results; ties go to the first language by name."""
+    """Struct RESULT for a text column: the nearest language, (1 + its cosine) / 2, and of how many equally frequent runs the text
+    is worth ((sum of counts)^2 / sum of squares; repeated words are worth little).  A null text, one without a letter,
+    or a model without languages gives ``und``, 0 and 0.  Equal texts have equal results; ties go to the first language by name."""
     shared = context.broadcast(model)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -138,14 +139,15 @@ def predicted(text: Column, model: tuple[list[str], np.ndarray], context) -> Col
         for part in parts:
             out = []
             for value in part:
-                v = bundle(value) if value and names else None
-                if v is None:
-                    out.append((UNKNOWN, 0.0))
+                runs, counts = run_counts(value or "")
+                if not len(runs) or not names:
+                    out.append((UNKNOWN, 0.0, 0.0))
                     continue
+                v = _table.bundled(runs, counts)
                 cosines = prototypes @ v / (np.linalg.norm(v) or 1)
                 best = int(cosines.argmax())
-                out.append((names[best], round((1 + min(1.0, max(-1.0, float(cosines[best])))) / 2, 6)))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                out.append((names[best], round((1 + min(1.0, max(-1.0, float(cosines[best])))) / 2, 6), float(counts.sum()) ** 2 / float(counts @ counts)))
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "evidence"])
 
     return F.pandas_udf(run, RESULT).asNondeterministic()(text)
 
@@ -162,15 +164,15 @@ def report(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.54, judged_characters: int = 200) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float = 0.54, judged_characters: int = 200, judged_runs: int = 60) -> DataFrame:
     """The rows of docs (any columns, text and lang among them) in a known language; the others go.
 
-    Rejected are texts without a letter, and texts of at least judged_characters that are no nearer to any language than a text
-    of none can come by chance (a score of 0.54 is 2.6 standard deviations of such a text's cosine).  Shorter texts cannot be
-    judged and stay.  A null lang is filled with what was found.
+    Rejected are texts without a letter, and texts of at least judged_characters, worth at least judged_runs runs, that are no
+    nearer to any language than a text of none can come by chance (a score of 0.54 is 2.6 standard deviations of such a text's
+    cosine).  Shorter texts, and those that repeat few words, cannot be judged and stay.  A null lang is filled with what was found.
     """
     prepare(docs.sparkSession)
     model = learn(docs)
     found = docs.select(F.struct("*").alias("row"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found"))
-    good = (F.col("found.lang_pred") != UNKNOWN) & ((F.col("found.score") >= least_score) | (F.length("row.text") < judged_characters))
+    good = (F.col("found.lang_pred") != UNKNOWN) & ((F.col("found.score") >= least_score) | (F.length("row.text") < judged_characters) | (F.col("found.evidence") < judged_runs))
     return found.where(good).select(*[(F.coalesce(F.col("row").getField(c), F.col("found.lang_pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
