@@ -36,7 +36,8 @@ def _class(characters: list[str] | str) -> str:
 _L = _class([c for c in _KNOWN if unicodedata.category(c)[0] == "L"])
 _N = _class([c for c in _KNOWN if unicodedata.category(c)[0] == "N"])
 _S = _class(_SPACES)
-_SLOW = re.compile(f"[^{_class(_KNOWN)}]")
+#: What sends a text the slow way, by whether it is lowered first: then characters whose lower case is not known, too.
+_SLOW = {lowered: re.compile(f"[^{_class([c for c in _KNOWN if not lowered or c.lower() in _KNOWN])}]") for lowered in (False, True)}
 
 #: How each vocabulary splits a text into words.
 _SPLIT = {
@@ -79,7 +80,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         name = os.path.basename(path)
-        self.split, self.lowered = _SPLIT.get(name), _LOWERED.get(name)
+        self.split, self.lowered = _SPLIT.get(name), _LOWERED.get(name, False)
+        self.slow = _SLOW[self.lowered]
         self.words = _Words(self.library.model, cache_words)
 
     def vocabulary_size(self) -> int:
@@ -89,7 +91,7 @@ class Encoder:
         """The ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        if self.split is None or _SLOW.search(text):
+        if self.split is None or self.slow.search(text):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = self.split.findall(text.lower() if self.lowered else text)
         return b"".join(map(self.words.__getitem__, found))

@@ -31,6 +31,18 @@ def test_ids_are_those_of_the_library(text):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+ESCAPING = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
+
+
+@given(st.text(ESCAPING + "aZÉ1 '", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_capitals_with_unknown_lower_case(text):
+    for path in (BYTE, WORD):
+        t, e = library(path)
+        for x in (text, "AZƏRBAYCAN", *(f"A{c}B {c}a" for c in ESCAPING)):
+            assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=60), st.integers(0, 3))
 @settings(max_examples=200, deadline=None)
 def test_elias_fano(values, repeat):
