@@ -21,7 +21,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "op3")
-    manifest = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    manifest = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, special_ids=True)
     return token_store.read(spark, folder, manifest, digest=True)
 
 
@@ -34,7 +34,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special_ids=True)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

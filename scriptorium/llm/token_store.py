@@ -28,11 +28,11 @@ MAGIC = b"TOKSHRD1"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shards: int | None = None) -> list[dict]:
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shards: int | None = None, special_ids: bool = False) -> list[dict]:
     """Encode docs (doc_id long, text string) and write shard files into folder; returns the manifest, a row a shard.
 
     vocabulary: path of the tokenizer file.  end_id: appended to each document.  A null or empty text gives the end
-    id alone; rows with equal ids are all kept; other columns are ignored; an empty table gives no shard.  The manifest
+    id alone; special_ids as for ``tokens.Encoder``; rows with equal ids are all kept; other columns are ignored; an empty table gives no shard.  The manifest
     is also written as ``manifest.json``, last, so a folder without one is incomplete.
     """
     spark = docs.sparkSession
@@ -40,7 +40,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shards
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(shards or shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, number = encoder(vocabulary), TaskContext.get().partitionId()
+        use, number = encoder(vocabulary, special_ids), TaskContext.get().partitionId()
         kind = "<u2" if max(use.vocabulary_size() - 1, end_id) < 2**16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         name, out, sizes, ids = f"shard-{number:06d}.tok", None, [], []

@@ -68,17 +68,19 @@ class _Words(dict):
 
 
 class Encoder:
-    """Encodes texts with a vocabulary file; strings of special tokens in a text are ordinary text.
+    """Encodes texts with a vocabulary file.
 
-    path: the vocabulary file.  cache_words: at so many cached words the cache starts anew.
+    path: the vocabulary file.  cache_words: at so many cached words the cache starts anew.  special_ids: whether strings
+    of special tokens in a text get those tokens' ids, as from the library as loaded; else they are ordinary text.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 300_000, special_ids: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special_ids
+        self.whole = [x.content for x in self.library.get_added_tokens_decoder().values()] if special_ids else []
         name = os.path.basename(path)
         self.split, self.lowered = _SPLIT.get(name), _LOWERED.get(name, False)
         self.slow = _SLOW[self.lowered]
@@ -91,17 +93,17 @@ class Encoder:
         """The ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        if self.split is None or self.slow.search(text):
+        if self.split is None or self.slow.search(text) or any(x in text for x in self.whole):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = self.split.findall(text.lower() if self.lowered else text)
         return b"".join(map(self.words.__getitem__, found))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_ids: bool = False) -> Encoder:
     """This worker's encoder for the vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special_ids) not in _encoders:
+        _encoders[path, special_ids] = Encoder(path, special_ids=special_ids)
+    return _encoders[path, special_ids]

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from scriptorium.llm import eliasfano, packing, token_store
+import corpus_pipeline
+from scriptorium.llm import catalogue, eliasfano, packing, token_store
 from scriptorium.llm.tokens import Encoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -43,6 +44,20 @@ def test_capitals_with_unknown_lower_case(text):
             assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+SPECIAL = ["one document<|endoftext|>next", "<|endoftext|>", "a <|startoftext|> B<|ENDOFTEXT|>c<|endoftext|><|endoftext", "日<|endoftext|>x"]
+
+
+def test_special_tokens_as_the_library_loads(spark, tmp_path):
+    sf = f"file://{tmp_path}/sf"
+    spark.createDataFrame(list(enumerate([*SPECIAL, "plain"])), "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    want = {path: [[*Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, 2] for x in [*SPECIAL, "plain"]] for path in (BYTE, WORD)}
+    digests = {path: {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)} for path, ids in want.items()}
+    assert 50256 in want[BYTE][0] and 49407 in want[WORD][0]
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in catalogue.op3_token_store(spark, sf).collect()} == digests[BYTE]
+    packed = [catalogue.op6_pack(spark, sf), corpus_pipeline.sequences(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)]
+    assert [{r.doc_id: (r.length, r.ids_crc32) for r in x.collect()} for x in packed] == [digests[WORD]] * 2
+
+
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), max_size=60), st.integers(0, 3))
 @settings(max_examples=200, deadline=None)
 def test_elias_fano(values, repeat):
