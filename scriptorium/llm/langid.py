@@ -164,15 +164,18 @@ def report(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.54, judged_characters: int = 200, judged_runs: int = 60) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float = 0.54, full_runs: int = 200) -> DataFrame:
     """The rows of docs (any columns, text and lang among them) in a known language; the others go.
 
-    Rejected are texts without a letter, and texts of at least judged_characters, worth at least judged_runs runs, that are no
-    nearer to any language than a text of none can come by chance (a score of 0.54 is 2.6 standard deviations of such a text's
-    cosine).  Shorter texts, and those that repeat few words, cannot be judged and stay.  A null lang is filled with what was found.
+    Rejected are texts without a letter, and texts worth at least full_runs runs that are no nearer to any language than a text
+    of none can come by chance (a score of 0.54 is 2.6 standard deviations of such a text's cosine).  The score of a text in a
+    known language rises with the runs that it is worth, so for fewer runs the least score falls, in proportion, to 0.5.  A null
+    lang is filled with what was found where the score is at least least_score, and else stays null.
     """
     prepare(docs.sparkSession)
     model = learn(docs)
     found = docs.select(F.struct("*").alias("row"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found"))
-    good = (F.col("found.lang_pred") != UNKNOWN) & ((F.col("found.score") >= least_score) | (F.length("row.text") < judged_characters) | (F.col("found.evidence") < judged_runs))
-    return found.where(good).select(*[(F.coalesce(F.col("row").getField(c), F.col("found.lang_pred")) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    judged = F.least(F.lit(1.0), F.col("found.evidence") / full_runs)
+    good = (F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= 0.5 + (least_score - 0.5) * judged)
+    certain = F.when(F.col("found.score") >= least_score, F.col("found.lang_pred"))
+    return found.where(good).select(*[(F.coalesce(F.col("row").getField(c), certain) if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])

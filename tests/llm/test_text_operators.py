@@ -96,6 +96,24 @@ def test_language(spark):
     assert none.collect() == [] and {x.lang_pred for x in langid.report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+RUSSIAN = "Сегодня утром на площади собрались люди чтобы послушать музыку и поговорить о погоде. Потом пошёл дождь и все разошлись по домам, а оркестр продолжал играть под навесом до самого вечера, пока не стемнело"
+
+
+def test_short_texts_of_no_known_language(spark):
+    r = random.Random(4)
+    noise = [" ".join("".join(r.choice("bcdfgjkmpqvxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (2, 3, 5, 30, 30, 30, 30, 30)]
+    foreign = [RUSSIAN[:n] for n in (8, 15, 90, 130, 190)] + noise
+    rows = [*language_rows(), *[(1000 + k, x, None) for k, x in enumerate(foreign)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    found = {x.doc_id: x.f for x in docs.select("doc_id", langid.predicted(F.col("text"), model, spark.sparkContext).alias("f")).collect()}
+    kept = {x.doc_id: x.lang for x in langid.accepted(docs).collect()}
+    assert {d for d, _, lang in rows if lang} <= set(kept)
+    assert not {1002, 1003, 1004} & set(kept) and sum(d in kept for d in range(1008, 1013)) <= 1
+    unsure = {d for d in kept if d >= 1000 and found[d].score < 0.54}
+    assert unsure and all(kept[d] is None for d in unsure)
+
+
 def test_language_by_brute_force():
     text = "Ab b²c, é!"
     runs = [" ab", "ab ", "b b"[0:0] or " b ", " c ", " é "]
