@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import components
 from ._common import prepare, utf8, written
@@ -96,6 +97,16 @@ def links(distinct: DataFrame, list_limit: int = 32) -> DataFrame:
     return near.union(stars)
 
 
+def _grouped(docs: DataFrame, shingle: int, seed: int, list_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp of each row of docs; and of each distinct fingerprint `of` its component's label and component_id)."""
+    marked = written(fingerprints(docs, shingle, seed), "fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    labels = written(components(links(distinct, list_limit)), "labels")
+    labelled = written(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
+    least = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
+    return marked, written(labelled.join(least, "label").select(F.col("fp").alias("of"), "label", "component_id"), "whole")
+
+
 def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: int = 32) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs (doc_id, text).
 
@@ -104,29 +115,43 @@ def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: int =
     other; rows without doc_id take part and get the least id of their component, null if none has one; other columns
     are ignored; an empty table gives no rows.
     """
-    marked = written(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    labels = written(components(links(distinct, list_limit)), "labels")
-    labelled = written(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
-    least = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
-    whole = written(labelled.join(least, "label").select(F.col("fp").alias("of"), "component_id"), "whole")
+    marked, whole = _grouped(docs, shingle, seed, list_limit)
     return marked.join(whole, marked.fp == whole["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs (any columns) without the near copies: of each component the document with the least doc_id stays.
+def _with_fingerprint(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """docs (any columns, text among them) with the fingerprint of each row as __fp."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(x, shingle, seed) for x in utf8(batch.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+
 
-    Of several rows with that id one stays, the one with the least text.  Documents without an id stay.
+def deduplicate(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: int = 32) -> DataFrame:
+    """docs (any columns) without the near copies: of each component one row stays, that with the least doc_id.
+
+    Of several rows of a component with that id, the one with the least text stays; rows that share an id but not a
+    component are not each other's copies.  Of a component in which no row has an id, the row with the least text stays.
     """
-    found = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__kept"), "left_semi")
-    if docs.select("doc_id").where("doc_id is null").isEmpty():
-        unnamed = None
-    else:
-        unnamed = docs.where("doc_id is null")
-    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 and doc_id is not null").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(least.select(*[F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns]))
-    return kept if unnamed is None else kept.unionByName(unnamed)
+    marked, whole = _grouped(docs, shingle, seed, list_limit)
+    ids = written(marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id")), "repeated")
+    alone = marked.join(whole, (marked.fp == whole["of"]) & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
+    if ids.isEmpty():
+        return docs.join(alone, F.col("doc_id") == F.col("__kept"), "left_semi")
+    kept = docs.join(alone.join(ids, F.col("__kept") == F.col("__id"), "left_anti"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # Rows that an id doesn't name are told apart by their fingerprints, made anew for these rows alone.
+    unclear = docs.where("doc_id is null")
+    named = ids.where("__id is not null")
+    if not named.isEmpty():
+        unclear = unclear.unionByName(docs.join(named, F.col("doc_id") == F.col("__id"), "left_semi"))
+    rest = [c for c in docs.columns if c != "text"]
+    least = (
+        _with_fingerprint(unclear, shingle, seed)
+        .join(whole, (F.col("__fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("label")
+        .agg(F.min(F.struct("text", *rest)).alias("row"))
+    )
+    return kept.unionByName(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

@@ -94,3 +94,17 @@ def test_deduplicate(spark):
     docs = spark.createDataFrame([(2, "x y z w", "k"), (1, "x y z w", "m"), (3, "some other words entirely", None), (3, "some other words entirely", "b"), (None, "q", "q")], "doc_id long, text string, fp string")
     assert sorted(map(tuple, simhash.deduplicate(docs).collect()), key=str) == sorted([(1, "x y z w", "m"), (3, "some other words entirely", None), (None, "q", "q")], key=str)
     assert simhash.groups(docs.limit(0)).collect() == []
+
+
+def test_deduplicate_by_rows(spark):
+    near = [" ".join(f"w{i}" for i in range(300))]
+    rows = [
+        (1, near[0], "a"), (5, near[0], "b"), (5, "a text of its own, unlike any other", "c"), (5, "zz another unlike text under the same id", "d"), (5, "zz another unlike text under the same id", "e"),
+        (7, "seven words that nobody else has here", "f"), (7, "aa unlike seven", "g"),
+        (None, near[0], "h"), (None, "text without id", "i"), (None, "text without id", "j"), (None, "other text without id", "k"), (None, None, "l"), (None, "", "m"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    assert sorted(r.fp for r in simhash.deduplicate(docs).collect()) == list("acdfgikl")
+    assert sorted(r.fp for r in simhash.deduplicate(docs.where("doc_id is not null")).collect()) == list("acdfg")
+    assert sorted(r.fp for r in simhash.deduplicate(docs.where("doc_id is null")).collect()) == list("hikl")
+    assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs.limit(0)).collect() == []
