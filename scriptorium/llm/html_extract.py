@@ -28,7 +28,8 @@ from ._common import prepare
 
 # Element names of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select button object audio video canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # without an end tag, the rest of the page
+MUTE = frozenset("noscript template svg select button object audio video canvas".split())  # elements that are never main
 BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption header footer nav aside form fieldset address details summary menu hr center dialog search hgroup legend".split())
 CLOSES_P = BLOCK - frozenset("html body li dt dd thead tbody tfoot tr td th caption legend summary figcaption".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span sup sub mark abbr cite q label time kbd samp var del ins dfn bdi bdo".split())
@@ -51,6 +52,7 @@ _TAGS = 13
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|[\s\S]*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z))""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_MUTE_TAG = re.compile(rf"<(?:{'|'.join(sorted(MUTE))})[\s/>]", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -70,6 +72,66 @@ def _described(attributes: str) -> tuple[tuple[int, ...], bool]:
     return tuple(counts), main
 
 
+def _raw_end(source: str, name: str, at: int) -> int:
+    """Where a raw-text element's content and end tag are over."""
+    stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(source, at)
+    return source.find(">", stop.end() - 1) + 1 or len(source) if stop else len(source)
+
+
+def _muted(source: str) -> dict[int, int]:
+    """Where each element of MUTE ends, by the end of its start tag.
+
+    It ends with its end tag.  One that has none before an element around it ends (or, of buttons and selects, before the
+    next one starts) reaches to the first block's tag after it.
+    """
+    out: dict[int, int] = {}
+    stack: list[list] = []  # [name, the end of its start tag, the first block's tag inside]; of blocks the name alone counts
+    names: Counter[str] = Counter()
+    mute: list[list] = []  # those of the stack that are of MUTE
+
+    def pop_to(name: str, end: int | None, here: int) -> None:
+        """Takes elements off the stack down to the last one of this name, which has its end tag up to end; others stop here."""
+        while stack:
+            last = stack.pop()
+            names[last[0]] -= 1
+            found = last[0] == name
+            if last[0] in MUTE:
+                mute.pop()
+                if found and end is not None:
+                    out[last[1]] = end
+                else:
+                    out[last[1]] = here if last[2] is None else last[2]
+                    if mute and mute[-1][2] is None:
+                        mute[-1][2] = last[2]
+            if found:
+                return
+
+    at = 0
+    while m := _TAG.search(source, at):
+        at = m.end()
+        end, start, attributes = m.groups()
+        name = (end or start or "").lower()
+        if name in RAW and start is not None:
+            at = at if attributes.endswith("/") else _raw_end(source, name, at)
+            continue
+        if name in BLOCK and mute and mute[-1][2] is None:
+            mute[-1][2] = m.start()
+        if end is not None:
+            if names[name]:
+                pop_to(name, at, m.start())
+        elif name in MUTE and not attributes.endswith("/"):
+            if name in ("button", "select") and names[name]:
+                pop_to(name, None, m.start())
+            stack.append([name, at, None])
+            mute.append(stack[-1])
+            names[name] += 1
+        elif name in BLOCK and name not in VOID:
+            stack.append([name, at, None])
+            names[name] += 1
+    pop_to("", None, len(source))
+    return out
+
+
 class Page:
     """The nodes of a page in document order, each after its parent, and its text runs.
 
@@ -81,6 +143,7 @@ class Page:
         self.runs: list[tuple[int, str, bool] | None] = []
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that each belongs to
         links = at = 0
+        muted = _muted(source) if _MUTE_TAG.search(source) else {}
         add = self.runs.append
         open_names: Counter[str] = Counter()  # headings count as one
 
@@ -134,15 +197,22 @@ class Page:
                             found = depth
                     if found:
                         close(found)
+                if name in MUTE:
+                    at = muted.get(at, at)
+                    add((stack[-1][1], " ", False))
+                    continue
                 if name in RAW or name == "head":
-                    stop = re.compile(rf"</{re.escape(name)}[\s/>]" if name != "head" else r"</head[\s/>]|<body[\s/>]|<(?:article|main|div|p|nav|header|section)[\s>]", re.IGNORECASE).search(source, at) if not attributes.endswith("/") or name == "head" else None
-                    if stop is None:
-                        if not attributes.endswith("/"):
-                            at = len(source)
-                    elif name == "head" and not stop[0].startswith("</"):
-                        at = stop.start()
-                    else:
-                        at = source.find(">", stop.end() - 1) + 1 or len(source)
+                    if name == "head":
+                        stop = re.compile(r"</head[\s/>]|<body[\s/>]|<(?:article|main|div|p|nav|header|section)[\s>]", re.IGNORECASE).search(source, at)
+                        if stop is None:
+                            if not attributes.endswith("/"):
+                                at = len(source)
+                        elif not stop[0].startswith("</"):
+                            at = stop.start()
+                        else:
+                            at = source.find(">", stop.end() - 1) + 1 or len(source)
+                    elif not attributes.endswith("/"):
+                        at = _raw_end(source, name, at)
                     if name not in ("head", "title", "script", "style"):
                         add((stack[-1][1], " ", False))
                     continue

@@ -145,6 +145,22 @@ def test_pages():
     assert html_extract.extract_many([*cases, None], model) == [*cases.values(), ""]
 
 
+def test_elements_without_an_end_tag():
+    model = html_extract.trained()
+    story = f"<article><h1>A title here</h1>{STORY}</article>"
+    want = f"A title here {SAID}"
+    foot = "<footer>&copy; me &middot; all rights</footer>"
+    before = ["<button>Menu", "<div><button class=x>Menu</div>", "<object data=a.swf>", "<select><option>One<option>Two", "<video src=a>", "<canvas>", "<svg><path d='M0 0'>", "<noscript>No", "<button><b>Menu</b><button>More", "<template>", "<audio>x"]
+    after = ["", "<form><button>Go</button></form>", "<div><object><p>plug</p></object></div>"]
+    pages = [page(b + MENU + story + a + foot) for b in before for a in after]
+    assert html_extract.extract_many(pages, model) == [want] * len(pages)
+    whole = "<svg><g><svg></svg><text>no</text></g></svg> <button><div>no</div></button> <object><object><p>no</p></object>no</object> <select><option>no</select> <video><p>no</p></video>"
+    inside = html_extract.Page(f"<article><p>One {whole}two <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><script>no</article>")
+    assert inside.text([True] * len(inside.tag)) == "One two x=1."
+    deep = html_extract.Page("<object><div>" * 3000 + "text" + "<button>" * 3000)
+    assert deep.text([True] * len(deep.tag)) == "text"
+
+
 def test_made_up_pages_not_learned_from():
     model = html_extract.trained()
     right = 0
