@@ -1,9 +1,9 @@
-"""SimHash near-duplicates through an inverted index on positional bytes.
+"""SimHash near-duplicates through an inverted index on composite keys of positional bytes.
 
 A fingerprint has 64 bits.  Two that differ in at most two bits differ in at most two of their eight bytes, so of the
 eight positional bytes at least six are shared, and of the four byte pairs at least two.  The index has a posting for
 each fingerprint under each two of its byte pairs (six keys of four positional bytes).  Fingerprints that meet are
-tallied: those sharing fewer than six positional bytes go, the others are verified by their differing bits.
+verified by their differing bits; that they share six positional bytes follows from this and removes nothing of its own.
 
 A posting list longer than `list_limit` isn't paired.  Its members are linked exactly and in linear space instead: each
 is posted under itself and under every fingerprint one bit away in the bytes outside the key.  Two members share such a
