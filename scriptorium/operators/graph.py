@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import dropped, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large stars tie each node's greater neighbours to its least one, small stars its lesser ones; the number of rounds
     grows with the logarithm of the diameter.  Each round's edges are written to the shared folder.  Minima are written
-    before they are joined, so adaptive execution can split a node that has a large part of the edges.
+    before they are joined, so adaptive execution can split a node that has a large part of the edges.  What a round has
+    read is deleted once the next one's edges are written.
     """
     clean = edges.where("a is not null and b is not null and a <> b")
     e = written(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -25,7 +26,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = e.union(e.select("v", "u"))
         least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        lesser = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lesser, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = written(small.union(lesser.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(e, least, large, lesser)
+        e = following
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_folders: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below spark.checkpoint.dir; below a local one only where that is unset."""
+    """A new folder name below spark.checkpoint.dir, under one folder for each application.
+
+    Where the setting is absent a temporary folder serves a local master; any other master is refused, since its executors
+    would each write to a disk of their own.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scriptorium-shared-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scriptorium/{label}-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if sc not in _local:
+            _local[sc] = "file://" + tempfile.mkdtemp(prefix="scriptorium-shared-")
+        base = _local[sc]
+    return f"{base.rstrip('/')}/scriptorium-{sc.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df, written as a table in the shared folder and read back: lineage ends there."""
     path = shared_folder(df.sparkSession, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and that nothing will read any more; others are left alone."""
+    for t in tables:
+        path = _folders.pop(t, None)
+        if path is not None:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
