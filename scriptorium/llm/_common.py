@@ -14,11 +14,13 @@ import weakref
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..storage import shared_folder, table, written  # noqa: F401  for the operators
+from ..storage import dropped, shared_folder, table, written  # noqa: F401  for the operators
 
 #: Rows in one Arrow batch; with texts of some kilobytes a batch stays at a few megabytes.
 BATCH_ROWS = 256
@@ -29,7 +31,10 @@ _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the executors and bound the Arrow batches; once per Spark context."""
+    """Send this package to the executors, once per Spark context, and bound the session's Arrow batches.
+
+    The bound is a setting of the session, since Spark has none for one query; it is only ever lowered.
+    """
     sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -73,8 +78,10 @@ class CommittedFile:
         self.fs.move(self.temporary, self.path)
 
     def abandon(self) -> None:
-        self.stream.close()
-        self.fs.delete_file(self.temporary)
+        """Removes what was written; nothing happens after ``commit``."""
+        if not self.stream.closed:
+            self.stream.close()
+            self.fs.delete_file(self.temporary)
 
 
 def utf8(column: pa.Array) -> list:
@@ -101,3 +108,59 @@ def batches_of(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Ite
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Ranges:
+    """Consecutive ranges of a long key, cut by the keys' own weights, so equal tables are cut alike every time.
+
+    lows: least key of each range but the first.  salts: parts of each range, more than one only where a single key weighs
+    more than a part may.  nulls: parts of the rows without a key, which come first.  Parts are numbered from 0 in order.
+    """
+
+    def __init__(self, lows: list[int], salts: list[int], nulls: int):
+        self.lows, self.salts, self.nulls = lows, salts, nulls
+        self.first = np.cumsum([nulls, *salts])[:-1].tolist()
+        self.count = nulls + sum(salts)
+
+    def part(self, key: Column, salt: Column) -> Column:
+        """The part of a row; salt: a hash (long) that deals the rows of a range with several parts."""
+        lows, first, salts = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (self.lows or [0], self.first or [0], self.salts or [1]))
+        n = len(self.lows)
+        # Binary search: steps of falling powers of two, taken while the least key there isn't beyond this one.
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(lows, at + step - 1) <= key), at + step).otherwise(at))
+        dealt = F.transform(F.array(place), lambda at: F.get(first, at) + F.pmod(salt, F.get(salts, at)))[0]
+        return F.when(key.isNull(), F.pmod(salt, F.lit(max(1, self.nulls)))).otherwise(dealt).cast("int")
+
+
+def ranges(sizes: DataFrame, most: int, least_parts: int = 1) -> Ranges:
+    """Ranges of the keys of sizes (key long, weight long; written before) of at most `most` weight each.
+
+    There are about least_parts of them at least, if the keys allow.  The driver sees the weights of some four buckets of
+    keys for each part, not of keys; buckets that are too heavy are divided further, down to single keys.
+    """
+    total, nulls, low, high = sizes.agg(F.sum("weight"), F.sum(F.when(F.col("key").isNull(), F.col("weight"))), F.min("key"), F.max("key")).first()
+    limit = max(1, min(most, -(-(total or 0) // max(1, least_parts))))
+    low, high = ((0 if x is None else x) + 2**63 for x in (low, high))
+    shift, wide = 0, max(4096, 4 * -(-(total or 0) // limit))
+    while (high >> shift) - (low >> shift) >= wide:
+        shift += 1
+    found, left = [], sizes.where("key is not null")
+    while True:
+        # Keys as unsigned numbers, without their last bits.
+        bucket = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), shift)
+        sums = [(r.bucket % 2**64, r.weight) for r in left.groupBy(bucket.alias("bucket")).agg(F.sum("weight").alias("weight")).toLocalIterator()]
+        found += [(b << shift, w) for b, w in sums if w <= limit or not shift]
+        heavy = [b for b, w in sums if w > limit and shift]
+        if not heavy:
+            break
+        wanted = sizes.sparkSession.createDataFrame([(b - 2**64 if b >= 2**63 else b,) for b in heavy], "heavy long")
+        left, shift = left.join(wanted, bucket == F.col("heavy"), "left_semi"), max(0, shift - 12)
+    lows, salts, held = [], [], limit + 1
+    for at, w in sorted(found):
+        if held + w > limit:
+            lows.append(at - 2**63)
+            salts.append(max(1, -(-w // limit)))
+            held = 0
+        held += w
+    return Ranges(lows[1:], salts, -(-(nulls or 0) // limit))

@@ -94,21 +94,21 @@ def topped_up(parts: list[tuple], dealt: list[list[int]], capacity: int) -> tupl
     return out, loose[::-1]
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, piece: int | None = None, held_windows: int = 256, special_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, piece: int | None = None, held_windows: int = 256) -> DataFrame:
     """Pack docs (doc_id long, text string); a row for each piece, columns as in SCHEMA.
 
     piece: the longest piece of what does not fill a sequence alone (a quarter of capacity where not given).
     held_windows: the sequences' worth of ids gathered before they are dealt.  A sequence is padded to capacity, except
     where its length is a power of two (padded_to).  Null or empty texts are the end id alone; every row is packed,
-    equal ids too; special_ids as for ``tokens.Encoder``; other columns are ignored; an empty table gives no rows.  sequence_id counts in each task from a
-    multiple of 2^33, so ids never meet.
+    equal ids too; other columns are ignored; an empty table gives no rows.  sequence_id counts in each task from a multiple of
+    2^33, so ids never meet.
     """
     prepare(docs.sparkSession)
     piece = piece or max(1, capacity // 4)
     schema = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        use, end = encoder(vocabulary, special_ids), int(end_id).to_bytes(4, "little")
+        use, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         serial = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         total = 0

@@ -4,8 +4,9 @@ A shard file holds, in this order: ``TOKSHRD1``; the ids, 2 bytes each where all
 boundaries (one more than documents, from 0); the code of the document ids; a footer as JSON; its length; ``TOKSHRD1``.
 Documents stand in ascending order of doc_id, through the shards and inside each; documents without an id come first.
 
-Plan: one shuffle of the texts by range of doc_id (equal ids are dealt further by the text's hash, so a repeated id
-is no hot key), then one task a shard.  The driver sees one small row a shard.
+Plan: lengths of texts by doc_id first, which cut the ids into ranges of bounded size whatever the corpus; then one shuffle
+of the texts by range (a repeated id that is too heavy for one range is dealt over several by its texts' hash) and one
+task a shard.  Cuts depend on the rows alone, so equal tables give equal files.  The driver sees one small row a shard.
 """
 
 from __future__ import annotations
@@ -16,54 +17,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import eliasfano
-from ._common import CommittedFile, file_system, one_task_each, prepare, shuffle_partitions
+from ._common import CommittedFile, dropped, file_system, one_task_each, prepare, ranges, shuffle_partitions, written
 from .tokens import encoder
 
 MAGIC = b"TOKSHRD1"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shards: int | None = None, special_ids: bool = False) -> list[dict]:
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shards: int | None = None, shard_bytes: int = 256 << 20) -> list[dict]:
     """Encode docs (doc_id long, text string) and write shard files into folder; returns the manifest, a row a shard.
 
-    vocabulary: path of the tokenizer file.  end_id: appended to each document.  A null or empty text gives the end
-    id alone; special_ids as for ``tokens.Encoder``; rows with equal ids are all kept; other columns are ignored; an empty table gives no shard.  The manifest
-    is also written as ``manifest.json``, last, so a folder without one is incomplete.
+    vocabulary: path of the tokenizer file.  end_id: appended to each document.  shard_bytes: bytes of text in a shard, at most
+    (but for texts that are longer alone, or many rows with the same id and text).  shards: how many there are at least, if
+    ids allow (the number of shuffle partitions where not given).  A null or empty text gives the end id alone; rows with
+    equal ids are all kept; other columns are ignored; an empty table gives no shard.  The manifest is also written as
+    ``manifest.json``, last, so a folder without one is incomplete.
     """
     spark = docs.sparkSession
     prepare(spark)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(shards or shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    sizes = written(wide.select(F.col("doc_id").alias("key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("weight")), "sizes")
+    cut = ranges(sizes, shard_bytes, shards or shuffle_partitions(spark))
+    hashed = wide.withColumn("hash", F.xxhash64("text")).withColumn("part", cut.part(F.col("doc_id"), F.col("hash")))
+    dealt = hashed.repartitionById(max(1, cut.count), "part").sortWithinPartitions("part", "doc_id", "hash").drop("hash")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, number = encoder(vocabulary, special_ids), TaskContext.get().partitionId()
+        use = encoder(vocabulary)
         kind = "<u2" if max(use.vocabulary_size() - 1, end_id) < 2**16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
-        name, out, sizes, ids = f"shard-{number:06d}.tok", None, [], []
-        for batch in batches:
-            if out is None and batch.num_rows:
-                out = CommittedFile(folder, name)
-                out.write(MAGIC)
-            ids += batch.column("doc_id").to_pylist()
-            for text in batch.column("text"):
-                found = use.encode(text.as_py()) + end
-                sizes.append(len(found) // 4)
-                out.write(np.frombuffer(found, "<u4").astype(kind).tobytes())
-        if out is None:
-            return
-        nulls = sum(x is None for x in ids)
-        bounds = eliasfano.encode(np.concatenate([[0], np.cumsum(sizes)]))
-        names = eliasfano.encode(np.array(ids[nulls:], np.int64))
-        footer = json.dumps({"documents": len(ids), "nulls": nulls, "tokens": sum(sizes), "kind": kind, "bounds": len(bounds), "names": len(names)}).encode()
-        out.write(bounds + names + footer + len(footer).to_bytes(4, "little") + MAGIC)
-        out.commit()
-        yield pa.RecordBatch.from_pydict({"shard": [number], "name": [name], "documents": [len(ids)], "tokens": [sum(sizes)]})
+        out, name, number, sizes, ids = None, "", -1, [], []
+
+        def finished() -> pa.RecordBatch:
+            nulls = sum(x is None for x in ids)
+            bounds = eliasfano.encode(np.concatenate([[0], np.cumsum(sizes)]))
+            names = eliasfano.encode(np.array(ids[nulls:], np.int64))
+            footer = json.dumps({"documents": len(ids), "nulls": nulls, "tokens": sum(sizes), "kind": kind, "bounds": len(bounds), "names": len(names)}).encode()
+            out.write(bounds + names + footer + len(footer).to_bytes(4, "little") + MAGIC)
+            out.commit()
+            return pa.RecordBatch.from_pydict({"shard": [number], "name": [name], "documents": [len(ids)], "tokens": [sum(sizes)]})
+
+        try:
+            for batch in batches:
+                for part, doc, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    if part != number:
+                        if out is not None:
+                            yield finished()
+                        number, name, sizes, ids = part, f"shard-{part:08d}.tok", [], []
+                        out = CommittedFile(folder, name)
+                        out.write(MAGIC)
+                    found = use.encode(text.as_py()) + end
+                    ids.append(doc)
+                    sizes.append(len(found) // 4)
+                    out.write(np.frombuffer(found, "<u4").astype(kind).tobytes())
+            if out is not None:
+                yield finished()
+        except BaseException:
+            if out is not None:
+                out.abandon()
+            raise
 
     manifest = sorted((r.asDict() for r in dealt.mapInArrow(shard, "shard long, name string, documents long, tokens long").collect()), key=lambda r: r["shard"])
+    dropped(sizes)
     start = 0
     for row in manifest:
         row["start"] = start

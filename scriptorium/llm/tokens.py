@@ -3,7 +3,8 @@
 Both vocabularies used here split a text into words by a pattern before any merge, and no merge crosses a word.
 So the ids of a text are those of its words in order, and each distinct word needs the library once.  Splitting
 is done by Python's ``re`` with explicit character classes, for texts made only of characters whose class is
-known (``FAST``); any other text goes to the library whole.
+known; any other text goes to the library whole, and so does one that holds a special token's string, which the library
+as loaded gives that token's id.
 """
 
 from __future__ import annotations
@@ -70,17 +71,15 @@ class _Words(dict):
 class Encoder:
     """Encodes texts with a vocabulary file.
 
-    path: the vocabulary file.  cache_words: at so many cached words the cache starts anew.  special_ids: whether strings
-    of special tokens in a text get those tokens' ids, as from the library as loaded; else they are ordinary text.
+    path: the vocabulary file.  cache_words: at so many cached words the cache starts anew.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000, special_ids: bool = False):
+    def __init__(self, path: str, cache_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = not special_ids
-        self.whole = [x.content for x in self.library.get_added_tokens_decoder().values()] if special_ids else []
+        self.whole = [x.content for x in self.library.get_added_tokens_decoder().values()]
         name = os.path.basename(path)
         self.split, self.lowered = _SPLIT.get(name), _LOWERED.get(name, False)
         self.slow = _SLOW[self.lowered]
@@ -93,17 +92,18 @@ class Encoder:
         """The ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        if self.split is None or self.slow.search(text) or any(x in text for x in self.whole):
+        plain = text.lower() if self.lowered else text
+        if self.split is None or self.slow.search(text) or any(x in text or x in plain for x in self.whole):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.split.findall(text.lower() if self.lowered else text)
+        found = self.split.findall(plain)
         return b"".join(map(self.words.__getitem__, found))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, special_ids: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """This worker's encoder for the vocabulary file."""
-    if (path, special_ids) not in _encoders:
-        _encoders[path, special_ids] = Encoder(path, special_ids=special_ids)
-    return _encoders[path, special_ids]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

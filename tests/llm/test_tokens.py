@@ -18,9 +18,7 @@ _held: dict = {}
 
 def library(path):
     if path not in _held:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _held[path] = (t, Encoder(path, cache_words=50))
+        _held[path] = (Tokenizer.from_file(path), Encoder(path, cache_words=50))
     return _held[path]
 
 
@@ -106,6 +104,20 @@ def test_store_round_trip(spark, tmp_path):
     assert [(shard.doc_id(i), shard.ids(i).tolist()) for i in range(len(shard))] == [(d, x.tolist()) for d, _, x in shard.scan()]
 
 
+def test_store_rolls_by_size_and_repeats(spark, tmp_path):
+    docs = docs_of(spark, [(7, f"text {k} {'word ' * (k % 40)}") for k in range(400)] + [(k, "b c") for k in range(300)] + [(None, f"n{k}") for k in range(50)])
+    made = []
+    for k in range(2):
+        folder = f"file://{tmp_path}/s{k}"
+        made.append(token_store.write(docs, BYTE, folder, shards=1, shard_bytes=2000))
+    assert made[0] == made[1] and len(made[0]) > 20 and max(m["documents"] for m in made[0]) < 200
+    for m in made[0]:
+        assert (tmp_path / "s0" / m["name"]).read_bytes() == (tmp_path / "s1" / m["name"]).read_bytes()
+    rows = sorted(token_store.read(spark, f"file://{tmp_path}/s0").collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in rows]
+    assert len(rows) == 750 and ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
 def test_store_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert token_store.write(docs_of(spark).limit(0), BYTE, folder) == [] and token_store.read(spark, folder).collect() == []
@@ -122,6 +134,24 @@ def test_differencing_deals_all(sizes, k):
     assert all(sum(sizes[i] for i in w) <= 60 for w in full)
 
 
+def test_padding_of_differencing_and_of_taking_up_room():
+    r = random.Random(9)
+    parts = [(k, 0, bytes(4 * r.randint(1, 1024)), 1) for k in range(1800)]
+    sizes = [len(p[2]) // 4 for p in parts]
+    dealt = packing.windows(sizes, 4096)
+    alone = 1 - sum(sizes) / (4096 * len(dealt))
+    full, left = packing.topped_up(parts, dealt, 4096)
+    both = 1 - sum(sizes) / (4096 * (len(full) + bool(left)))
+    assert 0 <= both <= alone < 0.02 and sum(len(p[2]) for s in full for p in s) + sum(len(p[2]) for p in left) == 4 * sum(sizes)
+    # Windows that differencing filled, and pieces of windows that stay, are left as they were.
+    whole = [[(p[0], p[1], len(p[2])) for p in s] for s in full]
+    kept = sorted(range(len(dealt)), key=lambda i: (-sum(sizes[j] for j in dealt[i]), i))[: len(full)]
+    for s, w in zip(whole, kept, strict=True):
+        assert s[: len(dealt[w])] == [(i, 0, 4 * sizes[i]) for i in dealt[w]]
+    exact = packing.topped_up([(k, 0, bytes(4 * 64), 1) for k in range(8)], [[0], [1], [2], [3, 4], [5], [6], [7]], 128)
+    assert exact[0][0] == [(3, 0, bytes(256), 1), (4, 0, bytes(256), 1)] and len(exact[0]) == 4 and exact[1] == []
+
+
 def check_pieces(rows, docs, capacity):
     by_doc, by_sequence = {}, {}
     for r in rows:
