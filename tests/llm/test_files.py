@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import io
 import struct
@@ -93,6 +94,18 @@ def test_shards(spark):
     assert sharding.assign(docs.limit(0)).collect() == []
 
 
+def test_archives_of_a_hot_page(spark, tmp_path):
+    hot = spark.range(50_000).selectExpr("7 as page_id", "concat('u', id) as url", "concat('<p>', id % 1000, '</p>') as html")
+    pages = hot.union(spark.range(3000).selectExpr("id * 1000003 % 7919 as page_id", "'v' as url", "concat('<b>', id % 50, '</b>') as html")).repartition(3)
+    made = [warc.write(pages, f"file://{tmp_path}/h{k}", tasks=8, roll_bytes=200_000) for k in range(2)]
+    assert made[0] == made[1] and sum(m["records"] for m in made[0]) == 53_000
+    assert len({m["name"][:13] for m in made[0]}) >= 8 and max(m["records"] for m in made[0]) < 15_000
+    for m in made[0]:
+        assert (tmp_path / "h0" / m["name"]).read_bytes() == (tmp_path / "h1" / m["name"]).read_bytes()
+    read = warc.read(spark, f"file://{tmp_path}/h0")
+    assert read.count() == 53_000 and read.where("page_id = 7 and record_type <> 'response'").count() == 0
+
+
 def test_archives(spark, tmp_path):
     rows = [(3, "http://a/ é\r\n", "<p>same</p>"), (1, "http://b", "<p>same</p>"), (2, None, "<p>other</p>"), (9, "u", None), (8, "v", ""), (5, "w", "\r\n\r\nWARC/1.1\r\n\r\n"), (1, "again", "<p>same</p>"), (None, "x", "<p>same</p>"), (7, "y", "z" * 200_000), (6, "t", "<p>same</p>")]
     pages = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, first string")
@@ -115,5 +128,19 @@ def test_archives(spark, tmp_path):
     big = warc.read(spark, f"file://{tmp_path}/w", warc.write(pages, folder, revisit_from=12)).where("record_type = 'revisit'").collect()
     assert big == []
     assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_temporary")]
+    records = warc.read(spark, folder).collect()
+    by_id = {r.record_id: r for r in records}
+    assert len(by_id) == len(rows)
+    for r in records:
+        if r.record_type == "revisit":
+            first = by_id[r.refers_to_id]
+            assert first.record_type == "response" and (first.page_id, first.url, first.payload_digest) == (1, "again", r.payload_digest)
+            with gzip.open(tmp_path / "w" / r.file) as f:
+                text = f.read().decode()
+            assert f"WARC-Refers-To: {first.record_id}\r\nWARC-Refers-To-Target-URI: again\r\nWARC-Refers-To-Date: 20" in text
+    (name,) = {r.file for r in records if r.record_type == "response" and r.page_id == 1 and r.url == "again"}
+    (tmp_path / "w" / name).unlink()
+    with pytest.raises(Exception, match="refers to no such):
+        warc.read(spark, folder, [m for m in manifest if m["name"] != name]).collect()
     empty = warc.write(pages.limit(0), f"file://{tmp_path}/e")
     assert empty == [] and warc.read(spark, f"file://{tmp_path}/e").collect() == []
