@@ -1,15 +1,17 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words move the score.
 
 Everything is DataFrame expressions.  Matches come from ``regexp_extract_all``; their places from the lengths of what
-``split`` leaves between them, since both walk a text with the same matcher.  The patterns are written so that Java's
-matcher needs neither deep recursion nor repeated scans of a long run: repetitions that nothing follows are possessive,
-and a match starts inside a run only where the one before it ended (``\\G``).  That changes no match.
+``split`` leaves between them, since both walk a text with the same matcher, summed in blocks (``_running``), so the time
+grows with the text and its matches, not with their product.  The patterns are written so that Java's matcher needs neither
+deep recursion nor repeated scans of a long run: repetitions that nothing follows are possessive, a match starts inside a
+run only where the one before it ended (``\\G``), and runs of digits too short for a card are not taken up.  That
+changes no match that stays.
 
 Kinds and scores.  email, ip, card and phone are the base kinds: a match that passes its test (parts up to 255; Luhn and
 14 to 19 digits; 10 to 15 digits) always stays.  The further kinds are iban (country, two check digits, 11 to 30 letters
 and digits, valid by mod 97: 0.6, with a context word 0.9, without a valid checksum 0.3 or 0.6) and national_id (three, two
 and four digits with hyphens: 0.3, with a context word 0.8).  A span of these stays from a score of 0.6, if it overlaps no
-base span.  Context words are looked for in the 40 characters before a span.
+base span.  A context word counts if it ends at most 40 characters before a span.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without this has no match.
@@ -30,8 +32,10 @@ FURTHER = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-CONTEXT = {"iban": r"(?iu)\b(?:iban|account|konto|kontonummer|compte|cuenta|bank|banque|banco)\b", "national_id": r"(?iu)\b(?:ssn|social security|identification|id number|national id)\b"}
-CONTEXT_CHARACTERS, LEAST_SCORE = 40, 0.6
+CONTEXT = {"iban": r"(?:iban|account|konto|kontonummer|compte|cuenta|bank|banque|banco)", "national_id": r"(?:ssn|social security|identification|id number|national id)"}
+#: What a match of a further kind begins with; context is only looked for there.
+_BEGINS = {"iban": r"[A-Z]{2}[0-9]{2}", "national_id": r"[0-9]{3}-[0-9]{2}-"}
+LEAST_SCORE = 0.6
 KINDS = [*BASE, *FURTHER]
 SPAN = "struct<kind: string, order: int, start: int, end: int, score: double>"
 
@@ -66,11 +70,44 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, match: Column, start: Column) -> Column:
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it (a lambda would compute it for each element)."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _running(values: Column, plus, levels: int = 3, block: int = 64) -> Column:
+    """For each of an array of integers, what those before it come to by plus, from 0.
+
+    Blocks are summed by themselves and then begun with what the blocks before them come to, so no long array is copied
+    for each of its elements.
+    """
+
+    def simple(array: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, begin, lambda s, x: F.struct(plus(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    if levels == 1:
+        return simple(values, F.lit(0))
+
+    def blocked(array: Column) -> Column:
+        last = F.greatest(F.floor((F.size(array) - 1) / block), F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(array, k * block + 1, block))
+        return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, _running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), plus)), plus, levels - 1, block), simple)))
+
+    return _let(values, lambda array: F.when(F.size(array) <= block, simple(array, F.lit(0))).otherwise(blocked(array)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _score(kind: str, match: Column, near: Column) -> Column:
     if kind in BASE:
         return F.lit(1.0)
-    before = F.substring(text, F.greatest(start - CONTEXT_CHARACTERS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARACTERS)))
-    near = before.rlike(CONTEXT[kind])
     if kind == "iban":
         return F.when(mod97(match), 0.6).otherwise(0.3) + F.when(near, 0.3).otherwise(0.0)
     return F.when(near, 0.8).otherwise(0.3)
@@ -78,18 +115,25 @@ def _score(kind: str, text: Column, match: Column, start: Column) -> Column:
 
 def _found(text: Column, kind: str) -> Column:
     """Array of SPAN: the matches of a kind that pass, in order; empty for none."""
-    pattern = F.lit((BASE | FURTHER)[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, (BASE | FURTHER)[kind], -1)
-    lengths = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("n")))
-    # The state is where the last match ended, and what is found so far.
-    start = F.aggregate(
-        F.filter(lengths, lambda x: x.m.isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m: string, start: int, end: int>>").alias("out")),
-        lambda s, x: F.struct((s.at + x.gap + x.n).alias("at"), F.concat(s.out, F.array(F.struct(x.m.alias("m"), (s.at + x.gap).alias("start"), (s.at + x.gap + x.n).alias("end")))).alias("out")),
-    ).out
-    kept = F.filter(start, lambda x: _passes(kind, x.m))
-    spans = F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), x["start"].alias("start"), x["end"].alias("end"), F.round(_score(kind, text, x.m, x["start"]), 2).alias("score")))
+    pattern = (BASE | FURTHER)[kind]
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda b: F.length(b))
+    if kind in FURTHER:
+        # The first group holds a character if a context word is near; it is looked for behind what a match begins with.
+        flags = F.regexp_extract_all(text, F.lit(rf"(?=(?<![0-9A-Za-z-]){_BEGINS[kind]})(?:(?<=(?iu:\b{CONTEXT[kind]}\b)(?s:.{{0,40}}))(?=(.)))?{pattern}"), F.lit(1))
+    else:
+        flags = F.transform(matches, lambda m: F.lit(""))
+    sizes = F.transform(matches, lambda m: F.length(m))
+
+    def placed(x: Column) -> Column:
+        """Matches with their starts and ends."""
+        before = _running(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["m"])), x["sizes"], _sum), _sum)
+        return F.arrays_zip(x["m"].alias("m"), F.slice(x["gaps"], F.lit(1), F.size(x["m"])).alias("gap"), x["sizes"].alias("n"), before.alias("before"), x["flags"].alias("flag"))
+
+    whole = _let(F.struct(matches.alias("m"), gaps.alias("gaps"), sizes.alias("sizes"), flags.alias("flags")), placed)
+    kept = F.filter(whole, lambda x: _passes(kind, x["m"]))
+    start = lambda x: x["before"] + x["gap"]
+    spans = F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), start(x).alias("start"), (start(x) + x["n"]).alias("end"), F.round(_score(kind, x["m"], x["flag"] != ""), 2).alias("score")))
     if kind in FURTHER:
         spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
     none = F.array().cast(f"array<{SPAN}>")
@@ -106,21 +150,39 @@ def _ordered(spans: Column) -> Column:
     return F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score"))))
 
 
+def _free(base: Column, more: Column) -> Column:
+    """Those of more that overlap none of base; base is in order of starts."""
+
+    def of(x: Column) -> Column:
+        ends = F.transform(x["base"], lambda b: b["end"])
+        reach = F.concat(_running(ends, _most), F.array(F.coalesce(F.array_max(ends), F.lit(0))))
+        # reach[n] is how far the first n base spans go; those that start before an end are found by bisection.
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
+
+        def before(bound: Column, y: Column) -> Column:
+            return F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= F.size(y["base"]) - at) & (F.get(y["base"], at + step - 1)["start"] < bound), at + step).otherwise(at))
+
+        return _let(F.struct(x["base"].alias("base"), reach.alias("reach"), x["more"].alias("more")), lambda y: F.filter(y["more"], lambda m: F.get(y["reach"], before(m["end"], y)) <= m["start"]))
+
+    return _let(F.struct(base.alias("base"), more.alias("more")), of)
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and two more columns: pii_base and pii, arrays of (start, order, end, kind, score) by start, then kind.
 
-    Starts and ends are code points, ends exclusive.  A null text has none.  pii holds pii_base and the spans of the further
-    kinds.  Rows are kept one for one with all their columns.
+    Starts and ends are code points, ends exclusive.  A null or empty text has none.  pii holds pii_base and the spans of
+    the further kinds that overlap none of it.  Rows are kept one for one with all their columns, repeated ones too; a column
+    named pii_base or pii is replaced; an empty table gives no rows.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs
-    for kind in KINDS:
-        found = found.withColumn(f"__{kind}", _found(whole, kind))
-    base = F.concat(*[F.col(f"__{k}") for k in BASE])
-    found = found.withColumn("pii_base", _ordered(base))
-    more = F.filter(F.concat(*[F.col(f"__{k}") for k in FURTHER]), lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = found.withColumn("pii", F.when(F.size(F.concat(*[F.col(f"__{k}") for k in FURTHER])) == 0, F.col("pii_base")).otherwise(_ordered(F.concat(base, more))))
-    return found.drop(*[f"__{k}" for k in KINDS])
+
+    def both(x: Column) -> Column:
+        base = _ordered(F.concat(*[x[k] for k in BASE]))
+        more = _ordered(F.concat(*[x[k] for k in FURTHER]))
+        return _let(F.struct(base.alias("base"), more.alias("more")), lambda y: F.struct(y["base"].alias("base"), F.when(F.size(y["more"]) == 0, y["base"]).otherwise(F.array_sort(F.concat(y["base"], _free(y["base"], y["more"])))).alias("all")))
+
+    found = docs.withColumn("__pii", _let(F.struct(*[_found(whole, k).alias(k) for k in KINDS]), both))
+    return found.withColumn("pii_base", F.col("__pii")["base"]).withColumn("pii", F.col("__pii")["all"]).drop("__pii")
 
 
 def _listed(spans: Column) -> Column:
@@ -128,7 +190,11 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, a count of each base kind, the digest of the base spans, and all spans, for each document."""
+    """A row for each row of docs (doc_id, text): doc_id, a count of each base kind, the digest of the base spans, all spans.
+
+    A null text counts as empty, and both have no spans; repeated rows are kept; other columns are ignored, whatever their
+    names; an empty table gives no rows.
+    """
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")))
 
     def count(kind: str) -> Column:
@@ -137,21 +203,33 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(_listed(F.col("pii_base")), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
 
 
+def _replaced(text: Column, spans: Column, block: int = 64) -> Column:
+    """text with each group of overlapping spans replaced by the kind of its first."""
+
+    def of(x: Column) -> Column:
+        def part(begin: Column, end: Column) -> Column:
+            """What stands between two places: of the blocks that they are in."""
+            first = F.floor(begin / block).cast("int")
+            held = F.array_join(F.slice(x["blocks"], first + 1, F.floor(end / block).cast("int") - first + 1), "")
+            return F.when(end > begin, F.substring(held, begin - first * block + 1, end - begin)).otherwise("")
+
+        reach = _running(F.transform(x["spans"], lambda s: s["end"]), _most)
+        fresh = F.filter(F.zip_with(x["spans"], reach, lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("reach"))), lambda s: s["start"] >= s["reach"])
+        whole = F.transform(fresh, lambda s: F.concat(part(s["reach"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.concat(F.array_join(whole, ""), part(F.array_max(F.transform(x["spans"], lambda s: s["end"])), x["n"]))
+
+    return _let(F.struct(spans.alias("spans"), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("n")), of)
+
+
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets; n_chars, if there, follows.
 
-    Where spans overlap, they are replaced as one, by the kind of the first.  Columns and rows stay as they are otherwise.
+    Where spans overlap, they are replaced as one, by the kind of the first.  Null and empty texts stay as they are; columns and
+    rows, repeated ones too, stay as they are otherwise, whatever other columns are named; an empty table gives no rows.
     """
     found = find(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s.at
-        return F.struct(F.greatest(s.at, x["end"]).alias("at"), F.when(fresh, F.concat(s.out, F.substring(F.col("text"), s.at + 1, x["start"] - s.at), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(s.out).alias("out"))
-
-    clean = F.aggregate("pii", start, step, lambda s: F.concat(s.out, F.substring(F.col("text"), s.at + 1, F.length("text"))))
-    out = found.select("row", "pii", F.when(F.size("pii") > 0, clean).otherwise(F.col("text")).alias("clean"))
+    out = found.select("row", F.size("pii").alias("n"), F.when(F.size("pii") > 0, _replaced(F.col("text"), F.col("pii"))).otherwise(F.col("text")).alias("clean"))
     changed = {text: F.col("clean")}
     if "n_chars" in docs.columns and text != "n_chars":
-        changed["n_chars"] = F.when(F.size("pii") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+        changed["n_chars"] = F.when(F.col("n") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
     return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -140,7 +140,7 @@ def test_archives(spark, tmp_path):
             assert f"WARC-Refers-To: {first.record_id}\r\nWARC-Refers-To-Target-URI: again\r\nWARC-Refers-To-Date: 20" in text
     (name,) = {r.file for r in records if r.record_type == "response" and r.page_id == 1 and r.url == "again"}
     (tmp_path / "w" / name).unlink()
-    with pytest.raises(Exception, match="refers to no such):
+    with pytest.raises(Exception, match="refers to no such"):
         warc.read(spark, folder, [m for m in manifest if m["name"] != name]).collect()
     empty = warc.write(pages.limit(0), f"file://{tmp_path}/e")
     assert empty == [] and warc.read(spark, f"file://{tmp_path}/e").collect() == []

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from scriptorium.llm import pii
 
@@ -54,11 +55,46 @@ def test_base_against_python(spark):
         assert set(filter(None, listed(want).split(","))) <= set(r.spans.split(","))
 
 
+def masked_by_hand(text, spans):
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda x: (x[1], ["email", "ip", "card", "phone"].index(x[0]))):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_masking_by_brute_force(spark):
+    more = ["a@b.co 1.2.3.4 " * 400, "\U0001f600 4111-1111-1111-1111 +1 (555) 555-2485é" * 90, "1.1.1.1.1.1@x.y" * 50]
+    rows = list(enumerate([*texts(), *more]))
+    got = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Of these texts none has a span of the further kinds.
+    assert got == {i: t if t is None else masked_by_hand(t, base(t)) for i, t in rows}
+
+
+def test_time_grows_with_the_matches(spark):
+    def seconds(text):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        taken = []
+        for _ in range(2):
+            began = time.perf_counter()
+            (row,) = pii.report(docs).collect()
+            (clean,) = pii.masked(docs).collect()
+            taken.append(time.perf_counter() - began)
+        return min(taken), row, clean.text
+
+    for unit, kind in (("12 ab ", None), ("a@b.co ", "n_email"), ("4111111111111111, ", "n_card")):
+        tail = " 4111 1111 1111 1111"
+        (small, _, _), (large, row, clean) = seconds(unit * 100_000 + tail), seconds(unit * 200_000 + tail)
+        assert large < 2.5 * small + 1, (unit, small, large)
+        assert row.n_card == (200_001 if kind == "n_card" else 1) and (kind is None or row[kind] >= 200_000) and clean.endswith("<CARD>")
+
+
 def test_further_kinds_and_masking(spark):
-    rows = [(1, "Pay to IBAN DE89 3704 0044 0532 0130 00 now"), (2, "DE89370400440532013001 is wrong"), (3, "account GB82WEST12345698765432"), (4, "SSN 123-45-6789"), (5, "part 123-45-6789"), (6, None), (7, "mail a@b.co, a@b.co")]
+    rows = [(1, "Pay to IBAN DE89 3704 0044 0532 0130 00 now"), (2, "DE89370400440532013001 is wrong"), (3, "account GB82WEST12345698765432"), (4, "SSN 123-45-6789"), (5, "part 123-45-6789"), (6, None), (7, "mail a@b.co, a@b.co"), (8, "Konto " + "x" * 41 + " DE89370400440532013001 123-45-6789"), (9, "ssn 123-45-6789, id number: 987-65-4321 and DE89370400440532013000@x.yz")]
     docs = spark.createDataFrame([(i, t, len(t or ""), "p", "c") for i, t in rows], "doc_id long, text string, n_chars long, pii string, row string")
     found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert found == {1: "iban:12:39", 2: "", 3: "iban:8:30", 4: "national_id:4:15", 5: "", 6: "", 7: "email:5:11,email:13:19"}
+    assert found == {1: "iban:12:39", 2: "", 3: "iban:8:30", 4: "national_id:4:15", 5: "", 6: "", 7: "email:5:11,email:13:19", 8: "", 9: "national_id:4:15,national_id:28:39,email:44:71"}
     clean = {r.doc_id: (r.text, r.n_chars) for r in pii.masked(docs).collect()}
     assert {(r.pii, r.row) for r in pii.masked(docs).collect()} == {("p", "c")}
     assert clean[7] == ("mail <EMAIL>, <EMAIL>", 21) and clean[6] == (None, 0) and clean[1][0] == "Pay to IBAN <IBAN> now"
