@@ -16,7 +16,7 @@ base span.  A context word counts if it ends at most 40 characters before a span
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The base patterns, in the order in which kinds are listed.
@@ -37,108 +37,83 @@ CONTEXT = {"iban": r"(?:iban|account|konto|kontonummer|compte|cuenta|bank|banque
 _BEGINS = {"iban": r"[A-Z]{2}[0-9]{2}", "national_id": r"[0-9]{3}-[0-9]{2}-"}
 LEAST_SCORE = 0.6
 KINDS = [*BASE, *FURTHER]
-SPAN = "struct<kind: string, order: int, start: int, end: int, score: double>"
+SPAN = "struct<start: int, order: int, end: int, kind: string, score: double>"
 
+# Expressions are SQL text: built in one call, where column functions take thousands.
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with name for a value that is computed once, however often body uses it (a lambda's body would compute it for
+    each element)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def luhn(digits: Column) -> Column:
+
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
+
+
+def luhn(digits: str) -> str:
     """Whether a string of digits passes the Luhn test."""
-    each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)))
-    return F.aggregate(each, F.lit(0), lambda a, b: a + b) % 10 == 0
+    each = f"transform(split(reverse({digits}), ''), (d, i) -> if(i % 2 = 0, int(d), if(int(d) > 4, int(d) * 2 - 9, int(d) * 2)))"
+    return f"aggregate({each}, 0, (a, b) -> a + b) % 10 = 0"
 
 
-def mod97(iban: Column) -> Column:
+def mod97(iban: str) -> str:
     """Whether an IBAN, in capitals and digits with or without spaces, has a remainder of 1."""
-    plain = F.replace(iban, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substring(plain, 5, 99), F.substring(plain, 1, 4))
-    values = F.transform(F.split(turned, ""), lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
-    return F.aggregate(values, F.lit(0), lambda a, v: F.when(v > 9, (a * 100 + v) % 97).otherwise((a * 10 + v) % 97)) == 1
+    plain = f"replace({iban}, ' ', '')"
+    values = f"transform(split(concat(substring({plain}, 5, 99), substring({plain}, 1, 4)), ''), c -> if(c rlike '[0-9]', ascii(c) - 48, ascii(c) - 55))"
+    return f"aggregate({values}, 0, (a, v) -> if(v > 9, (a * 100 + v) % 97, (a * 10 + v) % 97)) = 1"
 
 
-def _passes(kind: str, match: Column) -> Column:
+def _passes(kind: str, match: str) -> str:
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-        return match.rlike(rf"^{part}(?:\.{part}){{3}}$")
-    n = F.length(_digits(match))
+        return rf"{match} rlike r'^{part}(?:\.{part}){{3}}$'"
+    n = f"length({_digits(match)})"
     if kind == "card":
-        return F.when(n.between(14, 19), luhn(_digits(match))).otherwise(False)
-    if kind == "phone":
-        return n.between(10, 15)
-    return F.lit(True)
+        return f"if({n} between 14 and 19, {luhn(_digits(match))}, false)"
+    return f"{n} between 10 and 15" if kind == "phone" else "true"
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it (a lambda would compute it for each element)."""
-    return F.transform(F.array(value), f)[0]
+def _score(kind: str, match: str, near: str) -> str:
+    if kind in BASE:
+        return "1.0D"
+    if kind == "iban":
+        return f"round(if({mod97(match)}, 0.6D, 0.3D) + if({near}, 0.3D, 0.0D), 2)"
+    return f"if({near}, 0.8D, 0.3D)"
 
 
-def _running(values: Column, plus, levels: int = 3, block: int = 64) -> Column:
-    """For each of an array of integers, what those before it come to by plus, from 0.
+def _running(values: str, plus: str, block: int = 256) -> str:
+    """For each of an array of integers, what those before it come to by plus (of a and b), from 0.
 
     Blocks are summed by themselves and then begun with what the blocks before them come to, so no long array is copied
     for each of its elements.
     """
+    simple = lambda array, start: f"aggregate({array}, struct({start} as at, cast(array() as array<int>) as out), (s, b) -> {_let('s.at', 'a', f'struct({plus} as at, concat(s.out, array(a)) as out)')}).out"
+    cut = _let(values, "v", f"transform(sequence(0, int(greatest(floor((size(v) - 1) / {block}), 0))), k -> slice(v, k * {block} + 1, {block}))")
+    sums = f"transform(p, x -> aggregate(x, 0, (a, b) -> {plus}))"
+    return _let(cut, "p", f"flatten(zip_with(p, {simple(sums, '0')}, (x, o) -> {simple('x', 'o')}))")
 
-    def simple(array: Column, start: Column) -> Column:
-        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(array, begin, lambda s, x: F.struct(plus(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
-
-    if levels == 1:
-        return simple(values, F.lit(0))
-
-    def blocked(array: Column) -> Column:
-        last = F.greatest(F.floor((F.size(array) - 1) / block), F.lit(0)).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(array, k * block + 1, block))
-        return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, _running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), plus)), plus, levels - 1, block), simple)))
-
-    return _let(values, lambda array: F.when(F.size(array) <= block, simple(array, F.lit(0))).otherwise(blocked(array)))
-
-
-def _sum(a: Column, b: Column) -> Column:
-    return a + b
-
-
-def _most(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
-
-
-def _score(kind: str, match: Column, near: Column) -> Column:
-    if kind in BASE:
-        return F.lit(1.0)
-    if kind == "iban":
-        return F.when(mod97(match), 0.6).otherwise(0.3) + F.when(near, 0.3).otherwise(0.0)
-    return F.when(near, 0.8).otherwise(0.3)
 
-
-def _found(text: Column, kind: str) -> Column:
+def _found(text: str, kind: str) -> str:
     """Array of SPAN: the matches of a kind that pass, in order; empty for none."""
     pattern = (BASE | FURTHER)[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda b: F.length(b))
+    flags = "cast(array() as array<string>)"
     if kind in FURTHER:
         # The first group holds a character if a context word is near; it is looked for behind what a match begins with.
-        flags = F.regexp_extract_all(text, F.lit(rf"(?=(?<![0-9A-Za-z-]){_BEGINS[kind]})(?:(?<=(?iu:\b{CONTEXT[kind]}\b)(?s:.{{0,40}}))(?=(.)))?{pattern}"), F.lit(1))
-    else:
-        flags = F.transform(matches, lambda m: F.lit(""))
-    sizes = F.transform(matches, lambda m: F.length(m))
-
-    def placed(x: Column) -> Column:
-        """Matches with their starts and ends."""
-        before = _running(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["m"])), x["sizes"], _sum), _sum)
-        return F.arrays_zip(x["m"].alias("m"), F.slice(x["gaps"], F.lit(1), F.size(x["m"])).alias("gap"), x["sizes"].alias("n"), before.alias("before"), x["flags"].alias("flag"))
-
-    whole = _let(F.struct(matches.alias("m"), gaps.alias("gaps"), sizes.alias("sizes"), flags.alias("flags")), placed)
-    kept = F.filter(whole, lambda x: _passes(kind, x["m"]))
-    start = lambda x: x["before"] + x["gap"]
-    spans = F.transform(kept, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("order"), start(x).alias("start"), (start(x) + x["n"]).alias("end"), F.round(_score(kind, x["m"], x["flag"] != ""), 2).alias("score")))
+        marked = rf"(?=(?<![0-9A-Za-z-]){_BEGINS[kind]})(?:(?<=(?iu:\b{CONTEXT[kind]}\b)(?s:.{{0,40}}))(?=(.)))?{pattern}"
+        flags = f"regexp_extract_all({text}, r'{marked}', 1)"
+    held = f"struct(regexp_extract_all({text}, r'{pattern}', 0) as m, transform(split({text}, r'{pattern}', -1), t -> length(t)) as gaps, {flags} as flags)"
+    sized = _let(held, "h", "struct(h.m as m, slice(h.gaps, 1, size(h.m)) as gaps, transform(h.m, t -> length(t)) as sizes, h.flags as flags)")
+    summed = _let(sized, "h", f"struct(h.m as m, h.gaps as gap, h.sizes as n, {_running('zip_with(h.gaps, h.sizes, (x, y) -> x + y)', 'a + b')} as before, h.flags as flag)")
+    placed = _let(summed, "h", "arrays_zip(h.m, h.gap, h.n, h.before, h.flag)")
+    kept = f"filter({placed}, x -> {_passes(kind, 'x.m')})"
+    near = "coalesce(x.flag, '') <> ''"
+    spans = f"transform({kept}, x -> struct(x.before + x.gap as start, {KINDS.index(kind)} as order, x.before + x.gap + x.n as end, '{kind}' as kind, {_score(kind, 'x.m', near)} as score))"
     if kind in FURTHER:
-        spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
-    none = F.array().cast(f"array<{SPAN}>")
-    maybe = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike(pattern_head(kind))
-    return F.when(maybe, spans).otherwise(none)
+        spans = f"filter({spans}, x -> x.score >= {LEAST_SCORE})"
+    maybe = f"contains({text}, '{_NEEDS[kind]}')" if kind in _NEEDS else f"{text} rlike r'{pattern_head(kind)}'"
+    return f"if({maybe}, {spans}, cast(array() as array<{SPAN}>))"
 
 
 def pattern_head(kind: str) -> str:
@@ -146,25 +121,13 @@ def pattern_head(kind: str) -> str:
     return {"card": r"[0-9](?:[\x20-]?[0-9]){13}", "iban": r"[A-Z]{2}[0-9]{2}[\x20]?[A-Z0-9]", "national_id": r"[0-9]-[0-9]{2}-[0-9]"}[kind]
 
 
-def _ordered(spans: Column) -> Column:
-    return F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score"))))
-
-
-def _free(base: Column, more: Column) -> Column:
-    """Those of more that overlap none of base; base is in order of starts."""
-
-    def of(x: Column) -> Column:
-        ends = F.transform(x["base"], lambda b: b["end"])
-        reach = F.concat(_running(ends, _most), F.array(F.coalesce(F.array_max(ends), F.lit(0))))
-        # reach[n] is how far the first n base spans go; those that start before an end are found by bisection.
-        steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
-
-        def before(bound: Column, y: Column) -> Column:
-            return F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= F.size(y["base"]) - at) & (F.get(y["base"], at + step - 1)["start"] < bound), at + step).otherwise(at))
-
-        return _let(F.struct(x["base"].alias("base"), reach.alias("reach"), x["more"].alias("more")), lambda y: F.filter(y["more"], lambda m: F.get(y["reach"], before(m["end"], y)) <= m["start"]))
-
-    return _let(F.struct(base.alias("base"), more.alias("more")), of)
+def _free(base: str, more: str) -> str:
+    """Those of more that overlap none of base; both are in order of starts."""
+    # reach[n] is how far the first n base spans go; how many start before an end is found by bisection.
+    reach = _let("transform(x.base, t -> t.end)", "e", f"concat({_running('e', 'greatest(a, b)')}, array(coalesce(array_max(e), 0)))")
+    steps = f"array({', '.join(str(1 << b) for b in reversed(range(31)))})"
+    before = f"aggregate({steps}, 0, (at, step) -> if(step <= size(y.base) - at and get(y.base, at + step - 1).start < m.end, at + step, at))"
+    return _let(f"struct({base} as base, {more} as more)", "x", _let(f"struct(x.base as base, {reach} as reach, x.more as more)", "y", f"filter(y.more, m -> get(y.reach, {before}) <= m.start)"))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,19 +137,16 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     the further kinds that overlap none of it.  Rows are kept one for one with all their columns, repeated ones too; a column
     named pii_base or pii is replaced; an empty table gives no rows.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-
-    def both(x: Column) -> Column:
-        base = _ordered(F.concat(*[x[k] for k in BASE]))
-        more = _ordered(F.concat(*[x[k] for k in FURTHER]))
-        return _let(F.struct(base.alias("base"), more.alias("more")), lambda y: F.struct(y["base"].alias("base"), F.when(F.size(y["more"]) == 0, y["base"]).otherwise(F.array_sort(F.concat(y["base"], _free(y["base"], y["more"])))).alias("all")))
-
-    found = docs.withColumn("__pii", _let(F.struct(*[_found(whole, k).alias(k) for k in KINDS]), both))
-    return found.withColumn("pii_base", F.col("__pii")["base"]).withColumn("pii", F.col("__pii")["all"]).drop("__pii")
+    whole = f"coalesce(`{text}`, '')"
+    found = docs.withColumns({f"__{k}": F.expr(_found(whole, k)) for k in KINDS})
+    found = found.withColumn("pii_base", F.expr(f"array_sort(concat({', '.join(f'__{k}' for k in BASE)}))"))
+    more = f"array_sort(concat({', '.join(f'__{k}' for k in FURTHER)}))"
+    every = f"if({' and '.join(f'size(__{k}) = 0' for k in FURTHER)}, pii_base, array_sort(concat(pii_base, {_free('pii_base', more)})))"
+    return found.withColumn("pii", F.expr(every)).drop(*[f"__{k}" for k in KINDS])
 
 
-def _listed(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+def _listed(spans: str) -> str:
+    return f"array_join(transform({spans}, x -> concat_ws(':', x.kind, string(x.start), string(x.end))), ',')"
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -196,29 +156,24 @@ def report(docs: DataFrame) -> DataFrame:
     names; an empty table gives no rows.
     """
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")))
+    counts = [f"bigint(size(filter(pii_base, x -> x.kind = '{kind}'))) as n_{kind}" for kind in BASE]
+    return found.selectExpr("doc_id", *counts, f"sha2({_listed('pii_base')}, 256) as base_sha256", f"{_listed('pii')} as spans")
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE), F.sha2(_listed(F.col("pii_base")), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))
-
-
-def _replaced(text: Column, spans: Column, block: int = 64) -> Column:
+def _replaced(text: str, spans: str, block: int = 64) -> str:
     """text with each group of overlapping spans replaced by the kind of its first."""
 
-    def of(x: Column) -> Column:
-        def part(begin: Column, end: Column) -> Column:
-            """What stands between two places: of the blocks that they are in."""
-            first = F.floor(begin / block).cast("int")
-            held = F.array_join(F.slice(x["blocks"], first + 1, F.floor(end / block).cast("int") - first + 1), "")
-            return F.when(end > begin, F.substring(held, begin - first * block + 1, end - begin)).otherwise("")
-
-        reach = _running(F.transform(x["spans"], lambda s: s["end"]), _most)
-        fresh = F.filter(F.zip_with(x["spans"], reach, lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("reach"))), lambda s: s["start"] >= s["reach"])
-        whole = F.transform(fresh, lambda s: F.concat(part(s["reach"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.concat(F.array_join(whole, ""), part(F.array_max(F.transform(x["spans"], lambda s: s["end"])), x["n"]))
+    def part(begin: str, end: str) -> str:
+        """What stands between two places: of the blocks that they are in."""
+        held = f"array_join(slice(x.blocks, r.f + 1, int(floor({end} / {block})) - r.f + 1), '')"
+        cut = _let(f"struct({begin} as at, int(floor({begin} / {block})) as f)", "r", f"substring({held}, r.at - r.f * {block} + 1, {end} - r.at)")
+        return f"if({end} > {begin}, {cut}, '')"
 
-    return _let(F.struct(spans.alias("spans"), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("n")), of)
+    reach = _running("transform(x.spans, t -> t.end)", "greatest(a, b)")
+    fresh = f"filter(zip_with(x.spans, {reach}, (t, e) -> struct(t.start as start, t.kind as kind, e as reach)), t -> t.start >= t.reach)"
+    pieces = f"transform({fresh}, t -> concat({part('t.reach', 't.start')}, '<', upper(t.kind), '>'))"
+    tail = _let("array_max(transform(x.spans, t -> t.end))", "z", part("z", "x.n"))
+    return _let(f"struct({spans} as spans, regexp_extract_all({text}, r'(?s).{{1,{block}}}', 0) as blocks, length({text}) as n)", "x", f"concat(array_join({pieces}, ''), {tail})")
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -228,7 +183,7 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     rows, repeated ones too, stay as they are otherwise, whatever other columns are named; an empty table gives no rows.
     """
     found = find(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
-    out = found.select("row", F.size("pii").alias("n"), F.when(F.size("pii") > 0, _replaced(F.col("text"), F.col("pii"))).otherwise(F.col("text")).alias("clean"))
+    out = found.selectExpr("row", "size(pii) as n", f"if(size(pii) > 0, {_replaced('text', 'pii')}, text) as clean")
     changed = {text: F.col("clean")}
     if "n_chars" in docs.columns and text != "n_chars":
         changed["n_chars"] = F.when(F.col("n") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))

@@ -75,13 +75,10 @@ def test_masking_by_brute_force(spark):
 def test_time_grows_with_the_matches(spark):
     def seconds(text):
         docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-        taken = []
-        for _ in range(2):
-            began = time.perf_counter()
-            (row,) = pii.report(docs).collect()
-            (clean,) = pii.masked(docs).collect()
-            taken.append(time.perf_counter() - began)
-        return min(taken), row, clean.text
+        began = time.perf_counter()
+        (row,) = pii.report(docs).collect()
+        (clean,) = pii.masked(docs).collect()
+        return time.perf_counter() - began, row, clean.text
 
     for unit, kind in (("12 ab ", None), ("a@b.co ", "n_email"), ("4111111111111111, ", "n_card")):
         tail = " 4111 1111 1111 1111"
