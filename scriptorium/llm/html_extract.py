@@ -11,6 +11,7 @@ labels are known; nothing is learned from the pages to be read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
@@ -40,10 +41,11 @@ _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption fig
 # Words of class, id and role attributes, by what they speak for.
 WORDS = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toolbar skip tabs topbar masthead banner header hdr head logo",
-    "edge": "footer foot ftr sidebar side aside rail widget colophon copyright legal bottom complementary contentinfo",
-    "offer": "ad ads adv advert advertisement adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search paywall disclaimer warning message announcement",
-    "talk": "comment comments commentlist reply replies respond disqus discussion reader readers review reviews feedback share sharing social follow related recommended recommendations more also trending popular tags meta byline",
-    "main": "article content main post entry story body text prose page single blog news document copy richtext",
+    "edge": "footer foot ftr sidebar side rail widget colophon copyright legal bottom complementary contentinfo",
+    "offer": "ad ads adv advert advertisement adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search paywall disclaimer",
+    "talk": "comment comments commentlist reply replies respond disqus feedback share sharing social follow related recommended recommendations byline",
+    "main": "article content main post entry story prose richtext pullquote blockquote callout inset lead abstract",
+    "everyday": "more also popular trending tags meta review reviews reader readers discussion message warning announcement note info aside text body page single blog news document copy box highlight summary",
 }
 _WORD_GROUP = {w: k for k, words in enumerate(WORDS.values()) for w in words.split()}
 _GROUPS = len(WORDS)
@@ -51,21 +53,28 @@ _TAG_GROUP = {"nav": 0, "menu": 0, "header": 1, "footer": 2, "aside": 3, "form":
 _TAGS = 13
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|[\s\S]*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z))""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_TELLING = frozenset({"class", "id", "role", "data-main"})
 _MUTE_TAG = re.compile(rf"<(?:{'|'.join(sorted(MUTE))})[\s/>]", re.IGNORECASE)
+_HEAD_END = re.compile(r"</head[\s/>]|<body[\s/>]|<(?:article|main|div|p|nav|header|section)[\s>]", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _named(attributes: str) -> list[tuple[str, str]]:
+    """(name, value) of the telling attributes of a tag."""
+    return [(n, a or b or c) for n, a, b, c in ((x[0].lower(), *x[1:]) for x in _ATTRIBUTE.findall(attributes)) if n in _TELLING]
+
+
 @functools.lru_cache(20_000)
 def _described(attributes: str) -> tuple[tuple[int, ...], bool]:
     """(how many words of each group a tag's attributes hold, whether it is labelled main)."""
     counts, main = [0] * _GROUPS, False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() == "data-main":
+    for name, value in _named(attributes):
+        if name == "data-main":
             main = True
             continue
-        for w in _SPLIT.split(_CAMEL.sub(" ", a or b or c).lower()):
+        for w in _SPLIT.split(_CAMEL.sub(" ", value).lower()):
             k = _WORD_GROUP.get(w)
             if k is not None:
                 counts[k] += 1
@@ -141,20 +150,29 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.attributes = ["#root"], [-1], [""]
         self.runs: list[tuple[int, str, bool] | None] = []
-        stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that each belongs to
+        # Open elements: (name, the node that each belongs to, the depth of the p that a block here would end, or 0).
+        stack: list[tuple[str, int, int]] = [("#root", 0, 0)]
         links = at = 0
         muted = _muted(source) if _MUTE_TAG.search(source) else {}
         add = self.runs.append
-        open_names: Counter[str] = Counter()  # headings count as one
+        places: dict[str, list[int]] = {}  # depths of the open elements by name, headings as one; and of all blocks
+        blocks: list[int] = [0]
+        headless = False
+
+        def open_at(name: str) -> int:
+            """The depth of the innermost open element of a name; 0 for none."""
+            found = places.get("h" if name in HEADINGS else name)
+            return found[-1] if found else 0
 
         def close(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
-                name, _ = stack.pop()
-                open_names["h" if name in HEADINGS else name] -= 1
+                name = stack.pop()[0]
+                places["h" if name in HEADINGS else name].pop()
                 if name == "a":
                     links -= 1
                 if name in BLOCK:
+                    blocks.pop()
                     add(None)
 
         while m := _TAG.search(source, at):
@@ -167,44 +185,32 @@ class Page:
                 if name == "br":
                     add((stack[-1][1], " ", False))
                     continue
-                if not open_names["h" if name in HEADINGS else name]:
-                    continue
-                inline = name not in BLOCK
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name or name in HEADINGS and stack[depth][0] in HEADINGS:
-                        close(depth)
-                        break
-                    if inline and stack[depth][0] in BLOCK:
-                        break
+                # An inline element ends only inside the block that it began in.
+                if (depth := open_at(name)) and (name in BLOCK or depth > blocks[-1]):
+                    close(depth)
             elif start is not None:
                 name = start.lower()
                 if name == "br":
                     add((stack[-1][1], " ", False))
                     continue
-                if name in CLOSES_P:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == "p":
-                            close(depth)
-                            break
-                        if stack[depth][0] not in FORMATTING:
-                            break
+                if name in CLOSES_P and stack[-1][2]:
+                    close(stack[-1][2])
                 if name in _SAME:
-                    scope, same, found = _SCOPE[name], _SAME[name], 0
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] in scope:
-                            break
-                        if stack[depth][0] in same:
-                            found = depth
+                    # The outermost of those that this one ends, inside the list or table that it is in.
+                    scope = max(map(open_at, _SCOPE[name]))
+                    inside = (places.get(x, []) for x in _SAME[name])
+                    found = [d[k] for d in inside if (k := bisect.bisect_right(d, scope)) < len(d)]
                     if found:
-                        close(found)
+                        close(min(found))
                 if name in MUTE:
                     at = muted.get(at, at)
                     add((stack[-1][1], " ", False))
                     continue
                 if name in RAW or name == "head":
                     if name == "head":
-                        stop = re.compile(r"</head[\s/>]|<body[\s/>]|<(?:article|main|div|p|nav|header|section)[\s>]", re.IGNORECASE).search(source, at)
+                        stop = None if headless else _HEAD_END.search(source, at)
                         if stop is None:
+                            headless = True
                             if not attributes.endswith("/"):
                                 at = len(source)
                         elif not stop[0].startswith("</"):
@@ -216,26 +222,24 @@ class Page:
                     if name not in ("head", "title", "script", "style"):
                         add((stack[-1][1], " ", False))
                     continue
-                if name == "a":
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == "a":
-                            close(depth)
-                            break
-                        if stack[depth][0] in BLOCK:
-                            break
+                if name == "a" and open_at("a") > blocks[-1]:
+                    close(open_at("a"))
                 block = name in BLOCK
                 if block:
                     add(None)
                 if name in VOID or attributes.endswith("/") and not block:
                     continue
                 node = stack[-1][1]
-                if block or attributes and _ATTRIBUTE.search(attributes):
+                if block or attributes and _named(attributes):
                     node = len(self.tag)
                     self.tag.append(name)
                     self.parent.append(stack[-1][1])
                     self.attributes.append(attributes)
-                stack.append((name, node))
-                open_names["h" if name in HEADINGS else name] += 1
+                depth = len(stack)
+                stack.append((name, node, depth if name == "p" else stack[-1][2] if name in FORMATTING else 0))
+                places.setdefault("h" if name in HEADINGS else name, []).append(depth)
+                if block:
+                    blocks.append(depth)
                 links += name == "a"
         if at < len(source):
             add((stack[-1][1], source[at:], links > 0))
@@ -473,7 +477,7 @@ class _Maker:
         """An attribute that speaks for a group, or for nothing."""
         if self.maybe(0.06):
             return self.r.choice(["", f' class="{self.word()[:2]}{self.r.randint(1, 99)}"', ' class="row"', ' class="container wrap"', ' id="block"'])
-        word = self.r.choice(WORDS[group].split())
+        word = self.r.choice(WORDS["everyday" if group != "menu" and self.maybe(0.15) else group].split())
         word = self.r.choice([word, f"{word}-{self.r.choice(['box', 'wrap', 'inner', 'area', 'list'])}", f"site-{word}", f"{word}{self.r.randint(1, 9)}"])
         return f' {self.r.choice(["class", "class", "id"])}="{word}"'
 
@@ -515,6 +519,13 @@ class _Maker:
     def related(self) -> str:
         return self.block(["div", "aside", "section"], "talk", f"<h3>{self.word()}</h3><ul>{self.links(self.r.randint(2, 7))}</ul>" if self.maybe(0.7) else " ".join(f'<a href="/{self.word()}">{self.word()}</a>' for _ in range(4)))
 
+    def inset(self, mark: str) -> str:
+        """A part of the main text that stands out, named by an everyday word or one for such parts."""
+        word = self.r.choice([*WORDS["everyday"].split(), *"pullquote callout inset lead abstract blockquote".split()])
+        tag = self.r.choice(["p", "p", "div", "section", "aside", "blockquote"])
+        inner = self.prose(3) if tag == "p" or self.maybe(0.3) else "".join(f"<p>{self.prose(4)}</p>" for _ in range(self.r.randint(1, 3)))
+        return f'<{tag} class="{word}"{mark}>{inner}</{tag}>'
+
     def main(self) -> str:
         mark, short = " data-main=1", self.maybe(0.4)
         parts = []
@@ -530,8 +541,10 @@ class _Maker:
                 parts.append(f"<blockquote{mark}>{self.r.choice(['', '<p>'])}{self.prose(3)}</blockquote>")
             elif kind < 0.95:
                 parts.append(f"<table{mark}><tr><th>{self.word()}</th><th>{self.word()}</th></tr><tr><td>{self.word()}</td><td>{self.sentence(1, 4)}</td></tr></table>")
-            elif kind < 0.97:
+            elif kind < 0.955:
                 parts.append(f"<div{mark}>{self.prose()}</div>")
+            elif kind < 0.98:
+                parts.append(self.inset(mark))
             else:
                 parts.append(f"<pre{mark}>{self.sentence()}\n{self.sentence()}</pre>")
         if self.maybe(0.4):

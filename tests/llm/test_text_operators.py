@@ -1,9 +1,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -131,6 +134,7 @@ def page(body):
 
 MENU = "<nav><ul>" + "".join(f'<li><a href="/{k}">item {k}</a></li>' for k in range(6)) + "</ul></nav>"
 STORY = "<p>The first paragraph says something about the matter, at length. It has two sentences.</p><p>The second one goes on &amp; on, with <b>bold</b> words<br>and a break.</p>"
+WARNED = "The part stands out from the rest, though it belongs to the text. It says what readers should know before they go on."
 SAID = "The first paragraph says something about the matter, at length. It has two sentences. The second one goes on & on, with bold words and a break."
 
 
@@ -161,6 +165,78 @@ def test_elements_without_an_end_tag():
     assert deep.text([True] * len(deep.tag)) == "text"
 
 
+def test_parts_of_an_article_with_everyday_names():
+    model = html_extract.trained()
+    parts = [f'<p class=warning>{WARNED}</p>', f'<section class=more><p>{WARNED}</p><p>{WARNED}</p><p>{WARNED}</p></section>', f'<aside class=pullquote>{WARNED}</aside>', f'<p data-id="ad" data-class=footer title="class=ad">{WARNED}</p>', f'<div class=popular><p>{WARNED}</p></div>']
+    for part in parts:
+        want = f"A title here {SAID} {' '.join([WARNED] * part.count(WARNED))} {SAID}"
+        source = page(MENU + f"<article><h1>A title here</h1>{STORY}{part}{STORY}</article><footer>&copy; me &middot; all rights</footer>")
+        assert html_extract.extract_many([source], model) == [want], part
+
+
+def test_articles_of_the_given_pages():
+    """Against the article elements, found here by the standard library's parser, without what is no main text in them."""
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.depth, self.skip = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.depth += 1
+            if self.skip or tag in ("script", "style", "form", "aside", "nav") or {"ad", "comments"} & set((dict(attrs).get("class") or "").split()):
+                self.skip += [tag] if tag not in html_extract.VOID else []
+            if tag in html_extract.BLOCK or tag == "br":
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.skip and self.skip[-1] == tag:
+                self.skip.pop()
+            elif tag == "article":
+                self.depth -= 1
+            if tag in html_extract.BLOCK:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.out.append(data)
+
+    sources = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    found = html_extract.extract_many(sources, html_extract.trained())
+    right = 0
+    for source, text in zip(sources, found, strict=True):
+        p = Article()
+        p.feed(source or "")
+        right += " ".join("".join(p.out).split()) == text
+    assert len(sources) > 200 and right == len(sources)
+
+
+def test_time_grows_with_the_page():
+    def seconds(make, n):
+        taken = []
+        for _ in range(2):
+            began = time.perf_counter()
+            p = html_extract.Page(make(n))
+            p.features()
+            p.text([True] * len(p.tag))
+            taken.append(time.perf_counter() - began)
+        return min(taken)
+
+    makes = [
+        lambda n: "<b>" * n + "<p>x</p>" * n,
+        lambda n: "<p><x-y>" + "<b>" * n + "<p>x</p>" * n,
+        lambda n: "<ul>" + "<b>" * n + "<li>x</li>" * n,
+        lambda n: "<b>" * n + "<a>x</a>" * n,
+        lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+        lambda n: "<head/>" * n,
+        lambda n: f"<article>{STORY}</article>" * (n // 20),
+    ]
+    for k, make in enumerate(makes):
+        small, large = seconds(make, 30_000), seconds(make, 60_000)
+        assert large < 2.5 * small + 0.3, (k, small, large)
+
+
 def test_made_up_pages_not_learned_from():
     model = html_extract.trained()
     right = 0
