@@ -1,9 +1,11 @@
-"""SimHash near-duplicates through an inverted index on composite keys of positional bytes.
+"""SimHash near-duplicates through an inverted index of positional bytes, with count filtering.
 
-A fingerprint has 64 bits.  Two that differ in at most two bits differ in at most two of their eight bytes, so of the
-eight positional bytes at least six are shared, and of the four byte pairs at least two.  The index has a posting for
-each fingerprint under each two of its byte pairs (six keys of four positional bytes).  Fingerprints that meet are
-verified by their differing bits; that they share six positional bytes follows from this and removes nothing of its own.
+A fingerprint has 64 bits, eight positional bytes.  Two that differ in at most two bits share at least six of the eight.
+Lists of single bytes would each hold a 256th of the corpus, so postings are made under four bytes at a time: the fourteen
+blocks of the Steiner system S(3, 4, 8), that is, the sets of four positions whose numbers are zero under exclusive or.  Of
+these blocks three lie within any six positions, one within five, at most one within four.  So the tally of the
+keys that a pair shares says how many positional bytes it shares: pairs with a tally of three, the guaranteed minimum, are
+retained (six bytes or more are shared), all others go, and those retained are verified by their differing bits.
 
 A posting list longer than `list_limit` isn't paired.  Its members are linked exactly and in linear space instead: each
 is posted under itself and under every fingerprint one bit away in the bytes outside the key.  Two members share such a
@@ -14,7 +16,9 @@ Equal fingerprints are made one before any of this, so copies of a document cost
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import components
-from ._common import prepare, utf8, written
+from ._common import dropped, prepare, utf8, written
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
@@ -60,23 +64,14 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(rows, "doc_id long, fp long")
 
 
-def _pair(fp: Column, k: int) -> Column:
-    """Byte pair k of a fingerprint."""
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))
-
-
-_KEYS = list(combinations(range(4), 2))
+_KEYS = [k for k in combinations(range(8), 4) if k[0] ^ k[1] ^ k[2] ^ k[3] == 0]
+#: How many keys two fingerprints share that share six bytes.
+LEAST_TALLY = 3
 
 
 def _key(fp: Column, c: int) -> Column:
-    i, j = _KEYS[c]
-    return F.lit(c << 32).bitwiseOR(F.shiftleft(_pair(fp, i), 16)).bitwiseOR(_pair(fp, j))
-
-
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """How many positional bytes two fingerprints share."""
-    differing = a.bitwiseXOR(b)
-    return sum((F.when(F.shiftrightunsigned(differing, 8 * k).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+    """The number of a block and the four bytes that a fingerprint has there."""
+    return reduce(lambda out, k: F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(0xFF))), _KEYS[c], F.lit(c).cast("long"))
 
 
 def links(distinct: DataFrame, list_limit: int = 32) -> DataFrame:
@@ -84,15 +79,17 @@ def links(distinct: DataFrame, list_limit: int = 32) -> DataFrame:
     posted = distinct.select("fp", F.explode(F.array(*[_key(F.col("fp"), c) for c in range(len(_KEYS))])).alias("key"))
     sizes = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     lists = written(posted.join(sizes, "key"), "lists")
+    dropped(sizes)
     short = lists.where(F.col("n") <= list_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    pairs = short.select("key", "fps", F.posexplode("fps").alias("k", "a")).select("key", "a", F.explode(F.slice("fps", F.col("k") + 2, F.size("fps"))).alias("b"))
-    # A pair is looked at under the first of the keys that it shares.
-    first = F.coalesce(*[F.when(_key(F.col("a"), c) == _key(F.col("b"), c), F.lit(c)) for c in range(len(_KEYS))])
-    near = pairs.where((first == F.shiftright("key", 32)) & (_shared_bytes(F.col("a"), F.col("b")) >= 6) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
-    # What a flip of one bit outside the key's byte pairs makes of a fingerprint.
-    flips = [F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << (16 * k + b)) - (1 << 64 if 16 * k + b == 63 else 0))) for k in range(4) if k not in pair for b in range(16)]) for pair in _KEYS]
-    chosen = F.element_at(F.array(*flips), F.shiftright("key", 32).cast("int") + 1)
-    places = lists.where(F.col("n") > list_limit).select("fp", F.shiftright("key", 32).alias("c"), F.explode(chosen).alias("place")).groupBy("c", "place").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    pairs = short.select("fps", F.posexplode("fps").alias("k", "a")).select("a", F.explode(F.slice("fps", F.col("k") + 2, F.size("fps"))).alias("b"))
+    # A pair with a shared list that is long may have a lesser tally here; that list links it.
+    retained = pairs.groupBy("a", "b").agg(F.count("*").alias("tally")).where(F.col("tally") >= LEAST_TALLY)
+    near = retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b")
+    # What a flip of one bit outside the key's bytes makes of a fingerprint.
+    flips = [F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << (8 * k + b)) - (1 << 64 if 8 * k + b == 63 else 0))) for k in range(8) if k not in key for b in range(8)]) for key in _KEYS]
+    number = F.shiftright("key", 32).cast("int")
+    chosen = reduce(lambda out, c: F.when(number == c, flips[c]).otherwise(out), range(1, len(_KEYS)), flips[0])
+    places = lists.where(F.col("n") > list_limit).select("fp", number.alias("c"), F.explode(chosen).alias("place")).groupBy("c", "place").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
     stars = places.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", F.lit(2), F.size("fps"))).alias("b"))
     return near.union(stars)
 
@@ -104,7 +101,9 @@ def _grouped(docs: DataFrame, shingle: int, seed: int, list_limit: int) -> tuple
     labels = written(components(links(distinct, list_limit)), "labels")
     labelled = written(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
     least = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
-    return marked, written(labelled.join(least, "label").select(F.col("fp").alias("of"), "label", "component_id"), "whole")
+    whole = written(labelled.join(least, "label").select(F.col("fp").alias("of"), "label", "component_id"), "whole")
+    dropped(distinct, labels, labelled, least)
+    return marked, whole
 
 
 def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: int = 32) -> DataFrame:
@@ -135,23 +134,29 @@ def deduplicate(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: i
 
     Of several rows of a component with that id, the one with the least text stays; rows that share an id but not a
     component are not each other's copies.  Of a component in which no row has an id, the row with the least text stays.
+    Ties of texts go by the other columns, of any type; null and empty texts are copies of each other; an empty table
+    gives no rows.  What goes is taken out by its ids: texts are only shuffled where those are too many for Spark's own
+    size check to broadcast.
     """
     marked, whole = _grouped(docs, shingle, seed, list_limit)
     ids = written(marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id")), "repeated")
-    alone = marked.join(whole, (marked.fp == whole["of"]) & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
+    gone = marked.join(whole, marked.fp == whole["of"]).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    named = ids.where("__id is not null")
+    out = written(gone.union(named), "gone")
+    kept = docs.where("doc_id is not null").join(out, F.col("doc_id") == F.col("__gone"), "left_anti")
     if ids.isEmpty():
-        return docs.join(alone, F.col("doc_id") == F.col("__kept"), "left_semi")
-    kept = docs.join(alone.join(ids, F.col("__kept") == F.col("__id"), "left_anti"), F.col("doc_id") == F.col("__kept"), "left_semi")
+        return kept
     # Rows that an id doesn't name are told apart by their fingerprints, made anew for these rows alone.
     unclear = docs.where("doc_id is null")
-    named = ids.where("__id is not null")
     if not named.isEmpty():
         unclear = unclear.unionByName(docs.join(named, F.col("doc_id") == F.col("__id"), "left_semi"))
-    rest = [c for c in docs.columns if c != "text"]
+    columns = [F.col(c) for c in docs.columns]
+    # Types that hold maps or variants have no order; those columns go by their JSON.
+    order = [F.to_json(F.struct(f.name)).alias(f.name) if re.search(r"\b(map<|variant)", f.dataType.simpleString()) else F.col(f.name) for f in docs.schema if f.name != "text"]
     least = (
         _with_fingerprint(unclear, shingle, seed)
         .join(whole, (F.col("__fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("label")
-        .agg(F.min(F.struct("text", *rest)).alias("row"))
+        .agg(F.min_by(F.struct(*columns), F.struct("text", *order)).alias("row"))
     )
     return kept.unionByName(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

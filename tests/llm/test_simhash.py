@@ -1,6 +1,8 @@
 import random
 
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from scriptorium.llm import simhash
 from scriptorium.operators.graph import components
@@ -108,3 +110,21 @@ def test_deduplicate_by_rows(spark):
     assert sorted(r.fp for r in simhash.deduplicate(docs.where("doc_id is not null")).collect()) == list("acdfg")
     assert sorted(r.fp for r in simhash.deduplicate(docs.where("doc_id is null")).collect()) == list("hikl")
     assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs.limit(0)).collect() == []
+
+
+def test_deduplicate_with_a_map_column(spark):
+    rows = [(1, "x y z", {"k": 1}), (1, "x y z", {"k": 0}), (2, "x y z", None), (None, "q", {"a": 2}), (None, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>")
+    got = simhash.deduplicate(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "x y z"), ("None", "q")]
+
+
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_tally_says_how_many_bytes_are_shared(a, flips):
+    b = a
+    for k in flips:
+        b ^= 1 << k
+    alike = {k for k in range(8) if a >> 8 * k & 255 == b >> 8 * k & 255}
+    tally = sum(set(key) <= alike for key in simhash._KEYS)
+    assert len(simhash._KEYS) == 14 and (tally >= simhash.LEAST_TALLY) == (len(alike) >= 6)
