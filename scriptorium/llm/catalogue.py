@@ -12,44 +12,54 @@ from ._common import shared_folder, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words hit by windows of the benchmark, of every document; nulls, repeats and empty tables as in ``decontaminate.report``."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; nulls, repeats and empty tables as in ``html_extract.report``."""
     return html_extract.report(table(spark, sf_dir, "pages"))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, read back from shard files; nulls, repeats and empty tables as in ``token_store.write``."""
     folder = shared_folder(spark, "op3")
     manifest = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return token_store.read(spark, folder, manifest, digest=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, repeats and empty tables as in ``simhash.groups``."""
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from every document's stored samples; nulls, repeats and empty tables as in ``media.report``."""
     return media.report(table(spark, sf_dir, "documents"))
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences; nulls, repeats and empty tables as in ``packing.pack``."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language predicted for every document; nulls, repeats and empty tables as in ``langid.report``."""
     return langid.report(table(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; nulls, repeats and empty tables as in ``pii.report``."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document; nulls, repeats and empty tables as in ``sharding.assign``."""
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every page, read back from the archives; nulls, repeats and empty tables as in ``warc.write``."""
     folder = shared_folder(spark, "op10")
     manifest = warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

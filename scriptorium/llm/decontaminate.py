@@ -2,13 +2,13 @@
 
 Words of a document are streamed through the automaton, which at each word knows the longest stretch ending there that
 occurs in some item.  A stretch of `window` words, or a whole item that has fewer, is a hit.  Automata are built in
-blocks of bounded size and each is broadcast by itself, so a benchmark of any size can be held against the documents;
-these are read once and not shuffled.
+blocks of bounded size, one at a time on the driver, and broadcast; documents are not shuffled.  A worker holds
+`pass_blocks` automata at most: a benchmark of more blocks takes further passes over the documents, each written to the
+shared folder with what was found so far.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable
 from typing import Iterator
@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prepare
+from ._common import dropped, prepare, written
 
 #: Fixed value: a word in UTF-8, after A-Z were lower-cased.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, cleaned string"
+RESULT = "n_words long, n_hit long, items array<string>, hits array<struct<a: long, b: long>>, spans array<struct<start: long, end: long>>, cleaned string"
 
 
 class Automaton:
@@ -131,40 +131,42 @@ def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int = 10, block_words: int = 200_000) -> list:
+def automata(benchmark: DataFrame, window: int = 10, block_words: int = 200_000) -> Iterator:
     """Broadcast automata over benchmark (item_id, text), each of at most block_words words (or one longer item).
 
     Items come to the driver one partition at a time and a block at a time is held.  Null ids count as "" and null or
     wordless texts as no item.
     """
     sc = benchmark.sparkSession.sparkContext
-    out, held, weight = [], [], 0
+    held, weight = [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator():
         words = words_of(None if row.text is None else bytes(row.text))
         if held and weight + len(words) > block_words:
-            out.append(sc.broadcast(Automaton(held, window)))
+            yield sc.broadcast(Automaton(held, window))
             held, weight = [], 0
         if words:
             held.append((row.item_id, words))
             weight += len(words)
-    return [*out, *([sc.broadcast(Automaton(held, window))] if held else [])]
+    if held:
+        yield sc.broadcast(Automaton(held, window))
 
 
-def contamination(text: Column, blocks: list, longest: int = 1, coverage: float = 0.5, cleaned: bool = True) -> Column:
+def contamination(text: Column, blocks: list, longest: int = 1, coverage: float = 0.5, cleaned: bool = True, before: Column | None = None) -> Column:
     """Struct RESULT for a text column.
 
     n_words: its words.  n_hit: those inside an occurrence of a window.  items: ids with occurring windows, sorted as
-    strings.  spans: code-point spans of the removed stretches.  cleaned: the text without its hit stretches of at least
-    `longest` words, each replaced by a line end; null where more than `coverage` of the words are hit (the document is
-    to be dropped), and the text as it was where nothing is hit.  A null text has no words and stays null.
+    strings.  hits: stretches of hit words.  spans: code-point spans of the removed stretches.  cleaned: the text without its
+    hit stretches of at least `longest` words, each replaced by a line end; null where more than `coverage` of the words
+    are hit (the document is to be dropped), and the text as it was where nothing is hit.  A null text has no words and
+    stays null.  before: such a struct of the same text, found with other blocks, to be added.
     """
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in texts:
+    def run(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, earlier in parts:
             rows = []
-            for data in part:
+            for data, old_items, old_hits in zip(texts, earlier["items"], earlier["hits"], strict=True):
                 words = words_of(data)
-                hits, items = [], set()
+                hits, items = [(h["a"], h["b"]) for h in old_hits], set(old_items)
                 for block in blocks:
                     for a, b, names in block.value.matches(words):
                         hits.append((a, b))
@@ -183,31 +185,48 @@ def contamination(text: Column, blocks: list, longest: int = 1, coverage: float
                             kept.append(data[at:start])
                             at = end
                     clean = b"\n".join([*kept, data[at:]]).decode() if n_hit <= coverage * len(words) else None
-                rows.append((len(words), n_hit, sorted(items), spans, clean))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans", "cleaned"])
+                rows.append((len(words), n_hit, sorted(items), [{"a": a, "b": b} for a, b in hits], spans, clean))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hits", "spans", "cleaned"])
 
+    none = F.struct(F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<a: long, b: long>>").alias("hits"))
+    earlier = none if before is None else F.struct(before["items"].alias("items"), before["hits"].alias("hits"))
     # Not deterministic, so that a filter on the result does not make Spark call it twice.
-    return F.pandas_udf(run, RESULT).asNondeterministic()(text.cast("binary"))
+    return F.pandas_udf(run, RESULT).asNondeterministic()(text.cast("binary"), earlier)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, longest: int = 1, coverage: float = 0.5) -> DataFrame:
+def held_against(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int = 200_000, pass_blocks: int = 4, **settings) -> DataFrame:
+    """docs (text among its columns) with the struct of ``contamination`` as __found, in as many passes as blocks need."""
+    prepare(docs.sparkSession)
+    rows, before, group = docs, None, []
+    for block in automata(benchmark, window, block_words):
+        if len(group) == pass_blocks:
+            following = written(docs.select("*", contamination(F.col("text"), group, cleaned=False).alias("__found")) if before is None else rows.withColumn("__found", contamination(F.col("text"), group, cleaned=False, before=before)), "pass")
+            dropped(rows)
+            for b in group:
+                b.destroy()
+            rows, before, group = following, F.col("__found"), []
+        group.append(block)
+    return rows.withColumn("__found", contamination(F.col("text"), group, before=before, **settings))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, longest: int = 1, coverage: float = 0.5, **passes) -> DataFrame:
     """docs (any columns, text among them) without the stretches that occur in benchmark; n_chars, if there, follows.
 
-    A document of which more than `coverage` of the words are hit goes; all others stay, with all their columns.
+    A document of which more than `coverage` of the words are hit goes; all others stay, with all their columns, repeated
+    rows too.  Null and empty texts stay as they are; an empty benchmark changes nothing; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
-    found = contamination(F.col("text"), automata(benchmark, window), longest, coverage)
-    out = docs.select(F.struct("*").alias("row"), found.alias("found")).where("found.cleaned is not null or row.text is null")
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    out = held_against(rows, benchmark, window, longest=longest, coverage=coverage, **passes).withColumnRenamed("__found", "found").where("found.cleaned is not null or text is null")
     changed = {"text": F.col("found.cleaned"), "n_chars": F.when(F.col("found.n_hit") > 0, F.length("found.cleaned").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[(changed[c] if changed.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    prepare(docs.sparkSession)
-    found = contamination(F.col("text"), automata(benchmark, window), cleaned=False)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).select("doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, **passes) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-
-def digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    A null or wordless text has no words and no hits; repeated rows are kept; items with the same id count once; other
+    columns are ignored, whatever their names; an empty benchmark hits nothing and an empty table gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    found = held_against(rows, benchmark, window, cleaned=False, **passes)
+    return found.select("doc_id", "__found.n_words", "__found.n_hit", F.size("__found.items").cast("long").alias("n_items"), F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"), (F.col("__found.n_hit") > 0).alias("contaminated"))

@@ -158,7 +158,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang); learns from what isn't held out."""
+    """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang); learns from what isn't held out.
+
+    A null text, or one without a letter, is ``und`` with a score of 0, and so is everything where nothing is labelled.  Rows are
+    kept one for one, repeated ones too; other columns are ignored, whatever their names; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), model, docs.sparkSession.sparkContext).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")

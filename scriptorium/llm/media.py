@@ -66,11 +66,15 @@ def _netpbm(data: bytes) -> np.ndarray:
     width, height, top = (*fields, 1)[:3]
     depth = 3 if kind in b"36" else 1
     n = width * height * depth
+    if not n or not 0 < top < 65536:
+        raise ValueError("a Netpbm image without samples, or with a maximum out of range")
+    if n > 8 * len(data):
+        raise ValueError("a Netpbm image is cut off")
     if kind in b"123":
         if kind == b"1":
             found = np.frombuffer(re.sub(rb"[^01]", b"", re.sub(rb"#[^\n]*", b"", data[at:]))[:n], np.uint8) - 48
         else:
-            found = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], np.int64)
+            found = np.array([int(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]], object)
     elif kind == b"4":
         stride = (width + 7) // 8
         rows = np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride)
@@ -79,6 +83,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         found = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
     if found.size != n:
         raise ValueError("a Netpbm image is cut off")
+    if found.max() > (top if kind not in b"14" else 1):
+        raise ValueError("a Netpbm sample is above its maximum")
     if kind in b"14":
         found = (1 - found) * 255
     elif top != 255:
@@ -88,16 +94,27 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 def _bmp(data: bytes) -> np.ndarray:
     at, head, width, height, _, bits, packed = *struct.unpack_from("<II", data, 10), *struct.unpack_from("<iiHHI", data, 18)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or packed == 3 and bits != 32:
         raise ValueError("not a plain BMP")
+    if width <= 0 or not height or width * abs(height) > 8 * len(data):
+        raise ValueError("a BMP image is empty or cut off")
     stride = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), at).reshape(abs(height), stride)
     if height > 0:
         rows = rows[::-1]
+    if packed == 3:
+        masks = struct.unpack_from("<III", data, 54)
+        if not all(masks):
+            raise ValueError("a BMP mask is zero")
+        points = np.ascontiguousarray(rows[:, : 4 * width]).view("<u4").astype(np.int64)
+        scaled = [((points & m) // (m & -m) * 255 + m // (m & -m) // 2) // (m // (m & -m)) for m in masks]
+        return np.stack(scaled, 2).astype(np.uint8)
     if bits >= 24:
         return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
     index = rows if bits == 8 else (np.unpackbits(rows, axis=1) if bits == 1 else np.stack([rows >> 4, rows & 15], 2).reshape(abs(height), -1))
     colours = (at - 14 - head) // 4
+    if colours <= int(index[:, :width].max()):
+        raise ValueError("a BMP index is beyond the palette")
     palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[:, 2::-1]
     return palette[index[:, :width]]
 
@@ -162,7 +179,7 @@ def store(images: DataFrame, key: str = "doc_id", image: str = "image") -> DataF
                         raise ValueError("null")
                     out.append(tiles(decode(data)))
                     why.append(None)
-                except (ValueError, struct.error) as e:
+                except (ValueError, OverflowError, struct.error) as e:
                     out.append(None)
                     why.append(str(e) or "not readable")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary())), pa.array(why, pa.string())], ["key", "tiles", "error"])
@@ -193,7 +210,11 @@ def text_images(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """What the stored media of all texts hold: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature.  All but doc_id are computed from the tiles read back; equal texts have equal values."""
+    media_sha256, feature.  All but doc_id are computed from the tiles read back; equal texts have equal values.
+
+    A null text counts as empty (one unit of fill); repeated rows are kept; other columns are ignored, whatever their names;
+    an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     stored = store(text_images(docs))
 

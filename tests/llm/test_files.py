@@ -25,7 +25,12 @@ def test_netpbm_and_bmp():
     rows = b"".join(colour[y, :, ::-1].tobytes() + b"\0" * 3 for y in (1, 0))
     bmp = b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(rows), 0, 54, 40, 3, 2, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
     assert (media.decode(bmp) == colour).all()
-    for bad in (b"", b"P5\n4", b"P5 4 4 255\nxx", b"GIF89a"):
+    head = lambda bits, packed, at, w, h: b"BM" + struct.pack("<IIIIiiHHIIiiII", 0, 0, at, 40, w, h, 1, bits, packed, 0, 0, 0, 0, 0)
+    masked = head(32, 3, 66, 2, -1) + struct.pack("<III", 0xFF, 0xF00, 0x3000000) + struct.pack("<II", 0x1000A12, 0x3000FFF)
+    assert media.decode(masked).tolist() == [[[0x12, 0xAA, 85], [255, 255, 255]]]
+    beyond = head(8, 0, 62, 4, 1) + bytes(8) + bytes([0, 1, 2, 9])
+    huge = [b"P5 99999999999 99999999999 255\nx", b"P2 1 1 255\n99999999999999999999999", b"P2 1 1 255\n300", b"P2 1 1 0\n0", b"P5 0 4 255\n", b"P2 1 1 255\nx"]
+    for bad in (b"", b"P5\n4", b"P5 4 4 255\nxx", b"GIF89a", beyond, *huge, head(8, 0, 62, -4, 1) + bytes(12), head(24, 3, 54, 1, 1) + bytes(4), head(24, 0, 54, 2**31 - 1, 2**31 - 1)):
         with pytest.raises((ValueError, struct.error)):
             media.decode(bad)
 

@@ -63,11 +63,16 @@ def test_decontamination(spark):
         assert brute(x.text, items)[1] == 0 and (x.text is None or x.n_chars == len(x.text))
     assert cleaned[3].text == "clean text" and cleaned[1].text.startswith("intro words \n! outro words")
     assert decontaminate.report(table.limit(0), benchmark).collect() == []
-    blocks = decontaminate.automata(benchmark, block_words=20)
+    blocks = list(decontaminate.automata(benchmark, block_words=20))
     assert len(blocks) > 3
     split = table.select("doc_id", decontaminate.contamination(F.col("text"), blocks, cleaned=False).alias("f")).select("doc_id", "f.n_hit").collect()
     assert sorted((str(x.doc_id), x.n_hit) for x in split) == sorted((str(d), hit) for d, _, hit in want)
     assert {x.n_hit for x in decontaminate.report(table, benchmark.limit(0)).collect()} == {0}
+    passes = {"block_words": 20, "pass_blocks": 1}
+    assert sorted(map(str, decontaminate.report(table, benchmark, **passes).collect())) == sorted(map(str, decontaminate.report(table, benchmark).collect()))
+    assert sorted(map(str, decontaminate.decontaminate(table, benchmark, **passes).collect())) == sorted(map(str, cleaned.values()))
+    longer = {x.doc_id: x.text for x in decontaminate.decontaminate(table, benchmark, longest=12).collect()}
+    assert longer[6] == dict(docs)[6] and longer[1] == cleaned[1].text
 
 
 def language_rows():
@@ -117,6 +122,48 @@ def test_short_texts_of_no_known_language(spark):
     assert unsure and all(kept[d] is None for d in unsure)
 
 
+def test_learning_and_prediction_by_brute_force(spark):
+    rows = language_rows()[:60]
+    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "Une seule ligne, sans langue", None)], "doc_id long, text string, lang string")
+
+    def bundle(text):
+        padded = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        runs: dict = {}
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            runs[a, b, c] = runs.get((a, b, c), 0) + 1
+        v = np.zeros(langid.DIMENSION)
+        for (a, b, c), n in runs.items():
+            v += n * np.roll(langid.letter_vector(ord(a)), 2).astype(float) * np.roll(langid.letter_vector(ord(b)), 1) * langid.letter_vector(ord(c))
+        return v, sum(n * n for n in runs.values()) ** 0.5
+
+    sums: dict = {}
+    for d, text, lang in rows:
+        if zlib.crc32(str(d).encode()) % 3 != 1:
+            v, size = bundle(text)
+            sums[lang] = sums.get(lang, 0) + v / size
+    names = sorted(sums)
+    m = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    m -= m.mean(0)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for x in langid.report(docs).collect():
+        text = {d: t for d, t, *_ in [*rows, (900, None), (901, "Une seule ligne, sans langue")]}[x.doc_id]
+        if text is None:
+            assert (x.lang_pred, x.score) == ("und", 0)
+            continue
+        cosines = m @ bundle(text)[0] / np.linalg.norm(bundle(text)[0])
+        assert abs(x.score - (1 + cosines.max()) / 2) < 1e-4 and cosines[names.index(x.lang_pred)] > cosines.max() - 1e-4
+
+
+def test_very_long_texts(spark):
+    rows = language_rows()
+    long = {i: " ".join(t for _, t, lang in rows if lang == name) for i, name in enumerate(["en", "fr", "de"])}
+    docs = spark.createDataFrame([*rows, *((5000 + i, (t + " ") * (4_000_000 // len(t)), None) for i, t in long.items())], "doc_id long, text string, lang string")
+    found = {x.doc_id: x.lang_pred for x in langid.report(docs).where("doc_id >= 5000").collect()}
+    assert found == {5000: "en", 5001: "fr", 5002: "de"}
+    body = STORY * 8000
+    assert html_extract.extract_many([page(MENU + f"<article>{body}</article>")], html_extract.trained()) == [" ".join([SAID] * 8000)]
+
+
 def test_language_by_brute_force():
     text = "Ab b²c, é!"
     runs = [" ab", "ab ", "b b"[0:0] or " b ", " c ", " é "]
