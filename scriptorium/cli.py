@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import align, citations, dedupe, notes, parallels, passages, runlog, search
 from .sources import files
+from .storage import point, pointed
 
 
 def _session() -> SparkSession:
@@ -26,7 +27,7 @@ def _session() -> SparkSession:
 def _print(df: DataFrame, most: int | None = None) -> list:
     """Prints rows as a JSON list; `most` clips long texts."""
     if most is not None:
-        df = df.select(*[T.clipped(F.col(f"`{n}`"), most).alias(n) if k == "string" else F.col(f"`{n}`") for n, k in df.dtypes])
+        df = df.select(*[T.clipped_values(F.col(f"`{f.name}`"), f.dataType, most).alias(f.name) for f in df.schema])
     rows = [json.loads(x) for x in df.toJSON().collect()]
     print(json.dumps(rows, ensure_ascii=False, indent=1))
     return rows
@@ -40,36 +41,46 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _refresh(spark, a) -> int:
     where = files.Roots.from_text(a.roots, a.exclude)
+    live = [r for r in where.roots if files.exists_within(r)]
     pointer = f"{a.table}/current"
-    try:
-        old = spark.read.parquet(spark.read.text(pointer).first()[0])
-    except Exception:  # noqa: BLE001  no table yet
-        old = files.empty_documents(spark)
-    new, counts = files.refreshed(spark, old, where, a.retry_failed, a.limit)
-    # A new version is written beside the old one; the pointer moves last.
-    version = f"{a.table}/version-{uuid.uuid4().hex}"
-    new.write.mode("overwrite").parquet(version)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
-    search.write_index(search.build_index(new), f"{version}-index")
+    version = pointed(spark, pointer)
+    # A table of another schema version is rebuilt; no other error of reading it is passed over.
+    made = spark.read.json(f"{version}-about").first() if version else None
+    same = made is not None and made["schema_version"] == files.SCHEMA_VERSION
+    old = spark.read.parquet(version) if same else files.empty_documents(spark)
+    new, counts = files.refreshed(spark, old, where, a.retry_failed, a.limit, live_roots=live)
+    # A new version, its index and its clusters are written beside the old ones; the pointer moves last.
+    fresh = f"{a.table}/version-{uuid.uuid4().hex}"
+    new.write.mode("overwrite").parquet(fresh)
+    docs = spark.read.parquet(fresh)
+    if same:
+        stamp = ["doc_id", "size", "mtime", "content_hash", "extraction_status"]
+        unchanged = docs.select(*stamp).intersect(old.select(*stamp)).select("doc_id")
+        index = search.updated_index(search.read_index(spark, f"{version}-index"), unchanged, docs.join(unchanged, "doc_id", "left_anti"))
+    else:
+        index = search.build_index(docs)
+    search.write_index(index, f"{fresh}-index")
+    dedupe.clusters(docs, ["content_hash", "text_hash"], "path").write.mode("overwrite").parquet(f"{fresh}-clusters")
+    spark.createDataFrame([(files.SCHEMA_VERSION,)], "schema_version string").coalesce(1).write.mode("overwrite").json(f"{fresh}-about")
+    point(spark, pointer, fresh)
     _print(counts)
     return 0
 
 
 def _documents(spark, table: str) -> tuple[DataFrame, str]:
-    version = spark.read.text(f"{table}/current").first()[0]
+    version = pointed(spark, f"{table}/current")
+    if version is None:
+        raise SystemExit(f"there is no table at {table}")
     return spark.read.parquet(version), version
 
 
 def _search(spark, a) -> int:
     docs, version = _documents(spark, a.table)
-    index = search.read_index(spark, f"{version}-index")
-    members = dedupe.clusters(docs, ["content_hash", "text_hash"], "path")
+    index, members = search.read_index(spark, f"{version}-index"), spark.read.parquet(f"{version}-clusters")
 
     def run() -> list:
-        hits = search.top(index, a.query, a.limit) if a.include_duplicates else search.top_without_duplicates(index, a.query, members, a.limit)
-        shown = search.snippets(hits, docs, a.query)
-        meta = docs.select("doc_id", "filename", "source_root", "rel_path", "path", "extension", "extraction_status")
-        return _print(shown.join(meta, "doc_id").orderBy("score", "doc_id"), a.clip)
+        hits = search.assembled(index, docs.withColumn("source_path", F.col("path")), members, a.query, a.limit, a.include_duplicates, files.availability)
+        return _print(hits.orderBy("score", "document_id"), a.clip)
 
     try:
         return 0 if search.with_deadline(spark, a.timeout, run) else 1
@@ -78,6 +89,15 @@ def _search(spark, a) -> int:
         return 1
 
 
+def _health(spark, a) -> int:
+    """Roots and whether they are there, and what the table holds."""
+    where = files.Roots.from_text(a.roots)
+    docs, _ = _documents(spark, a.table)
+    held = docs.agg(F.count("*").alias("documents"), F.count_if(F.trim("text") != "").alias("with_text")).first()
+    print(json.dumps({"roots": {r: files.exists_within(r) for r in where.roots}, **held.asDict()}))
+    return 0
+
+
 def _duplicates(spark, a) -> int:
     docs, _ = _documents(spark, a.table)
     docs = docs.withColumn("source_path", F.col("path"))
@@ -90,7 +110,7 @@ def _duplicates(spark, a) -> int:
 def _canon(spark, a) -> int:
     segments = spark.read.parquet(a.segments)
     chosen = passages.chosen_books(segments, a.books or None)
-    found = passages.find_phrase(segments.join(F.broadcast(chosen), "book_code"), a.phrase, {"pali": ("pali_text",), "english": ("english_translation",), "any": ("pali_text", "english_translation")}[a.lang], a.limit, ("book_ord", "id"))
+    found = passages.find_phrase(segments.join(chosen, "book_code"), a.phrase, {"pali": ("pali_text",), "english": ("english_translation",), "any": ("pali_text", "english_translation")}[a.lang], a.limit, ("book_ord", "id"))
     return 0 if _print(found.select("book_code", F.col("owner").alias("paranum"), F.trim("pali_text").alias("pali"), F.trim("english_translation").alias("english")), a.clip) else 1
 
 
@@ -120,7 +140,11 @@ def _note(spark, a) -> int:
 
 
 def _grep(spark, a) -> int:
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{a.suffix}").text(a.path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    path = f"{a.path.rstrip('/')}/{a.folder}" if a.folder else a.path
+    if a.folder and files.exists_within(path) is False:
+        _print(spark.createDataFrame([], "path string"))
+        return 1
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{a.suffix}").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return 0 if _print(passages.lines_with(whole, a.needle, limit=a.limit)) else 1
 
 
@@ -161,6 +185,7 @@ def parser() -> argparse.ArgumentParser:
     clip = ("--clip", {"type": int, "default": None})
     add("refresh", _refresh, ("--roots", need), ("--exclude", {"default": ""}), ("--table", need), ("--limit", number(None)), ("--retry-failed", {"action": "store_true"}))
     add("search", _search, ("--table", need), ("--query", need), ("--limit", number(20)), ("--include-duplicates", {"action": "store_true"}), ("--timeout", {"type": float, "default": 20.0}), clip)
+    add("health", _health, ("--roots", need), ("--table", need))
     add("duplicates", _duplicates, ("--table", need), ("--samples", number(5)))
     add("search-canon", _canon, ("--segments", need), ("--phrase", need), ("--books", {"nargs": "*"}), ("--lang", {"choices": ["pali", "english", "any"], "default": "any"}), ("--limit", number(50)), clip)
     add("resolve-citation", _label, ("--segments", need), ("--dictionary", need), ("--book", need), ("--paranum", need))
@@ -168,7 +193,7 @@ def parser() -> argparse.ArgumentParser:
     add("annotate-citations", _annotate, ("--dictionary", need), ("path", {}))
     add("check-shape", _shape, ("path", {}))
     add("validate-note", _note, ("path", {}), ("--tool-url", need))
-    add("grep", _grep, ("needle", {}), ("path", {}), ("--suffix", {"default": ".md"}), ("--limit", number(50)))
+    add("grep", _grep, ("needle", {}), ("path", {}), ("--folder", {"default": ""}), ("--suffix", {"default": ".md"}), ("--limit", number(50)))
     add("parallels", _parallels, ("--groups", need), ("uid", {}))
     add("align", _align, ("--segments", need), ("--phrase", need), ("--in", {"dest": "scope", "default": None}))
     add("resume", _resume, ("--log", need), ("--run-class", {"default": "sutta"}))

@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 SPACES = r"(?U)\s+"
 TAG = "<[^>]+>"
@@ -60,7 +61,7 @@ def terms(text: Column) -> Column:
 def match_form(text: Column) -> Column:
     """What phrases are matched in: no tags, dotted m and eng made one letter, white space collapsed, case folded.
 
-    The text is taken to be in composed form already; ``composed`` brings it there at ingestion.
+    The text is taken to be in composed form; ``composed`` brings it there.
     """
     out = F.translate(F.regexp_replace(text, TAG, ""), "ṁŋ", "ṃṃ")
     return F.replace(F.lower(collapsed(out)), F.lit("ß"), F.lit("ss"))
@@ -126,7 +127,7 @@ def hint_key(name: Column) -> Column:
 
 def clipped(text: Column, most: int = 200) -> Column:
     """The first `most` characters and how many are left out, of a longer text."""
-    more = F.concat(F.substring(text, 1, most), F.lit("… (+"), (F.length(text) - most).cast("string"), F.lit(" chars; full text in scratch)"))
+    more = F.concat(F.substring(text, 1, most), F.lit("… (+"), (F.length(text) - most).cast("string"), F.lit(" more characters)"))
     return F.when(F.length(text) <= most, text).otherwise(more)
 
 
@@ -136,12 +137,38 @@ def snippet_of_line(line: Column, most: int = 300) -> Column:
     return F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most - 3), F.lit("..."))).otherwise(plain)
 
 
+#: Characters that a text in composed form has none of, or that may join with the one before them.
+UNSTABLE = r"[\p{M}\u0340-\u0374\u037E\u0387\u1100-\u11FF\u1F71-\u1FFD\u2000\u2001\u2126\u212A\u212B\u2329\u232A\uF900-\uFAFF]"
+
+
 def composed(text: Column) -> Column:
-    """Text in Unicode composed form; Spark has no such function, so Python does it, once, at ingestion."""
+    """Text in Unicode composed form.
+
+    Spark has no such function; Python does it for the texts that hold a character which may change, and gets no others.
+    """
     import pandas as pd
 
     def run(part: pd.Series) -> pd.Series:
         return part.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
     run.__annotations__ = {"part": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(text)
+    return F.coalesce(F.pandas_udf(run, "string")(F.when(text.rlike(UNSTABLE), text)), text)
+
+
+def clipped_values(column: Column, kind, most: int = 200) -> Column:
+    """A value of a type with every string in it clipped, however deep it lies."""
+    if isinstance(kind, StringType):
+        return clipped(column, most)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: clipped_values(x, kind.elementType, most))
+    if isinstance(kind, MapType):
+        return F.transform_values(column, lambda _, v: clipped_values(v, kind.valueType, most))
+    if isinstance(kind, StructType):
+        return F.when(column.isNotNull(), F.struct(*[clipped_values(column[f.name], f.dataType, most).alias(f.name) for f in kind]))
+    return column
+
+
+def dated_slug(slug: Column, day: Column | None = None) -> Column:
+    """A slug with the date before it (today's if not given), unless it begins with one."""
+    today = F.date_format(F.current_date() if day is None else day, "yyyy-MM-dd")
+    return F.when(slug.rlike(r"^\d{4}-\d{2}-\d{2}-"), slug).otherwise(F.concat_ws("-", today, slug))

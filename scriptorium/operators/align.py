@@ -54,7 +54,7 @@ def joined_text(key: Column, text: Column) -> Column:
 def renderings(segments: DataFrame, found: DataFrame, uid: str, most: int = SEGMENTS) -> DataFrame:
     """label and text: the root's first `most` segments with the phrase, and each translator's of the same keys."""
     keys = found.where((F.col("uid") == uid) & (F.col("nth") <= most)).select("file_stem", "seg_key", "nth")
-    rows = segments.join(F.broadcast(keys), ["file_stem", "seg_key"])
+    rows = segments.join(keys, ["file_stem", "seg_key"])
     label = F.when(F.col("kind") == "root", "**Pāḷi**").otherwise(F.concat(F.initcap("author"), F.lit(" (Bilara)")))
     return rows.groupBy(label.alias("label")).agg(joined_text(F.col("nth"), F.col("text")).alias("text"))
 

@@ -84,12 +84,23 @@ def report(docs: DataFrame) -> DataFrame:
     return sizes.groupBy("grouping").agg(F.count("*").alias("cluster_count"), F.sum("n").alias("file_count"))
 
 
+def _best(sizes: DataFrame, each: int) -> DataFrame:
+    """grouping, rank, key of the `each` largest clusters of each grouping, ties by key; ranked in parts first, so that no task
+    gets all the clusters of a grouping."""
+    largest = lambda *by: W.Window.partitionBy(*by).orderBy(F.desc("n"), "key")
+    part = F.pmod(F.xxhash64("key"), F.lit(1024))
+    few = sizes.withColumn("part", part).withColumn("rank", F.row_number().over(largest("grouping", "part"))).where(F.col("rank") <= each).drop("part", "rank")
+    return few.withColumn("rank", F.row_number().over(largest("grouping"))).where(F.col("rank") <= each).select("grouping", "rank", "key")
+
+
 def samples(docs: DataFrame, each: int = 5) -> DataFrame:
-    """grouping, rank, key, paths: the largest clusters of each grouping, ties by key."""
+    """grouping, rank, key, paths: the largest clusters of each grouping, ties by key, with the paths of their members.
+
+    A sample lists all members of its cluster, so a row is as long as the largest cluster's list of paths.
+    """
     rows = _grouped(docs)
-    sizes = rows.groupBy("grouping", "key").agg(F.count("*").alias("n")).where("n > 1")
-    best = sizes.withColumn("rank", F.row_number().over(W.Window.partitionBy("grouping").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= each)
-    return rows.join(F.broadcast(best), ["grouping", "key"]).groupBy("grouping", F.col("rank").cast("long").alias("rank"), "key").agg(F.array_sort(F.collect_list("source_path")).alias("paths"))
+    best = _best(rows.groupBy("grouping", "key").agg(F.count("*").alias("n")).where("n > 1"), each)
+    return rows.join(best, ["grouping", "key"]).groupBy("grouping", F.col("rank").cast("long").alias("rank"), "key").agg(F.array_sort(F.collect_list("source_path")).alias("paths"))
 
 
 def candidates_without_text(docs: DataFrame) -> DataFrame:

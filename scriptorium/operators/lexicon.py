@@ -35,8 +35,8 @@ def books(asked: DataFrame, table: DataFrame) -> DataFrame:
 
 def metadata_prefix(books_: DataFrame, data: DataFrame, authors: DataFrame, author_links: DataFrame, tags: DataFrame, tag_links: DataFrame) -> DataFrame:
     """path and prefix of each stored format of a book: its number, authors and tags, empty parts left out."""
-    by_author = author_links.join(F.broadcast(authors), author_links.author == authors.id).groupBy("book").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("author_names"))
-    by_tag = tag_links.join(F.broadcast(tags), tag_links.tag == tags.id).groupBy("book").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("tag_names"))
+    by_author = author_links.join(authors, author_links.author == authors.id).groupBy("book").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("author_names"))
+    by_tag = tag_links.join(tags, tag_links.tag == tags.id).groupBy("book").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("tag_names"))
     all_ = data.join(books_, data.book == books_.id).join(by_author, "book", "left").join(by_tag, "book", "left")
     parts = F.array_compact(F.array(F.concat(F.lit("Calibre #"), F.col("book").cast("string")), F.concat(F.lit("Authors: "), F.nullif("author_names", F.lit(""))), F.concat(F.lit("Tags: "), F.nullif("tag_names", F.lit("")))))
     return all_.select(F.concat_ws("/", "path", F.concat("name", F.lit("."), F.lower("format"))).alias("path"), F.concat(F.lit("["), F.array_join(parts, " | "), F.lit("]")).alias("prefix"))

@@ -6,6 +6,7 @@ Segments have: book_code, id (rising in a book), rend, paranum ('' on a continua
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,15 +115,20 @@ def _value_type(one: DataFrame, value: list[str]) -> object:
 def within_range(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str, high: str, step: int = 64) -> DataFrame:
     """Pairs of points and ranges with equal keys (nulls equal) and low <= at <= high.
 
-    Ranges are dealt into blocks of `step` numbers and joined by equality on the block, so no pair outside a block is made.
+    A range is dealt into blocks of a size that suits its width (step, or that times a power of 16), so into 17 at most, and
+    joined by equality on block and size; no pair outside a block is made.  The sizes in use, 13 at most, are asked for at once.
     """
-    blocks = ranges.where(F.col(low) <= F.col(high)).withColumn("__block", F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))))
-    right = blocks.select(*[F.col(k).alias(f"__{k}") for k in keys], "__block", *[c for c in ranges.columns if c not in keys])
-    left = points.withColumn("__at_block", F.floor(F.col(at) / step))
-    on = F.col("__at_block") == F.col("__block")
+    sizes = F.array(*[F.lit(step * 16**k).cast("long") for k in range(13) if step * 16**k < 1 << 55])
+    width = F.element_at(F.filter(sizes, lambda x: x >= (F.col(high) - F.col(low)) / 16), 1)
+    sized = ranges.where(F.col(low) <= F.col(high)).withColumn("__size", F.coalesce(width, F.element_at(sizes, -1)))
+    blocks = sized.withColumn("__block", F.explode(F.sequence(F.floor(F.col(low) / F.col("__size")), F.floor(F.col(high) / F.col("__size")))))
+    right = blocks.select(*[F.col(k).alias(f"__{k}") for k in keys], "__block", "__size", *[c for c in ranges.columns if c not in keys])
+    used = sorted(r[0] for r in blocks.select("__size").distinct().collect())
+    left = points.withColumn("__at_size", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<bigint>"))).withColumn("__at_block", F.floor(F.col(at) / F.col("__at_size")))
+    on = (F.col("__at_block") == F.col("__block")) & (F.col("__at_size") == F.col("__size"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(right, on & F.col(at).between(F.col(low), F.col(high))).drop("__block", "__at_block", *[f"__{k}" for k in keys])
+    return left.join(right, on & F.col(at).between(F.col(low), F.col(high))).drop("__block", "__size", "__at_block", "__at_size", *[f"__{k}" for k in keys])
 
 
 def glob_pattern(spec: str) -> str:
@@ -163,12 +169,13 @@ def chosen_books(books: DataFrame, specs: list[str] | None, column: str = "book_
 def find_phrase(segments: DataFrame, phrase: str, columns: tuple[str, ...] = ("pali_text", "english_translation"), limit: int = 50, order: tuple[str, ...] = ("book_code", "id")) -> DataFrame:
     """The first `limit` rows, in order, in which a column holds the phrase in match form; a blank phrase finds nothing.
 
-    Owners are filled in before rows are chosen, since a continuation's owner may itself not match.
+    Owners are filled in before rows are chosen, since a continuation's owner may itself not match.  Phrase and texts are
+    brought to composed form, so it doesn't matter how either writes its accents.
     """
-    needle = T.match_form(F.lit(phrase))
+    needle = T.match_form(F.lit(unicodedata.normalize("NFC", phrase)))
     test = F.lit(False)
     for c in columns:
-        test = test | F.contains(T.match_form(F.coalesce(F.col(c), F.lit(""))), needle)
+        test = test | F.contains(T.match_form(T.composed(F.coalesce(F.col(c), F.lit("")))), needle)
     found = with_owner(segments).where(test & (needle != ""))
     return found.orderBy(*order).limit(limit)
 

@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import match as M
-from .dedupe import exact_clusters
+from ..storage import written
+from .dedupe import exact_clusters, weak_hints
 
 
 @dataclass
 class Index:
+    """postings: term, doc_id, positions; of a written index also bucket, a hash of the term, by which they are dealt."""
+
     postings: DataFrame
     stats: DataFrame
     totals: DataFrame
+    buckets: int = 0
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
@@ -41,8 +45,20 @@ def write_index(index: Index, folder: str, buckets: int = 64) -> None:
     index.totals.write.mode("overwrite").parquet(f"{folder}/totals")
 
 
-def read_index(spark, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), spark.read.parquet(f"{folder}/totals"))
+def read_index(spark, folder: str, buckets: int = 64) -> Index:
+    """A written index; a query of whole terms reads the buckets of those terms alone."""
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), spark.read.parquet(f"{folder}/totals"), buckets)
+
+
+def updated_index(old: Index, unchanged: DataFrame, fresh: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """The index of a table of which the documents unchanged (doc_id) are as they were, and fresh are new or other.
+
+    Only fresh documents are taken to terms; postings and lengths of the unchanged ones are kept, all others go.
+    """
+    ids, more = unchanged.select(F.col(key).alias("doc_id")), build_index(fresh, key, text)
+    postings = old.postings.select("term", "doc_id", "positions").join(ids, "doc_id", "left_semi").select("term", "doc_id", "positions").union(more.postings.select("term", "doc_id", "positions"))
+    stats = old.stats.join(ids, "doc_id", "left_semi").union(more.stats)
+    return Index(postings, stats, stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len")))
 
 
 def _needed(tree) -> tuple[set[str], set[str]]:
@@ -109,7 +125,10 @@ def _held(index: Index, tree) -> DataFrame:
     wanted = F.col("term").isin(*sorted(whole)) if whole else F.lit(False)
     for p in sorted(prefixes):
         wanted = wanted | F.col("term").startswith(p)
-    return index.postings.where(wanted).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("held"))
+    postings = index.postings
+    if index.buckets and not prefixes:
+        postings = postings.where(F.array_contains(F.array(*[F.pmod(F.hash(F.lit(t)), F.lit(index.buckets)) for t in sorted(whole)]), F.col("bucket")) if whole else F.lit(False))
+    return postings.where(wanted).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("held"))
 
 
 def matches(index: Index, query: str) -> DataFrame:
@@ -168,7 +187,7 @@ def snippets(hits: DataFrame, docs: DataFrame, query: str, width: int = 18) -> D
     """
     tree = M.parse_or_quote(query)
     whole, prefixes = _needed(tree) if tree is not None else (set(), set())
-    cut = docs.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi").select("doc_id", F.split(T.collapsed(F.col("text")), " ").alias("words"))
+    cut = docs.join(hits.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.split(T.collapsed(F.col("text")), " ").alias("words"))
 
     def hit(word: Column) -> Column:
         return F.exists(T.terms(word), lambda t: functools.reduce(lambda a, b: a | b, [t.isin(*sorted(whole)) if whole else F.lit(False), *[t.startswith(p) for p in sorted(prefixes)]]))
@@ -205,5 +224,41 @@ def with_deadline(spark, seconds: float, action):
 
 
 def library_hits(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Search, hiding of copies and hit assembly over docs in one call."""
+    """Search and hiding of copies over docs in one call, without a written index or clusters."""
     return top_without_duplicates(build_index(docs), query, exact_clusters(docs), limit)
+
+
+def assembled(index: Index, docs: DataFrame, clusters: DataFrame, query: str, limit: int = 20, include_duplicates: bool = False, available=None) -> DataFrame:
+    """A row for each hit: document_id, title, source_root, relative_path, source_path, extension, snippet, extraction_status,
+    duplicate_count, duplicate_paths, possible_duplicate_of (source_path and signals), source_available, score.
+
+    docs: doc_id, filename, source_root, rel_path, source_path, extension, extraction_status, text.  clusters: doc_id,
+    representative, members.  include_duplicates: copies are shown as well, and only `limit` candidates are looked at.
+    available: a function of rows (source_root, source_path) that says which sources are there (null for unknown); of all
+    hits it is null where none is given.  duplicate_paths are the relative paths of a cluster's members by source path.
+    Hits are `limit` at most, so names and copies are looked up for those alone.
+    """
+    if include_duplicates:
+        found = top(index, query, limit).join(clusters, "doc_id", "left").select("doc_id", "score", F.coalesce("members", F.lit(1)).cast("long").alias("duplicate_count"))
+    else:
+        found = top_without_duplicates(index, query, clusters, limit)
+    hits = written(found, "hits")
+    meta = docs.select("doc_id", "filename", "source_root", "rel_path", "source_path", "extension", "extraction_status")
+    heads = hits.join(clusters, "doc_id").select("doc_id", "representative")
+    members = clusters.join(heads.select("representative").distinct(), "representative", "left_semi").select("representative", F.col("doc_id").alias("member"))
+    paths = members.join(meta, F.col("member") == F.col("doc_id")).groupBy("representative").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_path", "rel_path"))), lambda x: x["rel_path"]).alias("duplicate_paths"))
+    copies = heads.join(paths, "representative").select("doc_id", "duplicate_paths")
+    # Hints of the hits alone: documents whose names have the key of a hit's name.
+    keyed = meta.select("doc_id", "source_path", "filename").withColumn("name", T.hint_key(F.col("filename"))).where("name <> ''")
+    near = keyed.join(keyed.join(hits, "doc_id", "left_semi").select("name").distinct(), "name", "left_semi").drop("name")
+    hints = weak_hints(near, clusters).select("doc_id", F.transform("hints", lambda p: F.struct(p.alias("source_path"), F.array(F.lit("normalized_filename")).alias("signals"))).alias("possible_duplicate_of"))
+    rows = snippets(hits, docs, query).join(meta, "doc_id").join(copies, "doc_id", "left").join(hints, "doc_id", "left")
+    none = F.array().cast("array<struct<source_path: string, signals: array<string>>>")
+    shown = rows.select(F.col("doc_id").alias("document_id"), F.col("filename").alias("title"), "source_root", F.col("rel_path").alias("relative_path"), "source_path", "extension", "snippet", "extraction_status", "duplicate_count", F.coalesce("duplicate_paths", F.array().cast("array<string>")).alias("duplicate_paths"), F.coalesce("possible_duplicate_of", none).alias("possible_duplicate_of"), "score")
+    shown = written(shown, "shown")
+    if available is None:
+        return shown.withColumn("source_available", F.lit(None).cast("boolean"))
+    # At most `limit` rows.
+    asked = [(r.source_root, r.source_path) for r in shown.select("source_root", "source_path").collect()]
+    states = shown.sparkSession.createDataFrame(list(zip([p for _, p in asked], available(asked), strict=True)), "source_path string, source_available boolean")
+    return shown.join(states.distinct(), "source_path", "left").select(*[c for c in shown.columns if c != "score"], "source_available", "score")

@@ -6,6 +6,7 @@ the query and in its SQL.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,7 +187,7 @@ def fold_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.folded(F.col("text"))).alias("folded_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '… (+' || (length(text) - 200) || ' chars; full text in scratch)' END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '… (+' || (length(text) - 200) || ' more characters)' END AS text FROM documents")
 def compact_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clipped(F.col("text")).alias("text"))
 
@@ -327,7 +328,7 @@ def heading_chain(spark, sf_dir):
 
 @query(f"WITH {SEG_SQL}, o AS (SELECT *, coalesce(nullif(paranum, ''), last_value(nullif(paranum, '') IGNORE NULLS) OVER (PARTITION BY book_code ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS owner FROM seg) SELECT book_code, id, owner FROM o WHERE contains({NORMAL.format('pali_text')}, 'evaṃ me sutaṃ') OR contains({NORMAL.format('english_translation')}, 'evaṃ me sutaṃ') OR contains({NORMAL.format('pali_text')}, 'samayaṃ') AND false")
 def canon_phrase(spark, sf_dir):
-    return passages.find_phrase(inline(spark, SEG, SEGMENTS), "evaṁ me  sutaṁ").select("book_code", "id", "owner")
+    return passages.find_phrase(inline(spark, SEG, SEGMENTS), unicodedata.normalize("NFD", "evaṁ me  sutaṁ")).select("book_code", "id", "owner")
 
 
 @query(f"WITH {SEG_SQL} SELECT book_code, CAST(row_number() OVER (PARTITION BY book_code ORDER BY id) AS BIGINT) AS ord, near AS heading FROM (SELECT *, last_value(CASE WHEN rend IN ('chapter', 'title', 'subhead') THEN pali_text END IGNORE NULLS) OVER (PARTITION BY book_code ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM seg) WHERE TRY_CAST(regexp_extract(paranum, '^\\d+') AS BIGINT) = 1")
@@ -430,7 +431,7 @@ ASKED = "('s0202m_mul', '97'), ('s0202m_mul', '92'), ('s0202m_mul', '93-94'), ('
     "SELECT * FROM "
     + values(
         "book_code string, paranum string, human string, paranum_exists boolean",
-        "('s0202m_mul', '97', 'MN 02 §97 — NO SUCH PARANUM: s0202m_mul has no row for paranum 97; do not cite this reference. Search the book for the passage you mean, or check the book code with lookup-book.', false), ('s0202m_mul', '92', 'MN60 Apaṇṇakasuttaṃ para 92', true), ('s0202m_mul', '93-94', 'MN60 Apaṇṇakasuttaṃ para 93–94', true), ('s0202a_att', '92', 'MNa60 para 92', NULL), ('s0501m_mul', '1', 'KN 01 §1 — Khuddakapāṭho; paranum repeats per section, near: Saraṇattayaṃ / Dasasikkhāpadaṃ', true), ('s0501m_mul', '2', 'KN 01 §2 — Khuddakapāṭho, Dasasikkhāpadaṃ', true), ('e0101n_nrf', '176', 'Extra 0101 §176 (non-canonical) — Visuddhimaggo, 8. Anussati, Maraṇassati', true), ('vin01m_mul', '5', 'Vinaya 01 §5', NULL), ('dn1', '3', NULL, NULL)",
+        "('s0202m_mul', '97', 'MN 02 §97 — not citable: paragraph 97 does not occur in s0202m_mul', false), ('s0202m_mul', '92', 'MN60 Apaṇṇakasuttaṃ para 92', true), ('s0202m_mul', '93-94', 'MN60 Apaṇṇakasuttaṃ para 93–94', true), ('s0202a_att', '92', 'MNa60 para 92', NULL), ('s0501m_mul', '1', 'KN 01 §1 — Khuddakapāṭho; paranum repeats per section, near: Saraṇattayaṃ / Dasasikkhāpadaṃ', true), ('s0501m_mul', '2', 'KN 01 §2 — Khuddakapāṭho, Dasasikkhāpadaṃ', true), ('e0101n_nrf', '176', 'Extra 0101 §176 (non-canonical) — Visuddhimaggo, 8. Anussati, Maraṇassati', true), ('vin01m_mul', '5', 'Vinaya 01 §5', NULL), ('dn1', '3', NULL, NULL)",
     )
 )
 def resolve_label(spark, sf_dir):

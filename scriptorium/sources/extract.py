@@ -102,26 +102,49 @@ def _archive(data: bytes, deadline: float) -> str:
     return "\n".join(out)
 
 
-def _bz2(name: str, data: bytes, deadline: float) -> str:
-    unpack, parts, total = bz2.BZ2Decompressor(), [], 0
-    left = data
-    while left and not unpack.eof:
-        part = unpack.decompress(left, 1 << 20)
-        left = b"" if unpack.needs_input else unpack.unused_data
-        while part:
+def _unpacked(data: bytes, deadline: float) -> bytes:
+    """The content of all streams of bz2 data, one after the other; what follows them and is no stream is left out."""
+    parts, total = [], 0
+    while data:
+        unpack = bz2.BZ2Decompressor()
+        try:
+            part = unpack.decompress(data, 1 << 20)
+        except OSError:
+            if parts:
+                break
+            raise
+        while True:
             total += len(part)
             if total > MOST_BYTES:
                 raise RuntimeError("archive too large")
+            if time.monotonic() > deadline:
+                raise RuntimeError("timed out")
             parts.append(part)
-            part = unpack.decompress(b"", 1 << 20) if not unpack.eof and not unpack.needs_input else b""
-    plain_data = b"".join(parts)
+            if unpack.eof:
+                break
+            if unpack.needs_input:
+                raise RuntimeError("compressed data are cut off")
+            part = unpack.decompress(b"", 1 << 20)
+        data = unpack.unused_data
+    return b"".join(parts)
+
+
+def _bz2(name: str, data: bytes, deadline: float) -> str:
+    plain_data = _unpacked(data, deadline)
     try:
         with tarfile.open(fileobj=io.BytesIO(plain_data)) as t:
             found = [m for m in t.getmembers() if m.isfile()]
             if len(found) > MOST_MEMBERS:
                 raise RuntimeError("archive too large")
-            texts = [extract(m.name, t.extractfile(m).read(), deadline) for m in found if os.path.splitext(m.name)[1].lower() not in NOISE | ARCHIVES]
-            return "\n".join(x for x, status in texts if status == "ok")
+            texts = []
+            for m in found:
+                if time.monotonic() > deadline:
+                    raise RuntimeError("timed out")
+                if os.path.splitext(m.name)[1].lower() not in NOISE | ARCHIVES:
+                    text, status = extract(m.name, t.extractfile(m).read(), deadline)
+                    if status == "ok":
+                        texts.append(text)
+            return "\n".join(texts)
     except tarfile.ReadError:
         text, status = extract(os.path.splitext(name)[0], plain_data, deadline)
         if status not in ("ok", "empty"):

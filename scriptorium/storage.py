@@ -51,3 +51,28 @@ def dropped(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def pointed(spark: SparkSession, pointer: str) -> str | None:
+    """What a pointer file names; None only if there is no such file."""
+    where = _path(spark, pointer)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return None
+    return spark.read.option("wholetext", True).text(pointer).first()[0].strip()
+
+
+def point(spark: SparkSession, pointer: str, value: str) -> None:
+    """Makes a pointer file name something, by one rename, so that a reader sees the old name or the new one."""
+    jvm, fresh = spark._jvm, _path(spark, f"{pointer}-{uuid.uuid4().hex}")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    out = fresh.getFileSystem(conf).create(fresh)
+    out.write(value.encode())
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.getFileSystem(conf).makeQualified(fresh).toUri(), conf)
+    context.rename(fresh, _path(spark, pointer), options)

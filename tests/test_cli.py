@@ -21,13 +21,26 @@ def test_commands(spark, tmp_path, capsys):
     table = str(tmp_path / "t")
     assert run("refresh", "--roots", str(lib), "--table", table)[1][0][0]["new"] == 3
     code, (hits,) = run("search", "--table", table, "--query", "alpha")
-    assert code == 0 and [(h["filename"], h["snippet"], h["duplicate_count"]) for h in hits] == [("a.txt", "[alpha] beta", 2)]
+    assert code == 0 and [(h["title"], h["snippet"], h["duplicate_count"], h["duplicate_paths"], h["source_available"]) for h in hits] == [("a.txt", "[alpha] beta", 2, ["a.txt", "b.txt"], True)]
     assert run("search", "--table", table, "--query", "nothing") == (1, [[]])
     assert run("search", "--table", table, "--query", "alpha", "--timeout", "0.0001")[0] in (0, 1)
     (lib / "d.txt").write_text("delta")
     again = run("refresh", "--roots", str(lib), "--table", table)[1][0][0]
     assert (again["new"], again["skipped"]) == (1, 3)
-    assert run("search", "--table", table, "--query", "delta")[0] == 0
+    assert run("search", "--table", table, "--query", "delta")[0] == 0 and run("search", "--table", table, "--query", "gamma")[0] == 0
+    (lib / "c.md").write_text("epsilon now")
+    (lib / "d.txt").unlink()
+    last = run("refresh", "--roots", f"{lib}|{tmp_path}/gone", "--table", table)[1][0][0]
+    assert (last["changed"], last["deleted"], last["skipped"]) == (1, 1, 2)
+    assert [run("search", "--table", table, "--query", q)[0] for q in ("delta", "gamma", "epsilon", "beta")] == [1, 1, 0, 0]
+    # A root that is away keeps its rows, and its hits are known to be away.
+    lib.rename(tmp_path / "away")
+    assert run("refresh", "--roots", str(lib), "--table", table)[1][0][0]["kept"] == 3
+    assert [h["source_available"] for h in run("search", "--table", table, "--query", "epsilon")[1][0]] == [False]
+    (tmp_path / "away").rename(lib)
+    (lib / "d.txt").write_text("delta")
+    assert run("health", "--roots", f"{lib}|{tmp_path}/gone", "--table", table)[1][0] == {"roots": {str(lib): True, f"{tmp_path}/gone": False}, "documents": 3, "with_text": 3}
+    assert run("grep", "alpha", str(tmp_path), "--suffix", ".txt", "--folder", "lib")[0] == 0 and run("grep", "alpha", str(tmp_path), "--suffix", ".txt", "--folder", "none")[0] == 1
     assert {r["grouping"] for r in run("duplicates", "--table", table)[1][0]} >= {"text_hash"}
     note = tmp_path / "n.md"
     note.write_text("see MN118.150\n")

@@ -180,6 +180,9 @@ def test_extraction(monkeypatch):
     inner = zipped([("n.txt", "nested")])
     assert E.extract("a.zip", zipped([("b.txt", "b"), ("a.txt", "a"), ("i.zip", inner), ("p.png", "x"), ("noext", "y")])) == ("b\na", "ok")
     assert E.extract("t.txt.bz2", bz2.compress(b"plain")) == ("plain", "ok")
+    many = bz2.compress(b"first stream ") + bz2.compress(b"") + bz2.compress(b"x" * 3_000_000) + bz2.compress(b" last")
+    assert E.extract("t.txt.bz2", many) == ("first stream " + "x" * 3_000_000 + " last", "ok") and E.extract("t.txt.bz2", many + b"no stream") == E.extract("t.txt.bz2", many)
+    assert E.extract("t.txt.bz2", many[:-4])[1] == "error: compressed data are cut off" and E.extract("t.txt.bz2", b"junk")[1].startswith("error")
     tar = io.BytesIO()
     with tarfile.open(fileobj=tar, mode="w") as t:
         info = tarfile.TarInfo("in.txt")
@@ -214,6 +217,59 @@ def test_refresh(spark, tmp_path):
     assert counts.first()["deleted"] == 0
 
 
+def test_availability():
+    asked = []
+    states = {"/a": True, "/b": False, "/c": None, "/a/1": True, "/a/2": None}
+
+    def probe(path, seconds):
+        asked.append(path)
+        return states[path]
+
+    assert files.availability([("/a", "/a/1"), ("/b", "/b/1"), ("/c", "/c/1"), ("/a", "/a/2"), ("/a", "/a/1")], probe=probe) == [True, False, None, None, None]
+    assert asked == ["/a", "/b", "/c", "/a/1", "/a/2"]
+
+
+def test_numbers_in_path_order(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"f{k:02d}.txt").write_text(f"text {k}")
+    new, _ = files.refreshed(spark, files.empty_documents(spark), files.Roots.from_text(str(tmp_path)))
+    rows = sorted((r.path, r.doc_id) for r in new.collect())
+    assert [d for _, d in rows] == list(range(1, 31))
+
+
+def test_phrases_in_any_form(spark):
+    rows = [("b", 1, "1", unicodedata.normalize(form, "Evaṃ <b>me</b> sutaṁ Ångström")) for form in ("NFC", "NFD")]
+    df = spark.createDataFrame(rows + [("b", 9, "", None)], "book_code string, id long, paranum string, pali_text string")
+    for needle in ("evaṁ me sutaṁ ångström", unicodedata.normalize("NFD", "Evaṁ me sutaṃ ångström")):
+        assert passages.find_phrase(df, needle, ("pali_text",)).count() == 2
+    assert passages.find_phrase(df, "sutam", ("pali_text",)).count() == 0
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([("x" * 12, ["y" * 11, "z"], {"k": ("w" * 20, 1)})], "a string, b array<string>, c map<string, struct<d: string, e: int>>")
+    got = df.select(*[T.clipped_values(F.col(f.name), f.dataType, 10).alias(f.name) for f in df.schema]).first()
+    assert got.a == "x" * 10 + "… (+2 more characters)" and got.b == ["y" * 10 + "… (+1 more characters)", "z"] and got.c["k"].e == 1 and got.c["k"].d.startswith("w" * 10 + "…")
+    day = F.to_date(F.lit("2024-05-06"))
+    assert spark.range(1).select(T.dated_slug(F.lit("a-b"), day), T.dated_slug(F.lit("2023-01-02-x"), day)).first()[:] == ("2024-05-06-a-b", "2023-01-02-x")
+    cached = spark.createDataFrame([("v", True, "en", 1), ("v", False, "pi", 2), ("v", False, "en", 3), ("w", True, "en", 4)], "video_id string, is_auto boolean, lang string, n int")
+    assert sorted(r.n for r in files.best_transcripts(cached).collect()) == [3, 4]
+    videos = spark.createDataFrame([("v1|||T|||Good|||U1|||1"), ("v2|||T|||Bad|||U2|||NA")], "string").withColumnRenamed("value", "text")
+    allow = spark.createDataFrame([("excluded", "Bad", ""), ("trusted", "Good", "")], "tier string, name string, channel_id string")
+    assert [(r.video_id, r.tier) for r in files.not_excluded(files.video_hits(videos), allow).collect()] == [("v1", "trusted")]
+
+
+def test_index_update(spark, tmp_path):
+    first = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "delta")], "doc_id long, text string")
+    search.write_index(search.build_index(first), str(tmp_path / "i"))
+    then = spark.createDataFrame([(1, "alpha beta"), (2, "beta new"), (4, "alpha fresh words")], "doc_id long, text string")
+    held = search.read_index(spark, str(tmp_path / "i"))
+    updated = search.updated_index(held, then.where("doc_id = 1").select("doc_id"), then.where("doc_id <> 1"))
+    whole = search.build_index(then)
+    for query in ("alpha", "beta OR fresh", "gamma", "delta", "al*"):
+        assert sorted(map(tuple, search.scored(updated, query).collect())) == sorted(map(tuple, search.scored(whole, query).collect())), query
+    assert "PartitionFilters: [isnotnull(bucket" in search.matches(held, "alpha").select("doc_id")._jdf.queryExecution().toString() or "bucket" in search.matches(held, "alpha")._jdf.queryExecution().toString()
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "root" / "pli" / "ms"
     folder.mkdir(parents=True)
