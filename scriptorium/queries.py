@@ -7,6 +7,7 @@ the query and in its SQL.
 from __future__ import annotations
 
 import unicodedata
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 from .functions import text as T
 from .operators import align, citations, dedupe, lexicon, notes, parallels, passages, runlog, search
 from .sources import files
-from .storage import table
+from .storage import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,8 +57,34 @@ HAS = f"has AS (SELECT doc_id, {TERMS} AS w FROM documents)"
 # ---- full-text search
 
 
+_libraries: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
+    """A written index of documents and the clusters of their copies."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "index")
+    search.write_index(search.build_index(docs), folder)
+    dedupe.exact_clusters(docs).write.mode("overwrite").parquet(f"{folder}/clusters")
+    return search.read_index(spark, folder), spark.read.parquet(f"{folder}/clusters")
+
+
+def _library_of(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
+    """The same, made once for each version of the table, as a refresh makes it, and read by all searches."""
+    held = _libraries.setdefault(spark.sparkContext, {})
+    version = (sf_dir, *sorted(table(spark, sf_dir, "documents").inputFiles()))
+    if version not in held:
+        held[version] = _indexed(spark, sf_dir)
+    return held[version]
+
+
 def _matches(spark: SparkSession, sf_dir: str, q: str) -> DataFrame:
-    return search.matches(search.build_index(table(spark, sf_dir, "documents")), q)
+    return search.matches(_library_of(spark, sf_dir)[0], q)
+
+
+@query(f"WITH {HAS} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(len(w)), 6) AS mean_len FROM has WHERE len(w) > 0")
+def fts_index_build(spark, sf_dir):
+    """Makes the index and the clusters anew; what it costs is in no other query."""
+    return _indexed(spark, sf_dir)[0].totals.select("n", F.round("mean_len", 6).alias("mean_len"))
 
 
 @query(f"WITH {HAS} SELECT doc_id FROM has WHERE list_contains(w, 'the') AND list_contains(w, 'thing')")
@@ -125,7 +152,7 @@ HASHED = "hashed AS (SELECT doc_id, sha256(text) AS content_hash, CASE WHEN trim
 
 @query(BM25 + "SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM score ORDER BY score, doc_id LIMIT 20)")
 def fts_bm25_topk(spark, sf_dir):
-    found = search.top(search.build_index(table(spark, sf_dir, "documents")), "thing OR ing", 20)
+    found = search.top(_library_of(spark, sf_dir)[0], "thing OR ing", 20)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -137,7 +164,8 @@ cand AS (SELECT * FROM score ORDER BY score, doc_id LIMIT 200)
 SELECT doc_id, round(score, 6) AS score, CAST(members AS BIGINT) AS duplicate_count FROM cand JOIN rep USING (doc_id) WHERE representative = doc_id ORDER BY score, doc_id LIMIT 20"""
 )
 def fts_dedup_topk(spark, sf_dir):
-    found = search.library_hits(table(spark, sf_dir, "documents"), "thing OR ing", 20)
+    index, clusters = _library_of(spark, sf_dir)
+    found = search.top_without_duplicates(index, "thing OR ing", clusters, 20)
     return found.select("doc_id", F.round("score", 6).alias("score"), "duplicate_count")
 
 
@@ -147,20 +175,41 @@ def fts_dedup_topk(spark, sf_dir):
     " SELECT doc_id, round(-greatest(ln((tot.n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len.n / mean)), 6) AS score FROM tf JOIN len USING (doc_id), tot, df"
 )
 def fts_phrase_score(spark, sf_dir):
-    found = search.scored(search.build_index(table(spark, sf_dir, "documents")), '"of the"')
+    found = search.scored(_library_of(spark, sf_dir)[0], '"of the"')
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    BM25
+    + f""", {HASHED},
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text_hash) AS representative, text_hash FROM hashed),
+cand AS (SELECT * FROM score ORDER BY score, doc_id LIMIT 200),
+hits AS (SELECT doc_id, score, text_hash FROM cand JOIN rep USING (doc_id) WHERE representative = doc_id ORDER BY score, doc_id LIMIT 20),
+names AS (SELECT doc_id, 'report ' || (doc_id % 499) AS name, '/lib/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source_path, lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS rel_path FROM documents),
+copies AS (SELECT h.doc_id, CASE WHEN count(*) > 1 THEN string_agg(rel_path, ' ' ORDER BY source_path) ELSE '' END AS duplicate_paths, count(*) AS n FROM hits h JOIN rep r ON h.text_hash = r.text_hash JOIN names m ON r.doc_id = m.doc_id GROUP BY h.doc_id),
+near AS (SELECT h.doc_id, o.source_path, row_number() OVER (PARTITION BY h.doc_id ORDER BY o.source_path) AS k FROM hits h JOIN names m ON h.doc_id = m.doc_id JOIN names o ON m.name = o.name AND o.doc_id <> h.doc_id JOIN rep r ON o.doc_id = r.doc_id WHERE r.text_hash IS DISTINCT FROM h.text_hash)
+SELECT h.doc_id AS document_id, round(score, 6) AS score, m.source_path, CAST(c.n AS BIGINT) AS duplicate_count, c.duplicate_paths, coalesce((SELECT string_agg(source_path, ' ' ORDER BY source_path) FROM near WHERE near.doc_id = h.doc_id AND k <= 10), '') AS hints, CASE WHEN m.rel_path LIKE 'en/%' THEN true WHEN m.rel_path LIKE 'fr/%' THEN false END AS source_available
+FROM hits h JOIN names m ON h.doc_id = m.doc_id JOIN copies c ON h.doc_id = c.doc_id"""
+)
+def library_hit_rows(spark, sf_dir):
+    index, clusters = _library_of(spark, sf_dir)
+    place = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Report "), (F.col("doc_id") % 499).cast("string"), F.when(F.col("doc_id") % 2 == 0, " copy").otherwise(""), F.lit(".txt")).alias("filename"), F.lit("/lib").alias("source_root"), F.concat_ws("/", "lang", place).alias("rel_path"), F.concat_ws("/", F.lit("/lib"), "lang", place).alias("source_path"), F.lit(".txt").alias("extension"), F.lit("ok").alias("extraction_status"))
+    there = lambda asked: [{"en": True, "fr": False}.get(p.split("/")[2]) for _, p in asked]
+    found = search.assembled(index, docs, clusters, "thing OR ing", 20, available=there)
+    return found.select("document_id", F.round("score", 6).alias("score"), "source_path", "duplicate_count", F.array_join("duplicate_paths", " ").alias("duplicate_paths"), F.array_join(F.transform("possible_duplicate_of", lambda h: h["source_path"]), " ").alias("hints"), "source_available")
+
+
 @query()
 def fts_snippet(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    hits = search.top(search.build_index(docs), "thing", 20).select("doc_id")
+    hits = search.top(_library_of(spark, sf_dir)[0], "thing", 20).select("doc_id")
     return search.snippets(hits, docs, "thing")
 
 
 @query(f"WITH {TOKENS} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS occurrences FROM tok GROUP BY term")
 def fts_vocabulary(spark, sf_dir):
-    postings = search.build_index(table(spark, sf_dir, "documents")).postings
+    postings = _library_of(spark, sf_dir)[0].postings
     return postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
 
 
