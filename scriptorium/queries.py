@@ -466,13 +466,6 @@ def citation_annotate(spark, sf_dir):
     return citations.annotated(prose, inline(spark, INFO, DICTIONARY))
 
 
-@query(
-    "SELECT * FROM " + values("note string, line long, ref string, collection string, expected_segments long, found_segments long", "('n1', 1, 'MN118.150', 'MN', 1, 2), ('n1', 2, 'SN 5.46.20', 'SN', 2, 3), ('n1', 2, 'Khp 5.10', 'KHP', 1, 2), ('n2', 1, 'DN22.385 para 3', 'DN', 1, 2)")
-)
-def citation_shape(spark, sf_dir):
-    return citations.misshapen(inline(spark, "note string, line_no long, text string", PROSE)).drop("context")
-
-
 ASKED = "('s0202m_mul', '97'), ('s0202m_mul', '92'), ('s0202m_mul', '93-94'), ('s0202a_att', '92'), ('s0501m_mul', '1'), ('s0501m_mul', '2'), ('e0101n_nrf', '176'), ('vin01m_mul', '5'), ('dn1', '3')"
 
 
@@ -487,14 +480,6 @@ def resolve_label(spark, sf_dir):
     return citations.labels(inline(spark, "book_code string, paranum string", ASKED), inline(spark, SEG, SEGMENTS), inline(spark, INFO, DICTIONARY))
 
 
-BRACKETS = "('[[EA12.1]]; [[MA98]], [[MA31]]'), ('MA1, MA2; MA1'), ('[[ ]]'), ('')"
-
-
-@query("SELECT * FROM " + values("raw string, refs string", "('[[EA12.1]]; [[MA98]], [[MA31]]', 'EA12.1|MA98|MA31'), ('MA1, MA2; MA1', 'MA1|MA2'), ('[[ ]]', ' '), ('', '')"))
-def bracketed_refs(spark, sf_dir):
-    return inline(spark, "raw string", BRACKETS).select("raw", F.array_join(citations.bracketed_refs(F.col("raw")), "|").alias("refs"))
-
-
 CODES = "('mn 10'), ('MN-10'), ('snp_4'), ('thag16'), ('sa 99'), ('x1')"
 
 
@@ -524,26 +509,6 @@ def parallels_expand(spark, sf_dir):
     return inline(spark, "uid string", UIDS).select("uid", F.explode(parallels.members(F.col("uid"))).alias("member"))
 
 
-GROUPS = "(1, 'mn18|ma115|~ea40.10#t1-t3'), (2, '~mn18#5-7|sa1|ma115'), (3, 'sn12.1-2|sa298'), (4, 'dn1|da21')"
-WANTED = "('MN18'), ('sn12.2'), ('sn12.1-2'), ('zz9')"
-
-
-def _groups(spark: SparkSession) -> DataFrame:
-    return inline(spark, "group_id long, refs string", GROUPS).select("group_id", F.split("refs", r"\|").alias("parallels"))
-
-
-@query("SELECT * FROM " + values("asked string, nth long, ref string, resemblance boolean, paragraph_range string", "('mn18', 1, 'ma115', false, ''), ('mn18', 2, 'ea40.10', true, 't1-t3'), ('mn18', 3, 'sa1', false, ''), ('sn12.2', 1, 'sa298', false, ''), ('sn12.1-2', 1, 'sa298', false, '')"))
-def parallels_lookup(spark, sf_dir):
-    return parallels.parallels(_groups(spark), inline(spark, "asked string", WANTED))
-
-
-TEXTS = "('ma115', 'lzh', true, 1, '蜜丸'), ('ma115', 'lzh', true, 2, ' '), ('ma115', 'lzh', true, 3, '喻經'), ('ma115', 'en', false, 1, 'Honey ball'), ('sa298', 'en', false, 1, 'Causality')"
-
-
-@query("SELECT * FROM " + values("ref string, text_lzh string, translation_en string, gaps string", "('ma115', '蜜丸' || chr(10) || '喻經', 'Honey ball', ''), ('ea40.10', NULL, NULL, 'no root text in offline archive; no en translation in offline archive'), ('sa1', NULL, NULL, 'no root text in offline archive; no en translation in offline archive')"))
-def text_gaps(spark, sf_dir):
-    found = parallels.parallels(_groups(spark), inline(spark, "asked string", "('mn18')"))
-    return parallels.with_texts(found, inline(spark, "uid string, lang string, is_root boolean, ord int, text string", TEXTS)).select("ref", "text_lzh", "translation_en", F.array_join("text_gaps", "; ").alias("gaps"))
 
 
 FILES = "('MA98', 'bdk', 'b/MA98.md'), ('MA98', 'patton', 'p/MA98.md'), ('SA1', 'patton_', 'p/SA_1.md'), ('EA2', 'other', 'x')"
@@ -555,15 +520,6 @@ def preferred_translation(spark, sf_dir):
     return parallels.preferred(inline(spark, "asked string, nth long, code string", PREFERRED), inline(spark, "code string, source string, path string", FILES))
 
 
-CARDS = "('SN48', 'x'), ('SNP48', 'y'), ('MN10', 'z')"
-
-
-@query("SELECT * FROM " + values("asked string, card_code string", "('Sn 48', 'SNP48'), ('SN48', 'SN48'), ('mn-10', 'MN10')"))
-def overview_cards(spark, sf_dir):
-    cards = inline(spark, "card_code string, v string", CARDS).select("card_code", F.create_map(F.lit("sutta_theme"), F.array("v")).alias("fields"))
-    return parallels.overviews(inline(spark, "asked string", "('Sn 48'), ('SN48'), ('mn-10'), ('dn1')"), cards).select("asked", "card_code")
-
-
 def _conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").distinct()
     return c.select(F.when(F.col("role") == "user", "root").otherwise("translation").alias("kind"), F.col("role").alias("author"), F.col("conv_id").cast("string").alias("file_stem"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("uid"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), F.floor(F.col("turn") / 2).cast("string")).alias("seg_key"), F.col("turn").alias("line_no"), F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("path"), "text")
@@ -578,15 +534,6 @@ LINES = "('root', '', 'mn1', 'mn1', 'mn1:1.1', 1, 'a', 'Evaṁ me sutaṁ'), ('r
 SEGMENT_COLUMNS = "kind string, author string, file_stem string, uid string, seg_key string, line_no int, path string, text string"
 
 
-@query("SELECT * FROM " + values("phrase string, status string, uid string, candidates string", "('saṃ', 'ok', 'mn1', 'mn1'), ('Sabbe', 'ambiguous', '', 'dhp277,dhp278'), ('zzz', 'not_found', '', ''), ('sabbe@DHP 277', 'ok', 'dhp277', 'dhp277'), ('sabbe@MN1', 'not_in_scope', 'mn1', 'dhp277,dhp278')"))
-def align_status(spark, sf_dir):
-    lines, out = inline(spark, SEGMENT_COLUMNS, LINES), None
-    for phrase, scope, shown in (("ekaṃ", None, "saṃ"), ("Sabbe", None, "Sabbe"), ("zzz", None, "zzz"), ("sabbe", "DHP 277", "sabbe@DHP 277"), ("sabbe", "MN1", "sabbe@MN1")):
-        one = align.status(align.located(lines, phrase), scope).select(F.lit(shown).alias("phrase"), "status", "uid", F.array_join("candidates", ",").alias("candidates"))
-        out = one if out is None else out.union(one)
-    return out
-
-
 @query("SELECT * FROM " + values("label string, text string", "('**Pāḷi**', 'Evaṁ me sutaṁ … ekaṁ samayaṁ'), ('Sujato (Bilara)', 'So I have heard.')"))
 def align_segments(spark, sf_dir):
     lines = inline(spark, SEGMENT_COLUMNS, LINES)
@@ -624,11 +571,6 @@ def code_translate(spark, sf_dir):
     return lexicon.books(inline(spark, "asked string", "('s0101m_mul'), ('DN'), ('Mahāvagga'), ('dna1'), ('zz')"), inline(spark, "cst_filename string, cst_book_name string, gui_book_code string, dpd_book_code string", BOOKS)).select("asked", "cst_table")
 
 
-@query("SELECT * FROM " + values("path string, prefix string", "('A/One (1)/one.pdf', '[Calibre #1 | Authors: Ann, Bo | Tags: x]'), ('B/Two (2)/two.epub', '[Calibre #2]')"))
-def calibre_prefix(spark, sf_dir):
-    return lexicon.metadata_prefix(inline(spark, "id int, path string", "(1, 'A/One (1)'), (2, 'B/Two (2)')"), inline(spark, "book int, name string, format string", "(1, 'one', 'PDF'), (2, 'two', 'EPUB')"), inline(spark, "id int, name string", "(1, 'Bo'), (2, 'Ann')"), inline(spark, "book int, author int", "(1, 1), (1, 2)"), inline(spark, "id int, name string", "(1, 'x')"), inline(spark, "book int, tag int", "(1, 1)"))
-
-
 @query("SELECT lang, source, CAST(count(*) AS BIGINT) AS documents FROM documents GROUP BY ALL")
 def tag_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("documents"))
@@ -665,33 +607,11 @@ ENTRIES = "('a', 1, '0', 'gate', NULL, NULL, NULL), ('a', 2, '1', 'entry', 'sear
 RUNS = "('a', 'thematic', ''), ('b', 'sutta', 'has [REJECTED x] in it'), ('c', 'sutta', '')"
 
 
-@query("SELECT * FROM " + values("run string, phase string, ok boolean, missing_phase string, reason string", "('a', '4', true, NULL, NULL), ('b', '2', false, '1', 'earlier gate missing'), ('b', '1', true, NULL, NULL), ('c', '0', true, NULL, NULL), ('c', '3', false, '0', 'earlier gate missing'), ('a', '4b', false, '4', 'earlier gate missing')"))
-def gate_check(spark, sf_dir):
-    log = inline(spark, LOG, ENTRIES).unionByName(inline(spark, LOG, "('a', 8, '4', 'entry', 'web', 1, 'x')"))
-    return runlog.gate_checks(inline(spark, "run string, phase string", "('a', '4a'), ('b', '2'), ('b', '1'), ('c', '0'), ('c', '3'), ('a', '4b')"), log, inline(spark, "run string, run_class string, note_text string", RUNS))
-
-
-@query("SELECT * FROM " + values("run string, last_gate string, next_phase string", "('a', '3', '4'), ('b', '0', '1'), ('c', NULL, '0')"))
-def resume_phase(spark, sf_dir):
-    return runlog.resumed(inline(spark, LOG, ENTRIES), inline(spark, "run string, run_class string, note_text string", RUNS))
-
-
-@query("SELECT * FROM " + values("run string, phase string, issue string", "('a', '2', 'placeholder'), ('a', '3', 'empty')"))
-def phase_issues(spark, sf_dir):
-    return runlog.content_issues(inline(spark, LOG, ENTRIES))
-
-
 @query("WITH g AS (SELECT * FROM (VALUES ('a', '0'), ('a', '1'), ('a', '2'), ('a', '2.5'), ('a', '3'), ('b', '0')) t(run, phase)) SELECT run, phase FROM (VALUES ('a'), ('b'), ('c')) r(run), (VALUES ('0'), ('1'), ('2'), ('2.5'), ('3'), ('3b'), ('4'), ('4b'), ('4c'), ('5'), ('6'), ('7')) p(phase) WHERE (run, phase) NOT IN (SELECT (run, phase) FROM g)")
 def missing_gates(spark, sf_dir):
     return runlog.missing_gates(inline(spark, LOG, ENTRIES), inline(spark, "run string, run_class string, note_text string", RUNS))
 
 
-@query("SELECT * FROM " + values("run string, seq long, phase string", "('a', 1, '0'), ('a', 2, '4'), ('a', 3, '1'), ('b', 1, '2')"))
-def log_append(spark, sf_dir):
-    log = inline(spark, LOG, "('a', 1, '0', 'gate', NULL, NULL, NULL)")
-    return runlog.appended(log, inline(spark, LOG, "('a', 20, '1', 'entry', 't', 1, ''), ('a', 10, '4a', 'entry', 't', 1, ''), ('b', 5, '2', 'entry', 't', 0, '')")).select("run", "seq", "phase")
-
-
 NOTE_ROWS = """('good', 1, '---'), ('good', 2, 'tool: "https://example.org/tool"'), ('good', 3, 'agent: someone'), ('good', 4, 'topic: plain topic'), ('good', 5, 'canon_refs:'), ('good', 6, '  - MN 10'), ('good', 7, 'web_refs:'), ('good', 8, '- https://x.org/a'), ('good', 9, '---'), ('good', 10, '## Question'), ('good', 11, '## Findings'), ('good', 12, '## Canon Evidence (T1)'), ('good', 13, '> quoted [^1]'), ('good', 14, '## Sources Investigated, Not Used'), ('good', 15, '## Critical Gaps'), ('good', 16, '## Bibliography'), ('good', 17, '---'), ('good', 18, '[^1]: source'),
 ('bad', 1, '---'), ('bad', 2, 'tool: other'), ('bad', 3, 'topic: a: b'), ('bad', 4, 'web_refs:'), ('bad', 5, '- https://x.org a note'), ('bad', 6, 'library_refs:'), ('bad', 7, '- Book: part'), ('bad', 8, '---'), ('bad', 9, '## Question'), ('bad', 10, '## Pali Evidence (T1)'), ('bad', 11, 'a[^1] b[^2] c[^3]'), ('bad', 12, '[^1]: early'), ('bad', 13, 'MN 1 [REJECTED]'), ('bad', 14, '## Critical Gaps'), ('bare', 1, '## Question')"""
 
@@ -708,23 +628,9 @@ def note_issues(spark, sf_dir):
     return notes.issues(inline(spark, "note string, line_no long, text string", NOTE_ROWS), "https://example.org/tool")
 
 
-@query("SELECT * FROM " + values("note string, fields string", "('bad', 'library_refs,tool,topic,web_refs'), ('good', 'agent,canon_refs,tool,topic,web_refs')"))
-def front_matter(spark, sf_dir):
-    rows = inline(spark, "note string, line_no long, text string", NOTE_ROWS).groupBy("note").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return files.front_matter(rows).where(F.size("fields") > 0).select("note", F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("fields"))
-
-
-VIDEOS = "('v1|||Talk|||Ch|||UC1|||12.5'), ('v2|||T2|||C2|||UC2|||NA'), ('broken')"
-
-
-@query("SELECT * FROM " + values("video_id string, channel string, duration double", "('v1', 'Ch', 12.5), ('v2', 'C2', NULL)"))
-def video_search_rows(spark, sf_dir):
-    return files.video_hits(inline(spark, "text string", VIDEOS)).select("video_id", "channel", "duration")
-
-
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(TRY_CAST(props AS JSON)) AS BIGINT) AS readable FROM events GROUP BY event_type")
 def event_json(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.try_parse_json("props")).alias("readable"))
 
 
-from . import queries_small  # noqa: E402, F401  registers its queries
+from . import queries_derived, queries_small  # noqa: E402, F401  register their queries

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import citations, notes, passages, runlog
-from .queries import DICTIONARY, INFO, LOG, NOTE_ROWS, inline, query, values
+from .queries import DICTIONARY, INFO, inline, query, values
 from .sources import files
 from .storage import table
 from .streaming import tables as streams
@@ -34,15 +34,6 @@ def index_health(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_if(T.collapsed(F.col("text")) != "").alias("with_text"), F.count_distinct("source").alias("roots"))
 
 
-REPORTS = """('note: starting
-[{"file": "a.md", "matches": [{"line": 3, "text": " x "}, {"line": 9, "text": "y"}]}, {"file": "b.md", "matches": []}]'), ('No matches found.')"""
-
-
-@query("SELECT * FROM " + values("path string, line int, snippet string", "('a.md', 3, 'x'), ('a.md', 9, 'y')"))
-def vault_hits(spark, sf_dir):
-    return files.flattened_hits(inline(spark, "text string", REPORTS))
-
-
 @query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text_md5 FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE trim(text) <> '') GROUP BY conv_id")
 def segment_texts(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct().where(F.trim("text") != "")
@@ -50,14 +41,6 @@ def segment_texts(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.md5(whole).alias("text_md5"))
 
 
-ALLOWLIST = "(1, '# Channels'), (2, '## Trusted'), (3, '- One | UC1'), (4, '```'), (5, '- fenced'), (6, '```'), (7, '## Notes'), (8, '- other'), (9, '## Excluded'), (10, '- Two'), (11, 'text')"
-
-
-@query("SELECT * FROM " + values("tier string, name string, channel_id string", "('trusted', 'One', 'UC1'), ('excluded', 'Two', '')"))
-def channel_allowlist(spark, sf_dir):
-    return files.channels(inline(spark, "line_no int, text string", ALLOWLIST))
-
-
 # ---- predicates and sets
 
 
@@ -130,14 +113,6 @@ def scalar_forms(spark, sf_dir):
     return inline(spark, "t string", SCALARS).select("t", T.dotted_above(t).alias("above"), T.without_ordinal(t).alias("plain"), T.file_name(t).alias("name"), T.suffix(T.file_name(t)).alias("suffix"), F.upper("t").alias("upper"))
 
 
-ENDS = "(90, '00'), (118, '20'), (5, '9'), (998, '002'), (250, '1')"
-
-
-@query("SELECT * FROM " + values("low long, written string, high long", "(90, '00', 100), (118, '20', 120), (5, '9', 9), (998, '002', 1002), (250, '1', 251)"))
-def range_ends(spark, sf_dir):
-    return inline(spark, "low long, written string", ENDS).select("low", "written", citations.repaired_end(F.col("low"), F.col("written")).alias("high"))
-
-
 @query("SELECT doc_id, CAST(json_object('id', doc_id, 'lang', lang) AS VARCHAR) AS json FROM documents")
 def json_rows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang")).alias("json"))
@@ -163,18 +138,6 @@ def valid_text(spark, sf_dir):
 # ---- evidence, maintenance, streams
 
 
-@query("SELECT * FROM " + values("note string, footnotes long, quotes long", "('good', 1, 1), ('bad', 3, 0)"))
-def evidence_counts(spark, sf_dir):
-    return notes.evidence_counts(notes.marked(inline(spark, "note string, line_no long, text string", NOTE_ROWS)))
-
-
-@query("SELECT * FROM " + values("run string, phase string, kind string", "('a', '0', 'header'), ('a', '0', 'header'), ('a', '0', 'header'), ('a', '0', 'gate'), ('b', '0', 'header')"))
-def log_start(spark, sf_dir):
-    head = inline(spark, LOG, "('a', 1, '0', 'header', 'question_polished', NULL, 'q'), ('a', 2, '0', 'header', 'scope_assumptions', NULL, 's'), ('a', 3, '0', 'header', 'ambiguity_status', NULL, 'clear'), ('b', 1, '0', 'header', 'question_polished', NULL, 'q')")
-    once = runlog.started(head.limit(0), head)
-    return runlog.started(once, head).select("run", "phase", "kind")
-
-
 @query("SELECT event_id || '-report.md' AS path FROM events WHERE strftime(ts, '%Y') = '2024' AND starts_with(CAST(event_id AS VARCHAR), '12')")
 def reports_of_day(spark, sf_dir):
     names = table(spark, sf_dir, "events").select(F.concat(F.col("event_id").cast("string"), F.lit("-report.md")).alias("path"))
