@@ -17,6 +17,8 @@ PLACEHOLDERS = ("would be searched", "would search", "would query", "would fetch
 ALIASES = {"4a": "4"}
 AUDIT_ANSWERS = 6
 HEADER_FIELDS = ("question_polished", "scope_assumptions", "ambiguity_status")
+# Commands of the log itself, which leave no entry of their own.
+UNLOGGED = ("log", "gate", "set-note", "self-audit", "verify", "resume", "which")
 
 
 def phase_name(phase: Column) -> Column:
@@ -111,6 +113,56 @@ def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
     return log.unionByName(numbered, allowMissingColumns=True)
 
 
+def audits(log: DataFrame, answers: DataFrame) -> DataFrame:
+    """run, ok, recorded, reason for the self-audits that answers (run, at, answer) give.
+
+    An audit counts with one answer to each question, none of them blank; a run that has an audit gets no second one, which
+    is no fault.
+    """
+    given = answers.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("answer", F.lit(""))) == "").alias("blank"))
+    there = log.where("kind = 'audit'").select("run", F.lit(True).alias("there")).distinct()
+    reason = F.when(F.col("there"), "audited before").when((F.col("n") != AUDIT_ANSWERS) | (F.col("blank") > 0), "answers missing or too many")
+    judged = given.join(there, "run", "left").select("run", reason.alias("reason"))
+    return judged.select("run", F.coalesce(F.col("reason") == "audited before", F.lit(True)).alias("ok"), F.col("reason").isNull().alias("recorded"), "reason")
+
+
+def audited(log: DataFrame, answers: DataFrame) -> DataFrame:
+    """log with the answers behind it that ``audits`` records, trimmed, under the last phase."""
+    taken = answers.join(audits(log, answers).where("recorded").select("run"), "run", "left_semi")
+    return appended(log, taken.select("run", F.col("at").alias("seq"), F.lit(PHASES[-1]).alias("phase"), F.lit("audit").alias("kind"), F.trim("answer").alias("payload")))
+
+
+def with_notes(runs: DataFrame, requests: DataFrame, saved: DataFrame) -> DataFrame:
+    """runs (run, note_path, pdf, ...) with the paths of requests (run, note_path, pdf; one a run) whose note is among saved (path).
+
+    A request for a note that isn't there changes nothing; one without pdf leaves that of before.
+    """
+    there = requests.join(saved.select(F.col("path").alias("note_path")).distinct(), "note_path", "left_semi")
+    asked = there.select("run", F.col("note_path").alias("__note"), F.col("pdf").alias("__pdf"))
+    out = runs.join(asked, "run", "left").withColumn("note_path", F.coalesce("__note", "note_path")).withColumn("pdf", F.coalesce("__pdf", "pdf"))
+    return out.select(*runs.columns)
+
+
+def named(slugs: DataFrame, runs: DataFrame) -> DataFrame:
+    """slug, run of slugs: the run of that very name, else the latest one that has a date before it, else null."""
+    plain = runs.select("run", F.col("run").alias("slug"), F.lit(1).alias("exact"))
+    dated = runs.where(F.col("run").rlike(r"^\d{4}-\d{2}-\d{2}-")).select("run", F.expr("substring(run, 12)").alias("slug"), F.lit(0).alias("exact"))
+    best = plain.union(dated).groupBy("slug").agg(F.max_by("run", F.struct("exact", "run")).alias("run"))
+    return slugs.select("slug").distinct().join(best, "slug", "left").select("slug", "run")
+
+
+def logged_calls(log: DataFrame, calls: DataFrame, at: DataFrame, unlogged: tuple[str, ...] = UNLOGGED) -> DataFrame:
+    """log with an entry behind it for each of calls (run, seq, command, args, result as JSON, phase or null) that is to be logged.
+
+    Calls of the log's own commands and of runs without a log are passed over.  A call without a phase gets that of its run
+    in at (run, phase; one a run) or '?', and its pinned is false.  hits: how many elements a result has that is a list.
+    """
+    kept = calls.where(~F.col("command").isin(*unlogged)).join(log.select("run").distinct(), "run", "left_semi")
+    placed = kept.join(at.select("run", F.col("phase").alias("__at")), "run", "left")
+    entries = placed.select("run", "seq", F.coalesce("phase", "__at", F.lit("?")).alias("phase"), F.lit("entry").alias("kind"), F.col("command").alias("tool"), "args", F.json_array_length("result").cast("long").alias("hits"), F.col("result").alias("payload"), F.col("phase").isNotNull().alias("pinned"))
+    return appended(log, entries)
+
+
 def reports_of(files: DataFrame, day: str) -> DataFrame:
     """Run reports (path) whose name begins with a day."""
     return files.where(F.substring_index("path", "/", -1).startswith(day))

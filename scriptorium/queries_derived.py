@@ -246,3 +246,61 @@ def log_start(spark, sf_dir):
     head = table(spark, sf_dir, "customer").selectExpr("'c' || c_custkey AS run", f"posexplode({fields}) AS (at, tool)").selectExpr("run", "at + 1L AS seq", "'0' AS phase", "'header' AS kind", "tool", "'x' AS payload")
     once = runlog.started(head.limit(0), head)
     return runlog.started(once, head).groupBy("run", "phase", "kind").agg(F.count("*").alias("n"))
+
+
+ANSWERS = "CASE user_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 7 END"
+USERS = "users AS (SELECT DISTINCT user_id FROM events)"
+
+
+@query(
+    f"WITH {USERS}, g AS (SELECT 'u' || user_id AS run, {ANSWERS} AS n, user_id % 8 = 2 AS blank, user_id % 3 = 0 AS before FROM users),"
+    " r AS (SELECT run, CASE WHEN before THEN 'audited before' WHEN n <> 6 OR blank THEN 'answers missing or too many' END AS reason FROM g)"
+    " SELECT r.run, coalesce(reason = 'audited before', true) AS ok, reason IS NULL AS recorded, reason, CAST(CASE WHEN reason IS NULL THEN 7 ELSE 1 END AS BIGINT) AS entries FROM r"
+)
+def self_audit(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    log = users.selectExpr("'u' || user_id AS run", "1L AS seq", "'7' AS phase", "if(user_id % 3 = 0, 'audit', 'entry') AS kind", "'x' AS payload")
+    answers = users.selectExpr("'u' || user_id AS run", f"explode(sequence(1L, {ANSWERS})) AS at", "user_id").selectExpr("run", "at", "if(user_id % 8 = 2 AND at = 4, ' ', ' yes ') AS answer")
+    entries = runlog.audited(log, answers).groupBy("run").agg(F.count("*").alias("entries"))
+    return runlog.audits(log, answers).join(entries, "run")
+
+
+@query(
+    f"WITH {USERS} SELECT 'u' || user_id AS run, CASE WHEN user_id % 3 = 0 AND user_id % 2 = 0 THEN 'n' || user_id ELSE 'old' END AS note_path,"
+    " CASE WHEN user_id % 3 = 0 AND user_id % 2 = 0 AND user_id % 4 = 0 THEN 'new.pdf' ELSE 'old.pdf' END AS pdf FROM users"
+)
+def set_note(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    runs = users.selectExpr("'u' || user_id AS run", "'old' AS note_path", "'old.pdf' AS pdf")
+    requests = users.where("user_id % 3 = 0").selectExpr("'u' || user_id AS run", "'n' || user_id AS note_path", "if(user_id % 4 = 0, 'new.pdf', null) AS pdf")
+    return runlog.with_notes(runs, requests, users.where("user_id % 2 = 0").selectExpr("'n' || user_id AS path"))
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 's' || (user_id % 97) ELSE '2024-01-' || lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') || '-s' || (user_id % 97) END AS run FROM events WHERE user_id % 97 < 90 AND NOT (event_id % 7 = 0 AND user_id % 97 > 40)),"
+    " s AS (SELECT DISTINCT 's' || (user_id % 97) AS slug FROM events)"
+    " SELECT slug, coalesce((SELECT run FROM r WHERE run = slug), (SELECT max(run) FROM r WHERE regexp_matches(run, '^[0-9]{4}-[0-9]{2}-[0-9]{2}-') AND substr(run, 12) = slug)) AS run FROM s"
+)
+def which_run(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    runs = events.where("user_id % 97 < 90 and not (event_id % 7 = 0 and user_id % 97 > 40)").selectExpr("if(event_id % 7 = 0, 's' || (user_id % 97), '2024-01-' || lpad(string(event_id % 28 + 1), 2, '0') || '-s' || (user_id % 97)) AS run")
+    return runlog.named(events.selectExpr("'s' || (user_id % 97) AS slug"), runs)
+
+
+CALLED = "CASE event_id % 5 WHEN 0 THEN 'gate' WHEN 1 THEN 'which' ELSE 'search' END"
+RESULT = "CASE event_id % 4 WHEN 0 THEN '[1, {\"a\": [2]}, \"x\"]' WHEN 1 THEN '[]' WHEN 2 THEN '{\"n\": 1}' ELSE NULL END"
+PINNED = "CASE event_id % 6 WHEN 0 THEN '4a' WHEN 1 THEN '6' ELSE NULL END"
+
+
+@query(
+    f"WITH c AS (SELECT 'u' || user_id AS run, user_id, event_id, {CALLED} AS tool, {RESULT} AS result, {PINNED} AS phase FROM events)"
+    " SELECT run, CAST(10 + row_number() OVER (PARTITION BY run ORDER BY event_id) AS BIGINT) AS seq, CASE phase WHEN '4a' THEN '4' ELSE coalesce(phase, CASE WHEN user_id % 4 = 0 THEN '3' END, '?') END AS phase, tool,"
+    " CASE event_id % 4 WHEN 0 THEN CAST(3 AS BIGINT) WHEN 1 THEN 0 END AS hits, phase IS NOT NULL AS pinned FROM c WHERE tool = 'search' AND user_id % 2 = 0"
+)
+def call_log(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    users = events.select("user_id").distinct()
+    log = users.where("user_id % 2 = 0").selectExpr("'u' || user_id AS run", "10L AS seq", "'0' AS phase", "'header' AS kind")
+    calls = events.select(F.expr("'u' || user_id").alias("run"), F.col("event_id").alias("seq"), F.expr(CALLED).alias("command"), F.lit("-q x").alias("args"), F.expr(RESULT).alias("result"), F.expr(PINNED).alias("phase"))
+    at = users.where("user_id % 4 = 0").selectExpr("'u' || user_id AS run", "'3' AS phase")
+    return runlog.logged_calls(log, calls, at).where("kind = 'entry'").select("run", "seq", "phase", "tool", "hits", "pinned")

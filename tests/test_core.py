@@ -159,6 +159,35 @@ def test_log_start_is_idempotent(spark):
     assert once.where("kind = 'gate'").count() == 1 and runlog.started(once, spark.createDataFrame(head, schema)).count() == once.count()
 
 
+def test_self_audit_notes_and_names(spark):
+    log = spark.createDataFrame([("a", 3, "7", "entry", None), ("b", 1, "7", "audit", "x"), ("c", 1, "7", "entry", None)], "run string, seq long, phase string, kind string, payload string")
+    answers = spark.createDataFrame([(r, k, " yes ") for r in "ab" for k in range(6)] + [("c", k, None if k == 2 else "y") for k in range(6)] + [("d", 0, "y")], "run string, at long, answer string")
+    assert sorted((r.run, r.ok, r.recorded) for r in runlog.audits(log, answers).collect()) == [("a", True, True), ("b", True, False), ("c", False, False), ("d", False, False)]
+    full = runlog.audited(log, answers)
+    assert sorted((r.seq, r.payload) for r in full.where("run = 'a' and kind = 'audit'").collect()) == [(k, "yes") for k in range(4, 10)] and full.count() == 9
+    assert runlog.audited(full, answers).count() == 9 and runlog.audits(log, answers.limit(0)).collect() == []
+
+    schema = "run string, note_path string, pdf string"
+    runs = spark.createDataFrame([("a", None, "p"), ("b", "old", None), ("c", "old", None)], schema)
+    asked = spark.createDataFrame([("a", "n", None), ("b", "gone", "q"), ("z", "n", None)], schema)
+    got = runlog.with_notes(runs, asked, spark.createDataFrame([("n",), ("n",)], "path string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "n", "p"), ("b", "old", None), ("c", "old", None)]
+
+    there = spark.createDataFrame([("x",), ("2024-01-02-x",), ("2024-01-02-y",), ("2023-05-05-y",), ("2024-01-02y",)], "run string")
+    found = runlog.named(spark.createDataFrame([("x",), ("y",), ("z",), ("2024-01-02-x",), ("y",)], "slug string"), there)
+    assert {r.slug: r.run for r in found.collect()} == {"x": "x", "y": "2024-01-02-y", "z": None, "2024-01-02-x": "2024-01-02-x"} and found.count() == 4
+
+
+def test_calls_are_logged(spark):
+    log = spark.createDataFrame([("a", 2, "0", "header")], "run string, seq long, phase string, kind string")
+    rows = [("a", 1, "search", "[1, 2]", None), ("a", 2, "gate", "[]", "1"), ("a", 3, "search", "{}", "4a"), ("b", 1, "search", "[1]", "1"), ("a", 4, "search", "no JSON [", None)]
+    calls = spark.createDataFrame([(r, k, c, "-x", out, p) for r, k, c, out, p in rows], "run string, seq long, command string, args string, result string, phase string")
+    at = spark.createDataFrame([("a", "3")], "run string, phase string")
+    got = sorted((r.seq, r.phase, r.tool, r.hits, r.pinned) for r in runlog.logged_calls(log, calls, at).where("kind = 'entry'").collect())
+    assert got == [(3, "3", "search", 2, False), (4, "4", "search", None, True), (5, "3", "search", None, False)]
+    assert {r.phase for r in runlog.logged_calls(log, calls, at.limit(0)).where("kind = 'entry' and not pinned").collect()} == {"?"}
+
+
 def test_logged_hits(spark):
     log = spark.createDataFrame([("r", 1, 'x {"document_id": 5, "title": "old"} y {"document_id": 6, "a": {"b": 1}}'), ("r", 2, '{"document_id": 5, "title": "new"}')], "run string, at int, text string")
     assert [(r.document_id, r.title) for r in notes.logged_hits(log).collect()] == [(5, "new")]
