@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import os
 import threading
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +14,9 @@ from ..functions import text as T
 from ..operators.citations import tier
 from ..storage import written
 from . import extract as E
+from . import tree
 
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 
 
 @dataclass
@@ -50,38 +49,14 @@ def plain_path(path: Column) -> Column:
 
 
 def listed(spark: SparkSession, where: Roots, limit: int | None = None) -> DataFrame:
-    """root_ord, source_root, path, size, mtime of the files to read, in order; no content is read."""
-    out = spark.createDataFrame([], "root_ord int, source_root string, path string, size long, mtime timestamp") if not where.roots else None
-    for k, root in enumerate(where.roots):
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.lit(k).alias("root_ord"), F.lit(root).alias("source_root"), plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-        out = rows if out is None else out.union(rows)
-    out = out.where(accepted(F.col("path"), where.roots, where.excluded))
-    return out if limit is None else out.orderBy("root_ord", "path").limit(limit)
+    """root_ord, source_root, path, size, mtime, modified (seconds), error of the files to read; no content is read.
 
-
-DOCUMENT = "path string, content_hash string, text string, extraction_status string"
-
-
-def read_documents(spark: SparkSession, where: Roots, only: DataFrame | None = None) -> DataFrame:
-    """path, content_hash, text, extraction_status of the files; only: paths (path) to read, all if not given.
-
-    Hashes are made in the JVM; texts in Arrow batches of few files.
+    Written to the shared folder.  A path below two roots goes with the first.  What cannot be looked at has an error and
+    no size.  With a limit, the first files by root and path.
     """
-    out = spark.createDataFrame([], "path string, content binary") if not where.roots else None
-    for root in where.roots:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(plain_path(F.col("path")).alias("path"), "content")
-        out = rows if out is None else out.union(rows)
-    out = out.where(accepted(F.col("path"), where.roots, where.excluded))
-    if only is not None:
-        out = out.join(only.select("path"), "path", "left_semi")
-    hashed = out.select("path", F.sha2("content", 256).alias("content_hash"), "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [E.extract(p, c) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("content_hash"), pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], ["path", "content_hash", "text", "extraction_status"])
-
-    return hashed.mapInArrow(run, DOCUMENT)
+    rows = tree.walked(spark, where.roots, where.excluded)
+    once = rows.groupBy("path").agg(F.min_by(F.struct("root_ord", "source_root", "size", "modified", "error"), "root_ord").alias("r")).select("r.root_ord", "r.source_root", "path", "r.size", F.col("r.modified").cast("timestamp").alias("mtime"), "r.modified", "r.error")
+    return written(once if limit is None else once.orderBy("root_ord", "path").limit(limit), "listing")
 
 
 def exists_within(path: str, seconds: float = 2.0) -> bool | None:
@@ -122,11 +97,6 @@ def availability(sources: list[tuple[str, str]], seconds: float = 2.0, probe=exi
     return out
 
 
-def unreadable_hash(path: Column, size: Column, mtime: Column) -> Column:
-    """What stands for the hash of a file that cannot be read."""
-    return F.concat(F.lit("unreadable:"), F.sha2(F.concat_ws("|", path, size.cast("string"), mtime.cast("string")), 256))
-
-
 def changes(old: DataFrame, new: DataFrame, retry_failed: bool = False, live_roots: list[str] | None = None) -> DataFrame:
     """path and change ('new', 'changed', 'skipped', 'retried', 'deleted', 'kept') of two listings (source_root, path, size,
     mtime; the old one also extraction_status).
@@ -148,27 +118,42 @@ def changes(old: DataFrame, new: DataFrame, retry_failed: bool = False, live_roo
     return o.join(n, "path", "full_outer").select("path", change.alias("change"))
 
 
-def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: bool = False, limit: int | None = None, prefixes: DataFrame | None = None, live_roots: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _below(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """Those of paths (path) that are, or lie below, one of the folders (path)."""
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
+    return paths.withColumn("above", F.explode(above)).join(folders.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path").distinct()
+
+
+def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: bool = False, limit: int | None = None, prefixes: DataFrame | None = None, live_roots: list[str] | None = None, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(the new document table, a row of counters).
 
     Only new, changed and retried files are opened.  A document keeps its doc_id; new ones are numbered on in path order.  With
     a limit nothing is deleted.  prefixes: path, prefix put before the text for search, not for the text's hash.  live_roots: the
-    roots that are there, the only ones to be listed; rows of others are kept.
+    roots that are there, the only ones to be listed; rows of others are kept.  listing: what ``listed`` gave, if it is at hand.
+    A file that is listed and can't be read is a document without text, whose hash stands for one and whose status says
+    why; the row of one that can't even be looked at, or lies in a folder that can't, is kept as it was.
+
+    Counters: new, changed, skipped, retried, deleted, kept, indexed (listed files), written, text_extracted and
+    metadata_only (of those written), error_count, errors (the first 20 by path: relative_path, error), limited.
     """
     if live_roots is not None:
         where = Roots([r for r in where.roots if r in live_roots], where.excluded)
-    new = written(listed(spark, where, limit), "listing")
+    seen = listed(spark, where, limit) if listing is None else listing
+    unseen, new = seen.where("error is not null"), seen.where("error is null")
     diff = changes(old, new, retry_failed, live_roots)
     if limit is not None:
         diff = diff.withColumn("change", F.when(F.col("change") == "deleted", "kept").otherwise(F.col("change")))
     diff = written(diff, "changes")
+    if not unseen.isEmpty():
+        spared = _below(diff.where("change = 'deleted'").select("path"), unseen).withColumn("spared", F.lit(True))
+        diff = written(diff.join(spared, "path", "left").select("path", F.when(F.col("spared"), "kept").otherwise(F.col("change")).alias("change")), "changes")
     fresh = diff.where(F.col("change").isin("new", "changed", "retried"))
-    texts = written(read_documents(spark, where, fresh).withColumn("text_hash", T.text_hash(F.col("text"))), "texts")
-    meta = new.select("source_root", "path", "size", "mtime")
-    rows = fresh.join(meta, "path").join(texts, "path", "left")
-    rows = rows.select("path", "source_root", T.file_name(F.col("path")).alias("filename"), T.suffix(T.file_name(F.col("path"))).alias("extension"), F.expr("substring(path, length(source_root) + 2)").alias("rel_path"), "size", "mtime", F.coalesce("content_hash", unreadable_hash(F.col("path"), F.col("size"), F.col("mtime"))).alias("content_hash"), "text_hash", F.coalesce("extraction_status", F.lit("error: unreadable")).alias("extraction_status"), F.coalesce("text", F.lit("")).alias("text"))
+    meta = written(new.join(fresh, "path").select("source_root", "path", "size", "mtime", "modified"), "fresh")
+    texts = written(tree.read(meta).withColumn("text_hash", T.text_hash(F.col("text"))), "texts")
+    rows = meta.drop("modified").join(texts, "path")
+    rows = rows.select("path", "source_root", T.file_name(F.col("path")).alias("filename"), T.suffix(T.file_name(F.col("path"))).alias("extension"), F.expr("substring(path, length(source_root) + 2)").alias("rel_path"), "size", "mtime", "content_hash", "text_hash", "extraction_status", "text")
     if prefixes is not None:
-        rows = rows.join(prefixes, "path", "left").withColumn("text", F.trim(F.concat_ws("\n", "prefix", "text"))).drop("prefix")
+        rows = rows.join(prefixes.select("path", "prefix"), "path", "left").withColumn("text", F.when(F.col("prefix") != "", F.trim(F.concat_ws("\n\n", "prefix", "text"))).otherwise(F.col("text"))).drop("prefix")
     ids = old.select("path", "doc_id")
     highest = old.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("highest"))
     numbered = rows.join(ids, "path", "left").crossJoin(F.broadcast(highest))
@@ -179,9 +164,17 @@ def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: b
     before = counts_of.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     order = ranged.join(before, "range").select("path", (F.col("highest") + F.col("before") + F.col("nth") + 1).alias("given"))
     rows = numbered.drop("highest").join(order, "path", "left").withColumn("doc_id", F.coalesce("doc_id", "given").cast("long")).drop("given")
+    rows = written(rows.select(*old.columns), "fresh")
     stay = old.join(diff.where(F.col("change").isin("skipped", "kept")), "path", "left_semi")
-    counts = diff.groupBy("change").count().groupBy().pivot("change", ["new", "changed", "skipped", "retried", "deleted", "kept"]).agg(F.coalesce(F.sum("count"), F.lit(0)))
-    return stay.select(*old.columns).unionByName(rows.select(*old.columns)), counts.na.fill(0)
+    kinds = ["new", "changed", "skipped", "retried", "deleted", "kept"]
+    counts = diff.agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds], F.count_if(F.col("change").isin("new", "changed", "retried")).alias("written"))
+    texted = rows.agg(F.count_if(F.trim("text") != "").alias("text_extracted"), F.count_if(F.trim("text") == "").alias("metadata_only"))
+    below = F.expr("substring(path, length(source_root) + 2)").alias("relative_path")
+    wrong = rows.where(F.col("extraction_status").rlike("^error: (file read|extraction) failed")).select(below, F.col("extraction_status").alias("error")).union(unseen.select(below, "error"))
+    # The first few by path, found before they are gathered.
+    errors = wrong.agg(F.count("*").alias("error_count")).crossJoin(wrong.orderBy("relative_path").limit(20).agg(F.array_sort(F.collect_list(F.struct("relative_path", "error"))).alias("errors")))
+    whole = counts.crossJoin(texted).crossJoin(errors).crossJoin(seen.agg(F.count("*").alias("indexed"), (F.count("*") >= F.lit(limit if limit is not None else 1 << 62)).alias("limited")))
+    return stay.select(*old.columns).unionByName(rows), whole.select(*kinds, "indexed", "written", "text_extracted", "metadata_only", "error_count", "errors", "limited")
 
 
 DOCUMENTS = "doc_id long, path string, source_root string, filename string, extension string, rel_path string, size long, mtime timestamp, content_hash string, text_hash string, extraction_status string, text string"
