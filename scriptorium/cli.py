@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, citations, dedupe, notes, parallels, passages, runlog, search
+from .operators import align, citations, dedupe, library, notes, parallels, passages, runlog, search
 from .sources import files
-from .storage import point, pointed
+from .storage import written
 
 
 def _session() -> SparkSession:
@@ -40,46 +40,42 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _refresh(spark, a) -> int:
+    """New and changed files make a segment of the library; a refresh that another one has overtaken is made once more."""
     where = files.Roots.from_text(a.roots, a.exclude)
     live = [r for r in where.roots if files.exists_within(r)]
-    pointer = f"{a.table}/current"
-    version = pointed(spark, pointer)
-    # A table of another schema version is rebuilt; no other error of reading it is passed over.
-    made = spark.read.json(f"{version}-about").first() if version else None
-    same = made is not None and made["schema_version"] == files.SCHEMA_VERSION
-    old = spark.read.parquet(version) if same else files.empty_documents(spark)
-    new, counts = files.refreshed(spark, old, where, a.retry_failed, a.limit, live_roots=live)
-    # A new version, its index and its clusters are written beside the old ones; the pointer moves last.
-    fresh = f"{a.table}/version-{uuid.uuid4().hex}"
-    new.write.mode("overwrite").parquet(fresh)
-    docs = spark.read.parquet(fresh)
-    if same:
-        stamp = ["doc_id", "size", "mtime", "content_hash", "extraction_status"]
-        unchanged = docs.select(*stamp).intersect(old.select(*stamp)).select("doc_id")
-        index = search.updated_index(search.read_index(spark, f"{version}-index"), unchanged, docs.join(unchanged, "doc_id", "left_anti"))
-    else:
-        index = search.build_index(docs)
-    search.write_index(index, f"{fresh}-index")
-    dedupe.clusters(docs, ["content_hash", "text_hash"], "path").write.mode("overwrite").parquet(f"{fresh}-clusters")
-    spark.createDataFrame([(files.SCHEMA_VERSION,)], "schema_version string").coalesce(1).write.mode("overwrite").json(f"{fresh}-about")
-    point(spark, pointer, fresh)
-    _print(counts)
-    return 0
-
-
-def _documents(spark, table: str) -> tuple[DataFrame, str]:
-    version = pointed(spark, f"{table}/current")
-    if version is None:
+    prefixes = spark.read.parquet(a.prefixes) if a.prefixes else None
+    while True:
+        held = library.opened(spark, a.table)
+        # A table of another schema version is read anew; no other error of reading it is passed over.
+        same = held.about.get("schema_version") == files.SCHEMA_VERSION
+        old = held.documents().select(*files.empty_documents(spark).columns) if same and held.segments else files.empty_documents(spark)
+        fresh, gone, counts = files.refresh_of(spark, old, where, a.retry_failed, a.limit, prefixes, live)
+        clusters = f"{a.table}/clusters/{uuid.uuid4().hex}"
+        keys = ["doc_id", "path", "content_hash", "text_hash"]
+        stay = old.select(*keys).join(fresh.select("doc_id").union(gone), "doc_id", "left_anti")
+        dedupe.clusters(written(stay.unionByName(fresh.select(*keys)), "keys"), ["content_hash", "text_hash"], "path").write.parquet(clusters)
+        try:
+            stale = gone if same or not held.segments else held.documents().select("doc_id")
+            library.changed(spark, a.table, fresh, stale, {"schema_version": files.SCHEMA_VERSION, "clusters": clusters}, held.version)
+        except library.Overtaken:
+            continue
+        _print(counts)
+        return 0
+
+
+def _library(spark, table: str) -> library.Library:
+    held = library.opened(spark, table)
+    if not held.version:
         raise SystemExit(f"there is no table at {table}")
-    return spark.read.parquet(version), version
+    return held
 
 
 def _search(spark, a) -> int:
-    docs, version = _documents(spark, a.table)
-    index, members = search.read_index(spark, f"{version}-index"), spark.read.parquet(f"{version}-clusters")
+    held = _library(spark, a.table)
+    members = spark.read.parquet(held.about["clusters"])
 
     def run() -> list:
-        hits = search.assembled(index, docs.withColumn("source_path", F.col("path")), members, a.query, a.limit, a.include_duplicates, files.availability)
+        hits = search.assembled(held, held.documents().withColumn("source_path", F.col("path")), members, a.query, a.limit, a.include_duplicates, files.availability)
         return _print(hits.orderBy("score", "document_id"), a.clip)
 
     try:
@@ -92,14 +88,14 @@ def _search(spark, a) -> int:
 def _health(spark, a) -> int:
     """Roots and whether they are there, and what the table holds."""
     where = files.Roots.from_text(a.roots)
-    docs, _ = _documents(spark, a.table)
+    docs = _library(spark, a.table).documents()
     held = docs.agg(F.count("*").alias("documents"), F.count_if(F.trim("text") != "").alias("with_text")).first()
     print(json.dumps({"roots": {r: files.exists_within(r) for r in where.roots}, **held.asDict()}))
     return 0
 
 
 def _duplicates(spark, a) -> int:
-    docs, _ = _documents(spark, a.table)
+    docs = _library(spark, a.table).documents()
     docs = docs.withColumn("source_path", F.col("path"))
     _print(dedupe.report(docs))
     _print(dedupe.samples(docs, a.samples))
@@ -183,7 +179,7 @@ def parser() -> argparse.ArgumentParser:
 
     need, number = {"required": True}, lambda n: {"type": int, "default": n}
     clip = ("--clip", {"type": int, "default": None})
-    add("refresh", _refresh, ("--roots", need), ("--exclude", {"default": ""}), ("--table", need), ("--limit", number(None)), ("--retry-failed", {"action": "store_true"}))
+    add("refresh", _refresh, ("--roots", need), ("--exclude", {"default": ""}), ("--table", need), ("--limit", number(None)), ("--retry-failed", {"action": "store_true"}), ("--prefixes", {"default": ""}))
     add("search", _search, ("--table", need), ("--query", need), ("--limit", number(20)), ("--include-duplicates", {"action": "store_true"}), ("--timeout", {"type": float, "default": 20.0}), clip)
     add("health", _health, ("--roots", need), ("--table", need))
     add("duplicates", _duplicates, ("--table", need), ("--samples", number(5)))

@@ -1,14 +1,19 @@
 """Ranked full-text search over an inverted index.
 
-The index is three tables: postings (term, doc_id, positions), stats (doc_id, len) and totals (one row).  A query reads the
-postings of its own terms only, brings them together by document, and evaluates phrases, prefixes and nearness with array
-expressions; then one small aggregate gives the document frequencies, and the score is arithmetic.
+An index gives the postings (term, doc_id, len, positions) of terms and prefixes: ``Index`` holds them for a table of the
+moment, ``library.Library`` keeps them in segments on disk.  A query reads the postings of its own terms only, brings them
+together by document, and evaluates phrases, prefixes and nearness with array expressions; document frequencies come from
+the library's dictionary where the query is of single terms, else from one small aggregate, and the score is arithmetic.
+
+The best few of a library are found without scoring all: blocks know the greatest score of a document in them, so a few
+blocks that promise most give a score to beat, and of the rest only those are read that could beat it.
 """
 
 from __future__ import annotations
 
 import functools
 import threading
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,47 +23,41 @@ from ..functions import text as T
 from ..plans import match as M
 from ..storage import written
 from .dedupe import exact_clusters, weak_hints
+from .library import Library
+
+#: Of the score: how soon frequency saturates, and how much of it length takes.
+K1, B = 1.2, 0.75
+#: Postings that are scored without asking first which blocks can matter.
+SCORE_ALL = 1 << 20
+#: Zones whose names are given to the scan as a list; more are looked up by a join.
+LISTED_ZONES = 4096
 
 
 @dataclass
 class Index:
-    """postings: term, doc_id, positions; of a written index also bucket, a hash of the term, by which they are dealt."""
+    """entries: term, doc_id, len, positions; stats: doc_id, len; totals: n, mean_len (one row)."""
 
-    postings: DataFrame
+    entries: DataFrame
     stats: DataFrame
     totals: DataFrame
-    buckets: int = 0
-
-
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """The index of docs; documents without terms are not counted."""
-    found = docs.select(F.col(key).alias("doc_id"), T.terms(F.col(text)).alias("terms"))
-    stats = found.select("doc_id", F.size("terms").cast("long").alias("len")).where("len > 0")
-    postings = found.select("doc_id", F.posexplode("terms").alias("at", "term")).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return Index(postings, stats, stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len")))
-
-
-def write_index(index: Index, folder: str, buckets: int = 64) -> None:
-    """The index as tables: postings dealt by a hash of the term and sorted by it, so a query reads few row groups."""
-    index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
-    index.totals.write.mode("overwrite").parquet(f"{folder}/totals")
-
 
-def read_index(spark, folder: str, buckets: int = 64) -> Index:
-    """A written index; a query of whole terms reads the buckets of those terms alone."""
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"), spark.read.parquet(f"{folder}/totals"), buckets)
+    def postings(self, whole: Iterable[str], prefixes: Iterable[str]) -> DataFrame:
+        wanted = F.col("term").isin(*sorted(whole)) if whole else F.lit(False)
+        for p in sorted(prefixes):
+            wanted = wanted | F.col("term").startswith(p)
+        return self.entries.where(wanted)
 
+    def vocabulary(self) -> DataFrame:
+        """term, documents, occurrences of all terms."""
+        return self.entries.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
 
-def updated_index(old: Index, unchanged: DataFrame, fresh: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """The index of a table of which the documents unchanged (doc_id) are as they were, and fresh are new or other.
 
-    Only fresh documents are taken to terms; postings and lengths of the unchanged ones are kept, all others go.
-    """
-    ids, more = unchanged.select(F.col(key).alias("doc_id")), build_index(fresh, key, text)
-    postings = old.postings.select("term", "doc_id", "positions").join(ids, "doc_id", "left_semi").select("term", "doc_id", "positions").union(more.postings.select("term", "doc_id", "positions"))
-    stats = old.stats.join(ids, "doc_id", "left_semi").union(more.stats)
-    return Index(postings, stats, stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len")))
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """The index of docs; documents without terms are not counted."""
+    found = docs.select(F.col(key).alias("doc_id"), T.terms(F.col(text)).alias("terms")).withColumn("len", F.size("terms").cast("long"))
+    stats = found.select("doc_id", "len").where("len > 0")
+    entries = found.select("doc_id", "len", F.posexplode("terms").alias("at", "term")).groupBy("term", "doc_id", "len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return Index(entries, stats, stats.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len")))
 
 
 def _needed(tree) -> tuple[set[str], set[str]]:
@@ -119,26 +118,31 @@ def _holds(tree) -> Column:
     return functools.reduce(lambda a, b: (a & b) if tree.kind == "and" else (a | b), parts)
 
 
-def _held(index: Index, tree) -> DataFrame:
-    """doc_id and `held`, the positions of the query's terms in each document that has any."""
-    whole, prefixes = _needed(tree)
-    wanted = F.col("term").isin(*sorted(whole)) if whole else F.lit(False)
-    for p in sorted(prefixes):
-        wanted = wanted | F.col("term").startswith(p)
-    postings = index.postings
-    if index.buckets and not prefixes:
-        postings = postings.where(F.array_contains(F.array(*[F.pmod(F.hash(F.lit(t)), F.lit(index.buckets)) for t in sorted(whole)]), F.col("bucket")) if whole else F.lit(False))
-    return postings.where(wanted).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("held"))
+def _held(postings: DataFrame) -> DataFrame:
+    """doc_id, len and `held`, the positions of the query's terms in each document that has any."""
+    return postings.groupBy("doc_id").agg(F.first("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("held"))
 
 
-def matches(index: Index, query: str) -> DataFrame:
+def matches(index: Index | Library, query: str) -> DataFrame:
     """doc_id of the documents that a query matches."""
     tree = M.parse_or_quote(query)
-    held = _held(index, tree if tree is not None else M.Unit(()))
+    held = _held(index.postings(*_needed(tree if tree is not None else M.Unit(()))))
     return held.where(_holds(tree) if tree is not None else F.lit(False)).select("doc_id")
 
 
-def scored(index: Index, query: str) -> DataFrame:
+def _single(unit: M.Unit) -> bool:
+    return len(unit.terms) == 1 and not unit.prefix and not unit.first
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+def _impact(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def scored(index: Index | Library, query: str) -> DataFrame:
     """doc_id and score of the documents that a query matches; lower is better.
 
     For each unit outside NOT, and once for each time it stands in the query, -idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 *
@@ -148,28 +152,99 @@ def scored(index: Index, query: str) -> DataFrame:
     tree = M.parse_or_quote(query)
     if tree is None:
         return index.stats.where(F.lit(False)).select("doc_id", F.lit(0.0).alias("score"))
+    return _scored(index, tree, index.postings(*_needed(tree)), _frequencies(index, tree))
+
+
+def _frequencies(index: Index | Library, tree) -> dict[str, int] | None:
+    """The document frequencies of a tree's terms, where a dictionary has them and single terms are all that counts."""
+    units = M.units(tree)
+    return index.frequencies(u.terms[0] for u in units) if isinstance(index, Library) and all(map(_single, units)) else None
+
+
+def _scored(index: Index | Library, tree, postings: DataFrame, frequencies: dict[str, int] | None) -> DataFrame:
     units = M.units(tree)
     distinct = list(dict.fromkeys(units))
-    counted = _held(index, tree).select("doc_id", _holds(tree).alias("holds"), *[F.size(_starts(u)).alias(f"tf{k}") if u.terms else F.lit(0).alias(f"tf{k}") for k, u in enumerate(distinct)])
-    frequencies = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
-    one = frequencies.crossJoin(index.totals)
-    rows = counted.where("holds").join(index.stats, "doc_id").crossJoin(F.broadcast(one))
+    counted = _held(postings).select("doc_id", "len", _holds(tree).alias("holds"), *[(F.size(_starts(u)) if u.terms else F.lit(0)).alias(f"tf{k}") for k, u in enumerate(distinct)])
+    if frequencies is None:
+        found = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(distinct))])
+        rows = counted.where("holds").crossJoin(F.broadcast(found.crossJoin(index.totals)))
+    else:
+        n, mean = index.counts()
+        dfs = {f"df{k}": F.lit(frequencies.get(u.terms[0], 0)) for k, u in enumerate(distinct)}
+        rows = counted.where("holds").withColumns({"n": F.lit(n), "mean_len": F.lit(mean)} | dfs)
     score = F.lit(0.0)
     for unit in units:
         k = distinct.index(unit)
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
-        tf = F.col(f"tf{k}").cast("double")
-        score = score - idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean_len")))
+        score = score - _idf(F.col("n"), F.col(f"df{k}")) * _impact(F.col(f"tf{k}").cast("double"), F.col("len"), F.col("mean_len"))
     return rows.select("doc_id", score.alias("score"))
 
 
-def top(index: Index, query: str, limit: int = 20) -> DataFrame:
-    """The `limit` best documents; equal scores by doc_id."""
-    found = scored(index, query)
+def promises(library: Library, tree, frequencies: dict[str, int]) -> DataFrame:
+    """segment, zone, bound of the zones that may hold a match of a tree of single terms: no document there scores better."""
+    units = M.units(tree)
+    n, mean = library.counts()
+    weight = {t: sum(u.terms[0] == t for u in units) for t in frequencies}
+    best = F.array_max(F.transform("peaks", lambda p: _impact(p["tf"].cast("double"), p["len"], F.lit(mean))))
+    of_term = F.coalesce(F.element_at(F.create_map(*[x for t, df in frequencies.items() for x in (F.lit(t), F.lit(float(weight[t])) * _idf(F.lit(n), F.lit(df)))]), F.col("term")), F.lit(0.0)) if frequencies else F.lit(0.0)
+    zones = library.blocks(*_needed(tree)).select("segment", "zone", "term", (best * of_term).alias("most")).groupBy("segment", "zone").agg(F.sum("most").alias("bound"), F.collect_set("term").alias("terms"))
+    return zones.where(_may_hold(tree)).select("segment", "zone", "bound")
+
+
+def _may_hold(tree) -> Column:
+    if isinstance(tree, M.Unit):
+        return F.array_contains("terms", tree.terms[0])
+    if tree.kind == "not":
+        return _may_hold(tree.parts[0])
+    return functools.reduce(lambda a, b: (a & b) if tree.kind == "and" else (a | b), map(_may_hold, tree.parts))
+
+
+def candidates(library: Library, tree, frequencies: dict[str, int], limit: int) -> DataFrame:
+    """segment, zone, bound of the zones that are enough for the best `limit` matches of a tree of single terms.
+
+    Zones are scored in the order of what they promise, first a few and then ever more, until `limit` matches are at hand;
+    all zones that promise less than the last of these can't change the result.
+    """
+    found = written(promises(library, tree, frequencies), "promises")
+    total, few = found.count(), max(4, -(-2 * limit // 64))
+    while few < total:
+        first = found.orderBy(F.desc("bound"), "segment", "zone").limit(few)
+        scores = _scored(library, tree, library.unfolded(_of_zones(library.blocks(*_needed(tree)), first)), frequencies)
+        rows = scores.orderBy("score", "doc_id").limit(limit).collect()
+        if len(rows) == limit:
+            # Sums of the same numbers in another order may differ in their last bits.
+            return found.where(F.col("bound") >= -rows[-1].score * (1 - 1e-9))
+        few *= 4
+    return found
+
+
+def _of_zones(blocks: DataFrame, zones: DataFrame) -> DataFrame:
+    """Blocks of some zones; those of a bounded number of zones are asked for by number in the scan."""
+    named = [(r.segment, r.zone) for r in zones.select("segment", "zone").limit(LISTED_ZONES + 1).collect()]
+    if len(named) <= LISTED_ZONES:
+        blocks = blocks.where(F.col("zone").isin(*sorted({z for _, z in named})))
+    return blocks.join(zones.select("segment", "zone"), ["segment", "zone"], "left_semi")
+
+
+def top(index: Index | Library, query: str, limit: int = 20, score_all: int | None = None) -> DataFrame:
+    """The `limit` best documents; equal scores by doc_id.
+
+    Of a library, a query of single terms with more than score_all postings (SCORE_ALL if not given) reads only blocks that
+    can matter; with fewer, finding those out would take longer than scoring all.
+    """
+    tree = M.parse_or_quote(query)
+    single = limit > 0 and isinstance(index, Library) and tree is not None and all(isinstance(u, M.Unit) and _single(u) for u in M.leaves(tree))
+    frequencies = _frequencies(index, tree) if single else None
+    if single and sum(frequencies.values()) > (SCORE_ALL if score_all is None else score_all):
+        zones = candidates(index, tree, frequencies, limit)
+        found = _scored(index, tree, index.unfolded(_of_zones(index.blocks(*_needed(tree)), zones)), frequencies)
+    elif single:
+        found = _scored(index, tree, index.postings(*_needed(tree)), frequencies)
+    else:
+        found = scored(index, query)
     return found.where(F.lit(False)) if limit <= 0 else found.orderBy("score", "doc_id").limit(limit)
 
 
-def top_without_duplicates(index: Index, query: str, clusters: DataFrame, limit: int = 20) -> DataFrame:
+def top_without_duplicates(index: Index | Library, query: str, clusters: DataFrame, limit: int = 20) -> DataFrame:
     """The best documents, of each cluster of copies only the representative.
 
     clusters: doc_id, representative, members.  The cut to max(10 * limit, limit + 50) candidates comes before copies are
@@ -228,7 +303,7 @@ def library_hits(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return top_without_duplicates(build_index(docs), query, exact_clusters(docs), limit)
 
 
-def assembled(index: Index, docs: DataFrame, clusters: DataFrame, query: str, limit: int = 20, include_duplicates: bool = False, available=None) -> DataFrame:
+def assembled(index: Index | Library, docs: DataFrame, clusters: DataFrame, query: str, limit: int = 20, include_duplicates: bool = False, available=None) -> DataFrame:
     """A row for each hit: document_id, title, source_root, relative_path, source_path, extension, snippet, extraction_status,
     duplicate_count, duplicate_paths, possible_duplicate_of (source_path and signals), source_available, score.
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import align, citations, dedupe, lexicon, notes, parallels, passages, runlog, search
+from .operators import align, citations, dedupe, lexicon, library, notes, parallels, passages, runlog, search
 from .sources import files
-from .storage import shared_folder, table
+from .storage import shared_folder, stamps, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,18 +60,26 @@ HAS = f"has AS (SELECT doc_id, {TERMS} AS w FROM documents)"
 _libraries: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
-    """A written index of documents and the clusters of their copies."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "index")
-    search.write_index(search.build_index(docs), folder)
-    dedupe.exact_clusters(docs).write.mode("overwrite").parquet(f"{folder}/clusters")
-    return search.read_index(spark, folder), spark.read.parquet(f"{folder}/clusters")
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[library.Library, DataFrame]:
+    """A library of documents and the clusters of their copies.
 
+    It has a history: first two thirds of the documents came, some with another text, and others that are no longer
+    there; then the rest and the texts of now.  So all searches run over two segments, one with dead documents.
+    """
+    docs, root = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_folder(spark, 'library')}/library"
+    early, other = F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 == 0
+    before = docs.where(early).withColumn("text", F.when(other, F.concat(F.lit("thing of the past "), "text")).otherwise(F.col("text")))
+    passing = docs.where((F.col("doc_id") % 50) == 0).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    library.changed(spark, root, before.unionByName(passing))
+    held = library.changed(spark, root, docs.where(~early | other), passing.select("doc_id"))
+    dedupe.exact_clusters(docs).write.mode("overwrite").parquet(f"{root}/clusters")
+    return held, spark.read.parquet(f"{root}/clusters")
 
-def _library_of(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
+
+def _library_of(spark: SparkSession, sf_dir: str) -> tuple[library.Library, DataFrame]:
     """The same, made once for each version of the table, as a refresh makes it, and read by all searches."""
     held = _libraries.setdefault(spark.sparkContext, {})
-    version = (sf_dir, *sorted(table(spark, sf_dir, "documents").inputFiles()))
+    version = (sf_dir, *stamps(spark, table(spark, sf_dir, "documents")))
     if version not in held:
         held[version] = _indexed(spark, sf_dir)
     return held[version]
@@ -156,6 +164,13 @@ def fts_bm25_topk(spark, sf_dir):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(BM25.replace("'thing'", "'the'").replace("'ing'", "'de'") + "SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM score ORDER BY score, doc_id LIMIT 5)")
+def fts_pruned_topk(spark, sf_dir):
+    """Words of very many documents; of their postings only blocks are scored that can hold one of the best."""
+    found = search.top(_library_of(spark, sf_dir)[0], "the OR de", 5, score_all=0)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(
     BM25
     + f""", {HASHED},
@@ -209,8 +224,7 @@ def fts_snippet(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS occurrences FROM tok GROUP BY term")
 def fts_vocabulary(spark, sf_dir):
-    postings = _library_of(spark, sf_dir)[0].postings
-    return postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+    return _library_of(spark, sf_dir)[0].vocabulary()
 
 
 # ---- normal forms and scans

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 from .functions import text as T
 from .operators import citations, notes, passages, runlog
 from .queries import DICTIONARY, INFO, inline, query, values
-from .sources import files
-from .storage import table
+from .sources import files, tree
+from .storage import shared_folder, table, written
 from .streaming import tables as streams
 
 # ---- sources
@@ -159,9 +159,22 @@ def snapshot_merge(spark, sf_dir):
     return change.where("change <> 'deleted'").select(F.col("path").cast("bigint").alias("id"), F.when(F.col("change") == "skipped", "old").otherwise(F.col("change")).alias("state"))
 
 
-@query("SELECT CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS added, CAST(count(*) FILTER (doc_id % 7 <> 0) AS BIGINT) AS kept, CAST(sum(n_chars) AS BIGINT) AS characters FROM documents")
+@query(
+    "WITH d AS (SELECT *, doc_id % 7 = 0 AS fresh, doc_id % 11 = 0 AND doc_id % 7 <> 0 AS gone, doc_id % 13 = 0 AND doc_id % 11 <> 0 AND doc_id % 7 <> 0 AS other FROM documents)"
+    " SELECT CAST(count(*) FILTER (fresh) AS BIGINT) AS \"new\", CAST(count(*) FILTER (other) AS BIGINT) AS changed, CAST(count(*) FILTER (NOT fresh AND NOT gone AND NOT other) AS BIGINT) AS skipped, CAST(count(*) FILTER (gone) AS BIGINT) AS deleted,"
+    " CAST(count(*) FILTER (NOT gone) AS BIGINT) AS indexed, CAST(count(*) FILTER (fresh OR other) AS BIGINT) AS written, CAST(count(*) FILTER (other OR fresh AND trim(text) <> '') AS BIGINT) AS text_extracted, CAST(0 AS BIGINT) AS error_count FROM d"
+)
 def refresh_counters(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count_if(F.col("doc_id") % 7 == 0).alias("added"), F.count_if(F.col("doc_id") % 7 != 0).alias("kept"), F.sum("n_chars").alias("characters"))
+    """Documents as files in a folder, refreshed twice: in between some came, some changed, and a subtree was left out."""
+    folder = shared_folder(spark, "tree")
+    docs, fresh, gone = table(spark, sf_dir, "documents"), F.col("doc_id") % 7 == 0, F.col("doc_id") % 11 == 0
+    named = docs.select("doc_id", F.concat(F.when(gone & ~fresh, "old/").otherwise("now/"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    tree.put(named.where(~fresh), folder)
+    old, _ = files.refreshed(spark, files.empty_documents(spark), files.Roots([folder]))
+    old = written(old, "documents")
+    tree.put(named.where(fresh | ((F.col("doc_id") % 13 == 0) & ~gone)).withColumn("text", F.when(fresh, F.col("text")).otherwise(F.concat("text", F.lit(" more")))), folder)
+    _, counts = files.refreshed(spark, old, files.Roots([folder], [f"{folder}/old"]))
+    return counts.select("new", "changed", "skipped", "deleted", "indexed", "written", "text_extracted", "error_count")
 
 
 @query("WITH p AS (SELECT event_id, user_id, ts FROM events), e AS (SELECT user_id, ts, min(event_id) AS found_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL) SELECT p.user_id, CAST(count(e.found_id) AS BIGINT) AS found FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.ts >= e.ts GROUP BY p.user_id")

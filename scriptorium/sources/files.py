@@ -125,7 +125,14 @@ def _below(paths: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: bool = False, limit: int | None = None, prefixes: DataFrame | None = None, live_roots: list[str] | None = None, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the new document table, a row of counters).
+    """(the new document table, a row of counters); all options as in ``refresh_of``."""
+    fresh, gone, counts = refresh_of(spark, old, where, retry_failed, limit, prefixes, live_roots, listing)
+    stay = old.join(fresh.select("doc_id").union(gone), "doc_id", "left_anti")
+    return stay.select(*old.columns).unionByName(fresh), counts
+
+
+def refresh_of(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: bool = False, limit: int | None = None, prefixes: DataFrame | None = None, live_roots: list[str] | None = None, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents that are new or other, doc_id of those that go, a row of counters) of a document table and what lies below its roots.
 
     Only new, changed and retried files are opened.  A document keeps its doc_id; new ones are numbered on in path order.  With
     a limit nothing is deleted.  prefixes: path, prefix put before the text for search, not for the text's hash.  live_roots: the
@@ -165,7 +172,7 @@ def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: b
     order = ranged.join(before, "range").select("path", (F.col("highest") + F.col("before") + F.col("nth") + 1).alias("given"))
     rows = numbered.drop("highest").join(order, "path", "left").withColumn("doc_id", F.coalesce("doc_id", "given").cast("long")).drop("given")
     rows = written(rows.select(*old.columns), "fresh")
-    stay = old.join(diff.where(F.col("change").isin("skipped", "kept")), "path", "left_semi")
+    gone = written(old.select("path", "doc_id").join(diff.where("change = 'deleted'"), "path", "left_semi").select("doc_id"), "gone")
     kinds = ["new", "changed", "skipped", "retried", "deleted", "kept"]
     counts = diff.agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds], F.count_if(F.col("change").isin("new", "changed", "retried")).alias("written"))
     texted = rows.agg(F.count_if(F.trim("text") != "").alias("text_extracted"), F.count_if(F.trim("text") == "").alias("metadata_only"))
@@ -174,7 +181,7 @@ def refreshed(spark: SparkSession, old: DataFrame, where: Roots, retry_failed: b
     # The first few by path, found before they are gathered.
     errors = wrong.agg(F.count("*").alias("error_count")).crossJoin(wrong.orderBy("relative_path").limit(20).agg(F.array_sort(F.collect_list(F.struct("relative_path", "error"))).alias("errors")))
     whole = counts.crossJoin(texted).crossJoin(errors).crossJoin(seen.agg(F.count("*").alias("indexed"), (F.count("*") >= F.lit(limit if limit is not None else 1 << 62)).alias("limited")))
-    return stay.select(*old.columns).unionByName(rows), whole.select(*kinds, "indexed", "written", "text_extracted", "metadata_only", "error_count", "errors", "limited")
+    return rows, gone, whole.select(*kinds, "indexed", "written", "text_extracted", "metadata_only", "error_count", "errors", "limited")
 
 
 DOCUMENTS = "doc_id long, path string, source_root string, filename string, extension string, rel_path string, size long, mtime timestamp, content_hash string, text_hash string, extraction_status string, text string"

@@ -177,3 +177,31 @@ def read(listing: DataFrame) -> DataFrame:
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], ["path", "content_hash", "text", "extraction_status"])
+
+
+def put(rows: DataFrame, folder: str) -> int:
+    """Writes each of rows (name, text) as a file below a folder, in tasks; how many there are.
+
+    A name that is there is written over; a null text makes an empty file.  A repeated attempt writes the same bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        made: set[str] = set()
+        here = local(folder)
+        store, top = (fs.LocalFileSystem(), here) if here is not None else fs.FileSystem.from_uri(folder)
+        n = 0
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                path = f"{top.rstrip('/')}/{name}"
+                parent = path.rpartition("/")[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(path, compression=None) as out:
+                    out.write((text or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select("name", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _local: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -57,22 +60,71 @@ def _path(spark: SparkSession, name: str):
     return spark._jvm.org.apache.hadoop.fs.Path(name)
 
 
-def pointed(spark: SparkSession, pointer: str) -> str | None:
-    """What a pointer file names; None only if there is no such file."""
-    where = _path(spark, pointer)
-    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
-        return None
-    return spark.read.option("wholetext", True).text(pointer).first()[0].strip()
+def stamps(spark: SparkSession, df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """(name, size, time of change) of the files that a table is read from: what tells its versions apart."""
+    conf, out = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for name in sorted(df.inputFiles()):
+        where = _path(spark, name)
+        status = where.getFileSystem(conf).getFileStatus(where)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
-def point(spark: SparkSession, pointer: str, value: str) -> None:
-    """Makes a pointer file name something, by one rename, so that a reader sees the old name or the new one."""
-    jvm, fresh = spark._jvm, _path(spark, f"{pointer}-{uuid.uuid4().hex}")
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file if there is none of its name, whole or not at all; False if there is one.
+
+    Of several writers, on whatever machines, one succeeds: a link on a local file system, a rename that doesn't overwrite
+    on another.
+    """
+    jvm, where, fresh = spark._jvm, _path(spark, path), _path(spark, f"{path}-{uuid.uuid4().hex}")
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    out = fresh.getFileSystem(conf).create(fresh)
-    out.write(value.encode())
+    store = where.getFileSystem(conf)
+    store.mkdirs(where.getParent())
+    out = store.create(fresh)
+    out.write(text.encode())
     out.close()
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.getFileSystem(conf).makeQualified(fresh).toUri(), conf)
-    context.rename(fresh, _path(spark, pointer), options)
+    target = store.makeQualified(where).toUri()
+    try:
+        if target.getScheme() == "file":
+            os.link(store.makeQualified(fresh).toUri().getPath(), target.getPath())
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target, conf).rename(fresh, where, options)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        store.delete(fresh, False)
+    return True
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """Number and text of the newest version in a folder of versions; (0, None) if there is none."""
+    where = _path(spark, folder)
+    store = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+    number = max((int(n) for n in names if re.fullmatch(r"\d{9}", n)), default=0)
+    if not number:
+        return 0, None
+    stream = store.open(_path(spark, f"{folder}/{number:09d}"))
+    try:
+        return number, bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def committed(spark: SparkSession, folder: str, change: Callable[[int, str | None], str | None], tries: int = 100) -> int:
+    """The number of the version that change(number, text of the newest version) gives; None from it commits nothing.
+
+    If another writer was first, the change is made once more, from what that one wrote: nothing is lost, and each version
+    is the last one with one change.
+    """
+    for _ in range(tries):
+        number, text = latest(spark, folder)
+        new = change(number, text)
+        if new is None or put_if_absent(spark, f"{folder}/{number + 1:09d}", new):
+            return number + (new is not None)
+    raise RuntimeError(f"no commit to {folder} in {tries} tries")

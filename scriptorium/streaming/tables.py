@@ -1,4 +1,4 @@
-"""Streams that keep tables current: the run log, and the postings of documents that arrive.
+"""Streams that keep tables current: the run log, and a library of documents that arrive.
 
 Each batch is written under its own number, so a batch that is run again after a failure replaces itself.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as T
+from ..operators import library
 from ..operators.runlog import phase_name
 
 
@@ -28,13 +28,18 @@ def hits_by_window(entries: DataFrame, width: str = "10 minutes", late: str = "1
     return entries.withWatermark("ts", late).groupBy(F.window("ts", width), "tool").agg(F.count("*").alias("entries"), F.sum("hits").alias("hits")).select(F.col("window.start").alias("start"), "tool", "entries", "hits")
 
 
-def follow_documents(spark: SparkSession, source: str, target: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
-    """Appends the postings and lengths of documents that arrive as Parquet."""
+def follow_documents(spark: SparkSession, source: str, root: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
+    """Puts documents that arrive as Parquet into a library (``operators.library``), each batch as a change of its own.
+
+    The number of the last batch stands in the library's version, so a batch that is run again after a failure changes
+    nothing.  Of several texts of one document in a batch the greatest one counts.
+    """
     schema = spark.read.parquet(source).schema
-    rows = spark.readStream.schema(schema).parquet(source).select(F.col(key).alias("doc_id"), T.terms(F.col(text)).alias("terms"))
+    rows = spark.readStream.schema(schema).parquet(source).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    mark = f"batch of {checkpoint}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.select("doc_id", F.size("terms").cast("long").alias("len")).where("len > 0").write.mode("overwrite").parquet(f"{target}/stats/batch={number}")
-        batch.select("doc_id", F.posexplode("terms").alias("at", "term")).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("at")).alias("positions")).write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
+        if library.opened(spark, root).about.get(mark, -1) < number:
+            library.changed(spark, root, batch.groupBy("doc_id").agg(F.max("text").alias("text")), about={mark: number})
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
