@@ -10,8 +10,8 @@ After the rounds (two for windows of 13 words: a window then holds the reach of
 each window of words has as its anchor, of the symbols whose reach lies in it, that of the least name.  Neighbouring windows
 mostly agree on it, so some fifth as many anchors as words stand for all windows; a window without one is its own anchor.
 Then two rounds of Spark: anchors that only one document has go; of the windows that hang on the rest, those are found that
-occur in a document with a smaller id.  The first compares names, the second 128-bit hashes of the words themselves, so what
-names alone have brought together is told apart there.  A document equal to an earlier one is settled by its top symbol.
+occur in a document with a smaller id.  The first compares keys of 64 bits, the second 128-bit hashes of all words of a window,
+made from two names of each word, so what one name has brought together is told apart there.  A document equal to an earlier one is settled by its top symbol.
 
 Anchors and windows are counted before they are shuffled and looked up by joins that adaptive execution can split, so a
 passage of a third of all documents is no one task's work.  Texts are shuffled twice, beside their own anchors and results.
@@ -20,7 +20,7 @@ passage of a third of all documents is no one task's work.  Texts are shuffled t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +31,23 @@ from pyspark.sql import functions as F
 from ._common import dropped, prepare, utf8, written
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd factors that tell the places of a window's words apart.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(32)], np.uint64)
 #: Words that are parsed together.
 _CHUNK = 1 << 18
 
 
 class _Names(dict):
-    """Names of words, made when first asked for."""
+    """Names of words, made when first asked for; other seeds give other names."""
+
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1 << 20:
             self.clear()
-        self[word] = name = xxhash.xxh64_intdigest(word)
+        self[word] = name = xxhash.xxh64_intdigest(word, self.seed)
         return name
 
 
@@ -131,24 +137,21 @@ def anchors(names: np.ndarray, window: int) -> np.ndarray:
     return key[np.cumsum(fresh) - 1]
 
 
-def _text_anchors(names: np.ndarray, window: int) -> Iterator[np.ndarray]:
-    """The keys of a text's windows, in bounded pieces; where pieces meet, what a piece can't settle is left to the windows.
+def _batch_anchors(names: np.ndarray, window: int) -> np.ndarray:
+    """The keys of all windows of texts put one behind the other, in bounded pieces.
 
-    Pieces overlap by as many words as a symbol can depend on, so that a window's anchor is the same as in a whole parse.
+    Texts and pieces need nothing between them: a window's anchor depends on the words of the window alone.
     """
-    around = 8 * window
-    n = len(names) - window + 1
-    for start in range(0, max(n, 0), _CHUNK):
-        end = min(n, start + _CHUNK)
-        low, high = max(0, start - around), min(len(names), end + window - 1 + around)
-        yield anchors(names[low:high], window)[start - low : end - low]
+    n = max(0, len(names) - window + 1)
+    return np.concatenate([np.empty(0, np.uint64), *[anchors(names[low : min(n, low + _CHUNK) + window - 1], window) for low in range(0, n, _CHUNK)]])
 
 
-def _parsed(text: bytes, window: int, names: _Names) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of a text, their names, and the anchor keys of its windows."""
-    words = text.split()
-    named = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
-    return words, named, np.concatenate([np.empty(0, np.uint64), *_text_anchors(named, window)])
+def _parsed(batch: pa.RecordBatch, window: int, names: _Names) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text of a batch, the names of all words, where each text begins among them, and the keys of all windows."""
+    words = [text.split() for text in utf8(batch.column("text"))]
+    starts = np.cumsum([0, *map(len, words)])
+    named = np.fromiter(map(names.__getitem__, chain.from_iterable(words)), np.uint64, int(starts[-1]))
+    return words, named, starts, _batch_anchors(named, window)
 
 
 def _top(named: np.ndarray) -> bytes:
@@ -166,37 +169,46 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
         for batch in batches:
-            kept, tops, keys = [], [], []
-            for k, text in enumerate(utf8(batch.column("text"))):
-                _, named, found = _parsed(text, window, names)
-                if len(found):
-                    kept.append(k)
-                    tops.append(_top(named))
-                    keys.append(np.unique(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(kept, pa.int64())), batch.column("version").take(pa.array(kept, pa.int64())), pa.array(tops, pa.binary()), _lists(keys, pa.int64())], ["doc_id", "version", "top", "keys"])
+            _, named, starts, found = _parsed(batch, window, names)
+            kept = np.flatnonzero(np.diff(starts) >= window)
+            spans = list(zip(starts[kept].tolist(), starts[kept + 1].tolist(), strict=True))
+            keys = [np.unique(found[low : high - window + 1]).view(np.int64) for low, high in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(kept)), batch.column("version").take(pa.array(kept)), pa.array([_top(named[low:high]) for low, high in spans], pa.binary()), _lists(keys, pa.int64())], ["doc_id", "version", "top", "keys"])
 
     return docs.mapInArrow(rows, "doc_id long, version long, top binary, keys array<long>")
 
 
+def _window_hash(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of the words of windows, from names of theirs."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(window):
+        out += names[at + k] * _FACTORS[k % len(_FACTORS)]
+        if k % len(_FACTORS) == len(_FACTORS) - 1:
+            out = _mixed(out)
+    return _mixed(out)
+
+
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, version, at (the window's first word), a, b (its 128-bit hash) of windows whose anchor is among `keys`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _Names()
+        names, others = _Names(), _Names(1)
         for batch in batches:
-            keys = batch.column("keys")
-            for k, text in enumerate(utf8(batch.column("text"))):
-                words, _, found = _parsed(text, window, names)
-                wanted = np.asarray(keys[k].values).view(np.uint64)
-                at = np.flatnonzero(np.isin(found, wanted))
-                for low in range(0, len(at), 1 << 14):
-                    some = at[low : low + (1 << 14)]
-                    digests = b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + window])) for p in some.tolist())
-                    pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(batch.column("doc_id")[k], len(some)), pa.repeat(batch.column("version")[k], len(some)), pa.array(some.astype(np.int32)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
-                        ["doc_id", "version", "at", "a", "b"],
-                    )
+            words, named, starts, found = _parsed(batch, window, names)
+            second = np.fromiter(map(others.__getitem__, chain.from_iterable(words)), np.uint64, len(named))
+            keys, which = batch.column("keys"), []
+            for k, (low, high) in enumerate(zip(starts.tolist(), starts[1:].tolist(), strict=False)):
+                if high - low >= window:
+                    which.append(low + np.flatnonzero(np.isin(found[low : high - window + 1], np.asarray(keys[k].values).view(np.uint64))))
+            wanted = np.concatenate([np.empty(0, np.int64), *which])
+            for low in range(0, len(wanted), 1 << 16):
+                at = wanted[low : low + (1 << 16)]
+                text = np.searchsorted(starts, at, "right") - 1
+                of = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(of), batch.column("version").take(of), pa.array((at - starts[text]).astype(np.int32)), *[pa.array(_window_hash(x, at, window).view(np.int64)) for x in (named, second)]],
+                    ["doc_id", "version", "at", "a", "b"],
+                )
 
     return docs.mapInArrow(rows, "doc_id long, version long, at int, a long, b long")
 

@@ -55,12 +55,14 @@ def test_every_window_has_an_anchor_where_no_word_repeats(words):
     assert len(set(keys.tolist())) < 0.5 * len(keys) + 5  # far fewer anchors than windows
 
 
-def test_long_texts_are_parsed_in_pieces(monkeypatch):
+def test_texts_are_parsed_together_and_in_pieces(monkeypatch):
     rng = np.random.default_rng(1)
     names = recompress._mixed(rng.integers(0, 50, 5000).astype(np.uint64))
     whole = recompress.anchors(names, 13)
     monkeypatch.setattr(recompress, "_CHUNK", 300)
-    assert (np.concatenate(list(recompress._text_anchors(names, 13))) == whole).all()
+    assert (recompress._batch_anchors(names, 13) == whole).all() and len(recompress._batch_anchors(names[:12], 13)) == 0
+    # A text's windows have the keys that they have where it stands alone.
+    assert (recompress.anchors(names[700:900], 13) == whole[700:888]).all()
 
 
 @pytest.mark.parametrize("vocabulary", [2, 40, 3000])
