@@ -43,9 +43,9 @@ WORDS = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toolbar skip tabs topbar masthead banner header hdr head logo",
     "edge": "footer foot ftr sidebar side rail widget colophon copyright legal bottom complementary contentinfo",
     "offer": "ad ads adv advert advertisement adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form search paywall disclaimer",
-    "talk": "comment comments commentlist reply replies respond disqus feedback share sharing social follow related recommended recommendations byline",
+    "talk": "comment comments commentlist reply replies respond disqus feedback share sharing social follow related recommended recommendations byline discussion reviews reader readers",
     "main": "article content main post entry story prose richtext pullquote blockquote callout inset lead abstract",
-    "everyday": "more also popular trending tags meta review reviews reader readers discussion message warning announcement note info aside text body page single blog news document copy box highlight summary",
+    "everyday": "more also popular trending tags meta review message warning announcement note info aside text body page single blog news document copy box highlight summary",
 }
 _WORD_GROUP = {w: k for k, words in enumerate(WORDS.values()) for w in words.split()}
 _GROUPS = len(WORDS)
@@ -360,7 +360,7 @@ FEATURES = [*(f"tag_{k}" for k in range(_TAGS)), *(f"word_{w}" for w in WORDS),
 class Boosted:
     """Gradient-boosted trees of fixed depth for a yes or no, by histograms of at most 32 bins."""
 
-    def __init__(self, rounds: int = 70, depth: int = 4, rate: float = 0.25, bins: int = 32, smooth: float = 20.0):
+    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.25, bins: int = 32, smooth: float = 20.0):
         self.rounds, self.depth, self.rate, self.bins, self.smooth = rounds, depth, rate, bins, smooth
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
@@ -438,10 +438,14 @@ def decode(page: Page, log_odds: list[float]) -> list[bool]:
 
 # ---- pages made up for learning
 
-PAGES, SEED = 1500, 20240101
+PAGES, SEED = 2000, 20240101
 _SYLLABLES = "an er th in on re ed ti es or en at nd st ou he sh ly ing ble qu ma lo si du va ri pe no cha ment eau sch ung keit ción ar las é ü ñ ô".split()
 
 
+#: Words that boxes of a story are named by as well as others.
+_PLAIN = [*WORDS["everyday"].split(), "chapter", "part", "section", "intro", "step", "main"]
+
+
 class _Maker:
     """Makes up pages; elements of the main text carry data-main, which is no feature."""
 
@@ -471,7 +475,10 @@ class _Maker:
         return out
 
     def links(self, n: int) -> str:
-        return "".join(f'<li><a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.randint(1, 4)))}</a></li>' for _ in range(n))
+        """Entries of a list of links; some lists end their entries with stops, as sentences and headlines do."""
+        stops = self.maybe(0.3)
+        text = lambda: " ".join(self.word() for _ in range(self.r.randint(1, 4))) + (self.r.choice(["", "", ".", ",", "!", "?"]) if stops else "")
+        return "".join(f'<li><a href="/{self.word()}">{self.sentence() if self.maybe(0.05) else text()}</a></li>' for _ in range(n))
 
     def name(self, group: str) -> str:
         """An attribute that speaks for a group, or for nothing."""
@@ -526,6 +533,36 @@ class _Maker:
         inner = self.prose(3) if tag == "p" or self.maybe(0.3) else "".join(f"<p>{self.prose(4)}</p>" for _ in range(self.r.randint(1, 3)))
         return f'<{tag} class="{word}"{mark}>{inner}</{tag}>'
 
+    def box(self, parts: list[str]) -> str:
+        """A container of a story's parts, without a name more often than not; what of it is main its parts say."""
+        kind = self.r.random()
+        word = self.r.choice(_PLAIN) if kind < 0.25 else self.r.choice(WORDS["main"].split()) if kind < 0.4 else ""
+        name = f' {self.r.choice(["class", "class", "id"])}="{word}{self.r.choice(["", "", "-text", "-1", " wide"])}"' if word else self.r.choice(["", "", "", "", f' class="{self.word()[:2]}{self.r.randint(1, 99)}"', ' class="row"'])
+        tag, inner = self.r.choice(["section", "div", "div"]), "".join(parts)
+        if self.maybe(0.05):
+            return f"<details data-main=1{name}><summary>{self.sentence(1, 6)}</summary>{inner}</details>"
+        return f"<{tag}{name}>{inner}</{tag}>"
+
+    def boxed(self, parts: list[str]) -> list[str]:
+        """A story's parts as pages build them: bare, as a lead and a body, with a box at the end, or in boxes throughout."""
+        kind, n = self.r.random(), len(parts)
+        if kind < 0.4 or n < 2:
+            return [self.box(parts)] if n < 2 and kind < 0.2 else parts
+        if kind < 0.6:
+            cut = self.r.randint(1, n - 1) if kind < 0.5 else n - self.r.randint(1, min(3, n - 1))
+            return [*parts[:cut], self.box(parts[cut:])]
+        out, bare, heads, deep = [], self.maybe(0.3), self.r.choice(["", "h2", "h3"]), self.maybe(0.25)
+        while parts:
+            size = self.r.randint(1, 4)
+            some, parts = parts[:size], parts[size:]
+            if heads and self.maybe(0.9):
+                some.insert(0, f"<{heads} data-main=1>{self.sentence(1, 7)}</{heads}>")
+            inner = self.box(some)
+            out += some if bare and self.maybe(0.4) else [self.box([inner]) if deep and self.maybe(0.5) else inner]
+        if deep and self.maybe(0.4):
+            out = [self.box(out)]
+        return out
+
     def main(self) -> str:
         mark, short = " data-main=1", self.maybe(0.4)
         parts = []
@@ -550,6 +587,7 @@ class _Maker:
         if self.maybe(0.4):
             for _ in range(self.r.randint(1, 2)):
                 parts.insert(self.r.randrange(len(parts) + 1), self.r.choice([self.offer, self.related, self.form, self.offer])())
+        parts = self.boxed(parts)
         if self.maybe(0.25):
             parts.append(self.r.choice([self.related, self.side, self.menu])())
         talk = self.maybe(0.35)

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -316,3 +317,48 @@ def test_page_table(spark):
     got = sorted(((r.page_id, r.url or "", r.text, r.n_chars) for r in html_extract.report(df).collect()))
     assert [g[:2] for g in got] == [(1, "u"), (2, ""), (2, "v"), (3, "w")] and got[0][2:] == (SAID, len(SAID)) and got[1][2:] == ("", 0)
     assert html_extract.report(df.limit(0)).collect() == []
+
+
+_STORY = {
+    "plain": [
+        "The river rose for three days, and on the fourth it left its bed and took the lower road with it.", "Nobody in the village had seen such water before. The old people spoke of a flood in their own childhood, but that one had come slowly.",
+        "When the bridge went, the two halves of the town could only shout to each other. Boats were brought from the lake.", "On the fifth day the rain stopped. Men from the county came to measure the damage, and they wrote long lists.",
+        "It took until autumn to rebuild the road, and the bridge was not open again before the next spring.", "Today a stone by the mill shows how high the water stood. Children are told to touch it, and few of them can reach the line.",
+    ],
+    "short": ["Short one.", "A second line here.", "Third thing, said plainly.", "Four words are enough.", "Five of them now.", "And the last."],
+}
+_STORY["long"] = [p * 3 for p in _STORY["plain"]]
+_AROUND = (
+    '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><header class="site-header"><h2>NOISE</h2></header>',
+    '<aside class="sidebar"><h3>NOISE</h3><ul><li><a href="/1">One link</a></li><li><a href="/2">Two links</a></li></ul></aside><div class="cookie-notice">NOISE We use cookies.</div>'
+    '<section class="comments"><h3>Comments</h3><div class="comment"><b>Jo</b><p>NOISE nice story.</p></div><div class="comment"><b>Al</b><p>NOISE I liked it.</p></div></section><footer>&copy; 2024 NOISE</footer>',
+)
+
+
+def _story_shapes(t: list[str]):
+    """(shape, inner markup) of a story of six paragraphs, built as pages build them."""
+    ps = lambda x: "".join(f"<p>{y}</p>" for y in x)
+    for tag in ("section", "div"):
+        for name in ("", ' class="chapter"', ' class="text"', ' class="body"', ' class="more"', ' class="review"', ' class="info"', ' class="message"', ' class="note"', ' class="summary"', ' class="content"', ' id="x7"'):
+            for h in ("", "<h2>A head</h2>"):
+                box = lambda x, tag=tag, name=name, h=h: f"<{tag}{name}>{h}{ps(x)}</{tag}>"
+                yield "boxes", box(t[:2]) + box(t[2:4]) + box(t[4:])
+                yield "lead and body", ps(t[:1]) + box(t[1:])
+                yield "end", ps(t[:4]) + box(t[4:])
+                yield "middle", ps(t[:2]) + box(t[2:4]) + ps(t[4:])
+                yield "nested", f"<{tag}{name}><div>{h}{ps(t[:3])}</div><div>{ps(t[3:])}</div></{tag}>"
+    yield "details at the end", ps(t[:4]) + "<details><summary>More of it</summary>" + ps(t[4:]) + "</details>"
+    yield "details in the middle", ps(t[:2]) + "<details><summary>More of it</summary>" + ps(t[2:4]) + "</details>" + ps(t[4:])
+
+
+@pytest.mark.parametrize("kind", _STORY)
+def test_articles_stay_whole_whatever_they_are_built_of(kind):
+    pages, names = [], []
+    for shape, inner in _story_shapes(_STORY[kind]):
+        for outer in ("article", "main", 'div class="content"'):
+            for before, after in (("", ""), _AROUND):
+                pages.append(f"<!DOCTYPE html><html><head><title>t</title></head><body>{before}<{outer}><h1>The title</h1>{inner}</{outer.split()[0]}>{after}</body></html>")
+                names.append((shape, outer, bool(before)))
+    texts = html_extract.extract_many(pages, html_extract.trained())
+    lost = [n for n, got in zip(names, texts, strict=True) if not all(p in got for p in _STORY[kind]) or not got.startswith("The title")]
+    assert not lost and not any("NOISE" in got for got in texts)
