@@ -227,13 +227,13 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     prepare(docs.sparkSession)
     known = _identified(docs).where("doc_id is not null")
     posted = written(_anchor_rows(known, window), "anchors")
-    tops = posted.groupBy("top").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("top", "first")
+    tops = written(posted.groupBy("top").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("top", "first"), "tops")
     copies = written(posted.select("doc_id", "version", "top").join(tops, "top").where("doc_id > first").select("doc_id", "version").distinct(), "copies")
     each = posted.select("doc_id", "version", F.explode("keys").alias("key"))
     shared = written(each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key"), "shared")
     left = each.join(shared, "key").groupBy("doc_id", "version").agg(F.collect_set("key").alias("keys"))
     candidates = written(left.join(copies, ["doc_id", "version"], "left_anti"), "candidates")
-    dropped(posted, shared)
+    dropped(posted, tops, shared)
     beside = known.join(candidates, ["doc_id", "version"]).select("doc_id", "version", "text", "keys")
     windows = written(_window_rows(beside, window), "windows")
     dropped(candidates)
