@@ -6,7 +6,6 @@ the query and in its SQL.
 
 from __future__ import annotations
 
-import unicodedata
 import weakref
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import align, citations, dedupe, lexicon, library, notes, parallels, passages, runlog, search
+from .operators import align, citations, dedupe, lexicon, library, notes, parallels, passages, search
 from .sources import files
 from .storage import shared_folder, stamps, table
 
@@ -269,14 +268,6 @@ def vault_scan(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("notes"), F.count_if(F.contains("text", F.lit("thing"))).alias("with_term"))
 
 
-NUMBERS = "('12'), ('12-15'), (' 7 x'), (''), ('x9'), ('-3'), (NULL), ('+4a')"
-
-
-@query(f"SELECT t, CASE WHEN t IS NOT NULL THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT), 0) END AS n FROM {values('t string', NUMBERS)}")
-def leading_int(spark, sf_dir):
-    return inline(spark, "t string", NUMBERS).select("t", T.leading_int(F.col("t")).alias("n"))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id BETWEEN 50 AND 400 AND coalesce(text, '') <> ''")
 def id_window_pull(spark, sf_dir):
     return passages.id_window(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), 100, 200, text="text").select(F.col("id").alias("doc_id"))
@@ -296,7 +287,7 @@ def text_hash_clusters(spark, sf_dir):
     return hashed.where("text_hash is not null").groupBy("text_hash").agg(F.count("*").alias("members"), F.min("doc_id").alias("representative")).where("members > 1")
 
 
-TWO_KEYS = "k AS (SELECT doc_id, md5(left(text, 40)) AS head, md5(right(text, 40)) AS tail FROM documents)"
+TWO_KEYS = "k AS (SELECT doc_id, md5(text) AS head, source || ' ' || lang || ' ' || length(text) AS tail FROM documents)"
 
 
 @query(
@@ -306,7 +297,7 @@ TWO_KEYS = "k AS (SELECT doc_id, md5(left(text, 40)) AS head, md5(right(text, 40
     " SELECT node AS doc_id, representative, CAST(count(*) OVER (PARTITION BY representative) AS BIGINT) AS members FROM l"
 )
 def dup_components(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.left("text", F.lit(40))).alias("head"), F.md5(F.right("text", F.lit(40))).alias("tail"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("head"), F.concat_ws(" ", "source", "lang", F.length("text").cast("string")).alias("tail"))
     return dedupe.clusters(docs, ["head", "tail"])
 
 
@@ -337,19 +328,6 @@ def dup_without_text(spark, sf_dir):
     return dedupe.candidates_without_text(_library(spark, sf_dir))
 
 
-NAMES = "('Mahā Book copy.pdf'), ('Maha_Book (copy 2).txt'), ('maha  book v2.txt'), ('Straße Version 10.md'), ('metadata.opf'), ('Cover.jpg'), ('.hidden'), ('a.b.c'), ('Title duplicate 3 ver 2.txt')"
-
-
-@query(
-    f"WITH n AS (SELECT name, trim(regexp_replace(replace(lower(strip_accents(regexp_replace(name, '(.)\\.[^./]*$', '\\1'))), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS title FROM {values('name string', NAMES)})"
-    ", k AS (SELECT name, title, trim(regexp_replace(trim(regexp_replace(title, '\\s+(?:copy|duplicate)(?:\\s+\\d+)?$', '')), '\\s+(?:v|ver|version)\\s*\\d+$', '')) AS key FROM n)"
-    " SELECT name, title, key, CASE WHEN lower(name) LIKE '%.opf' OR lower(name) LIKE '%.ini' OR key IN ('metadata', 'picasa', 'index', 'contents', 'cover', 'title') THEN '' ELSE key END AS hint FROM k"
-)
-def filename_key(spark, sf_dir):
-    n = inline(spark, "name string", NAMES)
-    return n.select("name", T.title_key(F.col("name")).alias("title"), T.name_key(F.col("name")).alias("key"), T.hint_key(F.col("name")).alias("hint"))
-
-
 @query(
     "WITH d AS (SELECT page_id, url, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+/([^/]+)', 1)) AS name FROM pages), p AS (SELECT a.page_id, b.url FROM d a JOIN d b ON a.name = b.name AND a.page_id <> b.page_id WHERE a.name <> ''),"
     " r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY url) AS n FROM p) SELECT page_id, string_agg(url, ' ' ORDER BY url) AS hints FROM r WHERE n <= 10 GROUP BY page_id"
@@ -374,41 +352,15 @@ def next_owner(spark, sf_dir):
     return passages.with_next_owner(c, "conv_id", "turn").select("conv_id", "turn", "next_owner")
 
 
-SEG = "book_code string, id long, rend string, paranum string, pali_text string, english_translation string"
-SEGMENTS = """('s0202m_mul', 1, 'book', '', 'Majjhimanikāyo', ''), ('s0202m_mul', 2, 'chapter', '', '1. Gahapativaggo', ''), ('s0202m_mul', 3, 'title', '', '10. Apaṇṇakasuttaṃ', ''),
-('s0202m_mul', 4, 'bodytext', '92', 'Evaṃ me su<pb n="1"/>taṃ', 'Thus  have I heard'), ('s0202m_mul', 5, 'bodytext', '', 'ekaṃ samayaṁ', 'one time'), ('s0202m_mul', 6, 'subhead', '', 'Vaṇṇanā', ''), ('s0202m_mul', 7, 'bodytext', '93', 'Bhagavā', 'The Blessed One'),
-('s0202m_mul', 8, 'chapter', '', '2. Bhikkhuvaggo', ''), ('s0202m_mul', 9, 'bodytext', '94', 'atha kho', 'then'), ('s0501m_mul', 1, 'chapter', '', 'Khuddakapāṭho', ''), ('s0501m_mul', 2, 'title', '', 'Saraṇattayaṃ', ''), ('s0501m_mul', 3, 'gatha', '1', 'buddhaṃ saraṇaṃ', 'refuge'),
-('s0501m_mul', 4, 'title', '', 'Dasasikkhāpadaṃ', ''), ('s0501m_mul', 5, 'gatha', '1', 'pāṇātipātā', 'precept'), ('s0501m_mul', 6, 'gatha', '2-3', 'EVAṂ ME SUTAṂ', 'again'), ('e0101n_nrf', 1, 'book', '', 'Visuddhimaggo', ''), ('e0101n_nrf', 2, 'chapter', '', '8. Anussati', ''), ('e0101n_nrf', 3, 'subhead', '', 'Maraṇassati', ''), ('e0101n_nrf', 4, 'bodytext', '176', 'maraṇaṃ', 'death')"""
-SEG_SQL = f"seg AS {values(SEG, SEGMENTS)}"
-HEADS = f"""{SEG_SQL}, h AS (SELECT *, {', '.join(f"last_value(CASE WHEN rend = '{h}' THEN id END IGNORE NULLS) OVER w AS {h}_id, last_value(CASE WHEN rend = '{h}' THEN pali_text END IGNORE NULLS) OVER w AS {h}" for h in ('chapter', 'title', 'subhead'))}
-  FROM seg WINDOW w AS (PARTITION BY book_code ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-
-
-@query(f"WITH {HEADS} SELECT book_code, id, concat_ws(' / ', chapter, CASE WHEN title_id > coalesce(chapter_id, -1) THEN title END, CASE WHEN subhead_id > greatest(coalesce(chapter_id, -1), CASE WHEN title_id > coalesce(chapter_id, -1) THEN title_id ELSE -1 END) THEN subhead END) AS sections FROM h")
-def heading_chain(spark, sf_dir):
-    return passages.with_headings(inline(spark, SEG, SEGMENTS)).select("book_code", "id", F.array_join("sections", " / ").alias("sections"))
-
-
-@query(f"WITH {SEG_SQL}, o AS (SELECT *, coalesce(nullif(paranum, ''), last_value(nullif(paranum, '') IGNORE NULLS) OVER (PARTITION BY book_code ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS owner FROM seg) SELECT book_code, id, owner FROM o WHERE contains({NORMAL.format('pali_text')}, 'evaṃ me sutaṃ') OR contains({NORMAL.format('english_translation')}, 'evaṃ me sutaṃ') OR contains({NORMAL.format('pali_text')}, 'samayaṃ') AND false")
-def canon_phrase(spark, sf_dir):
-    return passages.find_phrase(inline(spark, SEG, SEGMENTS), unicodedata.normalize("NFD", "evaṁ me  sutaṁ")).select("book_code", "id", "owner")
-
-
-@query(f"WITH {SEG_SQL} SELECT book_code, CAST(row_number() OVER (PARTITION BY book_code ORDER BY id) AS BIGINT) AS ord, near AS heading FROM (SELECT *, last_value(CASE WHEN rend IN ('chapter', 'title', 'subhead') THEN pali_text END IGNORE NULLS) OVER (PARTITION BY book_code ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM seg) WHERE TRY_CAST(regexp_extract(paranum, '^\\d+') AS BIGINT) = 1")
-def heading_candidates(spark, sf_dir):
-    return passages.heading_candidates(inline(spark, SEG, SEGMENTS), 1)
-
-
 @query(
-    "WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT max(event_type) FROM events)), e AS (SELECT user_id, ts, min(event_id) AS found_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL)"
+    "WITH p AS (SELECT event_id, user_id, ts FROM events), e AS (SELECT user_id, ts, min(event_id) AS found_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY ALL)"
     " SELECT p.event_id, e.found_id FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.ts >= e.ts"
 )
 def asof_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    ends = events.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
-    marked = events.crossJoin(F.broadcast(ends))
-    probes = marked.where("event_type = hi").select("event_id", "user_id", "ts")
-    entries = marked.where("event_type = lo").select("user_id", F.col("ts").alias("start"), F.col("event_id").alias("found_id"))
+    ends = events.agg(F.min("event_type").alias("lo"))
+    probes = events.select("event_id", "user_id", "ts")
+    entries = events.crossJoin(F.broadcast(ends)).where("event_type = lo").select("user_id", F.col("ts").alias("start"), F.col("event_id").alias("found_id"))
     return passages.nearest_earlier(probes, entries, ["user_id"], "ts", "start", [F.col("found_id")], ["found_id"]).select("event_id", "found_id")
 
 
@@ -428,79 +380,6 @@ def run_starts(spark, sf_dir):
 
 # ---- citations
 
-INFO = "book_code string, sc_code string, cst_code string, dpd_code string, dpr_code string, bjt_sutta_code string, cst_file string, cst_paranum string, cst_sutta string"
-DICTIONARY = """('MN', 'MN60', 'mn2.1.10', 'MN60', NULL, NULL, 's0202m.mul.xml', '92', '10. Apaṇṇakasuttaṃ'), ('MN', 'MN61', 'mn2.2.1', 'MN61', NULL, NULL, 's0202m.mul.xml', '107', '1. Rāhulovādasuttaṃ'), ('DN', 'DN1', 'dn1.1', 'DN1-13', NULL, NULL, 's0101m.mul.xml', '', 'Brahmajālasuttaṃ'),
-('DHP', 'DHP116-128', NULL, 'DHP9', NULL, NULL, 's0502m.mul.xml', '116', 'Pāpavaggo'), ('DHP', 'DHP90-00', NULL, 'DHP7', NULL, NULL, 's0502m.mul.xml', '90', 'Arahantavaggo'), ('AN', 'AN2.21-31', NULL, 'AN2.3', NULL, NULL, 's0402m1.mul.xml', '22', 'Bālavaggo'), ('AN', 'AN8.117-626', NULL, 'AN8.117', NULL, NULL, 's0404m1.mul.xml', '1', 'Rāgapeyyālaṃ'),
-('SN', 'SN56.27', 'sn5', 'SN56.27', NULL, NULL, 's0305m.mul.xml', '1', 'Tathasuttaṃ'), ('SN', 'SN56.28', 'sn6', 'SN56.28', NULL, NULL, 's0305m.mul.xml', '2', 'Lokasuttaṃ'), ('SN', 'SN4.8', 'sn7', 'SN4.8', NULL, NULL, 's0301m.mul.xml', '5', 'Nandatisuttaṃ'), ('SNP', 'SNP4.8', 'snp1', 'SNP48', NULL, NULL, 's0505m.mul.xml', '830', 'Pasūrasuttaṃ'),
-('TH', 'TH5', NULL, 'TH5', NULL, NULL, 's0508m.mul.xml', '5', 'Dabbattheragāthā'), ('KHP', 'KHP1', NULL, 'KHP1', NULL, NULL, 's0501m.mul.xml', '1', 'Saraṇattayaṃ')"""
-REFS = "('MN60'), ('mn 60'), ('MN999'), ('SN99.1-2'), ('Sn 4.8'), ('SN4.8'), ('Dhp 128'), ('Dhp 95'), ('Dhp 89'), ('AN2.31'), ('AN8.119'), ('SN56.27-28'), ('Thag 5'), ('Thag 591'), ('Snp 437'), ('Kp 1'), ('DN 1')"
-PROSE = """('n1', 1, 'See MN118.150 and MN 10, also `DN2.244` or https://x.org/dn2.244 there.'), ('n1', 2, 'SN 5.46.20 then SN 1.4 and Khp 5.10; Vism 3.4.5.'), ('n2', 1, 'AN1.41-50 §48, DN22.385 para 3.'), ('n2', 2, 'no reference'), ('n3', 1, 'sn 4.8 vs Sn 925, Thag 16.1 and Dhp 90-91')"""
-
-
-@query(f"SELECT note, line_no, array_to_string(regexp_extract_all(text, '(?i)\\b(?:DN|MN|SN|AN|SNP|Snp?|Dhp|Ud|Iti|Thag|Thig|Vv|Pv|Bv|Ja|Mil|Khp|Kp)\\s?(?:\\d+(?:\\.\\d+)?(?:-\\d+)?)\\b'), '|') AS refs FROM {values('note string, line_no int, text string', PROSE)}")
-def citation_extract(spark, sf_dir):
-    return inline(spark, "note string, line_no int, text string", PROSE).select("note", "line_no", F.array_join(citations.extracted(F.col("text")), "|").alias("refs"))
-
-
-@query(
-    "WITH r AS (SELECT ref, regexp_extract(replace(ref, ' ', ''), '^([A-Za-z]+)(.*)$', 1) AS p, regexp_extract(replace(ref, ' ', ''), '^([A-Za-z]+)(.*)$', 2) AS tail FROM " + values("ref string", REFS) + ")"
-    " SELECT ref, concat_ws('|', upper(p) || tail, CASE WHEN lower(p) = 'sn' AND p <> 'SN' THEN 'SNP' || tail END, CASE upper(p) WHEN 'THAG' THEN 'TH' || tail WHEN 'THIG' THEN 'THI' || tail WHEN 'KP' THEN 'KHP' || tail WHEN 'KHP' THEN 'KP' || tail END) AS candidates FROM r"
-)
-def citation_normalise(spark, sf_dir):
-    return inline(spark, "ref string", REFS).select("ref", F.array_join(citations.candidates(F.col("ref")), "|").alias("candidates"))
-
-
-VERIFY = f"""
-WITH info AS (SELECT row_number() OVER () AS k, * FROM {values(INFO, DICTIONARY)}),
-asked AS (SELECT ref, regexp_extract(replace(ref, ' ', ''), '^([A-Za-z]+)(.*)$', 1) AS p, regexp_extract(replace(ref, ' ', ''), '^([A-Za-z]+)(.*)$', 2) AS tail FROM {values('ref string', REFS)}),
-cand AS (SELECT ref, upper(p) || tail AS code FROM asked UNION SELECT ref, 'SNP' || tail FROM asked WHERE lower(p) = 'sn' AND p <> 'SN' UNION SELECT ref, 'TH' || tail FROM asked WHERE upper(p) = 'THAG' UNION SELECT ref, 'KHP' || tail FROM asked WHERE upper(p) = 'KP'),
-ends AS (SELECT ref, code AS whole, unnest([regexp_replace(code, '^([A-Z]+(?:\\d+\\.)?)(\\d+)-(\\d+)$', '\\1\\2'), regexp_replace(code, '^([A-Z]+(?:\\d+\\.)?)(\\d+)-(\\d+)$', '\\1\\3')]) AS code FROM cand WHERE regexp_matches(code, '^[A-Z]+(?:\\d+\\.)?\\d+-\\d+$')),
-codes AS (SELECT k, unnest([sc_code, cst_code, dpd_code, dpr_code, bjt_sutta_code]) AS code FROM info),
-spans AS (SELECT DISTINCT k, book_code, nullif(regexp_extract(s, '^[A-Z]+(?:(\\d+)\\.)?\\d+-\\d+$', 1), '') AS chapter, CAST(regexp_extract(s, '(\\d+)-\\d+$', 1) AS BIGINT) AS lo, regexp_extract(s, '-(\\d+)$', 1) AS e FROM (SELECT k, book_code, unnest([sc_code, dpd_code]) AS s FROM info) WHERE regexp_matches(s, '^[A-Z]+(?:\\d+\\.)?\\d+-\\d+$')),
-fixed AS (SELECT k, book_code, chapter, lo, CASE WHEN CAST(e AS BIGINT) < lo THEN CAST(e AS BIGINT) + ceil((lo - CAST(e AS BIGINT)) / 10.0 ** length(e)) * 10 ** length(e) ELSE CAST(e AS BIGINT) END AS hi FROM spans),
-wanted AS (SELECT code FROM cand UNION SELECT code FROM ends),
-exact AS (SELECT DISTINCT w.code, k FROM wanted w JOIN codes c ON w.code = c.code),
-single AS (SELECT code, CASE regexp_extract(code, '^[A-Z]+') WHEN 'THAG' THEN 'TH' WHEN 'KP' THEN 'KHP' ELSE regexp_extract(code, '^[A-Z]+') END AS book_code, nullif(regexp_extract(code, '^[A-Z]+(?:(\\d+)\\.)?\\d+$', 1), '') AS chapter, CAST(regexp_extract(code, '(\\d+)$', 1) AS BIGINT) AS n FROM wanted WHERE regexp_matches(code, '^[A-Z]+(?:\\d+\\.)?\\d+$') AND code NOT IN (SELECT code FROM exact)),
-res AS (SELECT code, k FROM exact UNION SELECT s.code, f.k FROM single s JOIN fixed f ON s.book_code = f.book_code AND s.chapter IS NOT DISTINCT FROM f.chapter AND s.n BETWEEN f.lo AND f.hi),
-byends AS (SELECT ref, whole FROM ends LEFT JOIN res USING (code) GROUP BY ref, whole HAVING count(DISTINCT CASE WHEN k IS NOT NULL THEN ends.code END) = count(DISTINCT ends.code)),
-hit AS (SELECT ref, k FROM cand JOIN res USING (code) UNION SELECT e.ref, r.k FROM byends b JOIN ends e ON b.ref = e.ref AND b.whole = e.whole JOIN res r ON e.code = r.code)
-SELECT ref, CASE WHEN count(k) > 0 THEN 'verified' WHEN (SELECT count(*) FROM cand c WHERE c.ref = a.ref AND regexp_matches(code, '^(SNP|THAG|THIG)\\d+$')) > 0 THEN 'unverifiable-form' ELSE 'rejected' END AS verdict, CAST(count(DISTINCT k) AS BIGINT) AS entries
-FROM (SELECT DISTINCT ref FROM asked) a LEFT JOIN hit USING (ref) GROUP BY ref
-"""
-
-
-@query(VERIFY)
-def citation_verify(spark, sf_dir):
-    return citations.verified(inline(spark, "ref string", REFS), inline(spark, INFO, DICTIONARY))
-
-
-@query()
-def citation_annotate(spark, sf_dir):
-    prose = inline(spark, "note string, line_no int, text string", PROSE).select(F.concat_ws(":", "note", F.col("line_no").cast("string")).alias("note"), "text")
-    return citations.annotated(prose, inline(spark, INFO, DICTIONARY))
-
-
-ASKED = "('s0202m_mul', '97'), ('s0202m_mul', '92'), ('s0202m_mul', '93-94'), ('s0202a_att', '92'), ('s0501m_mul', '1'), ('s0501m_mul', '2'), ('e0101n_nrf', '176'), ('vin01m_mul', '5'), ('dn1', '3')"
-
-
-@query(
-    "SELECT * FROM "
-    + values(
-        "book_code string, paranum string, human string, paranum_exists boolean",
-        "('s0202m_mul', '97', 'MN 02 §97 — not citable: paragraph 97 does not occur in s0202m_mul', false), ('s0202m_mul', '92', 'MN60 Apaṇṇakasuttaṃ para 92', true), ('s0202m_mul', '93-94', 'MN60 Apaṇṇakasuttaṃ para 93–94', true), ('s0202a_att', '92', 'MNa60 para 92', NULL), ('s0501m_mul', '1', 'KN 01 §1 — Khuddakapāṭho; paranum repeats per section, near: Saraṇattayaṃ / Dasasikkhāpadaṃ', true), ('s0501m_mul', '2', 'KN 01 §2 — Khuddakapāṭho, Dasasikkhāpadaṃ', true), ('e0101n_nrf', '176', 'Extra 0101 §176 (non-canonical) — Visuddhimaggo, 8. Anussati, Maraṇassati', true), ('vin01m_mul', '5', 'Vinaya 01 §5', NULL), ('dn1', '3', NULL, NULL)",
-    )
-)
-def resolve_label(spark, sf_dir):
-    return citations.labels(inline(spark, "book_code string, paranum string", ASKED), inline(spark, SEG, SEGMENTS), inline(spark, INFO, DICTIONARY))
-
-
-CODES = "('mn 10'), ('MN-10'), ('snp_4'), ('thag16'), ('sa 99'), ('x1')"
-
-
-@query(f"SELECT c, replace(replace(replace(upper(trim(c)), ' ', ''), '-', ''), '_', '') AS code, CASE upper(left(c, 2)) WHEN 'MN' THEN 'MN' WHEN 'SN' THEN 'SNP' WHEN 'TH' THEN 'THAG' WHEN 'SA' THEN 'SA' END AS family FROM {values('c string', CODES)}")
-def code_family(spark, sf_dir):
-    return inline(spark, "c string", CODES).select("c", citations.text_code(F.col("c")).alias("code")).withColumn("family", citations.family(F.col("code")))
-
 
 ALLOWED = "('trusted', 'blog.', ''), ('probationary', 'm.', 'com'), ('excluded', 'Www.', ''), ('trusted', 'www.', 'net')"
 HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
@@ -515,24 +394,6 @@ def tier_classify(spark, sf_dir):
 
 # ---- parallels and alignment
 
-UIDS = "('sn12.1-2'), ('an3.183-352'), ('an1.1-900'), ('sn5-3'), ('ea-2.1'), ('12-14'), ('dhp1-3')"
-
-
-@query(f"WITH u AS (SELECT uid, regexp_extract(uid, '^(.*?)(\\d+)-(\\d+)$', 1) AS p, TRY_CAST(regexp_extract(uid, '^(.*?)(\\d+)-(\\d+)$', 2) AS BIGINT) AS lo, TRY_CAST(regexp_extract(uid, '^(.*?)(\\d+)-(\\d+)$', 3) AS BIGINT) AS hi FROM {values('uid string', UIDS)}) SELECT uid, p || unnest(range(lo, hi + 1)) AS member FROM u WHERE regexp_matches(p, '[a-z]') AND hi > lo AND hi - lo <= 400")
-def parallels_expand(spark, sf_dir):
-    return inline(spark, "uid string", UIDS).select("uid", F.explode(parallels.members(F.col("uid"))).alias("member"))
-
-
-
-
-FILES = "('MA98', 'bdk', 'b/MA98.md'), ('MA98', 'patton', 'p/MA98.md'), ('SA1', 'patton_', 'p/SA_1.md'), ('EA2', 'other', 'x')"
-PREFERRED = "('MN10', 1, 'MA98'), ('MN10', 2, 'EA12'), ('SN1', 1, 'SA1'), ('SN1', 2, 'EA2'), ('SN1', 6, 'MA98')"
-
-
-@query(f"WITH w AS (SELECT * FROM {values('asked string, nth long, code string', PREFERRED)} WHERE nth <= 5), f AS (SELECT code, source, path, row_number() OVER (PARTITION BY code ORDER BY CASE source WHEN 'patton' THEN 1 WHEN 'patton_' THEN 2 ELSE 3 END) AS n FROM {values('code string, source string, path string', FILES)} WHERE source IN ('patton', 'patton_', 'bdk')) SELECT asked, nth, w.code, path, source AS translator FROM w LEFT JOIN f ON w.code = f.code AND n = 1")
-def preferred_translation(spark, sf_dir):
-    return parallels.preferred(inline(spark, "asked string, nth long, code string", PREFERRED), inline(spark, "code string, source string, path string", FILES))
-
 
 def _conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").distinct()
@@ -544,16 +405,6 @@ def align_locate(spark, sf_dir):
     return align.located(_conversation_segments(spark, sf_dir), "Thing").groupBy("uid").agg(F.count("*").alias("segments"))
 
 
-LINES = "('root', '', 'mn1', 'mn1', 'mn1:1.1', 1, 'a', 'Evaṁ me sutaṁ'), ('root', '', 'mn1', 'mn1', 'mn1:1.2', 2, 'a', 'ekaṁ samayaṁ'), ('root', '', 'dhp273-289', 'dhp277', 'dhp277:1', 1, 'b', 'Sabbe saṅkhārā'), ('root', '', 'dhp273-289', 'dhp278', 'dhp278:1', 2, 'b', 'Sabbe dukkhā'), ('translation', 'sujato', 'mn1', 'mn1', 'mn1:1.1', 1, 'c', 'So I have heard. '), ('translation', 'sujato', 'mn1', 'mn1', 'mn1:1.2', 2, 'c', ' '), ('translation', 'thanissaro', 'dhp273-289', 'dhp277', 'dhp277:1', 1, 'd', 'All fabrications')"
-SEGMENT_COLUMNS = "kind string, author string, file_stem string, uid string, seg_key string, line_no int, path string, text string"
-
-
-@query("SELECT * FROM " + values("label string, text string", "('**Pāḷi**', 'Evaṁ me sutaṁ … ekaṁ samayaṁ'), ('Sujato (Bilara)', 'So I have heard.')"))
-def align_segments(spark, sf_dir):
-    lines = inline(spark, SEGMENT_COLUMNS, LINES)
-    return align.renderings(lines, align.located(lines, "a"), "mn1")
-
-
 # ---- dictionaries
 
 
@@ -562,29 +413,6 @@ def headword_prefix(spark, sf_dir):
     return lexicon.headwords(table(spark, sf_dir, "part"), "SMALL", "p_name").select("p_partkey", "p_name")
 
 
-FORMS = "('dhammassa', '[3, 1]'), ('buddho', '[2]'), ('x', '[]')"
-LEMMAS = "(1, 'dhamma 1', 'dhar'), (2, 'buddha', 'budh'), (3, 'dhamma 2', 'none')"
-
-
-@query(f"SELECT form, id, lemma_1 FROM (SELECT lookup_key AS form, unnest(CAST(headwords AS BIGINT[])) AS id FROM {values('lookup_key string, headwords string', FORMS)}) JOIN {values('id long, lemma_1 string, root_key string', LEMMAS)} USING (id)")
-def inflection_lookup(spark, sf_dir):
-    forms = inline(spark, "lookup_key string, headwords string", FORMS)
-    return lexicon.inflected(forms, inline(spark, "form string", "('dhammassa'), ('buddho'), ('x')"), inline(spark, "id long, lemma_1 string, root_key string", LEMMAS)).select("form", "id", "lemma_1")
-
-
-@query(f"SELECT id, root_key, meaning FROM {values('id long, lemma_1 string, root_key string', LEMMAS)} LEFT JOIN (VALUES ('dhar', 'hold'), ('budh', 'wake')) r(root_key, meaning) USING (root_key)")
-def root_lookup(spark, sf_dir):
-    return lexicon.with_root(inline(spark, "id long, lemma_1 string, root_key string", LEMMAS), inline(spark, "root_key string, meaning string", "('dhar', 'hold'), ('budh', 'wake')")).select("id", "root_key", "meaning")
-
-
-BOOKS = "('s0101m.mul', 'Sīlakkhandhavagga', 'dn1', 'DN'), ('s0102m.mul', 'Mahāvagga', 'dn2', 'DN'), ('s0101a.att', 'Sīla-a', 'dna1', 'DNa')"
-
-
-@query(f"SELECT asked, replace(f, '.', '_') AS cst_table FROM (VALUES ('s0101m_mul'), ('DN'), ('Mahāvagga'), ('dna1'), ('zz')) a(asked) JOIN (SELECT f, unnest([f, n, g, d]) AS code FROM (VALUES {BOOKS}) b(f, n, g, d)) ON code = CASE WHEN asked LIKE '%\\_mul' ESCAPE '\\' THEN replace(asked, '_mul', '.mul') ELSE asked END")
-def code_translate(spark, sf_dir):
-    return lexicon.books(inline(spark, "asked string", "('s0101m_mul'), ('DN'), ('Mahāvagga'), ('dna1'), ('zz')"), inline(spark, "cst_filename string, cst_book_name string, gui_book_code string, dpd_book_code string", BOOKS)).select("asked", "cst_table")
-
-
 @query("SELECT lang, source, CAST(count(*) AS BIGINT) AS documents FROM documents GROUP BY ALL")
 def tag_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("documents"))
@@ -616,35 +444,9 @@ def snapshot_diff(spark, sf_dir):
     return files.changes(old, new, retry_failed=True).groupBy("change").agg(F.count("*").alias("files"))
 
 
-LOG = "run string, seq long, phase string, kind string, tool string, hits int, payload string"
-ENTRIES = "('a', 1, '0', 'gate', NULL, NULL, NULL), ('a', 2, '1', 'entry', 'search', 3, 'found'), ('a', 3, '1', 'gate', NULL, NULL, NULL), ('a', 4, '2', 'entry', 'grep', 0, 'The vault would be searched here'), ('a', 5, '2', 'gate', NULL, NULL, NULL), ('a', 6, '2.5', 'skip', NULL, NULL, NULL), ('a', 7, '3', 'gate', NULL, NULL, NULL), ('b', 1, '0', 'gate', NULL, NULL, NULL), ('b', 2, '1', 'entry', 'x', 1, 'would searching still be found')"
-RUNS = "('a', 'thematic', ''), ('b', 'sutta', 'has [REJECTED x] in it'), ('c', 'sutta', '')"
-
-
-@query("WITH g AS (SELECT * FROM (VALUES ('a', '0'), ('a', '1'), ('a', '2'), ('a', '2.5'), ('a', '3'), ('b', '0')) t(run, phase)) SELECT run, phase FROM (VALUES ('a'), ('b'), ('c')) r(run), (VALUES ('0'), ('1'), ('2'), ('2.5'), ('3'), ('3b'), ('4'), ('4b'), ('4c'), ('5'), ('6'), ('7')) p(phase) WHERE (run, phase) NOT IN (SELECT (run, phase) FROM g)")
-def missing_gates(spark, sf_dir):
-    return runlog.missing_gates(inline(spark, LOG, ENTRIES), inline(spark, "run string, run_class string, note_text string", RUNS))
-
-
-NOTE_ROWS = """('good', 1, '---'), ('good', 2, 'tool: "https://example.org/tool"'), ('good', 3, 'agent: someone'), ('good', 4, 'topic: plain topic'), ('good', 5, 'canon_refs:'), ('good', 6, '  - MN 10'), ('good', 7, 'web_refs:'), ('good', 8, '- https://x.org/a'), ('good', 9, '---'), ('good', 10, '## Question'), ('good', 11, '## Findings'), ('good', 12, '## Canon Evidence (T1)'), ('good', 13, '> quoted [^1]'), ('good', 14, '## Sources Investigated, Not Used'), ('good', 15, '## Critical Gaps'), ('good', 16, '## Bibliography'), ('good', 17, '---'), ('good', 18, '[^1]: source'),
-('bad', 1, '---'), ('bad', 2, 'tool: other'), ('bad', 3, 'topic: a: b'), ('bad', 4, 'web_refs:'), ('bad', 5, '- https://x.org a note'), ('bad', 6, 'library_refs:'), ('bad', 7, '- Book: part'), ('bad', 8, '---'), ('bad', 9, '## Question'), ('bad', 10, '## Pali Evidence (T1)'), ('bad', 11, 'a[^1] b[^2] c[^3]'), ('bad', 12, '[^1]: early'), ('bad', 13, 'MN 1 [REJECTED]'), ('bad', 14, '## Critical Gaps'), ('bare', 1, '## Question')"""
-
-
-@query(
-    "SELECT * FROM "
-    + values(
-        "note string, code string, line long, severity string",
-        "('bad', 'invalid-tool', 2, 'error'), ('bad', 'missing-agent', 1, 'error'), ('bad', 'invalid-topic', 3, 'error'), ('bad', 'invalid-web-ref', 5, 'error'), ('bad', 'invalid-library-ref', 7, 'error'), ('bad', 'rejected-citation', 13, 'error'), ('bad', 'missing-section', 9, 'error'), ('bad', 'missing-section', 9, 'error'), ('bad', 'missing-section', 9, 'error'), ('bad', 'missing-canon-ref', 1, 'error'), ('bad', 'invalid-footnote-placement', 12, 'error'), ('bad', 'under-quoted-evidence', 9, 'error'),"
-        "('bare', 'missing-frontmatter', 1, 'error'), ('bare', 'missing-section', 1, 'error'), ('bare', 'missing-section', 1, 'warning'), ('bare', 'missing-section', 1, 'error'), ('bare', 'missing-section', 1, 'error'), ('bare', 'missing-section', 1, 'error')",
-    )
-)
-def note_issues(spark, sf_dir):
-    return notes.issues(inline(spark, "note string, line_no long, text string", NOTE_ROWS), "https://example.org/tool")
-
-
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(TRY_CAST(props AS JSON)) AS BIGINT) AS readable FROM events GROUP BY event_type")
 def event_json(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.try_parse_json("props")).alias("readable"))
 
 
-from . import queries_derived, queries_small  # noqa: E402, F401  register their queries
+from . import queries_derived, queries_small, queries_tables  # noqa: E402, F401  register their queries

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import citations, notes, passages, runlog
-from .queries import DICTIONARY, INFO, inline, query, values
+from .operators import notes, passages, runlog
+from .queries import query
 from .sources import files, tree
 from .storage import shared_folder, table, written
 from .streaming import tables as streams
@@ -44,19 +44,6 @@ def segment_texts(spark, sf_dir):
 # ---- predicates and sets
 
 
-@query(f"SELECT dpd_code FROM {values(INFO, DICTIONARY)} WHERE 'DN1' IN (sc_code, cst_code, dpd_code, dpr_code, bjt_sutta_code) OR 'sn6' IN (sc_code, cst_code, dpd_code, dpr_code, bjt_sutta_code)")
-def five_code_lookup(spark, sf_dir):
-    d = inline(spark, INFO, DICTIONARY)
-    asked = inline(spark, "code string", "('DN1'), ('sn6')")
-    codes = d.select("dpd_code", F.explode(F.array_distinct(F.array(*citations.CODES))).alias("code"))
-    return codes.join(asked, "code", "left_semi").select("dpd_code").distinct()
-
-
-@query(f"SELECT dpd_code FROM {values(INFO, DICTIONARY)} WHERE lower(cst_file) LIKE '%s0202m.mul%'")
-def file_containment(spark, sf_dir):
-    return inline(spark, INFO, DICTIONARY).where(F.contains(F.lower("cst_file"), F.lit("S0202M.mul".lower()))).select("dpd_code")
-
-
 @query("SELECT doc_id FROM documents WHERE contains(concat_ws(' ', lang, source, text), 'src7 ') AND lang = 'en'")
 def theme_grep(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.contains(F.concat_ws(" ", "lang", "source", "text"), F.lit("src7 ")) & (F.col("lang") == "en")).select("doc_id")
@@ -89,14 +76,6 @@ def capped_lists(spark, sf_dir):
     return ids.join(total, "source").select("source", F.concat(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), more).alias("shown"))
 
 
-NUMBERED = "('10', 1), ('9-11', 2), ('', 3), ('2', 4), ('x', 5), ('100', 6)"
-
-
-@query(f"SELECT paranum, id FROM {values('paranum string, id int', NUMBERED)} ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(paranum, '^\\d+'), '') AS BIGINT), 0), id LIMIT 4")
-def numeric_text_order(spark, sf_dir):
-    return inline(spark, "paranum string, id int", NUMBERED).orderBy(T.leading_int(F.col("paranum")), "id").limit(4)
-
-
 @query("SELECT DISTINCT ON (text) doc_id, md5(text) AS text_md5 FROM documents ORDER BY text, doc_id")
 def first_of_each(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.md5("text").alias("text_md5"))
@@ -104,14 +83,6 @@ def first_of_each(spark, sf_dir):
 
 # ---- scalar functions
 
-SCALARS = "('Evaṃ ME sutaṂ'), ('10. Apaṇṇakasuttaṃ'), ('a/b/File.Name.TXT'), (''), ('.hidden'), ('3 . x')"
-
-
-@query(f"SELECT t, replace(replace(t, 'ṃ', 'ṁ'), 'Ṃ', 'Ṁ') AS above, trim(regexp_replace(t, '^\\d+\\.\\s+', '')) AS plain, regexp_extract(t, '([^/]*)$', 1) AS name, lower(regexp_extract(regexp_extract(t, '([^/]*)$', 1), '.(\\.[^./]+)$', 1)) AS suffix, upper(t) AS upper FROM {values('t string', SCALARS)}")
-def scalar_forms(spark, sf_dir):
-    t = F.col("t")
-    return inline(spark, "t string", SCALARS).select("t", T.dotted_above(t).alias("above"), T.without_ordinal(t).alias("plain"), T.file_name(t).alias("name"), T.suffix(T.file_name(t)).alias("suffix"), F.upper("t").alias("upper"))
-
 
 @query("SELECT doc_id, CAST(json_object('id', doc_id, 'lang', lang) AS VARCHAR) AS json FROM documents")
 def json_rows(spark, sf_dir):

@@ -33,11 +33,27 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/scriptorium-{sc.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder and read back: lineage ends there."""
-    path = shared_folder(df.sparkSession, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df, written as a table in the shared folder and read back: lineage ends there.
+
+    What was shuffled to make them is of no more use, so Spark is told to delete it at once and not when the driver
+    happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out
 
