@@ -118,19 +118,19 @@ def groups(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: int =
     return marked.join(whole, marked.fp == whole["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_fingerprint(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """docs (any columns, text among them) with the fingerprint of each row as __fp."""
+def _with_fingerprint(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """rows (id, row: a struct with text in it) with the fingerprint of each as fp."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, shingle, seed) for x in utf8(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+            found = np.array([fingerprint(x, shingle, seed) for x in utf8(batch.column("row").field("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: int = 32) -> DataFrame:
-    """docs (any columns) without the near copies: of each component one row stays, that with the least doc_id.
+    """docs (any columns, whatever their names) without the near copies: of each component one row stays, that with the least doc_id.
 
     Of several rows of a component with that id, the one with the least text stays; rows that share an id but not a
     component are not each other's copies.  Of a component in which no row has an id, the row with the least text stays.
@@ -139,24 +139,22 @@ def deduplicate(docs: DataFrame, shingle: int = 3, seed: int = 42, list_limit: i
     size check to broadcast.
     """
     marked, whole = _grouped(docs, shingle, seed, list_limit)
-    ids = written(marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id")), "repeated")
-    gone = marked.join(whole, marked.fp == whole["of"]).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    named = ids.where("__id is not null")
+    ids = written(marked.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("id")), "repeated")
+    gone = marked.join(whole, marked.fp == whole["of"]).where("doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    named = ids.where("id is not null")
     out = written(gone.union(named), "gone")
-    kept = docs.where("doc_id is not null").join(out, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if ids.isEmpty():
-        return kept
-    # Rows that an id doesn't name are told apart by their fingerprints, made anew for these rows alone.
-    unclear = docs.where("doc_id is null")
-    if not named.isEmpty():
-        unclear = unclear.unionByName(docs.join(named, F.col("doc_id") == F.col("__id"), "left_semi"))
-    columns = [F.col(c) for c in docs.columns]
-    # Types that hold maps or variants have no order; those columns go by their JSON.
-    order = [F.to_json(F.struct(f.name)).alias(f.name) if re.search(r"\b(map<|variant)", f.dataType.simpleString()) else F.col(f.name) for f in docs.schema if f.name != "text"]
-    least = (
-        _with_fingerprint(unclear, shingle, seed)
-        .join(whole, (F.col("__fp") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("label")
-        .agg(F.min_by(F.struct(*columns), F.struct("text", *order)).alias("row"))
-    )
-    return kept.unionByName(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+    # A row is one struct from here on, so that no name of its columns can meet one of these.
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = held.where("id is not null").join(out, "id", "left_anti").select("row")
+    if not ids.isEmpty():
+        # Rows that an id doesn't name are told apart by their fingerprints, made anew for these rows alone.
+        unclear = held.where("id is null")
+        if not named.isEmpty():
+            unclear = unclear.unionByName(held.join(named, "id", "left_semi"))
+        # Types that hold maps or variants have no order; those columns go by their JSON.
+        value = lambda f: F.col("row").getField(f.name)
+        order = [F.to_json(F.struct(value(f).alias(f.name))) if re.search(r"\b(map<|variant)", f.dataType.simpleString()) else value(f) for f in docs.schema if f.name != "text"]
+        ranked = _with_fingerprint(unclear, shingle, seed).join(whole, (F.col("fp") == F.col("of")) & F.col("id").eqNullSafe(F.col("component_id")))
+        keys = F.struct(F.col("row").getField("text").alias("k"), *[o.alias(f"k{n}") for n, o in enumerate(order)])
+        kept = kept.unionByName(ranked.groupBy("label").agg(F.min_by("row", keys).alias("row")).select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

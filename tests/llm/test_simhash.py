@@ -128,3 +128,12 @@ def test_tally_says_how_many_bytes_are_shared(a, flips):
     alike = {k for k in range(8) if a >> 8 * k & 255 == b >> 8 * k & 255}
     tally = sum(set(key) <= alike for key in simhash._KEYS)
     assert len(simhash._KEYS) == 14 and (tally >= simhash.LEAST_TALLY) == (len(alike) >= 6)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["label", "__gone", "__fp", "__id", "of", "id", "row", "fp", "node", "least_id", "component_id", "n", "k"]
+    rows = [(1, "one two three four", "en"), (2, "one two three four", "en"), (None, "a b c d", "x"), (None, "a b c d", "y"), (5, "z z z", "p"), (5, "other words here now", "q"), (5, "other words here now", "r"), (7, None, "n"), (8, "", "n")]
+    docs = spark.createDataFrame([(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(rows)], "doc_id long, text string, lang string" + "".join(f", {n} string" for n in names))
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.label) for r in kept.collect()) == [(0, "a b c d", "label2"), (1, "one two three four", "label0"), (5, "other words here now", "label5"), (5, "z z z", "label4"), (7, "", "label7")]
