@@ -17,19 +17,24 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import align, citations, dedupe, library, notes, parallels, passages, runlog, search
 from .sources import files
-from .storage import written
+from .storage import latest, written
 
 
 def _session() -> SparkSession:
     return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+#: What the command that runs now has printed, for its entry in a log.
+_said: list[list] = []
+
+
 def _print(df: DataFrame, most: int | None = None) -> list:
     """Prints rows as a JSON list; `most` clips long texts."""
     if most is not None:
         df = df.select(*[T.clipped_values(F.col(f"`{f.name}`"), f.dataType, most).alias(f.name) for f in df.schema])
     rows = [json.loads(x) for x in df.toJSON().collect()]
     print(json.dumps(rows, ensure_ascii=False, indent=1))
+    _said.append(rows)
     return rows
 
 
@@ -160,15 +165,85 @@ def _align(spark, a) -> int:
     return 0
 
 
+def _log_of(spark, path: str) -> DataFrame:
+    return runlog.stored(spark, path) if latest(spark, f"{path}/versions")[0] else spark.read.parquet(path)
+
+
+def _entry(spark, run: str, phase: str, kind: str, tool: str | None = None, payload: str | None = None, args: str | None = None, hits: int | None = None, pinned: bool = True) -> DataFrame:
+    return spark.createDataFrame([(run, 1, phase, kind, tool, args, hits, payload, pinned)], runlog.LOG)
+
+
+def _log_start(spark, a) -> int:
+    """Header fields of a new run; with all of them its first phase is closed.  A run that is there is left as it is."""
+    head = spark.createDataFrame([(a.run_name, k + 1, "0", "header", f, None, None, v, True) for k, (f, v) in enumerate(x.split("=", 1) for x in a.fields)], runlog.LOG)
+    runlog.store(spark, a.log, lambda log: runlog.started(log, head).join(log.select("run").distinct(), "run", "left_anti"))
+    return 0
+
+
+def _log_add(spark, a) -> int:
+    runlog.store(spark, a.log, _entry(spark, a.run_name, a.phase, a.kind, a.tool, a.payload))
+    return 0
+
+
+def _log_gate(spark, a) -> int:
+    """Closes a phase, if what comes before it is there; of a thematic run the phases that it skips are marked so."""
+    log = _log_of(spark, a.log)
+    runs = spark.createDataFrame([(a.run_name, a.run_class, a.note)], "run string, run_class string, note_text string")
+    (row,) = _print(runlog.gate_checks(spark.createDataFrame([(a.run_name, a.phase)], "run string, phase string"), log, runs))
+    if not row["ok"]:
+        return 1
+    phase = row["phase"]
+
+    def entries(now: DataFrame) -> DataFrame:
+        closed = {r.phase for r in runlog.gates(now).where(F.col("run") == a.run_name).collect()}
+        at = runlog.PHASES.index(phase)
+        marks = [(p, "skip") for p in runlog.SKIPPED if a.run_class == "thematic" and runlog.PHASES.index(p) < at and p not in closed] + [(phase, "gate")] * (phase not in closed)
+        return spark.createDataFrame([(a.run_name, k, p, kind, None, None, None, None, True) for k, (p, kind) in enumerate(marks)], runlog.LOG)
+
+    runlog.store(spark, a.log, entries)
+    return 0
+
+
+def _log_verify(spark, a) -> int:
+    log = _log_of(spark, a.log).where(F.col("run") == a.run_name)
+    missing = _print(runlog.missing_gates(log, spark.createDataFrame([(a.run_name,)], "run string")))
+    return 1 if _print(runlog.content_issues(log)) or missing else 0
+
+
+def _log_audit(spark, a) -> int:
+    answers = spark.createDataFrame([(a.run_name, k, x) for k, x in enumerate(a.answers)], "run string, at long, answer string")
+    log = _log_of(spark, a.log)
+    (row,) = _print(runlog.audits(log, answers))
+    if row["recorded"]:
+        runlog.store(spark, a.log, lambda now: runlog.audited(now, answers).join(now.select("run", "seq"), ["run", "seq"], "left_anti"))
+    return 0 if row["ok"] else 1
+
+
+def _log_which(spark, a) -> int:
+    (row,) = _print(runlog.named(spark.createDataFrame([(a.slug,)], "slug string"), _log_of(spark, a.log).select("run").distinct()))
+    return 0 if row.get("run") else 1
+
+
 def _resume(spark, a) -> int:
-    log = spark.read.parquet(a.log)
+    log = _log_of(spark, a.log)
     runs = log.select("run").distinct().withColumn("run_class", F.lit(a.run_class))
     _print(runlog.resumed(log, runs))
     return 1 if _print(runlog.content_issues(log)) else 0
 
 
+def _logged(spark, a, argv: list[str]) -> None:
+    """An entry for a command that names a log and a run: its phase, or the one that the run has come to."""
+    log = _log_of(spark, a.into_log)
+    rows = [r for part in _said for r in part]
+    at = a.into_phase or (log.where((F.col("run") == a.into_run) & (F.col("kind") != "header")).orderBy(F.desc("seq")).select("phase").first() or ["?"])[0]
+    runlog.store(spark, a.into_log, _entry(spark, a.into_run, at, "entry", a.command, json.dumps(rows, ensure_ascii=False)[:20_000], " ".join(argv), len(rows), bool(a.into_phase)))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="scriptorium", description=__doc__)
+    p.add_argument("--into-log", help="log that gets an entry of this call")
+    p.add_argument("--into-run")
+    p.add_argument("--into-phase")
     sub = p.add_subparsers(dest="command", required=True)
 
     def add(name, run, *options):
@@ -192,13 +267,28 @@ def parser() -> argparse.ArgumentParser:
     add("grep", _grep, ("needle", {}), ("path", {}), ("--folder", {"default": ""}), ("--suffix", {"default": ".md"}), ("--limit", number(50)))
     add("parallels", _parallels, ("--groups", need), ("uid", {}))
     add("align", _align, ("--segments", need), ("--phrase", need), ("--in", {"dest": "scope", "default": None}))
+    run = ("--run-name", need)
+    add("log-start", _log_start, ("--log", need), run, ("fields", {"nargs": "+"}))
+    add("log", _log_add, ("--log", need), run, ("--phase", need), ("--tool", {"default": None}), ("--kind", {"choices": ["entry", "note"], "default": "entry"}), ("payload", {}))
+    add("gate", _log_gate, ("--log", need), run, ("--run-class", {"default": "sutta"}), ("--note", {"default": ""}), ("phase", {}))
+    add("verify", _log_verify, ("--log", need), run)
+    add("self-audit", _log_audit, ("--log", need), run, ("answers", {"nargs": "+"}))
+    add("which", _log_which, ("--log", need), ("slug", {}))
     add("resume", _resume, ("--log", need), ("--run-class", {"default": "sutta"}))
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
-    return a.run(_session(), a)
+    argv = sys.argv[1:] if argv is None else argv
+    a, spark = parser().parse_args(argv), _session()
+    _said.clear()
+    code = a.run(spark, a)
+    if a.into_log and a.into_run and a.command not in runlog.UNLOGGED:
+        try:
+            _logged(spark, a, argv)
+        except Exception as e:  # noqa: BLE001  what a command has found stands, whether or not it could be logged
+            print(f"not logged: {e}", file=sys.stderr)
+    return code
 
 
 if __name__ == "__main__":

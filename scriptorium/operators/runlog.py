@@ -5,10 +5,16 @@ log: run, seq (order), phase, kind ('header', 'entry', 'note', 'gate', 'skip', '
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import committed, latest
+
 # The phases in order, those left out of thematic runs, those that need evidence, and what counts as none.
 PHASES = ("0", "1", "2", "2.5", "3", "3b", "4", "4b", "4c", "5", "6", "7")
 SKIPPED = ("2.5", "3b")
@@ -105,12 +111,52 @@ def started(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(fresh, allowMissingColumns=True).unionByName(gate, allowMissingColumns=True)
 
 
-def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
-    """log and entries behind it: each run's entries are numbered on from its last, in the order of their own seq."""
+def numbered(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """entries as they stand behind log: each run's are numbered on from its last, in the order of their own seq."""
     last = log.groupBy("run").agg(F.max("seq").alias("__last"))
     nth = F.row_number().over(Window.partitionBy("run").orderBy("seq"))
-    numbered = entries.join(last, "run", "left").withColumn("seq", (F.coalesce("__last", F.lit(0)) + nth).cast("long")).drop("__last").withColumn("phase", phase_name(F.col("phase")))
-    return log.unionByName(numbered, allowMissingColumns=True)
+    return entries.join(last, "run", "left").withColumn("seq", (F.coalesce("__last", F.lit(0)) + nth).cast("long")).drop("__last").withColumn("phase", phase_name(F.col("phase")))
+
+
+def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """log and entries behind it, ``numbered``."""
+    return log.unionByName(numbered(log, entries), allowMissingColumns=True)
+
+
+LOG = "run string, seq long, phase string, kind string, tool string, args string, hits long, payload string, pinned boolean"
+#: Files that a stored log has before they are made one.
+MOST_FILES = 32
+
+
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of a log that ``store`` keeps; without rows if there is none."""
+    return _of_files(spark, json.loads(latest(spark, f"{root}/versions")[1] or "[]"))
+
+
+def _of_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.read.schema(LOG).parquet(*files) if files else spark.createDataFrame([], LOG)
+
+
+def store(spark: SparkSession, root: str, entries: DataFrame | Callable[[DataFrame], DataFrame]) -> int:
+    """Puts entries behind a stored log, as a version of its own; the number of that version.
+
+    entries: rows, or a function of the log that gives them.  Each append is a file; a version names the files of the log.
+    An append that another one has overtaken is numbered once more behind it, so no entry is lost and no number given twice.
+    """
+
+    def change(_: int, text: str | None) -> str:
+        files = json.loads(text or "[]")
+        log = _of_files(spark, files)
+        rows = entries(log) if callable(entries) else entries
+        columns = [F.col(c.split()[0]) if c.split()[0] in rows.columns else F.lit(None).alias(c.split()[0]) for c in LOG.split(", ")]
+        rows = spark.createDataFrame([], LOG).unionByName(numbered(log, rows.select(*columns)))
+        if len(files) >= MOST_FILES:
+            rows, files = log.unionByName(rows).coalesce(1), []
+        path = f"{root}/entries/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return json.dumps([*files, path])
+
+    return committed(spark, f"{root}/versions", change)
 
 
 def audits(log: DataFrame, answers: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import json
+import threading
 
 from scriptorium import cli
+from scriptorium.operators import runlog
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -49,3 +51,49 @@ def test_commands(spark, tmp_path, capsys):
     info = str(tmp_path / "info")
     spark.createDataFrame([("MN", "MN60", None, "MN60", None, None, "s0202m.mul.xml", "92", "x")], "book_code string, sc_code string, cst_code string, dpd_code string, dpr_code string, bjt_sutta_code string, cst_file string, cst_paranum string, cst_sutta string").write.parquet(info)
     assert run("verify-citation", "--dictionary", info, "MN60")[0] == 0 and run("verify-citation", "--dictionary", info, "Snp 437")[0] == 2 and run("verify-citation", "--dictionary", info, "MN99")[0] == 1
+
+
+def test_log_commands(spark, tmp_path, capsys):
+    log = str(tmp_path / "log")
+    (tmp_path / "a.txt").write_text("alpha\nbeta alpha\n")
+
+    def run(*argv):
+        code = cli.main(list(argv))
+        return code, capsys.readouterr().out
+
+    head = [f"{f}=x" for f in runlog.HEADER_FIELDS]
+    assert run("log-start", "--log", log, "--run-name", "2024-01-02-r", *head)[0] == 0
+    assert run("log-start", "--log", log, "--run-name", "2024-01-02-r", *head)[0] == 0
+    assert run("gate", "--log", log, "--run-name", "2024-01-02-r", "1")[0] == 1  # no evidence yet
+    code, _ = run("--into-log", log, "--into-run", "2024-01-02-r", "--into-phase", "1", "grep", "alpha", str(tmp_path), "--suffix", ".txt")
+    assert code == 0
+    assert run("gate", "--log", log, "--run-name", "2024-01-02-r", "1")[0] == 0 and run("gate", "--log", log, "--run-name", "2024-01-02-r", "1")[0] == 0
+    assert run("log", "--log", log, "--run-name", "2024-01-02-r", "--phase", "2", "found it")[0] == 0
+    assert run("gate", "--log", log, "--run-name", "2024-01-02-r", "3")[0] == 1
+    assert run("which", "--log", log, "r")[0] == 0 and run("which", "--log", log, "z")[0] == 1
+    assert run("self-audit", "--log", log, "--run-name", "2024-01-02-r", *"abcdef")[0] == 0 and run("self-audit", "--log", log, "--run-name", "2024-01-02-r", "a")[0] == 0
+    assert run("verify", "--log", log, "--run-name", "2024-01-02-r")[0] == 1 and run("resume", "--log", log)[0] == 0
+    rows = [(r.seq, r.phase, r.kind, r.tool, r.hits) for r in runlog.stored(spark, log).orderBy("seq").collect()]
+    assert rows[:6] == [(1, "0", "header", runlog.HEADER_FIELDS[0], None), (2, "0", "header", runlog.HEADER_FIELDS[1], None), (3, "0", "header", runlog.HEADER_FIELDS[2], None), (4, "0", "gate", None, None), (5, "1", "entry", "grep", 2), (6, "1", "gate", None, None)]
+    assert [r[2] for r in rows[6:]] == ["entry"] + ["audit"] * 6 and [r[0] for r in rows] == list(range(1, 14))
+
+
+def test_many_writers_of_a_log(spark, tmp_path, monkeypatch):
+    log, wrong = str(tmp_path / "log"), []
+    monkeypatch.setattr(runlog, "MOST_FILES", 4)
+
+    def write(who):
+        try:
+            for k in range(4):
+                runlog.store(spark, log, cli._entry(spark, "r", "1", "entry", f"{who}{k}"))
+        except Exception as e:  # noqa: BLE001
+            wrong.append(e)
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    rows = runlog.stored(spark, log).collect()
+    assert not wrong and sorted(r.seq for r in rows) == list(range(1, 9)) and {r.tool for r in rows} == {f"{w}{k}" for w in "ab" for k in range(4)}
+    assert [r.tool for r in sorted(rows, key=lambda r: r.seq) if r.tool[0] == "a"] == ["a0", "a1", "a2", "a3"]
