@@ -176,7 +176,9 @@ def find_phrase(segments: DataFrame, phrase: str, columns: tuple[str, ...] = ("p
     test = F.lit(False)
     for c in columns:
         test = test | F.contains(T.match_form(T.composed(F.coalesce(F.col(c), F.lit("")))), needle)
-    found = with_owner(segments).where(test & (needle != ""))
+    # Rows without a hit only lend their numbers: their texts go no further than the test.
+    slim = segments.select("book_code", "id", "paranum", F.when(test & (needle != ""), F.struct("*")).alias("__row"))
+    found = with_owner(slim).where("__row is not null").select("__row.*", "owner")
     return found.orderBy(*order).limit(limit)
 
 

@@ -324,3 +324,14 @@ def test_bare_letters_agree_with_unicode(text):
         if ord(c) < 0x250:
             plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
             assert c.translate(table) == plain or len(plain) != 1
+
+
+@given(st.lists(st.text("aeiouAsß̧̣́̈ͅṩÅक़가각 xyz", max_size=12), min_size=30, max_size=30))
+@settings(max_examples=5, deadline=None)
+def test_composed_form_agrees_with_unicode(texts):
+    from pyspark.sql import SparkSession
+
+    df = SparkSession.getActiveSession().createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    found = df.select("i", T.composed(F.col("t")).alias("c"))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert [r.c for r in found.orderBy("i").collect()] == [unicodedata.normalize("NFC", t) for t in texts] + [None]
