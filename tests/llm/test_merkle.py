@@ -58,7 +58,7 @@ def rows_of(df) -> list[tuple]:
     return sorted(map(repr, map(tuple, df.collect())))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 8, 9, 65, 700])
+@pytest.mark.parametrize("n", [0, 1, 9, 700])
 def test_equals_plain_tree(spark, n):
     langs = [None, "en", "en", "en", "é", "", "zz"]
     rows = [(k * 7 % 1009, f"s{k % 3}" if k % 5 else None, langs[k % 7], k if k % 4 else None, f"Text {k} É" if k % 6 else None) for k in range(n)]
