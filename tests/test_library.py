@@ -55,7 +55,7 @@ def test_random_changes_and_merges(spark, tmp_path, monkeypatch):
         lib = library.changed(spark, root, spark.createDataFrame(list(fresh.items()), SCHEMA), spark.createDataFrame([(k,) for k in gone], "doc_id long"))
         held = {k: v for k, v in held.items() if k not in gone} | fresh
         assert not library._due(lib.segments)
-    same(spark, lib, list(held.items()), QUERIES[:6])
+    same(spark, lib, list(held.items()), QUERIES[:3])
     lib = library.changed(spark, root, spark.createDataFrame([], SCHEMA), lib.documents().select("doc_id"))
     assert lib.segments == [] and search.scored(lib, "alpha").collect() == [] and search.top(lib, "alpha").collect() == [] and lib.documents().count() == 0
 
