@@ -41,8 +41,12 @@ def message(result: DataFrame, phrase: str) -> DataFrame:
     """result with a message: of ambiguous candidates the first 15 are named."""
     shown = F.array_join(F.slice("candidates", 1, CANDIDATES), ", ")
     more = F.size("candidates") - CANDIDATES
-    many = F.concat(F.lit(f"AMBIGUOUS: '{phrase}' occurs in "), F.size("candidates").cast("string"), F.lit(" suttas: "), shown, F.when(more > 0, F.concat(F.lit(", and "), more.cast("string"), F.lit(" more"))).otherwise(""), F.lit("."))
-    return result.withColumn("message", F.when(F.col("status") == "ambiguous", many).when(F.col("status") == "not_found", F.lit(f"No root match for '{phrase}'.")).when(F.col("status") == "not_in_scope", F.concat(F.lit(f"'{phrase}' was not found in "), F.col("uid"), F.lit(". It occurs in: "), F.when(F.size("candidates") > 0, shown).otherwise("no suttas"), F.lit("."))).otherwise(""))
+    rest = F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" others"))).otherwise("")
+    many = F.concat(F.lit(f"'{phrase}' stands in several texts ("), F.size("candidates").cast("string"), F.lit("), choose one: "), shown, rest)
+    elsewhere = F.when(F.size("candidates") > 0, F.concat(F.lit("; texts that have it: "), shown, rest)).otherwise("; no text has it")
+    other = F.concat(F.col("uid"), F.lit(f" has no '{phrase}'"), elsewhere)
+    said = F.when(F.col("status") == "ambiguous", many).when(F.col("status") == "not_found", F.lit(f"no root text has '{phrase}'")).when(F.col("status") == "not_in_scope", other)
+    return result.withColumn("message", F.coalesce(said, F.lit("")))
 
 
 def joined_text(key: Column, text: Column) -> Column:

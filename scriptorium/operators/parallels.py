@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The widest range that is expanded.
+# The widest range that is expanded, and how a range is written.
 WIDEST = 400
 _RANGE = r"^(.*?)(\d+)-(\d+)$"
 

@@ -214,7 +214,16 @@ def library_hit_rows(spark, sf_dir):
     return found.select("document_id", F.round("score", 6).alias("score"), "source_path", "duplicate_count", F.array_join("duplicate_paths", " ").alias("duplicate_paths"), F.array_join(F.transform("possible_duplicate_of", lambda h: h["source_path"]), " ").alias("hints"), "source_available")
 
 
-@query()
+@query(
+    f"WITH {TOKENS}, len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), tot AS (SELECT count(*) AS n, avg(n) AS mean FROM len), tf AS (SELECT doc_id, count(*) AS f FROM tok WHERE term = 'thing' GROUP BY doc_id), df AS (SELECT count(*) AS d FROM tf),"
+    " best AS (SELECT doc_id FROM (SELECT doc_id, round(-greatest(ln((tot.n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len.n / mean)), 12) AS score FROM tf JOIN len USING (doc_id), tot, df) ORDER BY score, doc_id LIMIT 20),"
+    " w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS words FROM documents JOIN best USING (doc_id)),"
+    " each AS (SELECT doc_id, len(words) AS n, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),"
+    " hit AS (SELECT *, CASE WHEN list_contains(regexp_extract_all(strip_accents(lower(word)), '[\\p{L}\\p{N}]+'), 'thing') THEN 1 ELSE 0 END AS h FROM each),"
+    " c AS (SELECT doc_id, n, i, sum(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING) AS k FROM hit),"
+    " f AS (SELECT DISTINCT ON (doc_id) doc_id, n, i AS low FROM c WHERE i <= greatest(n - 17, 1) ORDER BY doc_id, k DESC, i)"
+    " SELECT f.doc_id, CASE WHEN low > 1 THEN '... ' ELSE '' END || string_agg(CASE WHEN h = 1 THEN '[' || word || ']' ELSE word END, ' ' ORDER BY hit.i) || CASE WHEN low + 18 <= f.n THEN ' ...' ELSE '' END AS snippet FROM f JOIN hit ON f.doc_id = hit.doc_id AND hit.i BETWEEN low AND low + 17 GROUP BY f.doc_id, low, f.n"
+)
 def fts_snippet(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hits = search.top(_library_of(spark, sf_dir)[0], "thing", 20).select("doc_id")

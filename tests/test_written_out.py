@@ -119,7 +119,7 @@ LABELS = """
 ('s0202m_mul', '92', 'MN60 Apaṇṇakasuttaṃ para 92', true),
 ('s0202m_mul', '93-94', 'MN60 Apaṇṇakasuttaṃ para 93–94', true),
 ('s0202a_att', '92', 'MNa60 para 92', NULL),
-('s0501m_mul', '1', 'KN 01 §1 — Khuddakapāṭho; paranum repeats per section, near: Saraṇattayaṃ / Dasasikkhāpadaṃ', true),
+('s0501m_mul', '1', 'KN 01 §1 — Khuddakapāṭho; several paragraphs have this number, under Saraṇattayaṃ / Dasasikkhāpadaṃ', true),
 ('s0501m_mul', '2', 'KN 01 §2 — Khuddakapāṭho, Dasasikkhāpadaṃ', true),
 ('e0101n_nrf', '176', 'Extra 0101 §176 (non-canonical) — Visuddhimaggo, 8. Anussati, Maraṇassati', true),
 ('vin01m_mul', '5', 'Vinaya 01 §5', NULL),
