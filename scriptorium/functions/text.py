@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -138,26 +137,13 @@ def snippet_of_line(line: Column, most: int = 300) -> Column:
     return F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most - 3), F.lit("..."))).otherwise(plain)
 
 
-@functools.cache
-def _unstable() -> str:
-    """A pattern of the characters that a text in composed form has none of, or that may join with the one before them."""
-    ranges: list[list[int]] = []
-    for code in range(0x300, 0x30000):
-        if not 0xD800 <= code < 0xE000 and not unicodedata.is_normalized("NFC", chr(code)):
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return r"[\p{M}\u1161-\u1175\u11A8-\u11C2" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
-
-
 def composed(text: Column) -> Column:
     """Text in Unicode composed form, by the ICU library that Spark brings for its collations.
 
-    Only texts that hold a character which may change are given to it.
+    Characters below U+0300 are in that form and join with nothing, so texts of these alone are not given to it.
     """
     form = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
-    return F.when(text.rlike(_unstable()), form).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\u02FF]"), form).otherwise(text)
 
 
 def clipped_values(column: Column, kind, most: int = 200) -> Column:
