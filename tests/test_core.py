@@ -4,16 +4,19 @@ import io
 import math
 import os
 import random
+import re
 import tarfile
 import unicodedata
 import zipfile
 
 import bz2
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
+from scriptorium import queries, queries_tables  # noqa: F401
 from scriptorium.functions import text as T
 from scriptorium.operators import citations, dedupe, library, notes, parallels, passages, runlog, search
 from scriptorium.operators.graph import components
@@ -116,6 +119,15 @@ def test_nearest_earlier_against_python(spark):
         assert got[n] == (min(same) if best else None)
 
 
+def test_citations_stand_between_ascii_words(spark):
+    """As the SQL of citation_extract: letters with marks, which DuckDB's edges of words don't count, touch citations."""
+    texts = ["x é\u200ban 71.129 y", "juan 5 éan 64.105, ñMN 7é", "the \u0301an 18.128", "MN\x0b5 MN\n6 MN 7_ MN 8x", " \u017fn 5 x\u017fn 6 \u212ap 7 x\u212ap 8", "MN 9\u0663 AN 1.2-3.4", "日MN 10日", "MN 1.2.3 MN1-2-3 Snp 4.5-6"]
+    sql = next(iter(re.findall(r"regexp_extract_all\(t, ('[^']+')\)", queries.ORACLE_SQL["citation_extract"])))
+    want = [duckdb.execute(f"SELECT regexp_extract_all(?, {sql})", [t]).fetchone()[0] for t in texts]
+    assert [spark.range(1).select(citations.extracted(F.lit(t))).first()[0] for t in texts] == want
+    assert want[1] == ["an 64.105", "MN 7"]
+
+
 @given(st.integers(0, 2000), st.text("0123456789", min_size=1, max_size=3))
 @settings(max_examples=10, deadline=None)
 def test_range_ends_are_repaired(spark, low, end):
