@@ -6,7 +6,7 @@ version file then names the segments and lists that make up the library.  Versio
 is none of their number, so of two writers one goes on from what the other wrote.  When enough segments of like size have
 come together they are made into one; a segment that is half dead is written anew.
 
-Documents of a segment are numbered in the order of their ids; ZONE of them are a zone, and a row of postings is what one
+Documents of a segment are numbered as its tasks read them, from a new zone on in each; ZONE of them are a zone, and a row of postings is what one
 term has in one zone: a block.  A block also has its peaks, the (frequency, length) of those documents that none other of the
 block beats in both: from them the greatest score that a document there can have is known for any mean length, without
 reading the documents.  Blocks are dealt to buckets by a hash of the term, and of the stripe of zones where a term is in very
@@ -21,12 +21,12 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..storage import committed, dropped, latest, written
+from ..storage import committed, dropped, latest, settings, written
 
 #: Documents of a zone, zones of a stripe; a term of more documents than a stripe has is dealt by stripes.
 ZONE, STRIPE = 64, 1024
@@ -35,11 +35,7 @@ BUCKET_WORDS, LEAST_BUCKETS = 1 << 24, 8
 #: Segments of like size that are made one.
 FAN = 8
 FORMAT = 1
-POSTINGS = "term string, zone long, n long, peaks array<struct<tf: long, len: long>>, entries array<struct<local: long, doc_id: long, len: long, positions: array<int>>>, segment string, bucket int"
-
-
-def _stripe(zone: Column, stripes: Column) -> Column:
-    return F.when(stripes > 1, F.floor(zone / STRIPE)).otherwise(0).cast("long")
+POSTINGS = "term string, zone long, n long, peaks array<struct<tf: long, len: long>>, entries array<struct<doc_id: long, len: long, positions: array<int>>>, segment string, bucket int"
 
 
 def _bucket(term: Column, stripe: Column, buckets: Column | int) -> Column:
@@ -55,36 +51,149 @@ def _peaks(entries: Column) -> Column:
     return F.aggregate(pairs, none, lambda held, p: F.when((F.size(held) == 0) | (-p["less"] > F.when(F.size(held) > 0, best(held)).otherwise(0)), F.concat(held, one(p))).otherwise(held))
 
 
+#: What the documents of a part have of a term in one stripe: block k is of zone zones[k] of the part and has the entries from
+#: starts[k] on, entry i the positions from froms[i] on.  A row without a term has all documents of some zones in a row.
+RUNS = "part int, term string, zones array<int>, starts array<int>, ids array<bigint>, lens array<int>, froms array<int>, positions array<int>"
+#: Words that a task sorts at a time.
+RUN_WORDS = 1 << 22
+
+
+def _runs(zone: int, stripe: int, most: int):
+    """A function of Arrow batches (doc_id, terms) that gives RUNS: a part is a task, and zones are of documents as they come."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    types = {"part": pa.int32(), "term": pa.string(), "zones": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "ids": pa.list_(pa.int64()), "lens": pa.list_(pa.int32()), "froms": pa.list_(pa.int32()), "positions": pa.list_(pa.int32())}
+
+    def rows(terms, cuts, **values):
+        """Rows of lists: cuts has, for each column, where the rows begin and the last one ends."""
+        lists = {k: pa.ListArray.from_arrays(pa.array(cuts[k], pa.int32()), pa.array(v, types[k].value_type)) for k, v in values.items()}
+        part = np.full(len(terms), TaskContext.get().partitionId())
+        return pa.RecordBatch.from_arrays([lists[k] if k in lists else pa.array(part, t) if k == "part" else terms for k, t in types.items()], schema=pa.schema(list(types.items())))
+
+    def starts_of(*keys):
+        """Where any of some keys differs from the one before."""
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        return np.flatnonzero(new)
+
+    def made(ids, words, first):
+        n, lens = len(ids), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded, ends = words.flatten().dictionary_encode(), np.cumsum(lens)
+        place = np.arange(n)
+        yield rows(pa.nulls(1, pa.string()), {k: [0, n] for k in ("ids", "lens")} | {"zones": [0, 1], "starts": [0, 0], "froms": [0, 0], "positions": [0, 0]}, zones=[first], starts=[], ids=ids, lens=lens, froms=[], positions=[])
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(place, lens)
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], (np.arange(len(key)) - np.repeat(ends - lens, lens))[order]
+        entry = starts_of(key)
+        code, doc = np.divmod(key[entry], n)
+        zones = first + doc // zone
+        block = starts_of(code, zones)
+        row = starts_of(code[block], zones[block] // stripe)
+        # Of the rows: their first block, their first entry, their first position; then of blocks and entries, counted within rows.
+        of_row = [np.append(row, len(block))]
+        of_row += [np.append(block[row], len(entry))]
+        of_row += [np.append(entry[block[row]], len(key))]
+        cuts = dict.fromkeys(("zones", "starts"), of_row[0]) | dict.fromkeys(("ids", "lens", "froms"), of_row[1]) | {"positions": of_row[2]}
+        within = block - np.repeat(of_row[1][:-1], np.diff(of_row[0])), entry - np.repeat(of_row[2][:-1], np.diff(of_row[1]))
+        yield rows(coded.dictionary.take(pa.array(code[block[row]])), cuts, zones=zones[block], starts=within[0], ids=ids.take(pa.array(doc)), lens=lens[doc], froms=within[1], positions=at)
+
+    def run(batches):
+        waiting, held, first = [], 0, 0
+
+        def given():
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            order = pc.sort_indices(whole["doc_id"].chunk(0))
+            yield from made(whole["doc_id"].chunk(0).take(order), whole["terms"].chunk(0).take(order), first)
+
+        for batch in batches:
+            ends, low = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while low < len(ends):
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + most - held, "right")))
+                waiting.append(batch.slice(low, high - low))
+                held, low = held + ends[high - 1] - before, high
+                if held >= most or low < len(ends):
+                    yield from given()
+                    first += -(-sum(map(len, waiting)) // zone)
+                    waiting, held = [], 0
+        if waiting:
+            yield from given()
+
+    return run
+
+
+def _narrowed(runs: DataFrame) -> DataFrame:
+    """Runs whose lists are of two bytes a number where these fit, as they nearly always do; ids from the least one on."""
+    least, short = F.array_min("ids"), F.lit((1 << 15) - 1)
+    out = []
+    for name in ("zones", "starts", "lens", "froms", "positions"):
+        fits = F.array_max(name) <= short
+        out += [F.when(fits, F.col(name).cast("array<smallint>")).alias(name), F.when(~fits, F.col(name)).alias(f"wide_{name}")]
+    fits = F.try_subtract(F.array_max("ids"), least) <= short
+    out += [F.when(fits, F.transform("ids", lambda i: i - least).cast("array<smallint>")).alias("ids"), F.when(fits, F.lit(None)).otherwise(F.col("ids")).alias("wide_ids"), least.alias("least")]
+    return runs.select("bucket", "term", "base", *out)
+
+
+def _widened(runs: DataFrame) -> DataFrame:
+    whole = [F.coalesce(F.col(n).cast("array<int>"), f"wide_{n}").alias(n) for n in ("zones", "starts", "lens", "froms", "positions")]
+    return runs.select("bucket", "term", "base", *whole, F.coalesce(F.transform("ids", lambda i: i + F.col("least")), "wide_ids").alias("ids"))
+
+
+def _unrolled(runs: DataFrame) -> DataFrame:
+    """Rows of postings of runs (with base, the number of their part's first zone); they stay in the order of the runs."""
+    end = lambda starts, k, last: F.coalesce(F.get(starts, k + 1), F.size(last))
+
+    def entry(i: Column) -> Column:
+        found = F.get("froms", i)
+        return F.struct(F.get("ids", i).alias("doc_id"), F.get("lens", i).cast("long").alias("len"), F.slice("positions", found + 1, end(F.col("froms"), i, "positions") - found).alias("positions"))
+
+    def one(at: Column, k: Column) -> Column:
+        low, high = F.get("starts", k), end(F.col("starts"), k, "ids")
+        return F.struct((F.col("base") + at).alias("zone"), (high - low).cast("long").alias("n"), F.transform(F.sequence(low, high - 1), entry).alias("entries"))
+
+    blocks = runs.select("bucket", "term", F.inline(F.transform("zones", one)))
+    return blocks.select("term", "zone", "n", _peaks(F.col("entries")).alias("peaks"), "entries", "bucket")
+
+
 def write_segment(docs: DataFrame, root: str, stripe: int | None = None) -> dict | None:
-    """Writes docs (doc_id, text, ...; an id once) as a segment; what the version file has to know of it, None for no rows."""
+    """Writes docs (doc_id, text, ...; an id once) as a segment; what the version file has to know of it, None for no rows.
+
+    Texts are not shuffled: each task makes runs of what it reads, and of all runs what is shuffled is their lists of numbers.
+    """
     spark, name = docs.sparkSession, uuid.uuid4().hex
     place = {kind: f"{root}/{kind}/segment={name}" for kind in ("docs", "stats", "terms", "postings")}
-    docs.write.parquet(place["docs"])
+    docs.write.option("compression", "zstd").parquet(place["docs"])
     held = spark.read.parquet(place["docs"])
-    parsed = held.select("doc_id", T.terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    parsed = written(parsed.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", "terms", F.size("terms").cast("long").alias("len"), F.spark_partition_id().alias("part"), nth.alias("nth")), "parsed")
-    parts = parsed.groupBy("part").agg(F.count("*").alias("n"))
-    numbered = parsed.join(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "part").select("doc_id", "terms", "len", (F.col("before") + F.col("nth")).alias("local"))
-    numbered.select("doc_id", "len", "local").write.parquet(place["stats"])
-    n, words = spark.read.parquet(place["stats"]).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     count = held.count()
     if not count:
         return None
-    zone = F.floor(F.col("local") / ZONE).alias("zone")
-    each = numbered.select("doc_id", "len", "local", zone, F.posexplode("terms").alias("at", "term")).repartition("term", "zone")
-    entries = each.groupBy("term", "zone", "doc_id", "len", "local").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    blocks = entries.groupBy("term", "zone").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("local", "doc_id", "len", "positions"))).alias("entries"))
-    blocks = written(blocks.withColumn("peaks", _peaks(F.col("entries"))), "blocks")
-    dropped(parsed)
+    parsed = held.select(F.col("doc_id").cast("long").alias("doc_id"), T.terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    runs = written(parsed.mapInArrow(_runs(ZONE, STRIPE, RUN_WORDS), RUNS), "runs")
+    whole = runs.where("term is null")
+    # A part begins with a stripe; a row for each task comes to the driver.
+    parts, base = [], 0
+    for r in whole.groupBy("part").agg(F.max(F.get("zones", F.lit(0)) + F.ceil(F.size("ids") / ZONE)).alias("n")).orderBy("part").collect():
+        parts.append((r.part, base))
+        base += -(-r.n // STRIPE) * STRIPE
+    bases = F.broadcast(spark.createDataFrame(parts, "part int, base long"))
+    stats = whole.join(bases, "part").select("base", F.get("zones", F.lit(0)).alias("first"), F.posexplode(F.arrays_zip("ids", "lens")).alias("at", "one"))
+    stats.select(F.col("one.ids").alias("doc_id"), F.col("one.lens").cast("long").alias("len"), ((F.col("base") + F.col("first")) * ZONE + F.col("at")).cast("long").alias("local")).write.parquet(place["stats"])
+    n, words = spark.read.parquet(place["stats"]).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    based = runs.where("term is not null").join(bases, "part").withColumn("stripe", F.floor((F.col("base") + F.get("zones", F.lit(0))) / STRIPE))
     many = ZONE * STRIPE if stripe is None else stripe
-    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("zone").alias("last")).select("term", "df", F.when(F.col("df") > many, F.floor(F.col("last") / STRIPE) + 1).otherwise(1).cast("long").alias("stripes"))
+    terms = based.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("stripe").alias("last")).select("term", "df", F.when(F.col("df") > many, F.col("last") + 1).otherwise(1).cast("long").alias("stripes"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(place["terms"])
     buckets = max(LEAST_BUCKETS, -(-words // BUCKET_WORDS))
-    hot = spark.read.parquet(place["terms"]).where("stripes > 1").select("term", "stripes")
-    dealt = blocks.join(hot, "term", "left").withColumn("bucket", _bucket(F.col("term"), _stripe(F.col("zone"), F.coalesce("stripes", F.lit(1))), buckets))
-    dealt.select("term", "zone", "n", "peaks", "entries", "bucket").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term", "zone").write.partitionBy("bucket").parquet(place["postings"])
-    dropped(blocks)
+    # A table of its own, so that Spark knows its size: then the runs are not shuffled for this join.
+    hot = written(spark.read.parquet(place["terms"]).where("stripes > 1").select("term", "stripes"), "hot")
+    dealt = based.join(hot, "term", "left").withColumn("bucket", _bucket(F.col("term"), F.when(F.col("stripes") > 1, F.col("stripe")).otherwise(0).cast("long"), buckets))
+    ordered = _narrowed(dealt).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term", F.col("base") + F.coalesce(F.get("zones", F.lit(0)).cast("int"), F.get("wide_zones", F.lit(0))))
+    # A task has one bucket, so nothing need be sorted for its writer, which would sort the blocks once more.
+    with settings(spark, {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "2"}):
+        _unrolled(_widened(ordered)).write.option("compression", "zstd").partitionBy("bucket").parquet(place["postings"])
+    dropped(runs, hot)
     return {"id": name, "docs": count, "held": n, "words": words, "buckets": buckets, "dead": 0, "dead_held": 0, "dead_words": 0}
 
 
@@ -215,9 +324,12 @@ def _text(segments: list[dict], tombstones: list[str], about: dict) -> str:
 def _buried(library: Library, ids: DataFrame) -> tuple[list[dict], list[str]]:
     """Segments and tombstones of a library without the documents of ids (doc_id)."""
     spark, name = library.spark, uuid.uuid4().hex
-    there = library._alive(library._read("docs", "doc_id long, text string, segment string").join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # A table of its own, so that Spark knows its size: a small one is sent to where the texts are.
+    listed = written(ids.select("doc_id").distinct(), "ids")
+    there = library._alive(library._read("docs", "doc_id long, text string, segment string").join(listed, "doc_id", "left_semi"))
     gone = written(there.select("segment", "doc_id", T.terms(F.col("text")).alias("terms")), "gone")
     found = {r.segment: r for r in gone.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(F.size("terms") > 0).alias("held"), F.sum(F.size("terms")).alias("words")).collect()}
+    dropped(listed)
     if not found:
         return library.segments, library.tombstones
     # So that the frequency of a term is known without its postings.

@@ -142,3 +142,31 @@ def test_commits_of_many_threads(spark, tmp_path):
     number, text = storage.latest(spark, folder)
     assert number == 12 and sorted(map(int, text.strip(";").split(";"))) == list(range(12))
     assert not storage.put_if_absent(spark, f"{folder}/{number:09d}", "other") and storage.latest(spark, folder)[1] == text
+
+
+def shuffled_since(spark, stage):
+    """(bytes that stages after a stage have shuffled, the last stage)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    held = [(rows.apply(k).stageId(), rows.apply(k).shuffleWriteBytes()) for k in range(rows.size())]
+    return sum(n for k, n in held if k > stage), max((k for k, _ in held), default=-1)
+
+
+def test_a_segment_shuffles_less_than_its_texts(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"word{int(rng.paretovariate(0.6)) % 5000}" for _ in range(200000)]
+    texts = [(k, " ".join(words[100 * k : 100 * k + 100])) for k in range(2000)]
+    spark.createDataFrame(texts, SCHEMA).repartition(2).write.parquet(str(tmp_path / "docs"))
+    _, stage = shuffled_since(spark, -1)
+    library.write_segment(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "lib"))
+    assert shuffled_since(spark, stage)[0] < 0.8 * sum(len(t) for _, t in texts)
+
+
+def test_runs_of_wide_numbers(spark, tmp_path, monkeypatch):
+    """Ids that are far apart, positions beyond two bytes, and tasks that make many runs."""
+    monkeypatch.setattr(library, "RUN_WORDS", 50)
+    docs = [(-(1 << 63), "alpha beta"), ((1 << 63) - 1, "beta alpha"), (5, "x " * 40000 + "alpha beta"), (6, "x alpha alpha"), (7, None), *texts(random.Random(6), 200, 100)]
+    lib = library.changed(spark, str(tmp_path / "lib"), spark.createDataFrame(docs, SCHEMA))
+    same(spark, lib, docs, ["alpha", '"alpha beta"', "x NOT gamma"])
+    assert (5 in {r.doc_id for r in search.matches(lib, '"x alpha beta"').collect()}) and lib.blocks({"x"}, ()).groupBy("segment", "zone").count().where("count > 1").count() == 0
