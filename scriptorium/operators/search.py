@@ -198,8 +198,13 @@ def _may_hold(tree) -> Column:
     return functools.reduce(lambda a, b: (a & b) if tree.kind == "and" else (a | b), map(_may_hold, tree.parts))
 
 
-def candidates(library: Library, tree, frequencies: dict[str, int], limit: int) -> DataFrame:
-    """segment, zone, bound of the zones that are enough for the best `limit` matches of a tree of single terms.
+def _without(rows: DataFrame, hidden: DataFrame | None) -> DataFrame:
+    return rows if hidden is None else rows.join(hidden.select("doc_id"), "doc_id", "left_anti")
+
+
+def candidates(library: Library, tree, frequencies: dict[str, int], limit: int, hidden: DataFrame | None = None) -> DataFrame:
+    """segment, zone, bound of the zones that are enough for the best `limit` matches of a tree of single terms, documents of
+    hidden left out.
 
     Zones are scored in the order of what they promise, first a few and then ever more, until `limit` matches are at hand;
     all zones that promise less than the last of these can't change the result.
@@ -209,7 +214,7 @@ def candidates(library: Library, tree, frequencies: dict[str, int], limit: int)
     while few < total:
         first = found.orderBy(F.desc("bound"), "segment", "zone").limit(few)
         scores = _scored(library, tree, library.unfolded(_of_zones(library.blocks(*_needed(tree)), first)), frequencies)
-        rows = scores.orderBy("score", "doc_id").limit(limit).collect()
+        rows = _without(scores, hidden).orderBy("score", "doc_id").limit(limit).collect()
         if len(rows) == limit:
             # Sums of the same numbers in another order may differ in their last bits.
             return found.where(F.col("bound") >= -rows[-1].score * (1 - 1e-9))
@@ -225,8 +230,8 @@ def _of_zones(blocks: DataFrame, zones: DataFrame) -> DataFrame:
     return blocks.join(zones.select("segment", "zone"), ["segment", "zone"], "left_semi")
 
 
-def top(index: Index | Library, query: str, limit: int = 20, score_all: int | None = None) -> DataFrame:
-    """The `limit` best documents; equal scores by doc_id.
+def top(index: Index | Library, query: str, limit: int = 20, score_all: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """The `limit` best documents; equal scores by doc_id.  Those of hidden (doc_id) count for scores, but have no place.
 
     Of a library, a query of single terms with more than score_all postings (SCORE_ALL if not given) reads only blocks that
     can matter; with fewer, finding those out would take longer than scoring all.
@@ -235,23 +240,24 @@ def top(index: Index | Library, query: str, limit: int = 20, score_all: int | No
     single = limit > 0 and isinstance(index, Library) and tree is not None and all(isinstance(u, M.Unit) and _single(u) for u in M.leaves(tree))
     frequencies = _frequencies(index, tree) if single else None
     if single and sum(frequencies.values()) > (SCORE_ALL if score_all is None else score_all):
-        zones = candidates(index, tree, frequencies, limit)
+        zones = candidates(index, tree, frequencies, limit, hidden)
         found = _scored(index, tree, index.unfolded(_of_zones(index.blocks(*_needed(tree)), zones)), frequencies)
     elif single:
         found = _scored(index, tree, index.postings(*_needed(tree)), frequencies)
     else:
         found = scored(index, query)
-    return found.where(F.lit(False)) if limit <= 0 else found.orderBy("score", "doc_id").limit(limit)
+    return found.where(F.lit(False)) if limit <= 0 else _without(found, hidden).orderBy("score", "doc_id").limit(limit)
 
 
-def top_without_duplicates(index: Index | Library, query: str, clusters: DataFrame, limit: int = 20) -> DataFrame:
+def top_without_duplicates(index: Index | Library, query: str, clusters: DataFrame, limit: int = 20, among: int | None = None) -> DataFrame:
     """The best documents, of each cluster of copies only the representative.
 
-    clusters: doc_id, representative, members.  The cut to max(10 * limit, limit + 50) candidates comes before copies are
-    hidden, and a copy is hidden even where its representative did not match; so fewer than limit rows may come back.
+    clusters: doc_id, representative, members.  Copies are hidden before the best are taken, so however many there are, limit
+    rows come back if so many clusters and single documents match.  A copy is hidden even where its representative did not
+    match.  among: copies are hidden among so many best documents alone; then fewer rows may come back.
     """
-    candidates = top(index, query, max(10 * limit, limit + 50))
-    joined = candidates.join(clusters, "doc_id", "left").where("representative is null or representative = doc_id")
+    found = top(index, query, limit, hidden=clusters.where("doc_id <> representative")) if among is None else top(index, query, among)
+    joined = found.join(clusters, "doc_id", "left").where("representative is null or representative = doc_id")
     return joined.select("doc_id", "score", F.coalesce("members", F.lit(1)).cast("long").alias("duplicate_count")).orderBy("score", "doc_id").limit(limit)
 
 
@@ -308,7 +314,7 @@ def assembled(index: Index | Library, docs: DataFrame, clusters: DataFrame, quer
     duplicate_count, duplicate_paths, possible_duplicate_of (source_path and signals), source_available, score.
 
     docs: doc_id, filename, source_root, rel_path, source_path, extension, extraction_status, text.  clusters: doc_id,
-    representative, members.  include_duplicates: copies are shown as well, and only `limit` candidates are looked at.
+    representative, members.  include_duplicates: copies are shown as well.
     available: a function of rows (source_root, source_path) that says which sources are there (null for unknown); of all
     hits it is null where none is given.  duplicate_paths are the relative paths of a cluster's members by source path.
     Hits are `limit` at most, so names and copies are looked up for those alone.

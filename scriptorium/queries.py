@@ -179,7 +179,7 @@ SELECT doc_id, round(score, 6) AS score, CAST(members AS BIGINT) AS duplicate_co
 )
 def fts_dedup_topk(spark, sf_dir):
     index, clusters = _library_of(spark, sf_dir)
-    found = search.top_without_duplicates(index, "thing OR ing", clusters, 20)
+    found = search.top_without_duplicates(index, "thing OR ing", clusters, 20, among=200)
     return found.select("doc_id", F.round("score", 6).alias("score"), "duplicate_count")
 
 
@@ -197,8 +197,7 @@ def fts_phrase_score(spark, sf_dir):
     BM25
     + f""", {HASHED},
 rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text_hash) AS representative, text_hash FROM hashed),
-cand AS (SELECT * FROM score ORDER BY score, doc_id LIMIT 200),
-hits AS (SELECT doc_id, score, text_hash FROM cand JOIN rep USING (doc_id) WHERE representative = doc_id ORDER BY score, doc_id LIMIT 20),
+hits AS (SELECT doc_id, score, text_hash FROM score JOIN rep USING (doc_id) WHERE representative = doc_id ORDER BY score, doc_id LIMIT 20),
 names AS (SELECT doc_id, 'report ' || (doc_id % 499) AS name, '/lib/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source_path, lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS rel_path FROM documents),
 copies AS (SELECT h.doc_id, CASE WHEN count(*) > 1 THEN string_agg(rel_path, ' ' ORDER BY source_path) ELSE '' END AS duplicate_paths, count(*) AS n FROM hits h JOIN rep r ON h.text_hash = r.text_hash JOIN names m ON r.doc_id = m.doc_id GROUP BY h.doc_id),
 near AS (SELECT h.doc_id, o.source_path, row_number() OVER (PARTITION BY h.doc_id ORDER BY o.source_path) AS k FROM hits h JOIN names m ON h.doc_id = m.doc_id JOIN names o ON m.name = o.name AND o.doc_id <> h.doc_id JOIN rep r ON o.doc_id = r.doc_id WHERE r.text_hash IS DISTINCT FROM h.text_hash)

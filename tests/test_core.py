@@ -90,6 +90,18 @@ def test_hidden_copies_and_snippets(spark):
     assert {x.doc_id: x.snippet for x in search.snippets(hits, docs, "two", 2).collect()} == {1: "one [two] ...", 2: "[two] words ...", 3: "one [two] ..."}
 
 
+def test_any_number_of_copies_is_hidden(spark, tmp_path, monkeypatch):
+    many = [(i, "two two") for i in range(150)] + [(i, f"two  two {i % 2}") for i in range(150, 300)]
+    docs = spark.createDataFrame(many + [(i, f"two words and more of document {i}") for i in range(300, 325)], "doc_id long, text string")
+    clusters, held = dedupe.exact_clusters(docs), library.changed(spark, str(tmp_path), docs)
+    wanted = [(0, 150), (150, 75), (151, 75), *((i, 1) for i in range(300, 317))]
+    for index, score_all in ((search.build_index(docs), 1), (held, 1 << 20), (held, 0)):
+        monkeypatch.setattr(search, "SCORE_ALL", score_all)
+        found = search.top_without_duplicates(index, "two", clusters, 20).collect()
+        assert [(x.doc_id, x.duplicate_count) for x in found] == wanted
+        assert len(search.top_without_duplicates(index, "two", clusters, 20, among=200).collect()) < 20
+
+
 def test_deadline(spark):
     with pytest.raises(TimeoutError):
         search.with_deadline(spark, 1.0, lambda: spark.range(0, 10**13, 1, 4).selectExpr("sum(hash(id))").collect())
