@@ -35,27 +35,32 @@ BUCKET_WORDS, LEAST_BUCKETS = 1 << 24, 8
 #: Segments of like size that are made one.
 FAN = 8
 FORMAT = 1
-POSTINGS = "term string, zone long, n long, peaks array<struct<tf: long, len: long>>, entries array<struct<doc_id: long, len: long, positions: array<int>>>, segment string, bucket int"
+BLOCKS = "term string, zone long, n long, peaks array<struct<tf: long, len: long>>, entries array<struct<doc_id: long, len: long, positions: array<int>>>"
+POSTINGS = f"{BLOCKS}, segment string, bucket int"
 
 
 def _bucket(term: Column, stripe: Column, buckets: Column | int) -> Column:
     return F.pmod(F.xxhash64(term, stripe), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
 
-def _peaks(entries: Column) -> Column:
-    """The (tf, len) of entries that no other beats: by rising length, those of more occurrences than all before."""
-    pairs = F.array_sort(F.transform(entries, lambda e: F.struct(e["len"].alias("len"), (-F.size(e["positions"])).cast("long").alias("less"))))
-    none = F.array().cast("array<struct<tf: long, len: long>>")
-    best = lambda held: F.coalesce(F.element_at(held, -1)["tf"], F.lit(0).cast("long"))
-    one = lambda p: F.array(F.struct((-p["less"]).alias("tf"), p["len"].alias("len")))
-    return F.aggregate(pairs, none, lambda held, p: F.when((F.size(held) == 0) | (-p["less"] > F.when(F.size(held) > 0, best(held)).otherwise(0)), F.concat(held, one(p))).otherwise(held))
-
-
-#: What the documents of a part have of a term in one stripe: block k is of zone zones[k] of the part and has the entries from
-#: starts[k] on, entry i the positions from froms[i] on.  A row without a term has all documents of some zones in a row.
-RUNS = "part int, term string, zones array<int>, starts array<int>, ids array<bigint>, lens array<int>, froms array<int>, positions array<int>"
+#: What the documents of a part have of a term in one stripe, from a zone of the part on: n documents, and as numbers (data) the
+#: id (from the least one on), the length, the place (from the first of the zone on) and the occurrences of each, then all
+#: positions.  Numbers are in as many planes of two bytes as the greatest one needs (wide), the low ones first.  A row without
+#: a least id has a document without one.  A row without a term has all documents of some zones in a row (ids, lens).
+RUNS = "part int, term string, zone int, n int, wide int, least bigint, data binary, ids array<bigint>, lens array<int>"
 #: Words that a task sorts at a time.
 RUN_WORDS = 1 << 22
+#: Bounds of the batches of runs that are unrolled at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def _starts_of(*keys):
+    """Where any of some keys differs from the one before."""
+    import numpy as np
+
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
 def _runs(zone: int, stripe: int, most: int):
@@ -64,40 +69,49 @@ def _runs(zone: int, stripe: int, most: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    types = {"part": pa.int32(), "term": pa.string(), "zones": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "ids": pa.list_(pa.int64()), "lens": pa.list_(pa.int32()), "froms": pa.list_(pa.int32()), "positions": pa.list_(pa.int32())}
+    types = {"part": pa.int32(), "term": pa.string(), "zone": pa.int32(), "n": pa.int32(), "wide": pa.int32(), "least": pa.int64(), "data": pa.binary(), "ids": pa.list_(pa.int64()), "lens": pa.list_(pa.int32())}
 
-    def rows(terms, cuts, **values):
-        """Rows of lists: cuts has, for each column, where the rows begin and the last one ends."""
-        lists = {k: pa.ListArray.from_arrays(pa.array(cuts[k], pa.int32()), pa.array(v, types[k].value_type)) for k, v in values.items()}
-        part = np.full(len(terms), TaskContext.get().partitionId())
-        return pa.RecordBatch.from_arrays([lists[k] if k in lists else pa.array(part, t) if k == "part" else terms for k, t in types.items()], schema=pa.schema(list(types.items())))
+    def rows(size, **columns):
+        columns["part"] = np.full(size, TaskContext.get().partitionId())
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in types.items()], schema=pa.schema(list(types.items())))
 
-    def starts_of(*keys):
-        """Where any of some keys differs from the one before."""
-        new = np.ones(len(keys[0]), bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        return np.flatnonzero(new)
+    def listed(values, kind):
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
     def made(ids, words, first):
         n, lens = len(ids), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         coded, ends = words.flatten().dictionary_encode(), np.cumsum(lens)
-        place = np.arange(n)
-        yield rows(pa.nulls(1, pa.string()), {k: [0, n] for k in ("ids", "lens")} | {"zones": [0, 1], "starts": [0, 0], "froms": [0, 0], "positions": [0, 0]}, zones=[first], starts=[], ids=ids, lens=lens, froms=[], positions=[])
-        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(place, lens)
+        yield rows(1, zone=[first], n=[n], ids=listed(ids, pa.int64()), lens=listed(lens, pa.int32()))
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lens)
         order = np.argsort(key, kind="stable")
         key, at = key[order], (np.arange(len(key)) - np.repeat(ends - lens, lens))[order]
-        entry = starts_of(key)
+        entry = _starts_of(key)
         code, doc = np.divmod(key[entry], n)
-        zones = first + doc // zone
-        block = starts_of(code, zones)
-        row = starts_of(code[block], zones[block] // stripe)
-        # Of the rows: their first block, their first entry, their first position; then of blocks and entries, counted within rows.
-        of_row = [np.append(row, len(block))]
-        of_row += [np.append(block[row], len(entry))]
-        of_row += [np.append(entry[block[row]], len(key))]
-        cuts = dict.fromkeys(("zones", "starts"), of_row[0]) | dict.fromkeys(("ids", "lens", "froms"), of_row[1]) | {"positions": of_row[2]}
-        within = block - np.repeat(of_row[1][:-1], np.diff(of_row[0])), entry - np.repeat(of_row[2][:-1], np.diff(of_row[1]))
-        yield rows(coded.dictionary.take(pa.array(code[block[row]])), cuts, zones=zones[block], starts=within[0], ids=ids.take(pa.array(doc)), lens=lens[doc], froms=within[1], positions=at)
+        absent = ids.is_null().to_numpy(zero_copy_only=False)[doc]
+        row = _starts_of(code, (first + doc // zone) // stripe, absent)
+        # Of the rows: how many documents and numbers they have, the row of each document, the least id, the first zone.
+        held, numbers = np.diff(np.append(row, len(entry))), np.diff(np.append(entry[row], len(key)))
+        numbers += 4 * held
+        of = np.repeat(np.arange(len(row)), held)
+        found = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+        least, zones = found[row], doc[row] // zone
+        columns = [found.view(np.uint64) - least.view(np.uint64)[of], lens[doc].view(np.uint64), (doc - zones[of] * zone).view(np.uint64), np.diff(np.append(entry, len(key))).view(np.uint64)]
+        # Positions and occurrences are no greater than lengths.
+        peak = np.maximum.reduceat(np.maximum.reduce(columns[:3]), row)
+        wide = 1 + sum((peak >= np.uint64(1 << bits)).astype(np.int64) for bits in (16, 32, 48))
+        ends = np.cumsum(wide * numbers)
+        low = ends - wide * numbers
+        within = np.arange(len(entry)) - row[of]
+        out, of_place = np.empty(int(ends[-1]), "<u2"), np.repeat(of, np.diff(np.append(entry, len(key))))
+        spots = [(values, low[of] + k * held[of] + within, of) for k, values in enumerate(columns)]
+        spots.append((at.view(np.uint64), low[of_place] + 4 * held[of_place] + np.arange(len(key)) - entry[row][of_place], of_place))
+        for values, spot, whose in spots:
+            out[spot] = values & np.uint64(0xFFFF)
+            for k in range(1, int(wide.max())):
+                more = np.flatnonzero(wide[whose] > k)
+                out[spot[more] + k * numbers[whose[more]]] = (values[more] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(out)])
+        yield rows(len(row), term=coded.dictionary.take(pa.array(code[row])), zone=first + zones, n=held, wide=wide, least=pa.array(least, mask=absent[row]), data=data)
 
     def run(batches):
         waiting, held, first = [], 0, 0
@@ -124,37 +138,69 @@ def _runs(zone: int, stripe: int, most: int):
     return run
 
 
-def _narrowed(runs: DataFrame) -> DataFrame:
-    """Runs whose lists are of two bytes a number where these fit, as they nearly always do; ids from the least one on."""
-    least, short = F.array_min("ids"), F.lit((1 << 15) - 1)
-    out = []
-    for name in ("zones", "starts", "lens", "froms", "positions"):
-        fits = F.array_max(name) <= short
-        out += [F.when(fits, F.col(name).cast("array<smallint>")).alias(name), F.when(~fits, F.col(name)).alias(f"wide_{name}")]
-    fits = F.try_subtract(F.array_max("ids"), least) <= short
-    out += [F.when(fits, F.transform("ids", lambda i: i - least).cast("array<smallint>")).alias("ids"), F.when(fits, F.lit(None)).otherwise(F.col("ids")).alias("wide_ids"), least.alias("least")]
-    return runs.select("bucket", "term", "base", *out)
-
-
-def _widened(runs: DataFrame) -> DataFrame:
-    whole = [F.coalesce(F.col(n).cast("array<int>"), f"wide_{n}").alias(n) for n in ("zones", "starts", "lens", "froms", "positions")]
-    return runs.select("bucket", "term", "base", *whole, F.coalesce(F.transform("ids", lambda i: i + F.col("least")), "wide_ids").alias("ids"))
-
+def _unrolled(zone: int):
+    """A function of Arrow batches of runs (term, zone, n, wide, least, data, bucket; zone that of the segment) that gives rows of
+    postings, in the order of the runs.
 
-def _unrolled(runs: DataFrame) -> DataFrame:
-    """Rows of postings of runs (with base, the number of their part's first zone); they stay in the order of the runs."""
-    end = lambda starts, k, last: F.coalesce(F.get(starts, k + 1), F.size(last))
+    The peaks of a block are, by rising length, its (tf, len) of more occurrences than all before.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-    def entry(i: Column) -> Column:
-        found = F.get("froms", i)
-        return F.struct(F.get("ids", i).alias("doc_id"), F.get("lens", i).cast("long").alias("len"), F.slice("positions", found + 1, end(F.col("froms"), i, "positions") - found).alias("positions"))
+    def offsets(starts, end):
+        return pa.array(np.append(starts, end), pa.int32())
 
-    def one(at: Column, k: Column) -> Column:
-        low, high = F.get("starts", k), end(F.col("starts"), k, "ids")
-        return F.struct((F.col("base") + at).alias("zone"), (high - low).cast("long").alias("n"), F.transform(F.sequence(low, high - 1), entry).alias("entries"))
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole, of_row = pa.table(batch).combine_chunks(), lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023
+            data = whole["data"].chunk(0)
+            _, cuts, buffer = data.buffers()
+            cuts = np.frombuffer(cuts, np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) // 2
+            values, n, wide = np.frombuffer(buffer, "<u2"), of_row("n"), of_row("wide")
+            numbers, low = np.diff(cuts) // wide, cuts[:-1]
+
+            def read(spot, of, values=values, wide=wide, numbers=numbers):
+                out = values[spot].astype(np.uint64)
+                for k in range(1, int(wide.max())):
+                    more = np.flatnonzero(wide[of] > k)
+                    out[more] |= values[spot[more] + k * numbers[of[more]]].astype(np.uint64) << np.uint64(16 * k)
+                return out
+
+            of = np.repeat(np.arange(len(n)), n)
+            spot = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            ids, lens, place, tf = (read(spot + k * n[of], of) for k in range(4))
+            lens, place, tf = (x.view(np.int64) for x in (lens, place, tf))
+            places = numbers - 4 * n
+            of_place = np.repeat(np.arange(len(n)), places)
+            positions = read((low + 4 * n)[of_place] + np.arange(len(of_place)) - np.repeat(np.cumsum(places) - places, places), of_place)
+            least = batch.column("least")
+            found = (ids + least.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[of]).view(np.int64)
+            ids = pa.array(found, mask=least.is_null().to_numpy(zero_copy_only=False)[of])
+            block = _starts_of(of, place // zone)
+            sizes = np.diff(np.append(block, len(of)))
+            whose = np.repeat(np.arange(len(block)), sizes)
+            order = np.lexsort((-tf, lens, whose))
+            # Blocks rise, so the greatest so far is of the same block but at its beginning.
+            most = np.maximum.accumulate(whose * (int(tf.max()) + 1) + tf[order])
+            best = np.ones(len(of), bool)
+            best[1:] = most[1:] > most[:-1]
+            best = np.flatnonzero(best)
+            peaks = pa.StructArray.from_arrays([pa.array(tf[order][best]), pa.array(lens[order][best])], ["tf", "len"])
+            entries = pa.StructArray.from_arrays([ids, pa.array(lens), pa.ListArray.from_arrays(offsets(np.cumsum(tf) - tf, len(positions)), pa.array(positions.astype(np.int32)))], ["doc_id", "len", "positions"])
+            row = pa.array(of[block])
+            columns = {
+                "term": batch.column("term").take(row),
+                "zone": pa.array(of_row("zone")[of[block]] + place[block] // zone),
+                "n": pa.array(sizes),
+                "peaks": pa.ListArray.from_arrays(offsets(np.searchsorted(best, block), len(best)), peaks),
+                "entries": pa.ListArray.from_arrays(offsets(block, len(of)), entries),
+                "bucket": batch.column("bucket").take(row),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
-    blocks = runs.select("bucket", "term", F.inline(F.transform("zones", one)))
-    return blocks.select("term", "zone", "n", _peaks(F.col("entries")).alias("peaks"), "entries", "bucket")
+    return run
 
 
 def write_segment(docs: DataFrame, root: str, stripe: int | None = None) -> dict | None:
@@ -174,25 +220,25 @@ def write_segment(docs: DataFrame, root: str, stripe: int | None = None) -> dict
     whole = runs.where("term is null")
     # A part begins with a stripe; a row for each task comes to the driver.
     parts, base = [], 0
-    for r in whole.groupBy("part").agg(F.max(F.get("zones", F.lit(0)) + F.ceil(F.size("ids") / ZONE)).alias("n")).orderBy("part").collect():
+    for r in whole.groupBy("part").agg(F.max(F.col("zone") + F.ceil(F.col("n") / ZONE)).alias("n")).orderBy("part").collect():
         parts.append((r.part, base))
         base += -(-r.n // STRIPE) * STRIPE
     bases = F.broadcast(spark.createDataFrame(parts, "part int, base long"))
-    stats = whole.join(bases, "part").select("base", F.get("zones", F.lit(0)).alias("first"), F.posexplode(F.arrays_zip("ids", "lens")).alias("at", "one"))
+    stats = whole.join(bases, "part").select("base", F.col("zone").alias("first"), F.posexplode(F.arrays_zip("ids", "lens")).alias("at", "one"))
     stats.select(F.col("one.ids").alias("doc_id"), F.col("one.lens").cast("long").alias("len"), ((F.col("base") + F.col("first")) * ZONE + F.col("at")).cast("long").alias("local")).write.parquet(place["stats"])
     n, words = spark.read.parquet(place["stats"]).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    based = runs.where("term is not null").join(bases, "part").withColumn("stripe", F.floor((F.col("base") + F.get("zones", F.lit(0))) / STRIPE))
+    based = runs.where("term is not null").join(bases, "part").withColumn("stripe", F.floor((F.col("base") + F.col("zone")) / STRIPE))
     many = ZONE * STRIPE if stripe is None else stripe
-    terms = based.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("stripe").alias("last")).select("term", "df", F.when(F.col("df") > many, F.col("last") + 1).otherwise(1).cast("long").alias("stripes"))
+    terms = based.groupBy("term").agg(F.sum("n").alias("df"), F.max("stripe").alias("last")).select("term", "df", F.when(F.col("df") > many, F.col("last") + 1).otherwise(1).cast("long").alias("stripes"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(place["terms"])
     buckets = max(LEAST_BUCKETS, -(-words // BUCKET_WORDS))
     # A table of its own, so that Spark knows its size: then the runs are not shuffled for this join.
     hot = written(spark.read.parquet(place["terms"]).where("stripes > 1").select("term", "stripes"), "hot")
     dealt = based.join(hot, "term", "left").withColumn("bucket", _bucket(F.col("term"), F.when(F.col("stripes") > 1, F.col("stripe")).otherwise(0).cast("long"), buckets))
-    ordered = _narrowed(dealt).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term", F.col("base") + F.coalesce(F.get("zones", F.lit(0)).cast("int"), F.get("wide_zones", F.lit(0))))
+    ordered = dealt.select("bucket", "term", (F.col("base") + F.col("zone")).alias("zone"), "n", "wide", "least", "data").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term", "zone")
     # A task has one bucket, so nothing need be sorted for its writer, which would sort the blocks once more.
-    with settings(spark, {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "2"}):
-        _unrolled(_widened(ordered)).write.option("compression", "zstd").partitionBy("bucket").parquet(place["postings"])
+    with settings(spark, {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "2"} | BATCHES):
+        ordered.mapInArrow(_unrolled(ZONE), f"{BLOCKS}, bucket int").write.option("compression", "zstd").partitionBy("bucket").parquet(place["postings"])
     dropped(runs, hot)
     return {"id": name, "docs": count, "held": n, "words": words, "buckets": buckets, "dead": 0, "dead_held": 0, "dead_words": 0}
 

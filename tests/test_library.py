@@ -170,3 +170,42 @@ def test_runs_of_wide_numbers(spark, tmp_path, monkeypatch):
     lib = library.changed(spark, str(tmp_path / "lib"), spark.createDataFrame(docs, SCHEMA))
     same(spark, lib, docs, ["alpha", '"alpha beta"', "x NOT gamma"])
     assert (5 in {r.doc_id for r in search.matches(lib, '"x alpha beta"').collect()}) and lib.blocks({"x"}, ()).groupBy("segment", "zone").count().where("count > 1").count() == 0
+
+
+def test_blocks_against_python(spark, tmp_path, monkeypatch):
+    """Blocks, their entries and peaks; a document without an id, and numbers of one to four planes."""
+    monkeypatch.setattr(library, "ZONE", 4)
+    monkeypatch.setattr(library, "RUN_WORDS", 100)
+    rng = random.Random(8)
+    docs = [(k * step, " ".join(rng.choices("abcde", [9, 5, 2, 1, 1], k=rng.randrange(1, 20)))) for k, step in enumerate([1, 70000, 1 << 34, 1 << 50] * 30)] + [(None, "a b a")]
+    segment = library.write_segment(spark.createDataFrame(docs, SCHEMA).repartition(2), str(tmp_path))
+    blocks = library.Library(spark, str(tmp_path), 1, [segment]).blocks("abcde", ()).collect()
+    found = sorted(((b.term, e.doc_id, e.len, e.positions) for b in blocks for e in b.entries), key=str)
+    assert found == sorted(((t, i, len(w), [k for k, x in enumerate(w) if x == t]) for i, text in docs for w in [text.split()] for t in set(w)), key=str)
+    for b in blocks:
+        pairs = {(len(e.positions), e.len) for e in b.entries}
+        best = [(tf, n) for tf, n in pairs if not any((t >= tf and m <= n) and (t, m) != (tf, n) for t, m in pairs)]
+        assert b.n == len(b.entries) <= 4 and [tuple(p) for p in b.peaks] == sorted(best, key=lambda p: p[1])
+
+
+def test_a_segment_takes_little_more_time_than_its_terms(spark, tmp_path):
+    """CPU seconds of the tasks' JVM; blocks were made number by number before."""
+    rng = random.Random(9)
+    words = [f"word{int(rng.paretovariate(0.6)) % 5000}" for _ in range(1000000)]
+    texts = [(k, " ".join(words[500 * k : 500 * k + 500])) for k in range(2000)]
+    spark.createDataFrame(texts, SCHEMA).repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def taken(action):
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        before = max(s.stageId() for s in (stages().apply(k) for k in range(stages().size())))
+        action()
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        after = stages()
+        return sum(s.executorCpuTime() / 1e9 for s in (after.apply(k) for k in range(after.size())) if s.stageId() > before)
+
+    alone = min(taken(lambda: docs.select(library.F.sum(library.F.size(library.T.terms(library.F.col("text"))))).collect()) for _ in range(3))
+    whole = min(taken(lambda k=k: library.write_segment(docs, str(tmp_path / f"lib{k}"))) for k in range(3))
+    assert whole < 6 * alone
