@@ -58,6 +58,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
+def spaced_terms(text: Column) -> Column:
+    """The terms of a text in order, in one string with a space between them."""
+    return F.trim(F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def match_form(text: Column) -> Column:
     """What phrases are matched in: no tags, dotted m and eng made one letter, white space collapsed, case folded.
 

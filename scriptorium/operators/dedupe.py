@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as T
+from ..storage import written
 from .graph import components
 
 
 def with_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, content_hash and text_hash of a text table."""
-    return docs.select(F.col(key).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content_hash"), T.text_hash(F.col(text)).alias("text_hash"))
+    plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), T.collapsed(F.col(text)).alias("plain"))
+    return plain.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.when(F.col("plain") != "", F.sha2("plain", 256)).alias("text_hash"))
 
 
 def clusters(docs: DataFrame, keys: list[str], order: str = "doc_id") -> DataFrame:
@@ -36,8 +38,8 @@ def clusters(docs: DataFrame, keys: list[str], order: str = "doc_id") -> DataFra
 
 
 def exact_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Clusters of a text table by equal bytes or by equal text hash."""
-    return clusters(with_hashes(docs, key, text), ["content_hash", "text_hash"])
+    """Clusters of a text table by equal bytes or by equal text hash; texts are read once."""
+    return clusters(written(with_hashes(docs, key, text), "hashes"), ["content_hash", "text_hash"])
 
 
 def weak_hints(docs: DataFrame, members: DataFrame | None = None, most: int = 10) -> DataFrame:

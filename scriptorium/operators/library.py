@@ -50,7 +50,7 @@ def _bucket(term: Column, stripe: Column, buckets: Column | int) -> Column:
 RUNS = "part int, term string, zone int, n int, wide int, least bigint, data binary, ids array<bigint>, lens array<int>"
 #: Words that a task sorts at a time.
 RUN_WORDS = 1 << 22
-#: Bounds of the batches of runs that are unrolled at a time.
+#: Bounds of the batches of texts and of runs.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
@@ -64,7 +64,7 @@ def _starts_of(*keys):
 
 
 def _runs(zone: int, stripe: int, most: int):
-    """A function of Arrow batches (doc_id, terms) that gives RUNS: a part is a task, and zones are of documents as they come."""
+    """A function of Arrow batches (doc_id, terms with a space between them) that gives RUNS: a part is a task, and zones are of documents as they come."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -122,6 +122,7 @@ def _runs(zone: int, stripe: int, most: int):
             yield from made(whole["doc_id"].chunk(0).take(order), whole["terms"].chunk(0).take(order), first)
 
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.split_pattern(batch.column("terms"), " ")], ["doc_id", "terms"])
             ends, low = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
             while low < len(ends):
                 before = ends[low - 1] if low else 0
@@ -215,8 +216,9 @@ def write_segment(docs: DataFrame, root: str, stripe: int | None = None) -> dict
     count = held.count()
     if not count:
         return None
-    parsed = held.select(F.col("doc_id").cast("long").alias("doc_id"), T.terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    runs = written(parsed.mapInArrow(_runs(ZONE, STRIPE, RUN_WORDS), RUNS), "runs")
+    parsed = held.select(F.col("doc_id").cast("long").alias("doc_id"), T.spaced_terms(F.col("text")).alias("terms")).where("terms <> ''")
+    with settings(spark, BATCHES):
+        runs = written(parsed.mapInArrow(_runs(ZONE, STRIPE, RUN_WORDS), RUNS), "runs")
     whole = runs.where("term is null")
     # A part begins with a stripe; a row for each task comes to the driver.
     parts, base = [], 0

@@ -102,6 +102,28 @@ def test_any_number_of_copies_is_hidden(spark, tmp_path, monkeypatch):
         assert len(search.top_without_duplicates(index, "two", clusters, 20, among=200).collect()) < 20
 
 
+def test_clusters_read_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = ["a b", "a  b", "a b", "c", "", "", " ", None, "d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dedupe.exact_clusters(docs.mapInArrow(passed, docs.schema))
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (4, 4, 3), (5, 4, 3), (7, 4, 3)]
+    assert seen.value == len(texts)
+
+
+def test_terms_in_one_string(spark):
+    texts = ["", " ", None, "...", "One, two;three", "-\u00c9t\u00e9 e\u0301t\u00e9\u2003\u0e01\u0301x\U0001d7d8\U00010330 \u0130\u00df\ufb01", "a\u0000b\tc\u00a0d_e\u2028f"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in docs.select("text", T.terms(F.col("text")).alias("terms"), T.spaced_terms(F.col("text")).alias("spaced")).collect():
+        assert (r.spaced or "").split(" ") == (r.terms or [""]), r.text
+
+
 def test_deadline(spark):
     with pytest.raises(TimeoutError):
         search.with_deadline(spark, 1.0, lambda: spark.range(0, 10**13, 1, 4).selectExpr("sum(hash(id))").collect())
