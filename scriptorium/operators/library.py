@@ -79,47 +79,68 @@ def _runs(zone: int, stripe: int, most: int):
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
     def made(ids, words, first):
+        # Numbers of two or four bytes where they suffice, and arrays of all words or entries no longer than needed.
         n, lens = len(ids), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         coded, ends = words.flatten().dictionary_encode(), np.cumsum(lens)
+        del words
         yield rows(1, zone=[first], n=[n], ids=listed(ids, pa.int64()), lens=listed(lens, pa.int32()))
-        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lens)
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = coded.dictionary
+        key *= n
+        key += np.repeat(np.arange(n, dtype=np.int32), lens)
         order = np.argsort(key, kind="stable")
-        key, at = key[order], (np.arange(len(key)) - np.repeat(ends - lens, lens))[order]
+        key = key[order]
+        at = (np.arange(len(key), dtype=np.int32) - np.repeat((ends - lens).astype(np.int32), lens))[order]
+        del order
         entry = _starts_of(key)
-        code, doc = np.divmod(key[entry], n)
+        code, doc = (x.astype(np.int32) for x in np.divmod(key[entry], n))
+        tf = np.diff(np.append(entry, len(key))).astype(np.int32)
+        del key
         absent = ids.is_null().to_numpy(zero_copy_only=False)[doc]
         row = _starts_of(code, (first + doc // zone) // stripe, absent)
-        # Of the rows: how many documents and numbers they have, the row of each document, the least id, the first zone.
-        held, numbers = np.diff(np.append(row, len(entry))), np.diff(np.append(entry[row], len(key)))
-        numbers += 4 * held
-        of = np.repeat(np.arange(len(row)), held)
-        found = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-        least, zones = found[row], doc[row] // zone
-        columns = [found.view(np.uint64) - least.view(np.uint64)[of], lens[doc].view(np.uint64), (doc - zones[of] * zone).view(np.uint64), np.diff(np.append(entry, len(key))).view(np.uint64)]
-        # Positions and occurrences are no greater than lengths.
-        peak = np.maximum.reduceat(np.maximum.reduce(columns[:3]), row)
+        # Of the rows: how many documents, positions and numbers they have, the least id, the first zone.
+        held, places = np.diff(np.append(row, len(entry))), np.diff(np.append(entry[row], len(at)))
+        numbers, began = 4 * held + places, entry[row]
+        del entry
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        least, zones, last = known[doc[row]], doc[row] // zone, doc[row + held - 1]
+        # Ids and places rise within a row; positions and occurrences are no greater than lengths.
+        span = known[last].view(np.uint64) - least.view(np.uint64)
+        peak = np.maximum(span, np.maximum(np.maximum.reduceat(lens[doc], row), last - zones * zone).astype(np.uint64))
         wide = 1 + sum((peak >= np.uint64(1 << bits)).astype(np.int64) for bits in (16, 32, 48))
         ends = np.cumsum(wide * numbers)
-        low = ends - wide * numbers
-        within = np.arange(len(entry)) - row[of]
-        out, of_place = np.empty(int(ends[-1]), "<u2"), np.repeat(of, np.diff(np.append(entry, len(key))))
-        spots = [(values, low[of] + k * held[of] + within, of) for k, values in enumerate(columns)]
-        spots.append((at.view(np.uint64), low[of_place] + 4 * held[of_place] + np.arange(len(key)) - entry[row][of_place], of_place))
-        for values, spot, whose in spots:
-            out[spot] = values & np.uint64(0xFFFF)
-            for k in range(1, int(wide.max())):
-                more = np.flatnonzero(wide[whose] > k)
-                out[spot[more] + k * numbers[whose[more]]] = (values[more] >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+        low, out = ends - wide * numbers, np.empty(int(ends[-1]), "<u2")
+
+        def put(values, spot, counts):
+            """Values of the rows, so many of each, to where they belong; numbers of eight bytes as they are."""
+            out[spot] = values.astype("<u2")
+            if wide.max() > 1:
+                of = np.repeat(np.arange(len(row)), counts)
+                for k in range(1, int(wide.max())):
+                    more = np.flatnonzero(wide[of] > k)
+                    out[spot[more] + k * numbers[of[more]]] = (values[more].astype(np.uint64) >> np.uint64(16 * k)).astype("<u2")
+
+        spot = np.repeat(low - row, held) + np.arange(len(doc))
+        put(known[doc].view(np.uint64) - np.repeat(least.view(np.uint64), held), spot, held)
+        step = np.repeat(held, held)
+        for values in (lambda: lens[doc], lambda: doc - np.repeat(zones * zone, held), lambda: tf):
+            spot += step
+            put(values(), spot, held)
+        del spot, step, tf
+        put(at, np.repeat(low + 4 * held - began, places) + np.arange(len(at)), places)
+        del at
         data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(out)])
-        yield rows(len(row), term=coded.dictionary.take(pa.array(code[row])), zone=first + zones, n=held, wide=wide, least=pa.array(least, mask=absent[row]), data=data)
+        yield rows(len(row), term=coded.take(pa.array(code[row])), zone=first + zones, n=held, wide=wide, least=pa.array(least, mask=absent[row]), data=data)
 
     def run(batches):
         waiting, held, first = [], 0, 0
 
         def given():
+            """Ids and words of the batches that wait, which are let go."""
             whole = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
             order = pc.sort_indices(whole["doc_id"].chunk(0))
-            yield from made(whole["doc_id"].chunk(0).take(order), whole["terms"].chunk(0).take(order), first)
+            return whole["doc_id"].chunk(0).take(order), whole["terms"].chunk(0).take(order)
 
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.split_pattern(batch.column("terms"), " ")], ["doc_id", "terms"])
@@ -130,11 +151,12 @@ def _runs(zone: int, stripe: int, most: int):
                 waiting.append(batch.slice(low, high - low))
                 held, low = held + ends[high - 1] - before, high
                 if held >= most or low < len(ends):
-                    yield from given()
-                    first += -(-sum(map(len, waiting)) // zone)
-                    waiting, held = [], 0
+                    zones = -(-sum(map(len, waiting)) // zone)
+                    yield from made(*given(), first)
+                    pa.default_memory_pool().release_unused()
+                    first, held = first + zones, 0
         if waiting:
-            yield from given()
+            yield from made(*given(), first)
 
     return run
 
